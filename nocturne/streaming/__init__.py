@@ -1,0 +1 @@
+"""No streaming operators: every source is a finished night, read in one go."""
