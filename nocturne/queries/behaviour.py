@@ -11,7 +11,7 @@ from nocturne.queries.registry import Tables, query
 from nocturne.queries.sql import CTES, twin
 
 # thresholds at which the given tables have individuals on both sides
-SCORE, RATE = 0.05, 0.01
+SCORE, RATE = 0.02, 0.001
 # cohort and night pairs to leave out of nightly totals
 INCOMPLETE = [("building", 4), ("automobile", 9)]
 

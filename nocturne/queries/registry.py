@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from nocturne.operators.joins import keyed_join
 from nocturne.operators.pursuit import detect_pursuits, games
 from nocturne.operators.runs import build_event_table, trim_run
-from nocturne.operators.timeline import Timeline, seal
-from nocturne.plans import ratings, summaries
+from nocturne.operators.timeline import Timeline, numbered, seal
+from nocturne.plans import effects, ratings, summaries
 from nocturne.session import stage
 from nocturne.sources import driver
 
@@ -129,6 +129,34 @@ class Tables:
     def rewarded(self) -> DataFrame:
         return stage(summaries.rewarded_visits(self.hits, self.statuses), "rewarded")
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        return self.read("lineitem").select(
+            F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"),
+            "l_orderkey", F.col("l_extendedprice").alias("price"),
+            F.col("l_quantity").alias("quantity"),
+        )
+
+    @cached_property
+    def draws(self) -> DataFrame:
+        """Line prices as draws: flag and status are the term."""
+        lines = self.read("lineitem").select(
+            F.lit("price").alias("model"), F.concat("l_returnflag", "l_linestatus").alias("term"),
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        )
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+        placed = numbered(lines, ["model", "term"], order, "iter")
+        value = F.col("l_extendedprice") / 1000 - 50
+        return stage(placed.select("model", "term", "iter", value.alias("value")), "draws")
+
+    @cached_property
+    def bootstrap(self) -> DataFrame:
+        from nocturne.queries.stats import PHASE, REPLICATES, SEX
+
+        return stage(effects.bootstrap_draws(
+            self.card, "n_chases", "n_detections", "id_label", SEX, PHASE, "chases", REPLICATES
+        ), "bootstrap")
+
 
 _tables: dict[tuple[str, str], Tables] = {}
 

@@ -27,7 +27,7 @@ SELECT night, event_id AS event_seq, ts,
        WHEN event_type = 'purchase' THEN value END AS reward_steps,
   CASE WHEN event_type = 'signup' AND hr = 12 AND k < 50 THEN 'start'
        WHEN event_type = 'signup' AND hr = 11 AND k < 50 THEN 'end'
-       WHEN event_type = 'signup' AND hr IN (22, 23) AND k < 10 THEN 'switch'
+       WHEN event_type = 'signup' AND hr BETWEEN 20 AND 23 AND k < 40 THEN 'switch'
        WHEN event_type = 'error' AND k < 50 THEN 'start pump'
        WHEN event_type = 'error' THEN 'end pump' ELSE '' END AS system_msg
 FROM base"""

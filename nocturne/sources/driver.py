@@ -47,7 +47,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == "purchase", F.col("value")).alias("reward_steps"),
             F.when((kind == "signup") & (hour == 12) & (k < 50), "start")
             .when((kind == "signup") & (hour == 11) & (k < 50), "end")
-            .when((kind == "signup") & hour.isin(22, 23) & (k < 10), "switch")
+            .when((kind == "signup") & hour.between(20, 23) & (k < 40), "switch")
             .when((kind == "error") & (k < 50), "start pump")
             .when(kind == "error", "end pump").otherwise("").alias("system_msg"),
         )
