@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.functions.columns import bracketed, ratio
@@ -18,7 +20,7 @@ from nocturne.operators.timeline import Timeline, seal
 
 KEYS = ["model", "term"]
 GRID = 512  # points of the density grid
-BLOCK = 1000  # draws per block of the autocorrelation
+BLOCK = 10_000  # draws per block of the autocorrelation
 
 
 def posterior_means(draws: DataFrame) -> DataFrame:
@@ -155,33 +157,49 @@ def interaction_table(draws: DataFrame, combinations: Mapping, digits: int = 2)
     )
 
 
+def _lagged_products(max_lag: int):
+    """Sums of products per lag of one block; rows before it only serve as partners."""
+
+    def products(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("iter")
+        v = block["v"].to_numpy()
+        start = int((block["own"] != block["block"]).sum())
+        sums = [
+            float(np.dot(v[max(start, k):], v[max(start, k) - k: len(v) - k])) if len(v) > k else 0.0
+            for k in range(max_lag + 1)
+        ]
+        return pd.DataFrame({
+            "model": block["model"].iloc[0], "term": block["term"].iloc[0],
+            "lag": range(max_lag + 1), "c": sums,
+        })
+
+    return products
+
+
 def autocorrelation(draws: DataFrame, max_lag: int = 100) -> DataFrame:
-    """Autocorrelation at lags 0 … max_lag.
+    """Autocorrelation at the lags from 0 to ``max_lag`` that the draws reach.
 
-    A block holds 1,000 draws and the ``max_lag`` before them, so every product
-    is formed once, inside one bounded window partition.
+    A block holds its own draws and the ``max_lag`` before them, so every
+    product is formed once and no group is longer than a block and its head.
     """
-    means = draws.groupBy(*KEYS).agg(F.avg("value").alias("mean"))
+    means = draws.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.max("iter").alias("n"))
     block = F.floor((F.col("iter") - 1) / BLOCK)
     step = (F.col("iter") - 1) % BLOCK
-    ahead = F.when(step >= BLOCK - max_lag, block + 1)
-    homes = F.array_compact(F.array(block, ahead))
+    next_block = F.when((step >= BLOCK - max_lag) & ((block + 1) * BLOCK < F.col("n")), block + 1)
     centred = draws.join(means, KEYS).select(
-        *KEYS, "iter", (F.col("value") - F.col("mean")).alias("v"),
-        block.alias("own"), F.explode(homes).alias("block"),
+        *KEYS, "iter", (F.col("value") - F.col("mean")).alias("v"), block.alias("own"),
+        F.explode(F.array_compact(F.array(block, next_block))).alias("block"),
+    )
+    sums = (
+        centred.groupBy(*KEYS, "block")
+        .applyInPandas(_lagged_products(max_lag), "model string, term string, lag int, c double")
+        .groupBy(*KEYS, "lag").agg(F.sum("c").alias("c"))
+    )
+    scale = sums.where(F.col("lag") == 0).select(*KEYS, F.col("c").alias("c0"))
+    reach = means.select(*KEYS, "n")
+    return sums.join(scale, KEYS).join(reach, KEYS).where(F.col("lag") < F.col("n")).select(
+        *KEYS, "lag", ratio("c", "c0").alias("acf")
     )
-    w = W.partitionBy(*KEYS, "block").orderBy("iter")
-    lagged = centred.select(
-        *KEYS, "own", "block", "v", *[F.lag("v", k).over(w).alias(f"l{k}") for k in range(1, max_lag + 1)]
-    ).where(F.col("own") == F.col("block"))
-    products = [F.sum(F.col("v") * F.col("v")).alias("c0")] + [
-        F.sum(F.col("v") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, max_lag + 1)
-    ]
-    sums = lagged.groupBy(*KEYS).agg(*products)
-    lags = F.array(*[F.col(f"c{k}") for k in range(max_lag + 1)])
-    return sums.select(*KEYS, "c0", F.posexplode(lags).alias("lag", "c")).where(
-        F.col("c").isNotNull()
-    ).select(*KEYS, "lag", ratio("c", "c0").alias("acf"))
 
 
 def effective_size(draws: DataFrame, max_lag: int = 100, acf: DataFrame | None = None) -> DataFrame:

@@ -37,6 +37,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.raw_root: str | None = None  # night files written from the log
 
     def read(self, name: str) -> DataFrame:
         return driver.read_table(self.spark, self.sf_dir, name)

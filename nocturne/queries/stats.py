@@ -329,9 +329,10 @@ SELECT model, term, x AS mode FROM (
 SELECT model, term, iter, value - avg(value) OVER (PARTITION BY model, term) AS v FROM {source}""",
         "acf": """
 SELECT model, term, lag, c / first_value(c) OVER (PARTITION BY model, term ORDER BY lag) AS acf FROM (
-  SELECT a.model, a.term, lag, sum(a.v * b.v) AS c
-  FROM centred a CROSS JOIN range(0, 101) r(lag)
-  JOIN centred b ON a.model = b.model AND a.term = b.term AND b.iter = a.iter + lag GROUP BY ALL)""",
+  SELECT model, term, lag, sum(v * w) AS c FROM (
+    SELECT model, term, v, lag, lead(v, CAST(lag AS INTEGER)) OVER (
+      PARTITION BY model, term, lag ORDER BY iter) AS w
+    FROM centred CROSS JOIN range(0, 101) r(lag)) GROUP BY ALL)""",
         "ess": f"""
 SELECT model, term, n / (1 + 2 * rho) AS eff_samp FROM (
   SELECT a.model, a.term, sum(CASE WHEN lag > 0 AND (stop IS NULL OR lag < stop) THEN acf ELSE 0 END) AS rho
