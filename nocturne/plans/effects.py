@@ -108,13 +108,10 @@ def binomial_glm(
         *extra, F.col(hits).alias("_k"), F.col(trials).alias("_n"),
     ).dropna()
     cells = design.groupBy("_a", "_b", *extra).agg(F.sum("_k").alias("_k"), F.sum("_n").alias("_n"))
-    outcomes = F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("_k").cast("double").alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("_n") - F.col("_k")).cast("double").alias("w")),
+    rows = cells.where(F.col("_n") > 0).select(
+        "_a", "_b", (F.col("_a") * F.col("_b")).alias("_ab"), *extra,
+        (F.col("_k") / F.col("_n")).alias("label"), F.col("_n").cast("double").alias("w"),
     )
-    rows = cells.withColumn("_ab", F.col("_a") * F.col("_b")).select(
-        "_a", "_b", "_ab", *extra, F.inline(outcomes)
-    ).where(F.col("w") > 0)
     inputs = ["_a", "_b", "_ab", *extra]
     data = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
     model = GeneralizedLinearRegression(

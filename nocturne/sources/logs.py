@@ -38,7 +38,7 @@ def read_raw_logs(spark: SparkSession, root: str) -> DataFrame:
     texts = [F.rtrim(F.coalesce(c, F.lit("")), F.lit("\r")).alias(c) for c in RAW_COLUMNS]
     return rows.select(
         *texts,
-        relative_path(F.col("_metadata.file_path"), root).alias("path"),
+        relative_path(_decoded(F.col("_metadata.file_path")), root).alias("path"),
         F.struct(
             F.col("_metadata.file_block_start").alias("offset"),
             F.monotonically_increasing_id().alias("line"),
@@ -46,6 +46,11 @@ def read_raw_logs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _decoded(uri: Column) -> Column:
+    """Percent-decode an address; a plus sign stands for itself."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def relative_path(path: Column, root: str) -> Column:
     """The part of a file's address below ``root``, with a leading slash."""
     root = root.rstrip("/")
