@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nocturne.functions.columns import in_night, patch_of, place_of
 from nocturne.operators.joins import unique_rows
 from nocturne.operators.timeline import Timeline, seal
+from nocturne.session import stage
 
 
 def trim_run(log: Timeline, max_start: int = 2000, end_label: str = "T") -> Timeline:
@@ -51,19 +52,30 @@ def state_marks(message: str = "system_msg") -> Column:
 
 
 def carry_state(
-    log: Timeline, marks: Column, name: str = "pumping", initial: float = 0.0
+    log: Timeline, marks: Column, name: str = "pumping", initial: float = 0.0,
+    across: bool = True,
 ) -> Timeline:
     """On/off state carried forward in the order of the log.
 
-    With a timeline over the whole log the state crosses nights; with one per
-    night it starts anew.  Rows at the first time of the partition start at
-    ``initial``.
+    ``across`` lets the state run on from night to night; else every night
+    starts anew.  Rows at the first time start at ``initial``.
     """
-    keys = list(log.partition_by)
-    first = log.df.groupBy(*keys).agg(F.min("ts").alias("_first_ts"))
-    begun = log.attach(first)
-    state = F.when(F.col("ts") == F.col("_first_ts"), F.lit(initial)).otherwise(marks)
-    filled = begun.running(last={name: state})
+    return _carried(log, {name: (marks, initial)}, across)
+
+
+def _carried(
+    log: Timeline, states: dict[str, tuple[Column, float]], across: bool,
+    sums: dict[str, Column] | None = None,
+) -> Timeline:
+    if across:
+        first = log.df.agg(F.min("ts")).scalar()
+        begun = log
+    else:
+        begun = log.attach(log.df.groupBy(*log.partition_by).agg(F.min("ts").alias("_first_ts")))
+        first = F.col("_first_ts")
+    start = F.col("ts") == first
+    values = {n: F.when(start, F.lit(init)).otherwise(m) for n, (m, init) in states.items()}
+    filled = begun.running(sums=sums, **{"last_across" if across else "last": values})
     return filled.with_df(filled.df.drop("_first_ts"))
 
 
@@ -73,13 +85,22 @@ def repair_ids(log: DataFrame, conditions: DataFrame) -> DataFrame:
     return log.join(lookup, ["night", "tag"], "left")
 
 
+def switches() -> Column:
+    return F.when(F.col("system_msg") == "switch", 1).otherwise(0)
+
+
 def phase_of(log: Timeline, name: str = "phase") -> Timeline:
     """1 + the switches seen so far in the night."""
-    switched = F.when(F.col("system_msg") == "switch", 1).otherwise(0)
-    counted = log.running(sums={name: switched})
+    counted = log.running(sums={name: switches()})
     return counted.with_df(counted.df.withColumn(name, (F.col(name) + 1).cast("int")))
 
 
+def phase_and_state(log: Timeline) -> Timeline:
+    """Phase and pump state in one pass over the log."""
+    both = _carried(log, {"pumping": (state_marks(), 0.0)}, True, {"phase": switches()})
+    return both.with_df(both.df.withColumn("phase", (F.col("phase") + 1).cast("int")))
+
+
 def derive_visit_columns(log: DataFrame) -> DataFrame:
     """Volume (half a microlitre per pump step), reward flag, place, patch, choice."""
     vol = F.coalesce("reward_steps", F.lit(0.0)) / 2
@@ -120,37 +141,47 @@ def exclusion_window(rule: Column, anchor: Column) -> tuple[Column, Column]:
     return low, high
 
 
-def drop_excluded(log: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Join the conditions and drop what they exclude.
+def exclusion_rules(log: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Attributes of each (night, individual) with the times to leave out.
 
-    Rows without a known individual stay, with null attributes.  The night of
-    an individual is anchored at the date of its first row; that minimum is
-    pre-aggregated by (night, individual), only where a rule needs it.
+    The night of an individual is anchored at the date of its first row; that
+    minimum is pre-aggregated, and only looked for where a rule needs it.
     """
     keys = ["night", "id_label"]
     attributes = unique_rows(
         conditions, [c for c in conditions.columns if c != "tag"], keys
     )
-    timed = attributes.where(F.col("discard").rlike("[<>]"))
+    timed = conditions.where(F.col("discard").rlike("[<>]")).select(*keys)
     anchors = (
-        log.join(timed.select(*keys), keys, "left_semi")
+        log.join(timed, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.to_date(F.min("ts")).cast("timestamp_ntz").alias("_anchor"))
     )
     low, high = exclusion_window(F.col("discard"), F.col("_anchor"))
-    rules = (
+    return (
         attributes.join(anchors, keys, "left")
         .withColumns({"_low": low, "_high": high, "_all": F.col("discard") == "1"})
         .drop("discard", "_anchor")
     )
-    hit = F.col("_all") | F.coalesce(F.col("ts").between(F.col("_low"), F.col("_high")), F.lit(False))
+
+
+def apply_rules(log: DataFrame, rules: DataFrame) -> DataFrame:
+    """Join the attributes and drop what the rules exclude.
+
+    Rows without a known individual stay, with null attributes.
+    """
+    inside = F.coalesce(F.col("ts").between(F.col("_low"), F.col("_high")), F.lit(False))
     return (
-        log.join(rules, keys, "left")
-        .where(~F.coalesce(hit, F.lit(False)))
+        log.join(rules, ["night", "id_label"], "left")
+        .where(~F.coalesce(F.col("_all") | inside, F.lit(False)))
         .drop("_low", "_high", "_all")
     )
 
 
+def drop_excluded(log: DataFrame, conditions: DataFrame) -> DataFrame:
+    return apply_rules(log, exclusion_rules(log, conditions))
+
+
 def fill_global(log: DataFrame, columns: list[str], chunks: int | None = None) -> Timeline:
     """Carry values forward in time order over the whole log, across nights."""
     ordered = seal(log, [], ["ts", "event_seq"], chunks, "filled")
@@ -181,12 +212,14 @@ def build_event_table(
     nights.
     """
     by_night = seal(log, ["night"], ["ts", "event_seq"], chunks, "log")
-    trimmed = phase_of(trim_run(by_night))
-    pumped = carry_state(trimmed.whole(), state_marks()).table()
+    trimmed = trim_run(by_night)
+    # anchors need no window, so they come from the rows before the pass below
+    rules = stage(exclusion_rules(repair_ids(trimmed.df, conditions), conditions), "rules")
+    passed = phase_and_state(trimmed).table()
     known = repair_ids(
-        pumped.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")),
+        passed.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")),
         conditions,
     )
-    kept = drop_excluded(derive_visit_columns(known), conditions)
+    kept = apply_rules(derive_visit_columns(known), rules)
     night = kept.where(in_night("ts", after, before))
     return fill_global(night, ["group_night", "cohort", "cond"], chunks).table().select(*EVENT_COLUMNS)

@@ -47,6 +47,11 @@ class Timeline:
             .rowsBetween(W.unboundedPreceding, -1)
         )
 
+    @property
+    def _earlier_across(self):
+        """All (partition, chunk) before this one, in the order of the log."""
+        return W.orderBy("_chunk", *self.partition_by).rowsBetween(W.unboundedPreceding, -1)
+
     def table(self) -> DataFrame:
         """The rows without the order columns."""
         return self.df.drop("_chunk", "_row")
@@ -72,15 +77,6 @@ class Timeline:
         spread = self.index.select(*self.keys).join(facts, list(self.partition_by), "left")
         return self.with_df(self.df.join(spread, self.keys, "left"))
 
-    def whole(self) -> Timeline:
-        """The same rows as one sequence, partition after partition."""
-        sizes = self.index.groupBy("_chunk").agg(
-            F.sum("_rows").alias("_rows"), F.min("_first").alias("_first")
-        )
-        earlier = W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("long"))
-        return Timeline(self.df, (), sizes.withColumn("_before", before))
-
     def position(self, name: str = "pos") -> Timeline:
         """1-based row number within the partition: no sort, one small join."""
         df = self.df.join(self.index, self.keys, "left")
@@ -106,36 +102,41 @@ class Timeline:
         sums: Mapping[str, Column] | None = None,
         maxima: Mapping[str, Column] | None = None,
         last: Mapping[str, Column] | None = None,
+        last_across: Mapping[str, Column] | None = None,
     ) -> Timeline:
-        """Running sums, running maxima and last-non-null values, in one pass."""
-        sums, maxima, last = sums or {}, maxima or {}, last or {}
-        totals = (
-            [F.sum(c).alias(f"_in_{n}") for n, c in sums.items()]
-            + [F.max(c).alias(f"_in_{n}") for n, c in maxima.items()]
-            + [F.max_by(c, F.when(c.isNotNull(), F.col("_row"))).alias(f"_in_{n}")
-               for n, c in last.items()]
-        )
-        before = (
-            [F.sum(f"_in_{n}").over(self._earlier).alias(f"_was_{n}") for n in sums]
-            + [F.max(f"_in_{n}").over(self._earlier).alias(f"_was_{n}") for n in maxima]
-            + [F.last(f"_in_{n}", ignorenulls=True).over(self._earlier).alias(f"_was_{n}")
-               for n in last]
-        )
-        carry = self.df.groupBy(*self.keys).agg(*totals).select(*self.keys, *before)
+        """Running sums, running maxima and last-non-null values, in one pass.
+
+        ``last_across`` carries a value on from one partition to the next.
+        """
+        specs = [
+            (sums or {}, F.sum, self._earlier),
+            (maxima or {}, F.max, self._earlier),
+            (last or {}, None, self._earlier),
+            (last_across or {}, None, self._earlier_across),
+        ]
         upto = self._inside.rowsBetween(W.unboundedPreceding, 0)
-        columns = {n: F.sum(c).over(upto) for n, c in sums.items()}
-        columns |= {n: F.max(c).over(upto) for n, c in maxima.items()}
-        columns |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in last.items()}
-        df = self.df.withColumns({f"_now_{n}": c for n, c in columns.items()})
-        df = df.join(carry, self.keys, "left")
+        totals, before, now = [], [], {}
+        for columns, combine, earlier in specs:
+            for name, column in columns.items():
+                if combine is None:  # last value that is not null
+                    total = F.max_by(column, F.when(column.isNotNull(), F.col("_row")))
+                    was = F.last(f"_in_{name}", ignorenulls=True)
+                    here = F.last(column, ignorenulls=True)
+                else:
+                    total, was, here = combine(column), combine(f"_in_{name}"), combine(column)
+                totals.append(total.alias(f"_in_{name}"))
+                before.append(was.over(earlier).alias(f"_was_{name}"))
+                now[f"_now_{name}"] = here.over(upto)
+        carry = self.df.groupBy(*self.keys).agg(*totals).select(*self.keys, *before)
+        df = self.df.withColumns(now).join(carry, self.keys, "left")
         zero = F.lit(0)
-        df = df.withColumns(
-            {n: F.coalesce(f"_now_{n}", zero) + F.coalesce(f"_was_{n}", zero) for n in sums}
-            | {n: F.greatest(f"_now_{n}", f"_was_{n}") for n in maxima}
-            | {n: F.coalesce(f"_now_{n}", f"_was_{n}") for n in last}
-        )
-        names = [*sums, *maxima, *last]
-        return self.with_df(df.drop(*[f"_now_{n}" for n in names], *[f"_was_{n}" for n in names]))
+        merged = {
+            n: F.coalesce(f"_now_{n}", zero) + F.coalesce(f"_was_{n}", zero) for n in specs[0][0]
+        }
+        merged |= {n: F.greatest(f"_now_{n}", f"_was_{n}") for n in specs[1][0]}
+        merged |= {n: F.coalesce(f"_now_{n}", f"_was_{n}") for n in {**specs[2][0], **specs[3][0]}}
+        df = df.withColumns(merged)
+        return self.with_df(df.drop(*now, *[f"_was_{n}" for n in merged]))
 
     def lags(self, columns: Sequence[str], depth: int, name: str = "lag") -> Timeline:
         """``{name}1`` … ``{name}depth``: structs of earlier rows, null if none.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nocturne.functions.columns import p_label, ratio, significance
 from nocturne.functions.distributions import t_two_sided
 from nocturne.operators.timeline import seal
+from nocturne.session import stage
 
 
 def level_pairs(table: DataFrame, level: str, within: Sequence[str]) -> DataFrame:
@@ -86,6 +87,7 @@ def holm(
     Tests without a p-value are not counted and stay null.  ``unique`` makes
     the order of equal p-values definite; it does not change the result.
     """
+    tests = stage(tests, "tests")  # read three times below
     known = tests.where(F.col(p).isNotNull())
     ordered = seal(known, within, [p, *unique], name="holm")
     counts = ordered.index.groupBy(*within).agg(F.sum("_rows").alias("_m"))

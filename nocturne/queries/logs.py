@@ -32,7 +32,7 @@ FROM (SELECT *, CASE WHEN ts = (SELECT min(ts) FROM log) THEN 0e0
   WHEN system_msg LIKE '%start p%' THEN 1e0 WHEN system_msg LIKE '%end p%' THEN 0e0 END AS mark
   FROM log)"""))
 def pump_state(t: Tables):
-    carried = runs.carry_state(t.sealed_log.whole(), runs.state_marks())
+    carried = runs.carry_state(t.sealed_log, runs.state_marks())
     return carried.df.select("night", "event_seq", "pumping")
 
 
@@ -43,7 +43,7 @@ FROM (SELECT *, CASE WHEN ts = min(ts) OVER (PARTITION BY night) THEN 0e0
   WHEN system_msg LIKE '%start p%' THEN 1e0 WHEN system_msg LIKE '%end p%' THEN 0e0 END AS mark
   FROM log)"""))
 def pump_state_per_night(t: Tables):
-    carried = runs.carry_state(t.sealed_log, runs.state_marks())
+    carried = runs.carry_state(t.sealed_log, runs.state_marks(), across=False)
     return carried.df.select("night", "event_seq", "pumping")
 
 
@@ -66,24 +66,19 @@ def visit_columns(t: Tables):
 
 
 @query("exclusion_rules", twin("windows", """
-SELECT night, id_label, discard, epoch_us(low) AS low_us, epoch_us(high) AS high_us FROM windows
+SELECT night, id_label, epoch_us(low) AS low_us, epoch_us(high) AS high_us FROM windows
 WHERE low IS NOT NULL"""))
 def exclusion_rules(t: Tables):
     labelled = runs.repair_ids(t.trimmed, t.conditions)
-    timed = t.conditions.where(F.col("discard").rlike("[<>]"))
-    anchors = labelled.join(timed, ["night", "id_label"], "left_semi").groupBy("night", "id_label").agg(
-        F.to_date(F.min("ts")).cast("timestamp_ntz").alias("anchor"))
-    low, high = runs.exclusion_window(F.col("discard"), F.col("anchor"))
-    rules = timed.join(anchors, ["night", "id_label"], "left").select(
-        "night", "id_label", "discard", low.alias("low"), high.alias("high"))
+    rules = runs.exclusion_rules(labelled, t.conditions)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
     def micros(c):
         seconds = (F.col(c) - epoch).cast("interval second").cast("decimal(18,6)")
         return (seconds * 1000000).cast("long")
 
-    return rules.where(F.col("low").isNotNull()).select(
-        "night", "id_label", "discard", micros("low").alias("low_us"), micros("high").alias("high_us"))
+    return rules.where(F.col("_low").isNotNull()).select(
+        "night", "id_label", micros("_low").alias("low_us"), micros("_high").alias("high_us"))
 
 
 @query("drop_excluded", twin("kept", """

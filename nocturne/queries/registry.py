@@ -148,7 +148,7 @@ class Tables:
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
         placed = numbered(lines, ["model", "term"], order, "iter")
         value = F.col("l_extendedprice") / 1000 - 50
-        return stage(placed.select("model", "term", "iter", value.alias("value")), "draws")
+        return placed.select("model", "term", "iter", value.alias("value"))
 
     @cached_property
     def bootstrap(self) -> DataFrame:

@@ -112,8 +112,8 @@ def test_pump_state_crosses_nights(spark):
     rows = [log_row(1, 0), log_row(1, 1, "start pump"), log_row(2, 0, minutes=900),
             log_row(2, 1, "end pump", minutes=901), log_row(2, 2, minutes=902)]
     tl = seal(spark.createDataFrame(rows, LOG), ["night"], ["ts", "event_seq"], 4)
-    across = runs.carry_state(tl.whole(), runs.state_marks()).df
-    within = runs.carry_state(tl, runs.state_marks()).df
+    across = runs.carry_state(tl, runs.state_marks()).df
+    within = runs.carry_state(tl, runs.state_marks(), across=False).df
     assert [r.pumping for r in across.orderBy("night", "ts").collect()] == [0, 1, 1, 0, 0]
     assert [r.pumping for r in within.orderBy("night", "ts").collect()] == [0, 1, 0, 0, 0]
 

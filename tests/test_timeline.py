@@ -77,3 +77,15 @@ def test_numbered_descending(spark):
     got = numbered(df, ["g"], [F.desc("r"), "id"], chunks=3)
     assert {(r.g, r.id): r.pos for r in got.collect()} == {
         ("a", "y"): 1, ("a", "z"): 2, ("a", "x"): 3, ("b", "x"): 1}
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 30])
+def test_fill_across_partitions(spark, chunks):
+    df = spark.createDataFrame(_rows(11), "night int, ts int, seq int, v int, s string")
+    tl = seal(df, ["night"], ["ts", "seq"], chunks)
+    got = tl.running(sums={"rs": F.col("v")}, last_across={"fill": F.col("v")}).table()
+    everything = W.orderBy("night", "ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    each = W.partitionBy("night").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    want = df.select("seq", F.last("v", ignorenulls=True).over(everything).alias("fill"),
+                     F.coalesce(F.sum("v").over(each), F.lit(0)).alias("rs"))
+    assert sorted(map(tuple, got.select("seq", "fill", "rs").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
