@@ -38,7 +38,8 @@ def trim_run(log: Timeline, max_start: int = 2000, end_label: str = "T") -> Time
         .groupBy(*keys)
         .agg((F.min("_pos") - 1).alias("_to"))
     )
-    bounded = placed.attach(begins.join(ends, keys, "left"))
+    # one row per night, read by every later branch of the plan
+    bounded = placed.attach(stage(begins.join(ends, keys, "left"), "bounds"))
     inside = (F.col("_pos") >= F.col("_from")) & (
         F.col("_to").isNull() | (F.col("_pos") <= F.col("_to"))
     )

@@ -59,8 +59,8 @@ class Timeline:
     def with_df(self, df: DataFrame) -> Timeline:
         """The same timeline with columns added or rows removed.
 
-        Positions and lags count the rows of the sealed log, so take them
-        before removing rows.
+        Positions count the rows of the sealed log; everything else sees the
+        rows that are left.
         """
         return replace(self, df=df)
 

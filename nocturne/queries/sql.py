@@ -153,7 +153,7 @@ FROM (SELECT night, cohort, group_night, id_label, phase, cond, patch, sex, coun
 
 CTES["rev"] = """
 SELECT cohort, group_night,
-  row_number() OVER (PARTITION BY cohort ORDER BY group_night DESC) AS rev_night
+  CAST(row_number() OVER (PARTITION BY cohort ORDER BY group_night DESC) AS INTEGER) AS rev_night
 FROM (SELECT DISTINCT cohort, group_night FROM visits0 WHERE cond = 'test')"""
 
 CTES["visits"] = """

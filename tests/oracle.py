@@ -32,6 +32,16 @@ def norm(v):
     return (3, str(v))
 
 
+# Spark type -> DuckDB type
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
+
+
+def type_gaps(df, rel):
+    want = dict(zip(rel.columns, map(str, rel.types)))
+    return [f"{n}: {t} vs {want[n]}" for n, t in df.dtypes if TYPES.get(t, t) != want.get(n)]
+
+
 def compare(df, rel):
     """None if equal, else what differs."""
     cols = sorted(df.columns)
@@ -70,6 +80,9 @@ def main():
             if name in oracles:
                 rel = con.sql(oracles[name])
                 problem = compare(df, rel)
+                gaps = type_gaps(df, rel)
+                if gaps:
+                    print("types", name, gaps, flush=True)
                 n = len(rel)
             else:
                 n, problem = df.count(), None
