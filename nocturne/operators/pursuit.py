@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nocturne.operators.joins import lookup_join
 from nocturne.operators.timeline import Timeline
 
 
@@ -52,9 +53,10 @@ def detect_pursuits(
 
 def games(events: DataFrame, reverse_nights: DataFrame) -> DataFrame:
     """One row per pursuit, won by the pursuer, with the reverse night."""
-    return (
-        events.where("hit")
-        .select("cond", "group_night", "cohort", "id_label", "counterpart", "loc",
-                F.lit(1).alias("outcome"))
-        .join(reverse_nights, ["cohort", "group_night"], "left")
+    won = events.where("hit").select(
+        "cond", "group_night", "cohort", "id_label", "counterpart", "loc",
+        F.lit(1).alias("outcome"), "ts", "event_seq",
+    )
+    return lookup_join(won, reverse_nights, ["cohort", "group_night"], ["ts", "event_seq"]).drop(
+        "ts", "event_seq"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.functions.columns import in_night, patch_of, place_of
-from nocturne.operators.joins import unique_rows
+from nocturne.operators.joins import lookup_join, unique_rows
 from nocturne.operators.timeline import Timeline, seal
 from nocturne.session import stage
 
@@ -80,10 +80,14 @@ def _carried(
     return filled.with_df(filled.df.drop("_first_ts"))
 
 
-def repair_ids(log: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Label each row by what the conditions say about (night, tag)."""
-    lookup = unique_rows(conditions, ["night", "tag", "id_label"], ["night", "tag"])
-    return log.join(lookup, ["night", "tag"], "left")
+def id_lookup(conditions: DataFrame) -> DataFrame:
+    """The individual behind each (night, tag)."""
+    return unique_rows(conditions, ["night", "tag", "id_label"], ["night", "tag"])
+
+
+def repair_ids(log: DataFrame, lookup: DataFrame, **how) -> DataFrame:
+    """Label each row by what the lookup says about (night, tag)."""
+    return lookup_join(log, lookup, ["night", "tag"], ["ts", "event_seq"], **how)
 
 
 def switches() -> Column:
@@ -166,14 +170,14 @@ def exclusion_rules(log: DataFrame, conditions: DataFrame) -> DataFrame:
     )
 
 
-def apply_rules(log: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_rules(log: DataFrame, rules: DataFrame, **how) -> DataFrame:
     """Join the attributes and drop what the rules exclude.
 
     Rows without a known individual stay, with null attributes.
     """
     inside = F.coalesce(F.col("ts").between(F.col("_low"), F.col("_high")), F.lit(False))
     return (
-        log.join(rules, ["night", "id_label"], "left")
+        lookup_join(log, rules, ["night", "id_label"], ["ts", "event_seq"], **how)
         .where(~F.coalesce(F.col("_all") | inside, F.lit(False)))
         .drop("_low", "_high", "_all")
     )
@@ -214,12 +218,13 @@ def build_event_table(
     """
     by_night = seal(log, ["night"], ["ts", "event_seq"], chunks, "log")
     trimmed = trim_run(by_night)
+    lookup = stage(id_lookup(conditions), "lookup")
     # anchors need no window, so they come from the rows before the pass below
-    rules = stage(exclusion_rules(repair_ids(trimmed.df, conditions), conditions), "rules")
+    rules = stage(exclusion_rules(repair_ids(trimmed.df, lookup), conditions), "rules")
     passed = phase_and_state(trimmed).table()
     known = repair_ids(
         passed.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")),
-        conditions,
+        lookup,
     )
     kept = apply_rules(derive_visit_columns(known), rules)
     night = kept.where(in_night("ts", after, before))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from nocturne.functions.columns import (
     arcsine, cohort_type, hours_between, night_hour, ratio,
 )
-from nocturne.operators.joins import in_role, keyed_join, members_of, unique_rows
+from nocturne.operators.joins import (
+    in_role, keyed_join, lookup_join, members_of, unique_rows,
+)
 from nocturne.operators.timeline import numbered, seal
 
 
@@ -123,7 +125,7 @@ def choices(events: DataFrame, statuses: DataFrame) -> DataFrame:
 
 def _visit_facts(events: DataFrame, statuses: DataFrame) -> DataFrame:
     kept = events.where((F.col("cond") == "test") & F.col("id_label").isNotNull())
-    return with_status(kept, statuses).select(
+    return lookup_join(kept, statuses, ["id_label", "cohort"], ["ts", "event_seq"]).select(
         "group_night", "id_label", "status", "cohort", "ts", "loc", "phase"
     )
 
@@ -249,15 +251,22 @@ def nightly_totals(card: DataFrame, incomplete: DataFrame) -> DataFrame:
 def target_mix(games: DataFrame, attributes: DataFrame) -> DataFrame:
     """Share and nightly frequency of each sex among the targets."""
     sexes = attributes.select("id_label", "sex")
-    tests = games.where(F.col("cond") == "test")
-    both = keyed_join(tests, sexes, ["id_label"])
+    pairs = (
+        games.where(F.col("cond") == "test").groupBy("id_label", "counterpart", "cohort")
+        .agg(row_count().alias("n"), F.max("group_night").alias("last"))
+    )
+    both = keyed_join(pairs, sexes, ["id_label"])
     both = keyed_join(both, in_role(sexes, "id_label", "counterpart"), ["counterpart"])
-    male, female = F.col("sex_counterpart") == "m", F.col("sex_counterpart") == "f"
+
+    def of(sex: str) -> Column:
+        return F.sum(F.when(F.col("sex_counterpart") == sex, F.col("n")).otherwise(0))
+
+    known = F.sum(F.when(F.col("sex_counterpart").isNotNull(), F.col("n")))
     return both.groupBy("id_label", "sex", "cohort").agg(
-        F.avg(male.cast("int")).alias("prop_males"),
-        F.avg(female.cast("int")).alias("prop_females"),
-        ratio(F.count_if(male), F.max("group_night")).alias("freq_males"),
-        ratio(F.count_if(female), F.max("group_night")).alias("freq_females"),
+        ratio(of("m"), known).alias("prop_males"),
+        ratio(of("f"), known).alias("prop_females"),
+        ratio(of("m"), F.max("last")).alias("freq_males"),
+        ratio(of("f"), F.max("last")).alias("freq_females"),
     )
 
 
@@ -272,7 +281,8 @@ def pair_shares(games: DataFrame, ratings: DataFrame) -> DataFrame:
     other = rated.withColumnsRenamed(
         {"id_label": "counterpart", "glicko_rating": "rating_counterpart"}
     )
-    joined = keyed_join(pairs.join(totals, "cohort"), rated, ["cohort", "id_label"])
+    shared = lookup_join(pairs, totals, ["cohort"], ["id_label", "counterpart"])
+    joined = keyed_join(shared, rated, ["cohort", "id_label"])
     joined = keyed_join(joined, other, ["cohort", "counterpart"])
     return joined.withColumns({
         "share": ratio("n", "_total"),
@@ -287,12 +297,12 @@ def hourly_profile(
     status: str | None = None,
 ) -> DataFrame:
     """Pursuits by hour of the night, with the hour the phase changes."""
-    rows = events.where((F.col("cond") == "test") & F.col("hit"))
+    keys = ["cohort", "night", "group_night", "hour"]
+    rows = events.where((F.col("cond") == "test") & F.col("hit")).withColumn("hour", F.hour("ts"))
+    counts = rows.groupBy(*keys, "id_label").agg(row_count().alias("n"))
     if statuses is not None and status is not None:
-        rows = with_status(rows, statuses).where(F.col("status") == status)
-    counts = rows.groupBy("cohort", "night", "group_night", F.hour("ts").alias("hour")).agg(
-        row_count().alias("n")
-    )
+        counts = with_status(counts, statuses).where(F.col("status") == status)
+    counts = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
     boundary = durations.where(F.col("phase") == 1).select(
         "night", (F.round("phase_dur") + 1).alias("boundary")
     )
@@ -454,7 +464,8 @@ def five_numbers(df: DataFrame, by: Sequence[str], value: str, unique: Sequence[
     """Quartiles with linear interpolation, and the whiskers at 1.5 IQR.
 
     Exact for groups of any size: rows are numbered in a distributed sort and
-    only the rows next to a quartile are kept.  ``unique`` breaks ties.
+    only the rows next to a quartile are kept.  ``unique`` breaks ties.  A group
+    without values has n = 0.
     """
     ordered = seal(df.where(F.col(value).isNotNull()), by, [value, *unique], name="quartiles")
     sizes = ordered.index.groupBy(*by).agg(F.sum("_rows").alias("n"))
@@ -477,4 +488,6 @@ def five_numbers(df: DataFrame, by: Sequence[str], value: str, unique: Sequence[
         F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("low"),
         F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value))).alias("high"),
     )
-    return quartiles.join(whiskers, list(by))
+    groups = df.select(*by).distinct()
+    table = groups.join(quartiles.join(whiskers, list(by)), list(by), "left")
+    return table.fillna({"n": 0})

@@ -51,7 +51,7 @@ def pump_state_per_night(t: Tables):
 SELECT l.night, event_seq, l.tag, c.id_label FROM log l
 LEFT JOIN (SELECT DISTINCT night, tag, id_label FROM conditions) c USING (night, tag)"""))
 def repair_identities(t: Tables):
-    return runs.repair_ids(t.log, t.conditions).select("night", "event_seq", "tag", "id_label")
+    return runs.repair_ids(t.log, t.lookup).select("night", "event_seq", "tag", "id_label")
 
 
 @query("visit_columns", twin("log", """
@@ -69,7 +69,7 @@ def visit_columns(t: Tables):
 SELECT night, id_label, epoch_us(low) AS low_us, epoch_us(high) AS high_us FROM windows
 WHERE low IS NOT NULL"""))
 def exclusion_rules(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.conditions)
+    labelled = runs.repair_ids(t.trimmed, t.lookup)
     rules = runs.exclusion_rules(labelled, t.conditions)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
@@ -84,7 +84,7 @@ def exclusion_rules(t: Tables):
 @query("drop_excluded", twin("kept", """
 SELECT night, event_seq, id_label, cohort, sex, cond FROM kept"""))
 def drop_excluded(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.conditions)
+    labelled = runs.repair_ids(t.trimmed, t.lookup)
     return runs.drop_excluded(labelled, t.conditions).select(
         "night", "event_seq", "id_label", "cohort", "sex", "cond")
 
@@ -102,7 +102,7 @@ SELECT event_seq, last_value(cohort IGNORE NULLS) OVER w AS cohort,
   last_value(group_night IGNORE NULLS) OVER w AS group_night FROM kept
 WINDOW w AS (ORDER BY ts, event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def fill_global(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.conditions)
+    labelled = runs.repair_ids(t.trimmed, t.lookup)
     kept = runs.drop_excluded(labelled, t.conditions)
     return runs.fill_global(kept, ["cohort", "group_night"]).df.select(
         "event_seq", "cohort", "group_night")
@@ -112,7 +112,7 @@ def fill_global(t: Tables):
 SELECT event_seq, last_value(cohort IGNORE NULLS) OVER (PARTITION BY night ORDER BY ts, event_seq
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cohort FROM kept"""))
 def fill_within_night(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.conditions)
+    labelled = runs.repair_ids(t.trimmed, t.lookup)
     kept = runs.drop_excluded(labelled, t.conditions)
     ordered = seal(kept, ["night"], ["ts", "event_seq"])
     return ordered.running(last={"cohort": F.col("cohort")}).df.select("event_seq", "cohort")

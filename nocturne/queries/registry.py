@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nocturne.operators.joins import keyed_join
 from nocturne.operators.pursuit import detect_pursuits, games
-from nocturne.operators.runs import build_event_table, trim_run
+from nocturne.operators.runs import build_event_table, id_lookup, trim_run
 from nocturne.operators.timeline import Timeline, numbered, seal
 from nocturne.plans import effects, ratings, summaries
 from nocturne.session import stage
@@ -54,6 +54,10 @@ class Tables:
     def conditions(self) -> DataFrame:
         return stage(driver.conditions(self.spark, self.sf_dir), "conditions")
 
+    @cached_property
+    def lookup(self) -> DataFrame:
+        return stage(id_lookup(self.conditions), "lookup")
+
     @cached_property
     def trimmed(self) -> DataFrame:
         return trim_run(self.sealed_log).table()

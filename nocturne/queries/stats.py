@@ -175,11 +175,12 @@ def log_odds_terms(t: Tables):
 
 
 @query("female_log_odds", twin("card", """
-SELECT cohort_type, phase, CAST(sum(n_chases) AS BIGINT) AS k, CAST(sum(n_detections) AS BIGINT) AS n,
-  round(ln(sum(n_chases) / (sum(n_detections) - sum(n_chases))), 9) AS log_odds,
-  round(sqrt(1 / sum(n_chases) + 1 / (sum(n_detections) - sum(n_chases))), 9) AS se
+SELECT cohort_type, phase, k, n, round(ln(CASE WHEN k > 0 THEN k / nullif(n - k, 0) END), 9) AS log_odds,
+  round(sqrt(1 / nullif(k, 0) + 1 / nullif(n - k, 0)), 9) AS se
+FROM (SELECT cohort_type, phase, CAST(sum(n_chases) AS BIGINT) AS k,
+  CAST(sum(n_detections) AS BIGINT) AS n
 FROM (SELECT *, CASE WHEN cohort LIKE '%mixed%' THEN 'mixed' ELSE 'single-sex' END AS cohort_type
-  FROM card WHERE sex <> 'm' AND cohort <> 'building') GROUP BY cohort_type, phase"""))
+  FROM card WHERE sex <> 'm' AND cohort <> 'building') GROUP BY cohort_type, phase)"""))
 def female_log_odds(t: Tables):
     females = S.with_group_type(t.card, ["building"])
     table = E.cell_log_odds(females, "n_chases", "n_detections", ["cohort_type", "phase"])
@@ -210,8 +211,10 @@ def marginal_means(t: Tables):
 
 
 CTES["trends"] = """
-SELECT sex, phase, regr_count(sd_consumed, night) AS n, regr_slope(sd_consumed, night) AS slope,
-  regr_intercept(sd_consumed, night) AS intercept FROM dispersion GROUP BY sex, phase"""
+SELECT sex, phase, n, CASE WHEN NOT isnan(slope) THEN slope END AS slope,
+  CASE WHEN NOT isnan(intercept) THEN intercept END AS intercept
+FROM (SELECT sex, phase, regr_count(sd_consumed, night) AS n, regr_slope(sd_consumed, night) AS slope,
+  regr_intercept(sd_consumed, night) AS intercept FROM dispersion GROUP BY sex, phase)"""
 
 
 def trends(t: Tables):

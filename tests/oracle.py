@@ -26,9 +26,9 @@ def norm(v):
     if isinstance(v, bool):
         return (1, str(v))
     if isinstance(v, float):
-        return (2, "nan" if math.isnan(v) else f"{v + 0.0:.10g}")
+        return (2, "nan" if math.isnan(v) else repr(v + 0.0))
     if isinstance(v, int):
-        return (2, f"{float(v):.10g}")
+        return (2, repr(float(v)))
     return (3, str(v))
 
 
@@ -67,7 +67,8 @@ def main():
     sf = args.pop(0) if args and args[0].startswith("sf") else "sf0.01"
     sf_dir = f"/root/testdata/{sf}"
     spark = get_session("oracle", "local[8]")
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", os.environ.get("ORACLE_PARTITIONS", "8"))
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("ORACLE_TZ", "UTC"))
     spark.sparkContext.setLogLevel("OFF")
     con, bad = connect(sf_dir), 0
     queries, oracles = entry.queries(), entry.oracle_sql()

@@ -90,8 +90,8 @@ def test_exclusion(spark):
     times = [dt.datetime(2015, 3, 9, 16), dt.datetime(2015, 3, 9, 22, 3, 59),
              dt.datetime(2015, 3, 9, 22, 4), dt.datetime(2015, 3, 10, 2), dt.datetime(2015, 3, 11),
              dt.datetime(2015, 3, 11, 0, 0, 1)]
-    rows = [(1, who, t) for who in ["A", "B", "C", "D", "E", None] for t in times]
-    log = spark.createDataFrame(rows, "night int, id_label string, ts timestamp_ntz")
+    rows = [(1, who, t, i) for who in ["A", "B", "C", "D", "E", None] for i, t in enumerate(times)]
+    log = spark.createDataFrame(rows, "night int, id_label string, ts timestamp_ntz, event_seq int")
     out = runs.drop_excluded(log, conditions)
     left = {}
     for r in out.collect():
@@ -102,10 +102,20 @@ def test_exclusion(spark):
 
 
 def test_conditions_must_be_unique(spark):
-    log = spark.createDataFrame([(1, "R1")], "night int, tag string")
+    log = spark.createDataFrame([(1, "R1", 1, 1)], "night int, tag string, ts int, event_seq int")
     twice = spark.createDataFrame([(1, "R1", "A"), (1, "R1", "B")], "night int, tag string, id_label string")
     with pytest.raises(Exception, match="more than one row"):
-        runs.repair_ids(log, twice).collect()
+        runs.repair_ids(log, runs.id_lookup(twice)).collect()
+
+
+def test_salted_lookup_equals_broadcast(spark):
+    rows = [(1, "R1" if i % 3 else None, i, i) for i in range(300)] + [(2, f"R{i}", i, i) for i in range(40)]
+    log = spark.createDataFrame(rows, "night int, tag string, ts int, event_seq int")
+    lookup = spark.createDataFrame([(n, f"R{i}", f"Ind{i}") for n in (1, 2) for i in range(30)],
+                                   "night int, tag string, id_label string")
+    plain = sorted(map(str, runs.repair_ids(log, lookup).collect()))
+    salted = runs.repair_ids(log, lookup, small=0, salts=5)
+    assert sorted(map(str, salted.collect())) == plain and len(plain) == 340
 
 
 def test_pump_state_crosses_nights(spark):
