@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nocturne.functions.columns import bracketed, ratio
@@ -195,24 +195,28 @@ def autocorrelation(draws: DataFrame, max_lag: int = 100) -> DataFrame:
         .applyInPandas(_lagged_products(max_lag), "model string, term string, lag int, c double")
         .groupBy(*KEYS, "lag").agg(F.sum("c").alias("c"))
     )
-    scale = sums.where(F.col("lag") == 0).select(*KEYS, F.col("c").alias("c0"))
+    # at most max_lag + 1 rows per term from here on
+    c0 = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(W.partitionBy(*KEYS))
+    scaled = sums.select(*KEYS, "lag", ratio("c", c0).alias("acf"))
     reach = means.select(*KEYS, "n")
-    return sums.join(scale, KEYS).join(reach, KEYS).where(F.col("lag") < F.col("n")).select(
-        *KEYS, "lag", ratio("c", "c0").alias("acf")
-    )
+    return scaled.join(reach, KEYS).where(F.col("lag") < F.col("n")).drop("n")
 
 
 def effective_size(draws: DataFrame, max_lag: int = 100, acf: DataFrame | None = None) -> DataFrame:
     """n / (1 + 2 Σ ρ) over the lags before the first that is not positive.
 
-    The autoregressive estimate of the reference method differs slightly.
+    An estimate from an autoregressive fit differs slightly.
     """
     acf = autocorrelation(draws, max_lag) if acf is None else acf
-    stop = acf.groupBy(*KEYS).agg(F.min(F.when(F.col("acf") <= 0, F.col("lag"))).alias("stop"))
-    run = (F.col("lag") > 0) & (F.col("stop").isNull() | (F.col("lag") < F.col("stop")))
-    total = acf.join(stop, KEYS).groupBy(*KEYS).agg(
-        F.coalesce(F.sum(F.when(run, F.col("acf"))), F.lit(0.0)).alias("rho")
+    lags = acf.groupBy(*KEYS).agg(
+        F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("lags")  # max_lag + 1 at most
+    )
+    stop = F.array_min(F.transform(F.filter("lags", lambda x: x["acf"] <= 0), lambda x: x["lag"]))
+    run = F.filter(
+        "lags", lambda x: (x["lag"] > 0) & (F.col("stop").isNull() | (x["lag"] < F.col("stop")))
     )
+    rho = F.aggregate(run, F.lit(0.0), lambda total, x: total + x["acf"])
+    total = lags.withColumn("stop", stop).select(*KEYS, rho.alias("rho"))
     sizes = draws.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(total, KEYS).select(*KEYS, (F.col("n") / (1 + 2 * F.col("rho"))).alias("eff_samp"))
 
