@@ -164,3 +164,76 @@ def bootstrap_draws(
     cells = cells.withColumn("log_odds", log_odds(F.col("k"), F.col("n"), pad))
     terms = treatment_terms(cells, "log_odds", first, second, ["iter"])
     return terms.select(F.lit(model).alias("model"), "term", F.col("iter").cast("long"), "value")
+
+
+def bootstrap_trend_draws(
+    df: DataFrame, y: str, x: str, cluster: str,
+    first: tuple[str, Sequence], second: tuple[str, Sequence],
+    model: str, replicates: int = 200, seed: int = 42,
+) -> DataFrame:
+    """Draws of the terms of ``y ~ first * second * x`` by resampling clusters.
+
+    A crossed model with one covariate is a line per cell, so five sums per
+    cluster and cell carry everything the weighted fits need.  Replicates in
+    which a cell has no line are left out.
+    """
+    a, b = first[0], second[0]
+    rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    moments = {"s0": F.lit(1.0), "sx": F.col(x), "sy": F.col(y),
+               "sxy": F.col(x) * F.col(y), "sxx": F.col(x) * F.col(x)}
+    sums = rows.groupBy(cluster, a, b).agg(*[F.sum(v).alias(n) for n, v in moments.items()])
+    weight = poisson_one(hashed_uniform(F.lit(str(seed)), cluster, F.col("iter").cast("string")))
+    cells = (
+        sums.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        .withColumn("w", weight)
+        .groupBy("iter", a, b).agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in moments])
+    )
+    spread = F.col("s0") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(
+        spread > 1e-9, (F.col("s0") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread
+    )
+    lines = cells.withColumn("slope", slope).withColumn(
+        "intercept", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("s0"))
+    )
+    levels = treatment_terms(lines, "intercept", first, second, ["iter"])
+    trends = treatment_terms(lines, "slope", first, second, ["iter"]).withColumn(
+        "term", F.when(F.col("term") == "(Intercept)", x).otherwise(F.concat("term", F.lit(f":{x}")))
+    )
+    terms = levels.unionByName(trends)
+    whole = terms.groupBy("iter").agg(F.count("value").alias("_n")).where(F.col("_n") == 8)
+    return terms.join(whole.select("iter"), "iter", "left_semi").select(
+        F.lit(model).alias("model"), "term", F.col("iter").cast("long"), "value"
+    )
+
+
+# Combinations of the terms of an intake model, by name
+SEX_COMBINATIONS = {
+    "females_phase2": {"phase2": 1, "sexf:phase2": 1},
+    "night_phase2": {"night": 1, "phase2:night": 1},
+    "sex_phase2": {"sexf": 1, "sexf:phase2": 1},
+    "sex_night_phase2": {"sexf:phase2:night": -1, "sexf:night": -1},
+    "females_night": {"night": 1, "sexf:night": 1},
+    "females_night_phase2": {
+        "night": 1, "sexf:night": 1, "phase2:night": 1, "sexf:phase2:night": 1,
+    },
+    "females_night_contrast": {"phase2:night": 1, "sexf:phase2:night": 1},
+}
+
+
+def combinations_for(factor: str, names: dict[str, str]) -> dict[str, dict[str, int]]:
+    """The same combinations for another two-level factor, under new names."""
+    return {
+        names.get(combo, combo): {t.replace("sexf", factor): c for t, c in terms.items()}
+        for combo, terms in SEX_COMBINATIONS.items()
+    }
+
+
+# Names of the combinations in the model of cohort types
+COHORT_TYPE_COMBINATIONS = combinations_for("cohort_typemixed", {
+    "females_phase2": "grtypes_phase2",
+    "sex_phase2": "mixed_phase2",
+    "sex_night_phase2": "grtype_night_phase2",
+    "females_night": "mixed_nightph1",
+    "females_night_phase2": "mixed_nightph2",
+    "females_night_contrast": "mixed_night_contrast",
+})

@@ -242,14 +242,17 @@ def binomial_glm(t: Tables):
 
 REPLICATES = 100
 
-CTES["drawn"] = f"""
-SELECT iter, sex, phase, ln((sum(k * w) + 0.5) / (sum(n * w) - sum(k * w) + 0.5)) AS log_odds FROM (
-  SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1
+# Poisson(1) by inversion of a uniform number
+POISSON = """CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1
     WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3
     WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5
     WHEN u < 0.9999167588507119 THEN 6 WHEN u < 0.9999897508033253 THEN 7
     WHEN u < 0.9999988747974020 THEN 8 WHEN u < 0.9999998885745217 THEN 9
-    WHEN u < 0.9999999899522336 THEN 10 ELSE 11 END AS w
+    WHEN u < 0.9999999899522336 THEN 10 ELSE 11 END"""
+
+CTES["drawn"] = f"""
+SELECT iter, sex, phase, ln((sum(k * w) + 0.5) / (sum(n * w) - sum(k * w) + 0.5)) AS log_odds FROM (
+  SELECT *, {POISSON} AS w
   FROM (SELECT *, CAST('0x' || substr(md5('42:' || id_label || ':' || iter), 1, 8) AS BIGINT)
       / 4294967296 AS u
     FROM (SELECT id_label, sex, phase, sum(n_chases) AS k, sum(n_detections) AS n FROM card GROUP BY ALL),
@@ -276,6 +279,37 @@ def bootstrap_draws(t: Tables):
     return rounded(t.bootstrap, "value")
 
 
+
+def trend_ctes(source: str, a: str, a0: str, a1: str, cluster: str, model: str) -> str:
+    """Bootstrap draws of the crossed trend model of a dispersion table."""
+    cell = {n: f"{a} = '{x}' AND phase = {p}" for n, (x, p) in {
+        "c00": (a0, 1), "c10": (a1, 1), "c01": (a0, 2), "c11": (a1, 2)}.items()}
+    picks = ", ".join(
+        f"max(CASE WHEN {c} THEN {v} END) AS {v[0]}{n}" for v in ("intercept", "slope") for n, c in cell.items())
+    terms = []
+    for v, tail in (("i", ""), ("s", ":night")):
+        one = "night" if tail else "(Intercept)"
+        terms += [(one, f"{v}c00"), (f"{a}{a1}{tail}", f"{v}c10 - {v}c00"), (f"phase2{tail}", f"{v}c01 - {v}c00"),
+                  (f"{a}{a1}:phase2{tail}", f"({v}c11 - {v}c01) - ({v}c10 - {v}c00)")]
+    union = " UNION ALL ".join(
+        f"SELECT iter, '{t}' AS term, {e} AS value FROM lines_wide" for t, e in terms)
+    return f""",
+cluster_sums AS (SELECT {cluster} AS id, {a}, phase, sum(1e0) AS s0, sum(night) AS sx, sum(sd_consumed) AS sy,
+  sum(night * sd_consumed) AS sxy, sum(night * night) AS sxx FROM {source}
+  WHERE sd_consumed IS NOT NULL GROUP BY ALL),
+weighted AS (SELECT iter, {a}, phase, sum(w * s0) AS s0, sum(w * sx) AS sx, sum(w * sy) AS sy,
+  sum(w * sxy) AS sxy, sum(w * sxx) AS sxx FROM (SELECT *, {POISSON} AS w FROM (
+    SELECT *, CAST('0x' || substr(md5('42:' || id || ':' || iter), 1, 8) AS BIGINT) / 4294967296 AS u
+    FROM cluster_sums, range(1, {REPLICATES + 1}) r(iter))) GROUP BY ALL),
+fitted AS (SELECT *, (sy - slope * sx) / nullif(s0, 0) AS intercept FROM (
+  SELECT *, CASE WHEN s0 * sxx - sx * sx > 1e-9 THEN (s0 * sxy - sx * sy) / (s0 * sxx - sx * sx) END AS slope
+  FROM weighted)),
+lines_wide AS (SELECT iter, {picks} FROM fitted GROUP BY iter),
+trend_terms AS ({union}),
+trend_draws AS (SELECT '{model}' AS model, term, iter, value FROM trend_terms WHERE iter IN (
+  SELECT iter FROM trend_terms GROUP BY iter HAVING count(value) = 8))"""
+
+
 # --- draws -------------------------------------------------------------------
 
 CTES["draws"] = """
@@ -472,3 +506,84 @@ SELECT model, term, count(*) AS n FROM (
 def models_stacked(t: Tables):
     both = D.stack([t.draws, t.bootstrap])
     return both.groupBy("model", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bootstrap_received_draws", twin("drawn", f"""
+, sums AS (SELECT id_label, sex, phase, sum(n_chased) AS k, sum(n_detections) AS n FROM card GROUP BY ALL),
+odds AS (SELECT iter, sex, phase, ln((sum(k * w) + 0.5) / (sum(n * w) - sum(k * w) + 0.5)) AS v FROM (
+  SELECT *, {POISSON} AS w FROM (
+    SELECT *, CAST('0x' || substr(md5('123:' || id_label || ':' || iter), 1, 8) AS BIGINT) / 4294967296 AS u
+    FROM sums, range(1, {REPLICATES + 1}) r(iter))) GROUP BY ALL)
+SELECT 'received' AS model, 'sexf' AS term, iter, round(f.v - m.v, 9) AS value
+FROM odds f JOIN odds m USING (iter, phase) WHERE f.sex = 'f' AND m.sex = 'm' AND phase = 1"""))
+def bootstrap_received(t: Tables):
+    # a sparse cell may hold more received pursuits than detections: undefined odds
+    table = E.bootstrap_draws(
+        t.card, "n_chased", "n_detections", "id_label", SEX, PHASE, "received", REPLICATES, seed=123)
+    return rounded(table.where(F.col("term") == "sexf"), "value")
+
+
+TYPE = ("cohort_type", ("single-sex", "mixed"))
+
+CTES["typed_dispersion"] = """
+SELECT cohort, group_night, phase, sd_consumed, group_night - avg(group_night) OVER () AS night,
+  CASE WHEN cohort LIKE '%mixed%' THEN 'mixed' ELSE 'single-sex' END AS cohort_type
+FROM (SELECT cohort, group_night, phase, stddev_samp(vol_hr) AS sd_consumed FROM (
+  SELECT cohort, id_label, phase, group_night, sum(vol_consumed) / nullif(sum(phase_dur), 0) AS vol_hr
+  FROM visits WHERE group_night > 0 AND sex <> 'm' GROUP BY ALL) GROUP BY ALL)"""
+
+
+def trend_twin(needs: str, source: str, a: str, a0: str, a1: str, select: str, more: str = "") -> str:
+    return twin(needs, f"{trend_ctes(source, a, a0, a1, 'cohort', 'intake')}{more}\n{select}")
+
+
+@query("trend_draws", trend_twin("dispersion", "dispersion", "sex", "m", "f", """
+SELECT model, term, iter, round(value, 8) AS value FROM trend_draws"""))
+def trend_draws(t: Tables):
+    return rounded(trend_table(t), "value", digits=8)
+
+
+def trend_table(t: Tables):
+    return E.bootstrap_trend_draws(
+        S.dispersion(t.visits), "sd_consumed", "night", "cohort", SEX, PHASE, "intake", REPLICATES)
+
+
+@query("trend_draws_of_females", trend_twin(
+    "typed_dispersion", "typed_dispersion", "cohort_type", "single-sex", "mixed", """
+SELECT model, term, iter, round(value, 8) AS value FROM trend_draws"""))
+def trend_draws_of_females(t: Tables):
+    table = E.bootstrap_trend_draws(
+        S.female_dispersion(t.visits), "sd_consumed", "night", "cohort", TYPE, PHASE, "intake", REPLICATES)
+    return rounded(table, "value", digits=8)
+
+
+def combos_cte(combos) -> str:
+    rows = ", ".join(f"('{c}', '{k}', {v}e0)" for c, terms in combos.items() for k, v in terms.items())
+    return f""",
+coefs(combo, t, coef) AS (VALUES {rows}),
+combined AS (SELECT model, combo AS term, iter, sum(coef * value) AS value
+  FROM trend_draws JOIN coefs ON t = term GROUP BY ALL)"""
+
+
+@query("intake_combinations", trend_twin("dispersion", "dispersion", "sex", "m", "f", """
+SELECT model, term, iter, round(value, 8) AS value FROM combined""", combos_cte(E.SEX_COMBINATIONS)))
+def intake_combinations(t: Tables):
+    return rounded(D.combine(trend_table(t), E.SEX_COMBINATIONS), "value", digits=8)
+
+
+@query("intake_combinations_of_females", trend_twin(
+    "typed_dispersion", "typed_dispersion", "cohort_type", "single-sex", "mixed", """
+SELECT model, term, iter, round(value, 8) AS value FROM combined""", combos_cte(E.COHORT_TYPE_COMBINATIONS)))
+def intake_combinations_of_females(t: Tables):
+    table = E.bootstrap_trend_draws(
+        S.female_dispersion(t.visits), "sd_consumed", "night", "cohort", TYPE, PHASE, "intake", REPLICATES)
+    return rounded(D.combine(table, E.COHORT_TYPE_COMBINATIONS), "value", digits=8)
+
+
+@query("intake_interactions", draws_twin("""
+SELECT model, term, round(conf_low, 6) AS conf_low, round(conf_high, 6) AS conf_high FROM hpd""",
+    needs="dispersion", source="combined",
+    more=trend_ctes("dispersion", "sex", "m", "f", "cohort", "intake") + combos_cte(E.SEX_COMBINATIONS)))
+def intake_interactions(t: Tables):
+    ordered = D.sorted_draws(D.combine(trend_table(t), E.SEX_COMBINATIONS))
+    return rounded(D.hpd(ordered), "conf_low", "conf_high", digits=6)

@@ -232,3 +232,57 @@ def test_five_numbers(spark, chunks, monkeypatch):
     reach = 1.5 * (q[2] - q[0])
     inside = [v for v in values if q[0] - reach <= v <= q[2] + reach]
     assert (row.low, row.high) == (min(inside), max(inside))
+
+
+def poisson_weight(seed, who, replicate):
+    import hashlib
+
+    u = int(hashlib.md5(f"{seed}:{who}:{replicate}".encode()).hexdigest()[:8], 16) / 2**32
+    total, count = math.exp(-1), 0
+    while u >= total:
+        count += 1
+        total += math.exp(-1) / math.factorial(count)
+    return count
+
+
+def test_bootstrap_of_counts(spark):
+    rng = random.Random(9)
+    rows = [(f"I{i}", "mf"[i % 2], p, rng.randrange(5), 20) for i in range(30) for p in (1, 2)]
+    card = spark.createDataFrame(rows, "id string, sex string, phase int, k int, n int")
+    table = E.bootstrap_draws(card, "k", "n", "id", ("sex", ("m", "f")), ("phase", (1, 2)), "m", 5, seed=7)
+    got = {(r.term, r.iter): r.value for r in table.collect()}
+    for it in range(1, 6):
+        odds = {}
+        for s in "mf":
+            cell = [(k, n, poisson_weight(7, i, it)) for i, x, p, k, n in rows if x == s and p == 1]
+            k, n = sum(k * w for k, _, w in cell), sum(n * w for _, n, w in cell)
+            odds[s] = math.log((k + 0.5) / (n - k + 0.5))
+        assert got["(Intercept)", it] == pytest.approx(odds["m"])
+        assert got["sexf", it] == pytest.approx(odds["f"] - odds["m"])
+
+
+def test_bootstrap_of_trends(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"g{c}", s, p, float(x), float(rng.normal()))
+            for c in range(9) for s in "mf" for p in (1, 2) for x in range(7)]
+    df = spark.createDataFrame(rows, "cohort string, sex string, phase int, night double, y double")
+    table = E.bootstrap_trend_draws(
+        df, "y", "night", "cohort", ("sex", ("m", "f")), ("phase", (1, 2)), "m", 4, seed=1)
+    got = {(r.term, r.iter): r.value for r in table.collect()}
+    assert len(got) == 32
+    for it in range(1, 5):
+        lines = {}
+        for s in "mf":
+            cell = [(x, y, poisson_weight(1, c, it)) for c, sx, p, x, y in rows if sx == s and p == 2]
+            x, y, w = map(np.array, zip(*cell))
+            lines[s] = np.polyfit(x, y, 1, w=np.sqrt(w))
+        total = sum(got[t, it] for t in ("night", "sexf:night", "phase2:night", "sexf:phase2:night"))
+        assert total == pytest.approx(lines["f"][0])
+        assert got["(Intercept)", it] + got["phase2", it] == pytest.approx(lines["m"][1])
+
+
+def test_combinations_under_new_names():
+    assert E.COHORT_TYPE_COMBINATIONS["mixed_phase2"] == {
+        "cohort_typemixed": 1, "cohort_typemixed:phase2": 1}
+    assert E.COHORT_TYPE_COMBINATIONS["night_phase2"] == E.SEX_COMBINATIONS["night_phase2"]
+    assert len(E.COHORT_TYPE_COMBINATIONS) == 7
