@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nocturne.llm import bpe
+from pyspark.sql import functions as F
+
+from nocturne.llm import bpe, cascade, kdshard, licenses, packing, topk
 from nocturne.llm.common import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +28,44 @@ def query(name: str, sql: str | None = None):
 @query("op7_bpe_rank_array")
 def op7(spark, sf_dir):
     return bpe.encoding_digests(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op3_tiled_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op3(spark, sf_dir):
+    vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op6_rule_cascade")
+def op6(spark, sf_dir):
+    return cascade.judge(read(spark, sf_dir, "documents"))
+
+
+@query("op10_license_set_join", licenses.twin())
+def op10(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op4_certified_best_fit")
+def op4(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op8_kd_tree")
+def op8(spark, sf_dir):
+    return kdshard.shard(read(spark, sf_dir, "documents"), 16)
