@@ -152,7 +152,7 @@ PACKED = ("row long, doc_id long, piece int, start long, length long, ids_crc32
 def pack_group(turn: int, capacity: int):
     """Packs one partition; ``open``: its bound is not met and the bin not full."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
         sizes = table["length"].to_numpy()
         bins = best_fit(sizes, capacity)

@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,25 +112,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     q_tiles, r_tiles = (max(1, math.ceil(n / s))
                         for n, s in ((n_queries, QUERY_TILE), (n_rows, ROW_TILE)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qt", tile_of(n_queries, QUERY_TILE)).withColumn("rt", every(r_tiles))
-    right = vectors.withColumn("rt", tile_of(n_rows, ROW_TILE)).withColumn("qt", every(q_tiles))
+    # names of their own: a cogroup confuses sides that share columns
+    left = queries.select(
+        F.col("row").alias("qrow"), F.col("vec_id").alias("query_id"), F.col("x").alias("q"),
+        tile_of(n_queries, QUERY_TILE).alias("qt"), every(r_tiles).alias("qrt"))
+    right = vectors.select(
+        F.col("vec_id").alias("vec_id"), F.col("x").alias("x"),
+        tile_of(n_rows, ROW_TILE).alias("rt"), every(q_tiles).alias("rqt"))
     schema = "qrow long, query_id long, rt int, vec_id long, score long"
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("vec_id") if len(b) else b
-        width = max([0, *(int(pa.compute.max(t["x"].combine_chunks().value_lengths()).as_py() or 0)
-                          for t in (a, b) if len(t))])
-        own = a["vec_id"].to_numpy()
+        width = max([0, *(pc.max(pc.list_value_length(c)).as_py() or 0 for c in (a["q"], b["x"]))])
+        own = a["query_id"].to_numpy()
         at, found, score = best_of_tile(
-            matrix(a["x"], width), own, matrix(b["x"], width), b["vec_id"].to_numpy(), k)
-        tile = a["rt"][0].as_py() if len(a) else 0
+            matrix(a["q"], width), own, matrix(b["x"], width), b["vec_id"].to_numpy(), k)
+        tile = a["qrt"][0].as_py() if len(a) else 0
         return pa.table({
-            "qrow": pa.array(a["row"].to_numpy()[at], pa.int64()),
+            "qrow": pa.array(a["qrow"].to_numpy()[at], pa.int64()),
             "query_id": pa.array(own[at], pa.int64()),
             "rt": pa.array(np.full(len(at), tile), pa.int32()),
             "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    lists = left.groupBy("qt", "rt").cogroup(right.groupBy("qt", "rt")).applyInArrow(pair, schema)
+    lists = left.groupBy("qt", "qrt").cogroup(right.groupBy("rqt", "rt")).applyInArrow(pair, schema)
     entry = F.struct((-F.col("score")).alias("lost"), "vec_id")
     merged, tiles = lists, r_tiles
     while True:
