@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from nocturne.session import stage
 
-UNIT_SHARE = 1 / 200  # of a leaf's bytes
+UNIT_SHARE = 1 / 20  # of a leaf's bytes
 COORD_BITS, HASH_BITS, STEP_BITS = 16, 44, 12
 KEY_BITS = COORD_BITS + HASH_BITS
 TOLERANCE = 1e-4  # of a node's bytes
@@ -108,14 +108,14 @@ def split(placed: DataFrame, nodes: list[Node]) -> None:
 
 def assign(units: DataFrame, shards: int) -> DataFrame:
     """(fp, part, shard) of every unit."""
-    placed = keys(units).withColumn("node", F.lit(0).cast("long"))
+    placed = stage(keys(units).withColumn("node", F.lit(0).cast("long")), "kd-keys")
     level = [Node(0, shards)]
     while any(n.shards > 1 for n in level):
         nodes = [n for n in level if n.shards > 1]
         split(placed, nodes)
         right = choose(nodes, lambda n: F.when(
             F.col(f"k{n.dim}") >= n.cut, n.first + n.shards // 2).otherwise(n.first))
-        placed = placed.withColumn("node", F.coalesce(right, F.col("node")))
+        placed = stage(placed.withColumn("node", F.coalesce(right, F.col("node"))), "kd-level")
         level = [n for n in level if n.shards == 1] + [
             half for n in nodes
             for half in (Node(n.first, n.shards // 2),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from nocturne.llm import bpe, cascade, kdshard, licenses, packing, topk
+from nocturne.llm import bpe, cascade, jaccard, kdshard, licenses, packing, topk
 from nocturne.llm.common import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op4(spark, sf_dir):
 @query("op8_kd_tree")
 def op8(spark, sf_dir):
     return kdshard.shard(read(spark, sf_dir, "documents"), 16)
+
+
+@query("op9_combination_prefix_join")
+def op9(spark, sf_dir):
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
