@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from nocturne.llm import bpe, cascade, jaccard, kdshard, licenses, packing, topk
+from nocturne.llm import bpe, cascade, cotraining, disclosure, jaccard, kdshard, licenses, packing, topk
 from nocturne.llm.common import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,13 @@ def op8(spark, sf_dir):
 @query("op9_combination_prefix_join")
 def op9(spark, sf_dir):
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op1_co_training")
+def op1(spark, sf_dir):
+    return cotraining.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_disclosure")
+def op5(spark, sf_dir):
+    return disclosure.find(read(spark, sf_dir, "documents"))
