@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,7 @@ class Cache(dict):
                     del self[old]
             self[key] = value
         return value
+
+
+#: 64-bit hash of a word's bytes, the same in every process.
+word_hash = Cache(lambda w: xxhash.xxh3_64_intdigest(w), 500_000)

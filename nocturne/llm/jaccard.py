@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import Cache, id_and_text
+from nocturne.llm.common import id_and_text, word_hash
 from nocturne.session import stage
 
 WORDS, SHARE = 5, Fraction(80, 100)
@@ -46,9 +46,6 @@ FLUSH = 2_000_000  # keys held before they are sent
 SMALL_IDS = 1_000_000  # class names in a broadcast
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-word_hash = Cache(lambda w: xxhash.xxh3_64_intdigest(w), 500_000)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from nocturne.llm import bpe, cascade, cotraining, disclosure, jaccard, kdshard, licenses, packing, topk
+from nocturne.llm import bpe, cascade, cotraining, disclosure, jaccard, kdshard, licenses, packing, suffix_tree, topk
 from nocturne.llm.common import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op1(spark, sf_dir):
 @query("op5_disclosure")
 def op5(spark, sf_dir):
     return disclosure.find(read(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_tree")
+def op2(spark, sf_dir):
+    return suffix_tree.scores(read(spark, sf_dir, "documents"))
