@@ -24,7 +24,8 @@ from nocturne.session import stage
 LENGTH = 2048
 PARTITION = 20_000  # pieces packed in one task
 ROUNDS = 4
-CACHED_CHUNKS = 700_000  # per worker
+CACHED_CHUNKS = 1_000_000  # per worker
+MARKS = b".,;:!?"
 FRESH = 512  # chunks sent to the library at once
 
 
@@ -54,6 +55,22 @@ class Ids:
             for chunk, a, b in zip(run, [-1, *edges], [*edges, len(ids)]):
                 self.known[chunk] = raw[4 * (a + 1) : 4 * b]
 
+    def learn_parts(self, chunks: list[bytes]) -> None:
+        """Letters with ASCII marks after them are two words to the file's
+        pattern, so the letters are encoded once for all marks."""
+        known, whole, parts = self.known, [], []
+        for c in chunks:
+            core = c.rstrip(MARKS)
+            if core and len(core) < len(c) and core.decode().isalpha():
+                parts.append((c, core, c[len(core) :]))
+            else:
+                whole.append(c)
+        more = dict.fromkeys(whole)
+        more.update((p, None) for _, *pair in parts for p in pair if p not in known)
+        self.learn(list(more))
+        for c, core, mark in parts:
+            known[c] = known[core] + known[mark]
+
     def of(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
         lowered, known = text.lower(), self.known
@@ -69,7 +86,7 @@ class Ids:
             for old in list(known)[: CACHED_CHUNKS // 2]:
                 del known[old]
         fresh = [c for c in dict.fromkeys(chunks) if c not in known]
-        self.learn(fresh)
+        self.learn_parts(fresh)
         raw = b"".join([known[c] for c in chunks])
         for c in fresh:
             if len(c) > 64:  # long ones seldom come back
