@@ -17,18 +17,30 @@ def _c(column: str | Column) -> Column:
 
 def serial_to_timestamp(column: str | Column) -> Column:
     """Serial days since 1899-12-30 with a decimal comma, to the millisecond."""
-    days = F.replace(_c(column), F.lit(","), F.lit(".")).try_cast("double")
-    seconds = F.round((days * 86400).cast("decimal(18,6)"), 3).cast("decimal(18,6)")
+    days = F.replace(_c(column), F.lit(","), F.lit(".")).try_cast("decimal(24,15)")
+    seconds = F.round((days * 86400).cast("decimal(24,9)"), 3).cast("decimal(18,6)")
     zero = F.lit(0)
     origin = F.lit("1899-12-30 00:00:00").cast("timestamp_ntz")
     return origin + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 def timestamp_to_serial(column: str | Column) -> Column:
-    """The inverse: serial days as text with a decimal comma."""
+    """The inverse: serial days as text with a decimal comma, exact decimals."""
     origin = F.lit("1899-12-30 00:00:00").cast("timestamp_ntz")
-    days = seconds_between(origin, column) / 86400
-    return F.replace(F.format_string("%.12f", days), F.lit("."), F.lit(","))
+    # the scale of the quotient follows that of the dividend
+    seconds = (_c(column) - origin).cast("interval second").cast("decimal(18,6)").cast("decimal(22,10)")
+    days = (seconds / F.lit(86400).cast("decimal(5,0)")).cast("decimal(24,15)")
+    return F.replace(days.cast("string"), F.lit("."), F.lit(","))
+
+
+def text_to_timestamp(column: str | Column, pattern: str = "yyyy-MM-dd HH:mm:ss[.SSSSSS]") -> Column:
+    """Text in the given pattern as a time without zone; null if it is none."""
+    return F.to_timestamp_ntz(F.when(_c(column).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"), _c(column)),
+                              F.lit(pattern))
+
+
+def timestamp_to_text(column: str | Column) -> Column:
+    return F.date_format(_c(column), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
 def seconds_between(start: str | Column, end: str | Column) -> Column:
@@ -77,8 +89,9 @@ def recode(column: str | Column, labels: Mapping) -> Column:
 
 
 def arcsine(column: str | Column) -> Column:
-    """Variance-stabilising transform of a proportion."""
-    return F.asin(F.sqrt(_c(column)))
+    """Variance-stabilising transform of a proportion; null outside [0, 1]."""
+    c = _c(column)
+    return F.asin(F.sqrt(F.when((c >= 0) & (c <= 1), c)))
 
 
 def ratio(top: str | Column, bottom: str | Column) -> Column:
@@ -131,4 +144,4 @@ def significance(p: str | Column) -> Column:
 def p_label(p: str | Column) -> Column:
     """``<0.001`` or the value at three decimals."""
     p = _c(p)
-    return F.when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))
+    return F.when(p < 0.001, "<0.001").when(p.isNotNull(), F.format_string("%.3f", p))

@@ -47,24 +47,21 @@ def lookup_join(
     right: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
-    small: int = 100_000,
     salts: int = 32,
 ) -> DataFrame:
     """Left join of log rows with a lookup table that is unique by ``keys``.
 
-    A lookup of at most ``small`` rows, counted here, is broadcast.  A larger
-    one is joined on the keys and a salt: log rows are spread over ``salts``
-    by ``spread_by``, the lookup is repeated for each.  So neither one busy
-    key nor the rows without a key end up in one task.
+    Nothing is forced: Spark broadcasts a staged lookup if its files are small
+    and AQE splits the rows of a busy key.  Only rows without a key, which can
+    never match, are spread over ``salts`` by ``spread_by``.
     """
     shared = (set(left.columns) & set(right.columns)) - set(keys)
     if shared:
         raise ValueError(f"columns on both sides but not keys: {sorted(shared)}")
-    if right.limit(small + 1).count() <= small:
-        return left.join(F.broadcast(right), list(keys), "left")
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
+    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.when(unknown, F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(0).cast("int")
+    plain = right.withColumn("_salt", F.lit(0))
+    return left.withColumn("_salt", salt).join(plain, [*keys, "_salt"], "left").drop("_salt")
 
 
 def in_role(dimension: DataFrame, key: str, role: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nocturne.functions.columns import in_night, patch_of, place_of
@@ -11,16 +11,18 @@ from nocturne.operators.timeline import Timeline, seal
 from nocturne.session import stage
 
 
-def trim_run(log: Timeline, max_start: int = 2000, end_label: str = "T") -> Timeline:
+def trim_run(log: Timeline, max_start: int | None = None, end_label: str = "T") -> Timeline:
     """Keep each night from after its last ``start`` to before the next ``end``.
 
-    Without a usable start the run begins at the first rewarded row that is not
+    ``max_start`` is the last row at which a start is believed; by default any
+    is.  Without a usable start the run begins at the first rewarded row that is not
     a test.  The end row must carry ``end_label`` in its label; without one the
     run goes to the last row.  Needs only aggregates by night over positions.
     """
     keys = list(log.partition_by)
     placed = log.position("_pos")
     rows = placed.df
+    usable = F.col("_start").isNotNull() if max_start is None else F.col("_start") <= max_start
     begins = rows.groupBy(*keys).agg(
         (F.max(F.when(F.col("system_msg") == "start", F.col("_pos"))) + 1).alias("_start"),
         F.min(
@@ -28,7 +30,7 @@ def trim_run(log: Timeline, max_start: int = 2000, end_label: str = "T") -> Time
         ).alias("_reward"),
     ).select(
         *keys,
-        F.when(F.col("_start") <= max_start, F.col("_start"))
+        F.when(usable, F.col("_start"))
         .otherwise(F.col("_reward")).alias("_from"),
     )
     ends = (
@@ -43,7 +45,7 @@ def trim_run(log: Timeline, max_start: int = 2000, end_label: str = "T") -> Time
     inside = (F.col("_pos") >= F.col("_from")) & (
         F.col("_to").isNull() | (F.col("_pos") <= F.col("_to"))
     )
-    return bounded.with_df(bounded.df.where(inside).drop("_pos", "_from", "_to"))
+    return bounded.with_df(bounded.df.where(inside).drop("_pos", "_from", "_to"), whole=False)
 
 
 def state_marks(message: str = "system_msg") -> Column:
@@ -193,6 +195,24 @@ def fill_global(log: DataFrame, columns: list[str], chunks: int | None = None) -
     return ordered.running(last={c: F.col(c) for c in columns})
 
 
+def fill_across(log: Timeline, columns: list[str]) -> Timeline:
+    """The same for a log in order by night: nights that follow each other are
+    in the order of time already."""
+    return log.running(last_across={c: F.col(c) for c in columns})
+
+
+def require_disjoint(log: Timeline) -> None:
+    """Raise if a night begins before the one before it has ended."""
+    keys = list(log.partition_by)
+    spans = log.df.groupBy(*keys).agg(F.min("ts").alias("_begin"), F.max("ts").alias("_end"))
+    # one row per night
+    before = F.max("_end").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
+    early = spans.withColumn("_before", before).where(F.col("_begin") < F.col("_before"))
+    found = early.select(*keys).first()
+    if found:
+        raise ValueError(f"nights overlap: {found}; build the event table with overlapping=True")
+
+
 # columns of the event table, in order
 EVENT_COLUMNS = [
     "night", "event_seq", "ts", "id_label", "tag", "unit_label", "event_duration",
@@ -207,25 +227,49 @@ def build_event_table(
     chunks: int | None = None,
     after: int = 15,
     before: int = 4,
+    overlapping: bool = False,
 ) -> DataFrame:
     """Raw log and conditions to the event table.
 
     The log needs ``night, event_seq, ts, tag, raw_label, unit_label,
     event_duration, sense_duration, reward_steps, system_msg``.  It is put in
-    order twice: by night to trim runs, count phases and carry the pump state,
-    and by time, once the excluded rows are gone, for the fill that crosses
-    nights.
+    order once, by night.  ``overlapping`` nights are not in the order of time
+    then: the fill across nights needs a second order.
     """
     by_night = seal(log, ["night"], ["ts", "event_seq"], chunks, "log")
-    trimmed = trim_run(by_night)
+    if not overlapping:
+        return event_timeline(by_night, conditions, after=after, before=before).table()
+    kept = _event_rows(by_night, trim_run(by_night), conditions, after, before)
+    return fill_global(kept.table(), FILLED, chunks).table().select(*EVENT_COLUMNS)
+
+
+FILLED = ["group_night", "cohort", "cond"]
+
+
+def event_timeline(
+    log: Timeline, conditions: DataFrame, trimmed: Timeline | None = None, after: int = 15, before: int = 4
+) -> Timeline:
+    """The event table as a timeline of nights, from a log in order by night.
+
+    Everything happens in that order, the fill across nights too, as nights
+    follow each other (checked); the result is written once.
+    """
+    require_disjoint(log)
+    kept = _event_rows(log, trimmed or trim_run(log), conditions, after, before)
+    filled = fill_across(kept, FILLED)
+    return filled.with_df(filled.df.select(*EVENT_COLUMNS, "_chunk", "_row")).staged("events")
+
+
+def _event_rows(
+    log: Timeline, trimmed: Timeline, conditions: DataFrame, after: int, before: int
+) -> Timeline:
     lookup = stage(id_lookup(conditions), "lookup")
     # anchors need no window, so they come from the rows before the pass below
     rules = stage(exclusion_rules(repair_ids(trimmed.df, lookup), conditions), "rules")
-    passed = phase_and_state(trimmed).table()
+    passed = phase_and_state(trimmed)
     known = repair_ids(
-        passed.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")),
+        passed.df.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")),
         lookup,
     )
     kept = apply_rules(derive_visit_columns(known), rules)
-    night = kept.where(in_night("ts", after, before))
-    return fill_global(night, ["group_night", "cohort", "cond"], chunks).table().select(*EVENT_COLUMNS)
+    return passed.with_df(kept.where(in_night("ts", after, before)), whole=False)

@@ -18,8 +18,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from nocturne.session import stage
+from nocturne.session import input_bytes, stage, unstage
 
+CHUNK_BYTES = 256 * 2**20  # of input per chunk, at most
 # monotonically_increasing_id keeps the partition above bit 33
 _ROW_MASK = 2**33 - 1
 
@@ -29,6 +30,7 @@ class Timeline:
     df: DataFrame
     partition_by: tuple[str, ...]
     index: DataFrame
+    whole: bool = True  # no row of the sealed log has been left out
 
     @property
     def keys(self) -> list[str]:
@@ -56,13 +58,30 @@ class Timeline:
         """The rows without the order columns."""
         return self.df.drop("_chunk", "_row")
 
-    def with_df(self, df: DataFrame) -> Timeline:
-        """The same timeline with columns added or rows removed.
+    def with_df(self, df: DataFrame, whole: bool | None = None) -> Timeline:
+        """The same timeline with columns added, or rows removed (``whole=False``).
 
         Positions count the rows of the sealed log; everything else sees the
         rows that are left.
         """
-        return replace(self, df=df)
+        return replace(self, df=df, whole=self.whole if whole is None else whole)
+
+    def where(self, condition: Column | str) -> Timeline:
+        return self.with_df(self.df.where(condition), whole=False)
+
+    def staged(self, name: str = "timeline") -> Timeline:
+        """The rows that are left, written in the same order and counted anew.
+
+        No second sort of the log: chunks stay where they are.
+        """
+        inside = F.row_number().over(self._inside).cast("long") - 1
+        df = stage(self.df.withColumn("_row", inside), name)
+        return Timeline(df, self.partition_by, _index(df, self.partition_by, name))
+
+    def release(self) -> None:
+        """Delete the staged tables; nothing built on them may be read any more."""
+        unstage(self.df)
+        unstage(self.index)
 
     def attach(self, facts: DataFrame) -> Timeline:
         """Add one row of facts per partition to every row of it.
@@ -141,15 +160,17 @@ class Timeline:
     def lags(self, columns: Sequence[str], depth: int, name: str = "lag") -> Timeline:
         """``{name}1`` … ``{name}depth``: structs of earlier rows, null if none.
 
-        Only the last ``depth`` rows of each chunk are looked at across chunks.
+        Only the last ``depth`` rows of each chunk are looked at across chunks;
+        the index knows them, unless rows were left out since.
         """
         row = F.struct(*columns)
-        newest = W.partitionBy(*self.keys).orderBy(F.desc("_row"))
-        tails = (
-            self.df.select(*self.keys, "_row", row.alias("_v"))
-            .withColumn("_n", F.row_number().over(newest))
-            .where(F.col("_n") <= depth)
-        )
+        values = self.df.select(*self.keys, "_row", row.alias("_v"))
+        if self.whole:
+            ends = self.index.select(*self.keys, (F.col("_first") + F.col("_rows") - depth).alias("_from"))
+            tails = values.join(ends, self.keys).where(F.col("_row") >= F.col("_from")).drop("_from")
+        else:
+            newest = W.partitionBy(*self.keys).orderBy(F.desc("_row"))
+            tails = values.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= depth)
         across = W.partitionBy(*self.partition_by).orderBy("_chunk", "_row")
         previous = F.lag("_chunk").over(across)
         carry = (
@@ -181,10 +202,19 @@ def seal(
 ) -> Timeline:
     """Put ``df`` into range order and stage it.
 
-    ``partition_by`` + ``order_by`` must be unique per row; the partition
-    columns must not be null.  ``chunks`` is left to AQE unless given.
+    ``partition_by`` + ``order_by`` must be unique per row; a null partition
+    column fails at run time (see `grouping`).  The number of chunks follows
+    the size of the input where that asks for more than the session's number
+    of shuffle partitions; below it AQE decides.
     """
     order = [*partition_by, *order_by]
+    missing = F.raise_error(F.lit(f"null in a partition column of {list(partition_by)}"))
+    df = df.withColumns({
+        c: F.when(F.col(c).isNull(), missing).otherwise(F.col(c)) for c in partition_by})
+    if chunks is None:
+        wanted = -(-input_bytes(df) // CHUNK_BYTES)
+        if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            chunks = wanted
     ranged = df.repartitionByRange(chunks, *order) if chunks else df.repartitionByRange(*order)
     staged = stage(
         ranged.sortWithinPartitions(*order)
@@ -192,16 +222,32 @@ def seal(
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))),
         name,
     )
+    return Timeline(staged, tuple(partition_by), _index(staged, partition_by, name))
+
+
+def _index(staged: DataFrame, partition_by: Sequence[str], name: str) -> DataFrame:
+    """Rows and first row of each (partition, chunk), and the rows before it.
+
+    One row per chunk: without partition columns a single task orders them,
+    which is input size / 256 MB rows.
+    """
     keys = [*partition_by, "_chunk"]
     earlier = (
         W.partitionBy(*partition_by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     )
     sizes = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first"))
-    index = stage(
+    return stage(
         sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("long"))),
         f"{name}-index",
     )
-    return Timeline(staged, tuple(partition_by), index)
+
+
+def grouping(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Text columns that are never null, one for each of ``columns``, for groups
+    in which a null is a value like others; and their names."""
+    named = {f"_key_{c}": F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+             for c in columns}
+    return df.withColumns(named), list(named)
 
 
 def numbered(
@@ -211,5 +257,6 @@ def numbered(
     name: str = "pos",
     chunks: int | None = None,
 ) -> DataFrame:
-    """Row numbers within groups of any size."""
-    return seal(df, partition_by, order_by, chunks, "numbered").position(name).table()
+    """Row numbers within groups of any size; nulls are a group."""
+    keyed, keys = grouping(df, partition_by)
+    return seal(keyed, keys, order_by, chunks, "numbered").position(name).table().drop(*keys)

@@ -10,24 +10,31 @@ from pyspark.sql import functions as F
 
 from nocturne.functions.columns import p_label, ratio, significance
 from nocturne.functions.distributions import t_two_sided
-from nocturne.operators.timeline import seal
+from nocturne.operators.timeline import grouping, seal
 from nocturne.session import stage
 
 
+MAX_LEVELS = 1000  # paired without groups
+
+
 def level_pairs(table: DataFrame, level: str, within: Sequence[str]) -> DataFrame:
     """Every two levels a < b within a group, side by side.
 
     ``table`` has one row per group and level; columns get the suffixes 1, 2.
+    It is staged, so that it is computed once.  Without ``within`` the levels
+    of the whole table are paired: at most ``MAX_LEVELS``, else it fails, as
+    the pairs are their square.
     """
     keys = list(within) or ["_all"]
-    base = table if within else table.withColumn("_all", F.lit(0))
+    base = stage(table if within else table.withColumn("_all", F.lit(0)), "levels")
+    if not within and base.count() > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels to pair; name the groups to pair within")
     rest = [c for c in base.columns if c not in keys]
     one = base.withColumnsRenamed({c: f"{c}1" for c in rest})
     two = base.withColumnsRenamed({c: f"{c}2" for c in rest} | {k: f"_r_{k}" for k in keys})
     same = [one[k].eqNullSafe(two[f"_r_{k}"]) for k in keys]
     match = reduce(lambda a, b: a & b, same, F.col(f"{level}1") < F.col(f"{level}2"))
-    pairs = one.join(two, match).drop(*[f"_r_{k}" for k in keys], "_all")
-    return pairs
+    return one.join(two, match).drop(*[f"_r_{k}" for k in keys], "_all")
 
 
 def _safe_sqrt(c: Column) -> Column:
@@ -87,16 +94,14 @@ def holm(
     Tests without a p-value are not counted and stay null.  ``unique`` makes
     the order of equal p-values definite; it does not change the result.
     """
-    tests = stage(tests, "tests")  # read three times below
-    known = tests.where(F.col(p).isNotNull())
-    ordered = seal(known, within, [p, *unique], name="holm")
-    counts = ordered.index.groupBy(*within).agg(F.sum("_rows").alias("_m"))
+    keyed, keys = grouping(tests, within)
+    ordered = seal(keyed, keys, [F.asc_nulls_last(p), *unique], name="holm")
+    counts = ordered.df.groupBy(*keys).agg(F.count(p).alias("_m"))
     placed = ordered.position("_i").attach(counts)
     step = (F.col("_m") - F.col("_i") + 1) * F.col(p)
     adjusted = placed.running(maxima={name: step}).table()
-    capped = adjusted.withColumn(name, F.least(name, F.lit(1.0))).drop("_m", "_i")
-    missing = tests.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
-    return capped.unionByName(missing)
+    capped = F.when(F.col(p).isNotNull(), F.least(name, F.lit(1.0)))
+    return adjusted.withColumn(name, capped).drop("_m", "_i", *keys)
 
 
 def marked(tests: DataFrame, p_crit: float | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Summaries of draws kept in long form: ``model, term, iter, value``.
 
-``iter`` counts 1, 2, … within (model, term).  A term may have any number of
+``iter`` counts 1, 2, … within (model, term) and may have gaps; a null value is
+a draw that is missing and counts nowhere.  A term may have any number of
 draws: order statistics come from a distributed numbering, densities from a
 fixed number of bins, autocorrelations from blocks of bounded length.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions.columns import bracketed, ratio
 from nocturne.operators.timeline import Timeline, seal
+from nocturne.session import stage
 
 KEYS = ["model", "term"]
 GRID = 512  # points of the density grid
@@ -30,7 +32,7 @@ def posterior_means(draws: DataFrame) -> DataFrame:
 def p_mcmc(draws: DataFrame) -> DataFrame:
     """Twice the smaller share of draws on one side of zero, at least 1/n."""
     positive = F.avg((F.col("value") > 0).cast("int"))
-    floor = F.lit(0.5) / F.count(F.lit(1))
+    floor = F.lit(0.5) / F.count("value")
     return draws.groupBy(*KEYS).agg(
         (2 * F.greatest(floor, F.least(positive, 1 - positive))).alias("pMCMC")
     )
@@ -38,7 +40,8 @@ def p_mcmc(draws: DataFrame) -> DataFrame:
 
 def sorted_draws(draws: DataFrame, chunks: int | None = None) -> Timeline:
     """Draws numbered by value within their term, with the number of draws."""
-    ordered = seal(draws.select(*KEYS, "iter", "value"), KEYS, ["value", "iter"], chunks, "draws")
+    known = draws.where(F.col("value").isNotNull()).select(*KEYS, "iter", "value")
+    ordered = seal(known, KEYS, ["value", "iter"], chunks, "draws")
     sizes = ordered.index.groupBy(*KEYS).agg(F.sum("_rows").alias("n"))
     return ordered.position("pos").attach(sizes)
 
@@ -46,9 +49,11 @@ def sorted_draws(draws: DataFrame, chunks: int | None = None) -> Timeline:
 def hpd(ordered: Timeline, prob: float = 0.95) -> DataFrame:
     """Narrowest interval that holds ``prob`` of the draws; the first of equals.
 
-    Draw i is paired with draw i + gap by an equi-join on unique positions.
+    Draw i is paired with draw i + gap by an equi-join on unique positions.  A
+    single draw is an interval of its own.
     """
-    gap = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * prob).cast("long")))
+    wide = F.greatest(F.lit(1), F.bround(F.col("n") * prob).cast("long"))
+    gap = F.least(F.col("n") - 1, wide)
     rows = ordered.df.select(*KEYS, "pos", "value", gap.alias("gap"))
     low = rows.select(*KEYS, (F.col("pos") + F.col("gap")).alias("pos"), F.col("value").alias("low"))
     ends = low.join(rows.select(*KEYS, "pos", F.col("value").alias("high")), [*KEYS, "pos"])
@@ -137,37 +142,41 @@ def posterior_mode(ordered: Timeline, adjust: float = 0.1) -> DataFrame:
 
 
 def combine(draws: DataFrame, combinations: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """Linear combinations of terms, draw by draw; the combination is the term."""
-    rows = [(c, t, float(k)) for c, terms in combinations.items() for t, k in terms.items()]
-    coefs = draws.sparkSession.createDataFrame(rows, "combo string, term string, coef double")
+    """Linear combinations of terms, draw by draw; the combination is the term.
+
+    A draw in which one of its terms is missing is a missing draw."""
+    rows = [(c, t, float(k), len(terms)) for c, terms in combinations.items() for t, k in terms.items()]
+    coefs = draws.sparkSession.createDataFrame(rows, "combo string, term string, coef double, parts int")
+    whole = F.count("value") == F.max("parts")
     return (
         draws.join(coefs, "term")
         .groupBy("model", F.col("combo").alias("term"), "iter")
-        .agg(F.sum(F.col("coef") * F.col("value")).alias("value"))
+        .agg(F.when(whole, F.sum(F.col("coef") * F.col("value"))).alias("value"))
     )
 
 
-def interaction_table(draws: DataFrame, combinations: Mapping, digits: int = 2) -> DataFrame:
+def interaction_table(draws: DataFrame, combinations: Mapping, digits: int | None = 2) -> DataFrame:
     """Mode and interval of each combination."""
-    ordered = sorted_draws(combine(draws, combinations))
-    table = posterior_mode(ordered).join(hpd(ordered), KEYS)
-    return table.select(
-        *KEYS, F.bround("mode", digits).alias("estimate"),
-        F.bround("conf_low", digits).alias("conf_low"), F.bround("conf_high", digits).alias("conf_high"),
-    )
+    return mode_table(sorted_draws(combine(draws, combinations)), digits)
+
 
+def mode_table(ordered: Timeline, digits: int | None = 2) -> DataFrame:
+    table = posterior_mode(ordered).join(hpd(ordered), KEYS).withColumnRenamed("mode", "estimate")
+    shown = ["estimate", "conf_low", "conf_high"]
+    return table.select(*KEYS, *[c if digits is None else F.bround(c, digits).alias(c) for c in shown])
 
-def _lagged_products(max_lag: int):
-    """Sums of products per lag of one block; rows before it only serve as partners."""
+
+def _lagged_products(max_lag: int, length: int):
+    """Sums of products per lag of one block; rows before it only serve as partners.
+
+    Draws stand at their ``iter``; where one is missing, a zero adds nothing.
+    """
 
     def products(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("iter")
-        v = block["v"].to_numpy()
-        start = int((block["own"] != block["block"]).sum())
-        sums = [
-            float(np.dot(v[max(start, k):], v[max(start, k) - k: len(v) - k])) if len(v) > k else 0.0
-            for k in range(max_lag + 1)
-        ]
+        v = np.zeros(max_lag + length)
+        first = int(block["block"].iloc[0]) * length + 1 - max_lag
+        v[block["iter"].to_numpy() - first] = block["v"].to_numpy()
+        sums = [float(np.dot(v[max_lag:], v[max_lag - k: len(v) - k])) for k in range(max_lag + 1)]
         return pd.DataFrame({
             "model": block["model"].iloc[0], "term": block["term"].iloc[0],
             "lag": range(max_lag + 1), "c": sums,
@@ -182,17 +191,20 @@ def autocorrelation(draws: DataFrame, max_lag: int = 100) -> DataFrame:
     A block holds its own draws and the ``max_lag`` before them, so every
     product is formed once and no group is longer than a block and its head.
     """
-    means = draws.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.max("iter").alias("n"))
+    if max_lag > BLOCK:
+        raise ValueError(f"a lag of {max_lag} reaches over a block of {BLOCK} draws")
+    draws = draws.where(F.col("value").isNotNull())
+    means = stage(draws.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.max("iter").alias("n")), "means")
     block = F.floor((F.col("iter") - 1) / BLOCK)
     step = (F.col("iter") - 1) % BLOCK
     next_block = F.when((step >= BLOCK - max_lag) & ((block + 1) * BLOCK < F.col("n")), block + 1)
     centred = draws.join(means, KEYS).select(
-        *KEYS, "iter", (F.col("value") - F.col("mean")).alias("v"), block.alias("own"),
+        *KEYS, "iter", (F.col("value") - F.col("mean")).alias("v"),
         F.explode(F.array_compact(F.array(block, next_block))).alias("block"),
     )
     sums = (
         centred.groupBy(*KEYS, "block")
-        .applyInPandas(_lagged_products(max_lag), "model string, term string, lag int, c double")
+        .applyInPandas(_lagged_products(max_lag, BLOCK), "model string, term string, lag int, c double")
         .groupBy(*KEYS, "lag").agg(F.sum("c").alias("c"))
     )
     # at most max_lag + 1 rows per term from here on
@@ -217,13 +229,14 @@ def effective_size(draws: DataFrame, max_lag: int = 100, acf: DataFrame | None =
     )
     rho = F.aggregate(run, F.lit(0.0), lambda total, x: total + x["acf"])
     total = lags.withColumn("stop", stop).select(*KEYS, rho.alias("rho"))
-    sizes = draws.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    sizes = draws.groupBy(*KEYS).agg(F.count("value").alias("n"))
     return sizes.join(total, KEYS).select(*KEYS, (F.col("n") / (1 + 2 * F.col("rho"))).alias("eff_samp"))
 
 
 def drift(draws: DataFrame, first: float = 0.1, last: float = 0.5, max_lag: int = 100) -> DataFrame:
     """z-score of the first against the last part of the draws."""
-    sizes = draws.groupBy(*KEYS).agg(F.max("iter").alias("n"))
+    draws = draws.where(F.col("value").isNotNull())
+    sizes = stage(draws.groupBy(*KEYS).agg(F.max("iter").alias("n")), "sizes")
     placed = draws.join(sizes, KEYS)
     at = F.col("iter")
     early = at <= 1 + first * (F.col("n") - 1)
@@ -268,16 +281,17 @@ def relabelled(term: Column, labels: Mapping[str, str]) -> Column:
 
 def summary_table(
     draws: DataFrame, labels: Mapping[str, str] | None = None, digits: int = 2,
-    max_lag: int = 100,
+    max_lag: int = 100, ordered: Timeline | None = None,
 ) -> DataFrame:
-    """Estimate, interval, effective size and pMCMC of every term."""
-    ordered = sorted_draws(draws)
-    table = posterior_means(draws).join(hpd(ordered), KEYS)
+    """Estimate, interval, effective size and pMCMC of every term, with the
+    number of draws used."""
+    ordered = ordered or sorted_draws(draws)
+    table = draws.groupBy(*KEYS).agg(F.avg("value").alias("estimate"), F.count("value").alias("n")).join(hpd(ordered), KEYS)
     table = table.join(effective_size(draws, max_lag), KEYS).join(p_mcmc(draws), KEYS)
     shown = table.select(
         "model", relabelled(F.col("term"), labels or {}).alias("term"),
         *[F.bround(c, digits).alias(c) for c in ("estimate", "conf_low", "conf_high")],
-        "eff_samp", "pMCMC",
+        "eff_samp", "pMCMC", "n",
     )
     return shown.withColumns({
         "CI": bracketed("conf_low", "conf_high"), "excludes_zero": excludes_zero(),

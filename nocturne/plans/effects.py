@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.plans.tests import level_pairs
+from nocturne.plans.comparisons import level_pairs
+from nocturne.session import stage
 
 
 def log_odds(k: Column, n: Column, pad: float = 0.0) -> Column:
@@ -35,15 +36,24 @@ def cell_log_odds(
     })
 
 
+def of_levels(column: str, levels: Sequence) -> Column:
+    """The column; a value that is neither null nor one of the levels is an error."""
+    known = F.col(column).isin(*levels) | F.col(column).isNull()
+    wrong = F.concat(F.lit(f"{column} has a level beside {list(levels)}: "), F.col(column).cast("string"))
+    return F.when(known, F.col(column)).otherwise(F.raise_error(wrong))
+
+
 def treatment_terms(
     cells: DataFrame, value: str, first: tuple[str, Sequence], second: tuple[str, Sequence],
     within: Sequence[str] = (),
 ) -> DataFrame:
     """Treatment-coded terms of a saturated 2 × 2 table, in long form.
 
-    ``first`` and ``second`` name a column with its base level and other level.
+    ``first`` and ``second`` name a column with its base level and other level;
+    a row at any other level fails at run time.
     """
     (a, (a0, a1)), (b, (b0, b1)) = first, second
+    cells = cells.withColumns({a: of_levels(a, (a0, a1)), b: of_levels(b, (b0, b1))})
 
     def cell(x, y) -> Column:
         return F.max(F.when((F.col(a) == x) & (F.col(b) == y), F.col(value)))
@@ -89,29 +99,27 @@ def marginal_means(cells: DataFrame, value: str, over: str) -> DataFrame:
 
 
 def binomial_glm(
-    counts: DataFrame, hits: str, trials: str, first: tuple[str, str], second: tuple[str, str],
+    counts: DataFrame, hits: str, trials: str, first: tuple[str, Sequence], second: tuple[str, Sequence],
     covariate: str | None = None,
 ) -> DataFrame:
     """Logistic regression of grouped counts on a 2 × 2 design and a covariate.
 
-    ``first`` and ``second`` are (column, level coded 1).  Counts are summed by
-    design row first, so the fit runs over distinct rows.
+    ``first`` and ``second`` are (column, (base level, level coded 1)); another
+    level fails at run time.  Rows with a null in the design are left out:
+    ``n_used`` counts the others.  Counts are summed by design row first, so the
+    fit runs over distinct rows.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    (a, a1), (b, b1) = first, second
+    (a, (_, a1)), (b, (_, b1)) = first, second
     extra = [covariate] if covariate else []
-    design = counts.select(
-        (F.col(a).cast("string") == F.lit(a1)).cast("double").alias("_a"),
-        (F.col(b).cast("string") == F.lit(b1)).cast("double").alias("_b"),
-        *extra, F.col(hits).alias("_k"), F.col(trials).alias("_n"),
-    ).dropna()
-    cells = design.groupBy("_a", "_b", *extra).agg(F.sum("_k").alias("_k"), F.sum("_n").alias("_n"))
+    cells = stage(design_rows(counts, hits, trials, first, second, extra), "design")
     rows = cells.where(F.col("_n") > 0).select(
-        "_a", "_b", (F.col("_a") * F.col("_b")).alias("_ab"), *extra,
+        "_a", "_b", "_ab", *extra,
         (F.col("_k") / F.col("_n")).alias("label"), F.col("_n").cast("double").alias("w"),
     )
+    used = cells.agg(F.sum("_rows")).first()[0] or 0
     inputs = ["_a", "_b", "_ab", *extra]
     data = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
     model = GeneralizedLinearRegression(
@@ -120,17 +128,53 @@ def binomial_glm(
     names = ["(Intercept)", f"{a}{a1}", f"{b}{b1}", f"{a}{a1}:{b}{b1}", *extra]
     values = [model.intercept, *model.coefficients.toArray().tolist()]
     return counts.sparkSession.createDataFrame(
-        [(n, float(v)) for n, v in zip(names, values)], "term string, estimate double"
+        [(n, float(v), used) for n, v in zip(names, values)], "term string, estimate double, n_used long"
     )
 
 
+def design_rows(
+    counts: DataFrame, hits: str, trials: str, first: tuple[str, Sequence], second: tuple[str, Sequence],
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """Counts by row of the 2 × 2 design: ``_a, _b, _ab``, the covariates, ``_k, _n``
+    and the number of rows."""
+    (a, (a0, a1)), (b, (b0, b1)) = first, second
+    design = counts.select(
+        (of_levels(a, (a0, a1)) == F.lit(a1)).cast("double").alias("_a"),
+        (of_levels(b, (b0, b1)) == F.lit(b1)).cast("double").alias("_b"),
+        *extra, F.col(hits).alias("_k"), F.col(trials).alias("_n"),
+    ).dropna()
+    cells = design.groupBy("_a", "_b", *extra).agg(
+        F.sum("_k").alias("_k"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    return cells.withColumn("_ab", F.col("_a") * F.col("_b"))
+
+
+def score_sums(
+    counts: DataFrame, hits: str, trials: str, fit: DataFrame, first: tuple[str, Sequence],
+    second: tuple[str, Sequence], covariate: str | None = None,
+) -> DataFrame:
+    """Derivative of the log-likelihood by each term at the fit, per trial: all
+    are zero at the maximum."""
+    (a, (_, a1)), (b, (_, b1)) = first, second
+    extra = [covariate] if covariate else []
+    columns = {"(Intercept)": F.lit(1.0), f"{a}{a1}": F.col("_a"), f"{b}{b1}": F.col("_b"),
+               f"{a}{a1}:{b}{b1}": F.col("_ab"), **{c: F.col(c) for c in extra}}
+    weights = {r["term"]: r["estimate"] for r in fit.collect()}  # one row per term
+    rows = design_rows(counts, hits, trials, first, second, extra)
+    eta = sum((F.lit(weights[n]) * c for n, c in columns.items()), F.lit(0.0))
+    left = F.col("_k") - F.col("_n") / (1 + F.exp(-eta))
+    sums = rows.agg(*[(F.sum(left * c) / F.sum("_n")).alias(f"_s{i}") for i, c in enumerate(columns.values())])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("term"), F.col(f"_s{i}").alias("score")) for i, n in enumerate(columns)])))
+
+
 def poisson_one(u: Column) -> Column:
     """Poisson(1) by inversion of a uniform number."""
     total, branches = 0.0, F
-    for count in range(12):
+    for count in range(11):
         total += math.exp(-1) / math.factorial(count)
         branches = branches.when(u < total, count)
-    return branches.otherwise(12)
+    return branches.otherwise(11)
 
 
 def hashed_uniform(*parts: Column | str) -> Column:
@@ -174,8 +218,8 @@ def bootstrap_trend_draws(
     """Draws of the terms of ``y ~ first * second * x`` by resampling clusters.
 
     A crossed model with one covariate is a line per cell, so five sums per
-    cluster and cell carry everything the weighted fits need.  Replicates in
-    which a cell has no line are left out.
+    cluster and cell carry everything the weighted fits need.  A term is null
+    in replicates in which a cell it needs has no line.
     """
     a, b = first[0], second[0]
     rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
@@ -200,10 +244,7 @@ def bootstrap_trend_draws(
         "term", F.when(F.col("term") == "(Intercept)", x).otherwise(F.concat("term", F.lit(f":{x}")))
     )
     terms = levels.unionByName(trends)
-    whole = terms.groupBy("iter").agg(F.count("value").alias("_n")).where(F.col("_n") == 8)
-    return terms.join(whole.select("iter"), "iter", "left_semi").select(
-        F.lit(model).alias("model"), "term", F.col("iter").cast("long"), "value"
-    )
+    return terms.select(F.lit(model).alias("model"), "term", F.col("iter").cast("long"), "value")
 
 
 # Combinations of the terms of an intake model, by name
@@ -220,20 +261,15 @@ SEX_COMBINATIONS = {
 }
 
 
-def combinations_for(factor: str, names: dict[str, str]) -> dict[str, dict[str, int]]:
-    """The same combinations for another two-level factor, under new names."""
-    return {
-        names.get(combo, combo): {t.replace("sexf", factor): c for t, c in terms.items()}
-        for combo, terms in SEX_COMBINATIONS.items()
-    }
-
-
-# Names of the combinations in the model of cohort types
-COHORT_TYPE_COMBINATIONS = combinations_for("cohort_typemixed", {
-    "females_phase2": "grtypes_phase2",
-    "sex_phase2": "mixed_phase2",
-    "sex_night_phase2": "grtype_night_phase2",
-    "females_night": "mixed_nightph1",
-    "females_night_phase2": "mixed_nightph2",
-    "females_night_contrast": "mixed_night_contrast",
-})
+# The same for the model of cohort types
+COHORT_TYPE_COMBINATIONS = {
+    "grtypes_phase2": {"phase2": 1, "cohort_typemixed:phase2": 1},
+    "night_phase2": {"night": 1, "phase2:night": 1},
+    "mixed_phase2": {"cohort_typemixed": 1, "cohort_typemixed:phase2": 1},
+    "grtype_night_phase2": {"cohort_typemixed:phase2:night": -1, "cohort_typemixed:night": -1},
+    "mixed_nightph1": {"night": 1, "cohort_typemixed:night": 1},
+    "mixed_nightph2": {
+        "night": 1, "cohort_typemixed:night": 1, "phase2:night": 1, "cohort_typemixed:phase2:night": 1,
+    },
+    "mixed_night_contrast": {"phase2:night": 1, "cohort_typemixed:phase2:night": 1},
+}

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from nocturne.operators.joins import keyed_join
 from nocturne.operators.timeline import numbered
-from nocturne.session import stage
+from nocturne.session import stage, unstage
 
 # Rating, deviation, deviation cap and drift of a new player
 INIT_RATING, INIT_RD, MAX_RD, DRIFT = 2200.0, 300.0, 350.0, 15.0
@@ -40,7 +41,7 @@ def pair_results(
     steps = pairs.select(*group, period).distinct().withColumn(
         "step", F.row_number().over(W.partitionBy(*group).orderBy(period))
     )
-    pairs = pairs.join(steps, [*group, period])
+    pairs = keyed_join(pairs, steps, [*group, period], "inner", null_safe=True)
     sides = F.array(
         F.struct(F.col(winner).alias("player"), F.col(loser).alias("opponent"), F.col("points")),
         F.struct(F.col(loser).alias("player"), F.col(winner).alias("opponent"),
@@ -64,7 +65,7 @@ def glicko(
 ) -> DataFrame:
     """Ratings after the last period, one row per group and player.
 
-    A deviation grows to ``min(sqrt(rd² + drift²·t), max_rd)`` over the ``t``
+    A null group is a group like others.  A deviation grows to ``min(sqrt(rd² + drift²·t), max_rd)`` over the ``t``
     periods since the player's last game, and does not grow before the first.
     Only the number of periods comes to the driver; the state of each period is
     staged, so the plan stays short and a lost executor costs one period.
@@ -79,7 +80,8 @@ def glicko(
         *[F.lit(0).cast("long").alias(c) for c in ("games", "wins", "losses")],
     )
     for step in range(1, steps + 1):
-        state = stage(_period(results, state, group, step, drift, max_rd), "ratings")
+        last, state = state, stage(_period(results, state, group, step, drift, max_rd), "ratings")
+        unstage(last)
     return state
 
 
@@ -95,11 +97,9 @@ def _period(
         *group, F.col("player").alias("opponent"),
         F.col("rating").alias("opp_rating"), F.col("grown").alias("opp_rd"),
     )
-    met = (
-        results.where(F.col("step") == step)
-        .join(before.select(*key, "rating"), key)
-        .join(rivals, [*group, "opponent"])
-    )
+    met = keyed_join(
+        results.where(F.col("step") == step), before.select(*key, "rating"), key, "inner", null_safe=True)
+    met = keyed_join(met, rivals, [*group, "opponent"], "inner", null_safe=True)
     g = attenuation(F.col("opp_rd"))
     e = expected_score(F.col("rating"), F.col("opp_rating"), F.col("opp_rd"))
     sums = met.groupBy(*key).agg(
@@ -109,7 +109,7 @@ def _period(
     )
     precision = 1 / F.pow("grown", 2) + F.col("information")
     played = F.col("n").isNotNull()
-    return before.join(sums, key, "left").select(
+    return keyed_join(before, sums, key, null_safe=True).select(
         *key,
         F.when(played, F.col("rating") + Q / precision * F.col("surprise"))
         .otherwise(F.col("rating")).alias("rating"),
@@ -138,6 +138,6 @@ def recent_games(games: DataFrame, k: int = 2) -> DataFrame:
 def compare_rankings(overall: DataFrame, recent: DataFrame) -> DataFrame:
     """Rank over all test nights (ratings) beside the rank over the last ones."""
     names = {"glicko_rating": "rating_recent", "glicko_rank": "rank_recent"}
-    return ranking(overall).withColumnsRenamed(
-        {"glicko_rating": "rating_all", "glicko_rank": "rank_all"}
-    ).join(recent.withColumnsRenamed(names), ["cohort", "id_label"], "left")
+    whole = ranking(overall).withColumnsRenamed(
+        {"glicko_rating": "rating_all", "glicko_rank": "rank_all"})
+    return keyed_join(whole, recent.withColumnsRenamed(names), ["cohort", "id_label"], null_safe=True)

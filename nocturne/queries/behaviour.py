@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -389,12 +391,11 @@ def mean_scores(t: Tables):
 
 @query("mean_scores_arcsine", twin("card", """
 SELECT sex, cohort, round(avg(asin(sqrt(chase_score))), 9) AS chase_score,
-  round(avg(asin(sqrt(least(chased_score, 1)))), 9) AS chased_score
+  round(avg(asin(sqrt(CASE WHEN chased_score <= 1 THEN chased_score END))), 9) AS chased_score
 FROM card WHERE cond = 'test' GROUP BY ALL"""))
 def mean_scores_arcsine(t: Tables):
-    # received counts may exceed an individual's own detections in a sparse cell
-    card = t.card.withColumn("chased_score", F.least("chased_score", F.lit(1.0)))
-    return rounded(S.mean_scores(card, ["sex", "cohort"], True), "chase_score", "chased_score")
+    # a received score above 1 (more pursuits than detections) is no proportion: null
+    return rounded(S.mean_scores(t.card, ["sex", "cohort"], True), "chase_score", "chased_score")
 
 
 @query("score_balance", twin("card", """
@@ -557,21 +558,22 @@ def ranking(t: Tables):
     return rounded(t.ranking, "glicko_rating", digits=6)
 
 
-@query("compare_rankings", rated_twin("games", TESTS, 30, """
-SELECT cohort, id_label, round(glicko_rating, 6) AS rating_all, glicko_rank AS rank_all FROM ranking"""))
-def compare_rankings(t: Tables):
-    both = ratings.compare_rankings(t.ratings_all, t.ranking)
-    return rounded(both, "rating_all", digits=6).select(
-        "cohort", "id_label", "rating_all", "rank_all")
+def named_apart(ctes: str, tail: str) -> str:
+    """The rating CTEs under other names, to have two ratings in one query."""
+    names = [part.split(" AS ", 1)[0].strip() for part in re.findall(r"(?:^|,)\s*(\w+ AS (?:MATERIALIZED )?\()", ctes)]
+    return re.sub(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b", rf"\1{tail}", ctes)
 
 
-@query("overall_against_recent_rank", rated_twin("games", RECENT, 2, """
-SELECT cohort, id_label, glicko_rank AS rank_recent, round(glicko_rating, 6) AS rating_recent
-FROM ranking"""))
-def overall_against_recent(t: Tables):
+@query("compare_rankings", twin("games", "").rstrip() + "," + glicko_ctes(TESTS, 30) + ","
+       + named_apart(glicko_ctes(RECENT, 2), "_late") + """
+SELECT a.cohort, a.id_label, round(a.glicko_rating, 6) AS rating_all, a.glicko_rank AS rank_all,
+  round(b.glicko_rating, 6) AS rating_recent, b.glicko_rank AS rank_recent
+FROM ranking a LEFT JOIN ranking_late b ON a.cohort IS NOT DISTINCT FROM b.cohort AND a.id_label = b.id_label""")
+def compare_rankings(t: Tables):
+    """Both ratings of each player, side by side."""
     both = ratings.compare_rankings(t.ratings_all, t.ranking)
-    return rounded(both.where(F.col("rank_recent").isNotNull()), "rating_recent", digits=6).select(
-        "cohort", "id_label", "rank_recent", "rating_recent")
+    return rounded(both, "rating_all", "rating_recent", digits=6).select(
+        "cohort", "id_label", "rating_all", "rank_all", "rating_recent", "rank_recent")
 
 
 @query("scorecard", rated_twin("card", RECENT, 2, """
@@ -595,6 +597,20 @@ def pair_shares(t: Tables):
     return rounded(shares, "glicko_rating", "rating_counterpart", "rating_gap", digits=6)
 
 
+@query("pair_shares_of_dominant", rated_twin("statuses", RECENT, 2, """
+SELECT p.cohort, p.id_label, p.counterpart, n, round(share, 9) AS share, status,
+  round(a.glicko_rating, 6) AS glicko_rating, round(b.glicko_rating, 6) AS rating_counterpart,
+  round(a.glicko_rating - b.glicko_rating, 6) AS rating_gap
+FROM (SELECT *, n / sum(n) OVER (PARTITION BY cohort) AS share FROM (
+  SELECT cohort, id_label, counterpart, count(*) AS n FROM games WHERE group_night > 0 GROUP BY ALL)) p
+LEFT JOIN ranking a ON p.cohort = a.cohort AND p.id_label = a.id_label
+LEFT JOIN ranking b ON p.cohort = b.cohort AND p.counterpart = b.id_label
+JOIN statuses s ON p.cohort = s.cohort AND p.id_label = s.id_label WHERE status = 'Dominant males'"""))
+def pair_shares_of_dominant(t: Tables):
+    shares = rounded(S.pair_shares(t.games, t.ranking, t.statuses, "Dominant males"), "share")
+    return rounded(shares, "glicko_rating", "rating_counterpart", "rating_gap", digits=6)
+
+
 @query("rank_intake", rated_twin("statuses", RECENT, 2, """
 SELECT r.cohort, r.id_label, r.phase, r.sex, s.glicko_rank, round(vol_hr, 9) AS vol_hr FROM (
   SELECT cohort, phase, sex, id_label, sum(vol_consumed) / nullif(sum(phase_dur), 0) AS vol_hr

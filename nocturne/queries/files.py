@@ -130,17 +130,32 @@ def manifest_file(t: Tables):
 
 
 @query("event_table_by_night", twin("event_table", """
-SELECT night, count(*) AS n, round(sum(vol), 6) AS vol FROM event_table
-WHERE night % 7 = 0 GROUP BY night"""))
+SELECT night, count(*) AS n, round(sum(vol), 6) AS vol FROM event_table GROUP BY night"""))
 def event_table_by_night(t: Tables):
-    """Write the event table by night and read some nights back."""
+    """Write the event table by night and read all of it back."""
     path = fresh(t, "events")
     logs.write_events(t.sealed_events.table(), path)
-    rows = logs.read_events(t.spark, path).where(F.col("night") % 7 == 0)
-    return rows.groupBy("night").agg(
+    return logs.read_events(t.spark, path).groupBy("night").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("vol"), 6).alias("vol"))
 
 
+@query("event_table_as_text", twin("event_table", """
+SELECT night, event_seq, epoch_us(ts) AS ts_us, id_label, event_duration, phase, vol, choice
+FROM event_table"""))
+def event_table_as_text(t: Tables):
+    """The event table as text with times, written and read back typed."""
+    from nocturne.queries.behaviour import with_micros
+
+    path = fresh(t, "text")
+    rows = t.sealed_events.table().select(
+        "night", "event_seq", "ts", "id_label", "event_duration", "phase", "vol", "choice")
+    logs.write_table(rows, path)
+    back = logs.read_table(
+        t.spark, path, "night int, event_seq long, ts timestamp_ntz, id_label string, "
+        "event_duration double, phase int, vol double, choice boolean")
+    return with_micros(back)
+
+
 @query("logs_to_event_table", twin("event_table", """
 SELECT night, id_label, unit_label, phase, cohort, count(*) AS n FROM event_table GROUP BY ALL"""))
 def logs_to_event_table(t: Tables):
@@ -151,6 +166,6 @@ def logs_to_event_table(t: Tables):
     raw = logs.read_raw_logs(t.spark, root)
     unmarked = raw.withColumn("DateTime", F.replace("DateTime", F.lit("#"), F.lit("")))
     log = logs.as_log(unmarked, manifest_of(t, root))
-    events = build_event_table(log, t.conditions).withColumn("phase", F.least("phase", F.lit(2)))
+    events = build_event_table(log, t.conditions)
     return events.groupBy("night", "id_label", "unit_label", "phase", "cohort").agg(
         F.count(F.lit(1)).alias("n"))

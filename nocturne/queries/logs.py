@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from nocturne.functions.columns import night_hour, seconds_between
 from nocturne.operators import runs
 from nocturne.operators.pursuit import detect_pursuits
-from nocturne.operators.timeline import seal
 from nocturne.queries.registry import Tables, query
 from nocturne.queries.sql import twin
 
@@ -69,8 +68,7 @@ def visit_columns(t: Tables):
 SELECT night, id_label, epoch_us(low) AS low_us, epoch_us(high) AS high_us FROM windows
 WHERE low IS NOT NULL"""))
 def exclusion_rules(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.lookup)
-    rules = runs.exclusion_rules(labelled, t.conditions)
+    rules = t.rules
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
     def micros(c):
@@ -84,11 +82,20 @@ def exclusion_rules(t: Tables):
 @query("drop_excluded", twin("kept", """
 SELECT night, event_seq, id_label, cohort, sex, cond FROM kept"""))
 def drop_excluded(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.lookup)
-    return runs.drop_excluded(labelled, t.conditions).select(
+    return runs.apply_rules(t.labelled.df, t.rules).select(
         "night", "event_seq", "id_label", "cohort", "sex", "cond")
 
 
+@query("drop_excluded_without_times", twin("trimmed", """
+SELECT t.night, event_seq, c.id_label FROM trimmed t LEFT JOIN conditions c USING (night, tag)
+WHERE coalesce(c.discard, '0') <> '1'"""))
+def drop_excluded_without_times(t: Tables):
+    """Conditions whose rules name no times: whole individuals go, no anchor is looked for."""
+    whole = t.conditions.withColumn(
+        "discard", F.when(F.col("discard").rlike("[<>]"), "0").otherwise(F.col("discard")))
+    return runs.drop_excluded(t.labelled.df, whole).select("night", "event_seq", "id_label")
+
+
 @query("hours_of_night", twin("log", """
 SELECT event_seq, CAST(hour(ts) AS INTEGER) AS hour, CAST((hour(ts) + 9) % 24 AS INTEGER) AS night_hour
 FROM log WHERE hour(ts) > 15 OR hour(ts) < 4"""))
@@ -102,9 +109,7 @@ SELECT event_seq, last_value(cohort IGNORE NULLS) OVER w AS cohort,
   last_value(group_night IGNORE NULLS) OVER w AS group_night FROM kept
 WINDOW w AS (ORDER BY ts, event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def fill_global(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.lookup)
-    kept = runs.drop_excluded(labelled, t.conditions)
-    return runs.fill_global(kept, ["cohort", "group_night"]).df.select(
+    return runs.fill_across(t.kept, ["cohort", "group_night"]).df.select(
         "event_seq", "cohort", "group_night")
 
 
@@ -112,10 +117,7 @@ def fill_global(t: Tables):
 SELECT event_seq, last_value(cohort IGNORE NULLS) OVER (PARTITION BY night ORDER BY ts, event_seq
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cohort FROM kept"""))
 def fill_within_night(t: Tables):
-    labelled = runs.repair_ids(t.trimmed, t.lookup)
-    kept = runs.drop_excluded(labelled, t.conditions)
-    ordered = seal(kept, ["night"], ["ts", "event_seq"])
-    return ordered.running(last={"cohort": F.col("cohort")}).df.select("event_seq", "cohort")
+    return t.kept.running(last={"cohort": F.col("cohort")}).df.select("event_seq", "cohort")
 
 
 @query("event_table", twin("event_table", """
@@ -158,6 +160,12 @@ def pursuits_strict(t: Tables):
     return _found(t, place="patch")
 
 
+@query("pursuits_same_place", pursuit_twin(["LS", "Co"], "loc", 200))
+def pursuits_same_place(t: Tables):
+    """All three rows at one place, the last one brief."""
+    return _found(t, place="loc", max_duration=200)
+
+
 @query("pursuits_any_place", pursuit_twin(["LS", "Co"], None, 2000))
 def pursuits_any_place(t: Tables):
     return _found(t, place=None, max_duration=2000)

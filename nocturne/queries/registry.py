@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from nocturne.operators.joins import keyed_join
 from nocturne.operators.pursuit import detect_pursuits, games
-from nocturne.operators.runs import build_event_table, id_lookup, trim_run
+from nocturne.operators.runs import (
+    apply_rules, event_timeline, exclusion_rules, id_lookup, repair_ids, trim_run,
+)
 from nocturne.operators.timeline import Timeline, numbered, seal
 from nocturne.plans import effects, ratings, summaries
 from nocturne.session import stage
@@ -33,7 +35,10 @@ def query(name: str, sql: str | None = None):
 
 
 class Tables:
-    """Tables derived from one data folder, each built once per session."""
+    """Tables derived from one data folder, each built once per session.
+
+    The given tables are taken not to change meanwhile; after a change call
+    `forget`."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -58,16 +63,32 @@ class Tables:
     def lookup(self) -> DataFrame:
         return stage(id_lookup(self.conditions), "lookup")
 
+    @cached_property
+    def trimmed_log(self) -> Timeline:
+        return trim_run(self.sealed_log)
+
     @cached_property
     def trimmed(self) -> DataFrame:
-        return trim_run(self.sealed_log).table()
+        return self.trimmed_log.table()
+
+    @cached_property
+    def labelled(self) -> Timeline:
+        """The trimmed log with the individual behind each row."""
+        return self.trimmed_log.with_df(repair_ids(self.trimmed_log.df, self.lookup))
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return stage(exclusion_rules(self.labelled.df, self.conditions), "rules")
+
+    @cached_property
+    def kept(self) -> Timeline:
+        """Without what the rules exclude; still in order, read by the fills."""
+        return self.labelled.with_df(apply_rules(self.labelled.df, self.rules)).staged("kept")
 
     @cached_property
     def sealed_events(self) -> Timeline:
-        """The event table, two phases a night, in order by night."""
-        events = build_event_table(self.log, self.conditions)
-        events = events.withColumn("phase", F.least("phase", F.lit(2)))
-        return seal(events, ["night"], ["ts", "event_seq"], name="events")
+        """The event table in order."""
+        return event_timeline(self.sealed_log, self.conditions, self.trimmed_log)
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -154,6 +175,12 @@ class Tables:
         value = F.col("l_extendedprice") / 1000 - 50
         return placed.select("model", "term", "iter", value.alias("value"))
 
+    @cached_property
+    def sorted_draws(self) -> Timeline:
+        from nocturne.plans.draws import sorted_draws
+
+        return sorted_draws(self.draws)
+
     @cached_property
     def bootstrap(self) -> DataFrame:
         from nocturne.queries.stats import PHASE, REPLICATES, SEX
@@ -171,3 +198,8 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     if key not in _tables:
         _tables[key] = Tables(spark, sf_dir)
     return _tables[key]
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Build the folder's tables anew when they are next needed."""
+    _tables.pop((spark.sparkContext.applicationId, sf_dir), None)

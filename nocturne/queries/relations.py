@@ -211,10 +211,9 @@ def rules_without_times(t: Tables):
 
 @query("first_known_duration", twin("log", """
 SELECT event_seq, coalesce(event_duration, sense_duration) AS duration, coalesce(tag, 'none') AS tag
-FROM log WHERE NOT (event_duration IS NOT NULL AND sense_duration IS NULL)"""))
+FROM log"""))
 def first_known(t: Tables):
-    odd = F.col("event_duration").isNotNull() & F.col("sense_duration").isNull()
-    return t.log.where(~odd).select(
+    return t.log.select(
         "event_seq", F.coalesce("event_duration", "sense_duration").alias("duration"),
         F.coalesce("tag", F.lit("none")).alias("tag"))
 
@@ -249,19 +248,16 @@ def numeric_functions(t: Tables):
 
 
 @query("serial_times", twin("log", """
-SELECT event_seq, CAST(round(epoch_us(ts) / 1e6) AS BIGINT) AS near_second FROM log
-WHERE abs(epoch_us(ts) % 1000000 - 500000) > 2000"""))
+SELECT event_seq, (epoch_us(ts) + 500) // 1000 AS at_ms FROM log"""))
 def serial_times(t: Tables):
-    """Times to serial days and back, compared at the second."""
+    """Times to serial days and back, compared at the millisecond."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
     def seconds(c):
         return (c - epoch).cast("interval second").cast("decimal(18,6)")
 
-    part = (seconds(F.col("ts")) * 1000000).cast("long") % 1000000
     back = serial_to_timestamp(timestamp_to_serial("ts"))
-    return t.log.where(F.abs(part - 500000) > 2000).select(
-        "event_seq", F.round(seconds(back)).cast("long").alias("near_second"))
+    return t.log.select("event_seq", (seconds(back) * 1000).cast("long").alias("at_ms"))
 
 
 @query("clock_times_of_night", twin("log", """

@@ -6,10 +6,15 @@ from __future__ import annotations
 CTES: dict[str, str] = {}
 
 CTES["base"] = """
-SELECT CAST(CAST(ts - INTERVAL 12 HOUR AS DATE) - DATE '1970-01-01' AS INTEGER) AS night,
+SELECT *, event_type = 'signup' AND hr BETWEEN 20 AND 23 AND k < 40 AS can_switch,
+  (event_id // 8) % 10 + 1 AS place
+FROM (SELECT CAST(CAST(ts - INTERVAL 12 HOUR AS DATE) - DATE '1970-01-01' AS INTEGER) AS night,
        event_id, ts, user_id, event_type, value, hour(ts) AS hr,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k
-FROM events"""
+FROM events)"""
+
+CTES["switches"] = """
+SELECT night, arg_min(event_id, (ts, event_id)) AS switch_id FROM base WHERE can_switch GROUP BY night"""
 
 CTES["log"] = """
 SELECT night, event_id AS event_seq, ts,
@@ -18,19 +23,19 @@ SELECT night, event_id AS event_seq, ts,
   CASE WHEN event_type IN ('purchase','view') AND k % 7 = 3 THEN ''
        WHEN event_type IN ('purchase','view') THEN 'Ind' || user_id
        WHEN k % 2 = 0 THEN 'Test' ELSE '' END AS raw_label,
-  CASE event_type WHEN 'purchase' THEN 'CondMod' || (k % 10 + 1)
-       WHEN 'click' THEN 'LS' || (k % 10 + 1)
-       WHEN 'view' THEN 'Reader' || (k % 10 + 1) ELSE 'exp' END AS unit_label,
-  CASE WHEN k % 11 <> 0 THEN value * 20 END AS event_duration,
-  CASE WHEN k % 22 <> 0 THEN value * 20 END AS sense_duration,
+  CASE event_type WHEN 'purchase' THEN 'CondMod' || place
+       WHEN 'click' THEN 'LS' || place
+       WHEN 'view' THEN 'Reader' || place ELSE 'exp' END AS unit_label,
+  CASE WHEN k % 11 <> 0 THEN value * 10 END AS event_duration,
+  CASE WHEN k % 22 <> 0 THEN value * 10 END AS sense_duration,
   CASE WHEN event_type = 'purchase' AND k % 4 = 0 THEN 0e0
        WHEN event_type = 'purchase' THEN value END AS reward_steps,
   CASE WHEN event_type = 'signup' AND hr = 12 AND k < 50 THEN 'start'
        WHEN event_type = 'signup' AND hr = 11 AND k < 50 THEN 'end'
-       WHEN event_type = 'signup' AND hr BETWEEN 20 AND 23 AND k < 40 THEN 'switch'
+       WHEN event_id = switch_id THEN 'switch'
        WHEN event_type = 'error' AND k < 50 THEN 'start pump'
        WHEN event_type = 'error' THEN 'end pump' ELSE '' END AS system_msg
-FROM base"""
+FROM base LEFT JOIN switches USING (night)"""
 
 CTES["conditions"] = """
 SELECT night, night - (SELECT min(night) FROM base) - 1 AS group_night,
@@ -47,7 +52,7 @@ CTES["placed"] = """
 SELECT *, row_number() OVER (PARTITION BY night ORDER BY ts, event_seq) AS pos FROM log"""
 
 CTES["begins"] = """
-SELECT night, CASE WHEN s <= 2000 THEN s ELSE r END AS f FROM (
+SELECT night, coalesce(s, r) AS f FROM (
   SELECT night, max(CASE WHEN system_msg = 'start' THEN pos END) + 1 AS s,
     min(CASE WHEN raw_label <> 'Test' AND reward_steps > 0 THEN pos END) AS r
   FROM placed GROUP BY night)"""
@@ -116,7 +121,7 @@ WHERE NOT coalesce(w.discard = '1' OR coalesce(ts BETWEEN low AND high, FALSE),
 
 CTES["event_table"] = """
 SELECT night, event_seq, ts, id_label, tag, unit_label, event_duration, system_msg, pumping,
-  least(phase, 2) AS phase, vol, rewarded, loc,
+  phase, vol, rewarded, loc,
   CASE WHEN loc < 6 THEN 1 WHEN loc > 5 THEN 2 END AS patch,
   loc IS NOT NULL AND unit_label LIKE '%Cond%' AS choice,
   last_value(group_night IGNORE NULLS) OVER w AS group_night, weight, sex,

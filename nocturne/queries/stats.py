@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nocturne.functions.columns import interval_text, p_label, significance
-from nocturne.plans import draws as D, effects as E, summaries as S, tests as H
+from nocturne.plans import draws as D, effects as E, summaries as S, comparisons as H
 from nocturne.queries.behaviour import rounded
 from nocturne.queries.registry import Tables, query
 from nocturne.queries.sql import CTES, twin
@@ -59,11 +59,73 @@ SELECT a.sex AS group1, b.sex AS group2, a.n AS n1, b.n AS n2,
     (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 9) AS df
 FROM moments a JOIN moments b ON a.sex < b.sex"""))
 def welch_sex_scores(t: Tables):
-    card = t.card.withColumn("chased_score", F.least("chased_score", F.lit(1.0)))
-    means = S.mean_scores(card, ["sex", "cohort", "id_label"], True)
+    means = S.mean_scores(t.card, ["sex", "cohort", "id_label"], True)
     return rounded(H.welch(means, "chase_score", "sex"), "statistic", "df")
 
 
+SEX_TESTS = {  # name: keys of the means, score
+    "begun by individual": (["sex", "cohort", "id_label"], "chase_score"),
+    "received by individual": (["sex", "cohort", "id_label"], "chased_score"),
+    "begun by group": (["sex", "cohort"], "chase_score"),
+    "received by group": (["sex", "cohort"], "chased_score"),
+}
+
+
+def t_tail(t: str, df: str) -> str:
+    """Two-sided tail of Student's t in SQL: Simpson's rule over the angle
+    whose tangent is t / sqrt(df), where the density is a power of the cosine."""
+    start, steps = f"atan(abs({t}) / sqrt({df}))", 4000
+    return f"""(SELECT 2 * sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * pow(greatest(cos({start} + (pi() / 2 - {start}) * i / {steps}), 0), {df} - 1))
+  * (pi() / 2 - {start}) / {steps} / 3 / exp(lgamma({df} / 2) + lgamma(0.5) - lgamma(({df} + 1) / 2))
+  FROM range(0, {steps + 1}) r(i))"""
+
+
+def adjusted_twin(tests: str, keys: str, shown: str, having: str = "") -> str:
+    """Tests of a CTE ``tests`` with p, Holm over all of them, stars and labels."""
+    return f"""{tests},
+tested AS (SELECT *, CASE WHEN statistic IS NOT NULL AND df IS NOT NULL THEN {t_tail('statistic', 'df')} END AS p
+  FROM tests),
+holm AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1, max((m - i + 1) * p) OVER (
+    ORDER BY i ROWS UNBOUNDED PRECEDING)) END AS p_adj
+  FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, {keys}) AS i, count(p) OVER () AS m FROM tested))
+SELECT {shown}, round(statistic, 9) AS statistic, round(df, 9) AS df, round(p, 6) AS p, round(p_adj, 6) AS p_adj,
+  CASE WHEN p_adj <= 0.0001 THEN '****' WHEN p_adj <= 0.001 THEN '***' WHEN p_adj <= 0.01 THEN '**'
+    WHEN p_adj <= 0.05 THEN '*' WHEN p_adj IS NOT NULL THEN 'ns' END AS stars,
+  CASE WHEN p_adj < 0.001 THEN '<0.001' WHEN p_adj IS NOT NULL THEN format('{{:.3f}}', p_adj) END AS label
+FROM holm {having}"""
+
+
+WELCH = """SELECT {shown} a.{level} AS group1, b.{level} AS group2, a.n AS n1, b.n AS n2,
+    CASE WHEN a.n > 1 AND b.n > 1 THEN (a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0) END AS statistic,
+    CASE WHEN a.n > 1 AND b.n > 1 THEN pow(a.v / a.n + b.v / b.n, 2) /
+      nullif(pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1), 0) END AS df
+  FROM moments a JOIN moments b ON {same} AND a.{level} < b.{level}"""
+
+
+def shown_tests(table):
+    return rounded(rounded(table, "statistic", "df"), "p", "p_adj", digits=6)
+
+
+_SEX_MEANS = " UNION ALL ".join(
+    f"""SELECT '{name}' AS test, sex, avg(CASE WHEN {score} BETWEEN 0 AND 1 THEN asin(sqrt({score})) END) AS s
+  FROM card WHERE cond = 'test' GROUP BY {', '.join(keys)}""" for name, (keys, score) in SEX_TESTS.items())
+
+
+@query("sex_tests_adjusted", twin("card", adjusted_twin(f"""
+, means AS ({_SEX_MEANS}),
+moments AS (SELECT test, sex, count(*) AS n, avg(s) AS m, var_samp(s) AS v FROM means
+  WHERE s IS NOT NULL AND sex IS NOT NULL GROUP BY test, sex),
+tests AS ({WELCH.format(shown='a.test,', level='sex', same='a.test = b.test')})""",
+    "test, group1, group2", "test, group1, group2, n1, n2")))
+def sex_tests_adjusted(t: Tables):
+    """Scores of the sexes: begun and received, means of individuals and of groups."""
+    tests = [H.welch(S.mean_scores(t.card, keys, True), score, "sex").withColumn("test", F.lit(name))
+             for name, (keys, score) in SEX_TESTS.items()]
+    table = D.stack(tests)
+    return shown_tests(H.marked(H.holm(H.with_p(table), "p", ["test", "group1", "group2"])))
+
+
 @query("paired_phases", twin("contrast", """
 SELECT part, status, group1, group2, n, round(m / nullif(s / sqrt(n), 0), 9) AS statistic,
   CASE WHEN n > 1 THEN CAST(n - 1 AS DOUBLE) END AS df
@@ -129,18 +191,53 @@ def significance_labels(t: Tables):
         "l_suppkey", "p", significance("p").alias("stars"), p_label("p").alias("label"))
 
 
-@query("status_tests_adjusted")
+def moments_of(source: str, value: str, level: str, keys: str) -> str:
+    return f"""SELECT {keys}, {level}, count(*) AS n, avg({value}) AS m, var_samp({value}) AS v FROM {source}
+  WHERE {value} IS NOT NULL AND {level} IS NOT NULL GROUP BY ALL"""
+
+
+@query("status_tests_adjusted", twin("contrast", adjusted_twin(f"""
+, moments AS ({moments_of('contrast', 'vol_hr', 'status', 'part, phase')}),
+tests AS ({WELCH.format(shown='a.part, a.phase,', level='status', same='a.part = b.part AND a.phase = b.phase')})""",
+    "part, phase, group1, group2", "part, phase, group1, group2, n1, n2")))
 def status_tests_adjusted(t: Tables):
     rates = S.period_contrast(t.visits, t.statuses)
     tested = H.with_p(H.welch(rates, "vol_hr", "status", ["part", "phase"]))
-    return H.marked(H.holm(tested, "p", ["part", "phase", "group1", "group2"]))
+    return shown_tests(H.marked(H.holm(tested, "p", ["part", "phase", "group1", "group2"])))
+
+
+CTES["early"] = """
+SELECT r.*, status FROM (
+  SELECT cohort, id_label, phase, CASE group_night WHEN 1 THEN 'First night' ELSE 'Second night' END
+    AS part, sex, sum(vol_consumed) / nullif(sum(phase_dur), 0) AS vol_hr
+  FROM visits WHERE group_night IN (1, 2) GROUP BY ALL) r LEFT JOIN statuses USING (id_label, cohort)"""
+
+
+@query("early_tests_adjusted", twin("early", adjusted_twin(f"""
+, moments AS ({moments_of('early', 'vol_hr', 'part', 'status, phase')}),
+tests AS ({WELCH.format(shown='a.status, a.phase,', level='part',
+                        same='a.status IS NOT DISTINCT FROM b.status AND a.phase = b.phase')})""",
+    "status NULLS FIRST, phase, group1, group2", "status, phase, group1, group2, n1, n2", "WHERE p_adj < 0.9")))
+def early_tests_adjusted(t: Tables):
+    """First against second night within status and phase; tests below a critical p."""
+    rates = S.early_contrast(t.visits, t.statuses)
+    tested = H.with_p(H.welch(rates, "vol_hr", "part", ["status", "phase"]))
+    return shown_tests(H.marked(H.holm(tested, "p", ["status", "phase", "group1", "group2"]), p_crit=0.9))
 
 
-@query("paired_tests_adjusted")
+@query("paired_tests_adjusted", twin("contrast", adjusted_twin("""
+, tests AS (SELECT part, status, group1, group2, n, m / nullif(s / sqrt(n), 0) AS statistic,
+  CASE WHEN n > 1 THEN CAST(n - 1 AS DOUBLE) END AS df
+FROM (SELECT a.part, a.status, a.phase AS group1, b.phase AS group2, count(*) AS n,
+    avg(a.vol_hr - b.vol_hr) AS m, stddev_samp(a.vol_hr - b.vol_hr) AS s
+  FROM contrast a JOIN contrast b ON a.part = b.part AND a.status IS NOT DISTINCT FROM b.status
+    AND a.id_label = b.id_label AND a.cohort = b.cohort AND a.phase < b.phase
+  WHERE a.vol_hr IS NOT NULL AND b.vol_hr IS NOT NULL GROUP BY ALL))""",
+    "part, status NULLS FIRST, group1, group2", "part, status, group1, group2, n")))
 def paired_tests_adjusted(t: Tables):
     rates = S.period_contrast(t.visits, t.statuses)
     table = H.paired(rates, "vol_hr", "phase", ["id_label", "cohort"], ["part", "status"])
-    return H.marked(H.holm(H.with_p(table), "p", ["part", "status", "group1", "group2"]))
+    return shown_tests(H.marked(H.holm(H.with_p(table), "p", ["part", "status", "group1", "group2"])))
 
 
 # --- effects -----------------------------------------------------------------
@@ -235,9 +332,31 @@ def slope_contrasts(t: Tables):
     return rounded(E.pairwise(trends(t), "slope", "sex", ["phase"]), "estimate")
 
 
-@query("binomial_glm_with_weight")
+@query("binomial_glm_saturated", twin("cells", """
+, wide AS (SELECT max(CASE WHEN sex = 'm' AND phase = 1 THEN log_odds END) AS m1,
+  max(CASE WHEN sex = 'f' AND phase = 1 THEN log_odds END) AS f1,
+  max(CASE WHEN sex = 'm' AND phase = 2 THEN log_odds END) AS m2,
+  max(CASE WHEN sex = 'f' AND phase = 2 THEN log_odds END) AS f2,
+  (SELECT count(*) FROM card WHERE sex IS NOT NULL AND phase IS NOT NULL) AS n_used FROM cells)
+SELECT '(Intercept)' AS term, round(m1, 5) AS estimate, n_used FROM wide
+UNION ALL SELECT 'sexf', round(f1 - m1, 5), n_used FROM wide
+UNION ALL SELECT 'phase2', round(m2 - m1, 5), n_used FROM wide
+UNION ALL SELECT 'sexf:phase2', round((f2 - m2) - (f1 - m1), 5), n_used FROM wide"""))
+def binomial_glm_saturated(t: Tables):
+    """Without a covariate the fit is that of the cells."""
+    fit = E.binomial_glm(t.card, "n_chases", "n_detections", SEX, PHASE)
+    return rounded(fit, "estimate", digits=5)
+
+
+@query("binomial_glm_with_weight", twin("card", """
+SELECT unnest(['(Intercept)', 'sexf', 'phase2', 'sexf:phase2', 'weight']) AS term, 0e0 AS score,
+  count(*) AS n_used FROM card WHERE weight IS NOT NULL AND sex IS NOT NULL AND phase IS NOT NULL"""))
 def binomial_glm(t: Tables):
-    return E.binomial_glm(t.card, "n_chases", "n_detections", ("sex", "f"), ("phase", "2"), "weight")
+    """The weighted fit by what makes it one: no term's score is left (six decimals)."""
+    fit = E.binomial_glm(t.card, "n_chases", "n_detections", SEX, PHASE, "weight")
+    left = E.score_sums(t.card, "n_chases", "n_detections", fit, SEX, PHASE, "weight")
+    return left.join(fit.select("term", "n_used"), "term").select(
+        "term", (F.round("score", 6) + 0.0).alias("score"), "n_used")
 
 
 REPLICATES = 100
@@ -306,8 +425,7 @@ fitted AS (SELECT *, (sy - slope * sx) / nullif(s0, 0) AS intercept FROM (
   FROM weighted)),
 lines_wide AS (SELECT iter, {picks} FROM fitted GROUP BY iter),
 trend_terms AS ({union}),
-trend_draws AS (SELECT '{model}' AS model, term, iter, value FROM trend_terms WHERE iter IN (
-  SELECT iter FROM trend_terms GROUP BY iter HAVING count(value) = 8))"""
+trend_draws AS (SELECT '{model}' AS model, term, iter, value FROM trend_terms)"""
 
 
 # --- draws -------------------------------------------------------------------
@@ -324,13 +442,13 @@ def draw_ctes(source: str = "draws") -> dict[str, str]:
     return {
         "sorted": f"""
 SELECT *, row_number() OVER (PARTITION BY model, term ORDER BY value, iter) AS pos,
-  count(*) OVER (PARTITION BY model, term) AS n FROM {source}""",
+  count(*) OVER (PARTITION BY model, term) AS n FROM {source} WHERE value IS NOT NULL""",
         "hpd": """
 SELECT model, term, low AS conf_low, high AS conf_high FROM (
   SELECT a.model, a.term, a.value AS low, b.value AS high, row_number() OVER (
     PARTITION BY a.model, a.term ORDER BY b.value - a.value, a.pos) AS rn
   FROM sorted a JOIN sorted b ON a.model = b.model AND a.term = b.term
-    AND b.pos = a.pos + greatest(1, least(a.n - 1, CAST(round_even(a.n * 0.95e0, 0) AS BIGINT)))) WHERE rn = 1""",
+    AND b.pos = a.pos + least(a.n - 1, greatest(1, CAST(round_even(a.n * 0.95e0, 0) AS BIGINT)))) WHERE rn = 1""",
         "pm": f"""
 SELECT model, term, 2 * greatest(0.5 / count(*), least(avg(CASE WHEN value > 0 THEN 1e0 ELSE 0e0 END),
   1 - avg(CASE WHEN value > 0 THEN 1e0 ELSE 0e0 END))) AS pMCMC FROM {source} GROUP BY model, term""",
@@ -393,7 +511,7 @@ def posterior_means(t: Tables):
 @query("highest_density_intervals", draws_twin("""
 SELECT model, term, round(conf_low, 9) AS conf_low, round(conf_high, 9) AS conf_high FROM hpd"""))
 def hpd(t: Tables):
-    return rounded(D.hpd(D.sorted_draws(t.draws)), "conf_low", "conf_high")
+    return rounded(D.hpd(t.sorted_draws), "conf_low", "conf_high")
 
 
 @query("p_mcmc", draws_twin("SELECT model, term, round(pMCMC, 12) AS pMCMC FROM pm"))
@@ -403,7 +521,7 @@ def p_mcmc(t: Tables):
 
 @query("posterior_modes", draws_twin("SELECT model, term, round(mode, 6) AS mode FROM modes"))
 def posterior_modes(t: Tables):
-    return rounded(D.posterior_mode(D.sorted_draws(t.draws)), "mode", digits=6)
+    return rounded(D.posterior_mode(t.sorted_draws), "mode", digits=6)
 
 
 COMBINATIONS = {
@@ -416,8 +534,10 @@ _COMBOS = """,
 coefs(combo, t, coef) AS (VALUES ('open_gap', 'AO', 1e0), ('open_gap', 'RO', -1e0),
   ('open_sum', 'AO', 1e0), ('open_sum', 'NO', 1e0), ('open_sum', 'RO', 1e0),
   ('final_minus_open', 'AF', 1e0), ('final_minus_open', 'AO', -1e0)),
-combined AS (SELECT model, combo AS term, iter, sum(coef * value) AS value
-  FROM draws JOIN coefs ON t = term GROUP BY ALL)"""
+combined AS (SELECT model, combo AS term, iter,
+  CASE WHEN count(value) = (SELECT count(*) FROM coefs c WHERE c.combo = coefs.combo)
+    THEN sum(coef * value) END AS value
+  FROM draws JOIN coefs ON t = term GROUP BY model, combo, iter)"""
 
 
 @query("combinations", draws_twin("""
@@ -471,23 +591,25 @@ TERM_LABELS = {"sexf": "sex (female)", "phase2": "treatment (dispersed)"}
 @query("bootstrap_summary", draws_twin("""
 SELECT model, replace(replace(term, 'sexf', 'sex (female)'), 'phase2', 'treatment (dispersed)') AS term,
   round_even(estimate, 2) AS estimate, round_even(conf_low, 2) AS conf_low,
-  round_even(conf_high, 2) AS conf_high, round(pMCMC, 9) AS pMCMC,
-  (conf_low < 0) = (conf_high < 0) AS excludes_zero
-FROM (SELECT model, term, avg(value) AS estimate FROM boot GROUP BY ALL)
-JOIN hpd USING (model, term) JOIN pm USING (model, term)""", needs="boot", source="boot"))
+  round_even(conf_high, 2) AS conf_high, round(eff_samp, 6) AS eff_samp, round(pMCMC, 9) AS pMCMC, n,
+  '(' || CAST(round_even(conf_low, 2) AS VARCHAR) || ', ' || CAST(round_even(conf_high, 2) AS VARCHAR)
+    || ')' AS CI, (conf_low < 0) = (conf_high < 0) AS excludes_zero
+FROM (SELECT model, term, avg(value) AS estimate, count(value) AS n FROM boot GROUP BY ALL)
+JOIN hpd USING (model, term) JOIN ess USING (model, term) JOIN pm USING (model, term)""", needs="boot", source="boot"))
 def bootstrap_summary(t: Tables):
-    return rounded(D.summary_table(t.bootstrap, TERM_LABELS), "pMCMC").drop("eff_samp", "CI")
+    return rounded(rounded(D.summary_table(t.bootstrap, TERM_LABELS), "eff_samp", digits=6), "pMCMC")
 
 
 @query("draw_summary", draws_twin("""
 SELECT model, term, round_even(estimate, 2) AS estimate, round_even(conf_low, 2) AS conf_low,
-  round_even(conf_high, 2) AS conf_high, round(eff_samp, 6) AS eff_samp, round(pMCMC, 9) AS pMCMC,
+  round_even(conf_high, 2) AS conf_high, round(eff_samp, 6) AS eff_samp, round(pMCMC, 9) AS pMCMC, n,
   '(' || CAST(round_even(conf_low, 2) AS VARCHAR) || ', ' || CAST(round_even(conf_high, 2) AS VARCHAR)
     || ')' AS CI, (conf_low < 0) = (conf_high < 0) AS excludes_zero
-FROM (SELECT model, term, avg(value) AS estimate FROM draws GROUP BY ALL)
+FROM (SELECT model, term, avg(value) AS estimate, count(value) AS n FROM draws GROUP BY ALL)
 JOIN hpd USING (model, term) JOIN ess USING (model, term) JOIN pm USING (model, term)"""))
 def draw_summary(t: Tables):
-    return rounded(rounded(D.summary_table(t.draws), "eff_samp", digits=6), "pMCMC")
+    table = D.summary_table(t.draws, ordered=t.sorted_draws)
+    return rounded(rounded(table, "eff_samp", digits=6), "pMCMC")
 
 
 @query("interval_text", draws_twin("""
@@ -495,7 +617,7 @@ SELECT term, 'price = ' || CAST(round_even(estimate, 2) AS VARCHAR) || ', 95% CI
   CAST(round_even(conf_low, 2) AS VARCHAR) || ', ' || CAST(round_even(conf_high, 2) AS VARCHAR) || ']' AS text
 FROM (SELECT model, term, avg(value) AS estimate FROM draws GROUP BY ALL) JOIN hpd USING (model, term)"""))
 def interval(t: Tables):
-    table = D.posterior_means(t.draws).join(D.hpd(D.sorted_draws(t.draws)), D.KEYS)
+    table = D.posterior_means(t.draws).join(D.hpd(t.sorted_draws), D.KEYS)
     shown = [F.bround(c, 2) for c in ("estimate", "conf_low", "conf_high")]
     return table.select("term", interval_text(*shown, name="price", brackets="square").alias("text"))
 
@@ -513,14 +635,18 @@ def models_stacked(t: Tables):
 odds AS (SELECT iter, sex, phase, ln((sum(k * w) + 0.5) / (sum(n * w) - sum(k * w) + 0.5)) AS v FROM (
   SELECT *, {POISSON} AS w FROM (
     SELECT *, CAST('0x' || substr(md5('123:' || id_label || ':' || iter), 1, 8) AS BIGINT) / 4294967296 AS u
-    FROM sums, range(1, {REPLICATES + 1}) r(iter))) GROUP BY ALL)
-SELECT 'received' AS model, 'sexf' AS term, iter, round(f.v - m.v, 9) AS value
-FROM odds f JOIN odds m USING (iter, phase) WHERE f.sex = 'f' AND m.sex = 'm' AND phase = 1"""))
+    FROM sums, range(1, {REPLICATES + 1}) r(iter))) GROUP BY ALL),
+wide AS (SELECT iter, max(CASE WHEN sex = 'm' AND phase = 1 THEN v END) AS m1,
+  max(CASE WHEN sex = 'f' AND phase = 1 THEN v END) AS f1,
+  max(CASE WHEN sex = 'm' AND phase = 2 THEN v END) AS m2,
+  max(CASE WHEN sex = 'f' AND phase = 2 THEN v END) AS f2 FROM odds GROUP BY iter)
+SELECT 'received' AS model, term, iter, round(value, 9) AS value FROM (
+  SELECT iter, '(Intercept)' AS term, m1 AS value FROM wide
+  UNION ALL SELECT iter, 'sexf', f1 - m1 FROM wide UNION ALL SELECT iter, 'phase2', m2 - m1 FROM wide
+  UNION ALL SELECT iter, 'sexf:phase2', (f2 - m2) - (f1 - m1) FROM wide)"""))
 def bootstrap_received(t: Tables):
-    # a sparse cell may hold more received pursuits than detections: undefined odds
-    table = E.bootstrap_draws(
-        t.card, "n_chased", "n_detections", "id_label", SEX, PHASE, "received", REPLICATES, seed=123)
-    return rounded(table.where(F.col("term") == "sexf"), "value")
+    return rounded(E.bootstrap_draws(
+        t.card, "n_chased", "n_detections", "id_label", SEX, PHASE, "received", REPLICATES, seed=123), "value")
 
 
 TYPE = ("cohort_type", ("single-sex", "mixed"))
@@ -561,8 +687,10 @@ def combos_cte(combos) -> str:
     rows = ", ".join(f"('{c}', '{k}', {v}e0)" for c, terms in combos.items() for k, v in terms.items())
     return f""",
 coefs(combo, t, coef) AS (VALUES {rows}),
-combined AS (SELECT model, combo AS term, iter, sum(coef * value) AS value
-  FROM trend_draws JOIN coefs ON t = term GROUP BY ALL)"""
+combined AS (SELECT model, combo AS term, iter,
+  CASE WHEN count(value) = (SELECT count(*) FROM coefs c WHERE c.combo = coefs.combo)
+    THEN sum(coef * value) END AS value
+  FROM trend_draws JOIN coefs ON t = term GROUP BY model, combo, iter)"""
 
 
 @query("intake_combinations", trend_twin("dispersion", "dispersion", "sex", "m", "f", """
@@ -580,10 +708,27 @@ def intake_combinations_of_females(t: Tables):
     return rounded(D.combine(table, E.COHORT_TYPE_COMBINATIONS), "value", digits=8)
 
 
-@query("intake_interactions", draws_twin("""
-SELECT model, term, round(conf_low, 6) AS conf_low, round(conf_high, 6) AS conf_high FROM hpd""",
-    needs="dispersion", source="combined",
+INTERACTIONS = """
+SELECT model, term, round(mode, 6) AS estimate, round(conf_low, 6) AS conf_low, round(conf_high, 6) AS conf_high
+FROM modes JOIN hpd USING (model, term)"""
+
+
+@query("intake_interactions", draws_twin(
+    INTERACTIONS, needs="dispersion", source="combined",
     more=trend_ctes("dispersion", "sex", "m", "f", "cohort", "intake") + combos_cte(E.SEX_COMBINATIONS)))
 def intake_interactions(t: Tables):
-    ordered = D.sorted_draws(D.combine(trend_table(t), E.SEX_COMBINATIONS))
-    return rounded(D.hpd(ordered), "conf_low", "conf_high", digits=6)
+    return half_up(D.interaction_table(trend_table(t), E.SEX_COMBINATIONS, None))
+
+
+def half_up(table):
+    return rounded(table, "estimate", "conf_low", "conf_high", digits=6)
+
+
+@query("intake_interactions_of_females", draws_twin(
+    INTERACTIONS, needs="typed_dispersion", source="combined",
+    more=trend_ctes("typed_dispersion", "cohort_type", "single-sex", "mixed", "cohort", "intake")
+    + combos_cte(E.COHORT_TYPE_COMBINATIONS)))
+def intake_interactions_of_females(t: Tables):
+    draws = E.bootstrap_trend_draws(
+        S.female_dispersion(t.visits), "sd_consumed", "night", "cohort", TYPE, PHASE, "intake", REPLICATES)
+    return half_up(D.interaction_table(draws, E.COHORT_TYPE_COMBINATIONS, None))

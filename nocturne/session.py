@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "nocturne", master: str | None = None) -> SparkSession:
+def get_session(
+    app: str = "nocturne", master: str | None = None, checkpoint_dir: str | None = None
+) -> SparkSession:
     """A session with the settings the jobs were planned for.
 
     AQE sizes the shuffles and splits skewed join partitions even where that
@@ -28,6 +30,8 @@ def get_session(app: str = "nocturne", master: str | None = None) -> SparkSessio
     )
     if master:
         builder = builder.master(master)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return builder.getOrCreate()
 
 
@@ -37,13 +41,14 @@ _local_staging: dict[str, str] = {}
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a session in one process without that setting gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if configured:
         return os.path.join(configured, f"nocturne-{app}")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if app not in _local_staging:
         _local_staging[app] = tempfile.mkdtemp(prefix="nocturne-")
@@ -59,4 +64,23 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(staging_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    path = getattr(df, "_staged_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads, by the planner's estimate; those of
+    unknown size, which is given as about the largest long, count as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 2**60)

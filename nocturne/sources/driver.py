@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nocturne.operators.joins import lookup_join
+from nocturne.session import stage
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,16 +23,21 @@ def night_of(ts: str = "ts"):
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases are visits, clicks beam interruptions, views reader detections;
-    signups and errors carry the device messages."""
+    signups and errors carry the device messages.  Eight events in a row share a
+    place; the first evening signup of a night that can be one is its switch."""
     k, kind, hour = F.col("k"), F.col("event_type"), F.hour("ts")
-    place = (k % 10 + 1).cast("string")
+    place = (F.floor(F.col("event_id") / 8) % 10 + 1).cast("string")
     tagged = kind.isin("purchase", "view")
     animal = F.col("user_id").cast("string")
+    switch = (kind == "signup") & hour.between(20, 23) & (k < 40)
+    rows = read_table(spark, sf_dir, "events").withColumns({
+        "k": F.regexp_extract("props", "([0-9]+)", 1).cast("int"), "night": night_of()})
+    first = rows.where(switch).groupBy("night").agg(
+        F.min_by("event_id", F.struct("ts", "event_id")).alias("switch_id"))
     return (
-        read_table(spark, sf_dir, "events")
-        .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+        lookup_join(rows, stage(first, "switches"), ["night"], ["event_id"])
         .select(
-            night_of().alias("night"),
+            "night",
             F.col("event_id").alias("event_seq"),
             "ts",
             F.when(tagged & (k % 25 == 0), "R?")
@@ -41,13 +49,13 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == "click", F.concat(F.lit("LS"), place))
             .when(kind == "view", F.concat(F.lit("Reader"), place))
             .otherwise("exp").alias("unit_label"),
-            F.when(k % 11 != 0, F.col("value") * 20).alias("event_duration"),
-            F.when(k % 22 != 0, F.col("value") * 20).alias("sense_duration"),
+            F.when(k % 11 != 0, F.col("value") * 10).alias("event_duration"),
+            F.when(k % 22 != 0, F.col("value") * 10).alias("sense_duration"),
             F.when((kind == "purchase") & (k % 4 == 0), 0.0)
             .when(kind == "purchase", F.col("value")).alias("reward_steps"),
             F.when((kind == "signup") & (hour == 12) & (k < 50), "start")
             .when((kind == "signup") & (hour == 11) & (k < 50), "end")
-            .when((kind == "signup") & hour.between(20, 23) & (k < 40), "switch")
+            .when(F.col("event_id") == F.col("switch_id"), "switch")
             .when((kind == "error") & (k < 50), "start pump")
             .when(kind == "error", "end pump").otherwise("").alias("system_msg"),
         )

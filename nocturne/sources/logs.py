@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from nocturne.functions.columns import serial_to_timestamp
+from nocturne.functions.columns import serial_to_timestamp, text_to_timestamp, timestamp_to_text
+from nocturne.operators.joins import lookup_join
+from nocturne.session import stage
 
 # Columns of a raw night log and of the metadata files, in order
 RAW_COLUMNS = [
@@ -104,9 +107,11 @@ def as_log(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     Marker lines (``#`` in the time) are dropped.  ``event_seq`` orders rows of
     the same millisecond: by the unrounded time, then as in the file.
     """
-    lines = raw.where(~F.col("DateTime").contains("#")).join(
-        manifest.select("night", "path"), "path"
-    )
+    # one night may be a third of the rows: a staged manifest is broadcast if small,
+    # else its busy paths are split
+    listed = stage(manifest.select("night", "path").where(F.col("night").isNotNull()), "manifest")
+    lines = lookup_join(raw.where(~F.col("DateTime").contains("#")), listed, ["path"], ["row"])
+    lines = lines.where(F.col("night").isNotNull())
     serial = number("DateTime")
     return lines.select(
         "night",
@@ -157,5 +162,16 @@ def read_events(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """A result table as ``;``-separated text with a header."""
+    """A result table as ``;``-separated text with a header; times as text."""
+    times = {c: timestamp_to_text(c) for c, kind in df.dtypes if kind == "timestamp_ntz"}
+    df = df.withColumns(times) if times else df
     df.write.options(sep=";", header=True, nullValue="NA").csv(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that `write_table` wrote, typed by ``schema``; ``NA`` is null."""
+    names = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema).fields}
+    text = ", ".join(f"`{n}` {'string' if kind == 'timestamp_ntz' else kind}" for n, kind in names.items())
+    rows = spark.read.schema(text).options(sep=";", header=True, nullValue="NA").csv(path)
+    times = {n: text_to_timestamp(n) for n, kind in names.items() if kind == "timestamp_ntz"}
+    return rows.withColumns(times) if times else rows

@@ -9,8 +9,8 @@ from nocturne.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_session("tests", "local[8]")
+def spark(tmp_path_factory):
+    session = get_session("tests", "local[8]", str(tmp_path_factory.mktemp("staged")))
     session.conf.set("spark.sql.shuffle.partitions", "8")
     session.sparkContext.setLogLevel("ERROR")
     return session

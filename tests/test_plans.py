@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nocturne.functions.columns import interval_text, p_label, significance
 from nocturne.functions.distributions import two_sided_p
 from nocturne.operators.joins import keyed_join
-from nocturne.plans import draws as D, effects as E, ratings as R, summaries as S, tests as H
+from nocturne.plans import draws as D, effects as E, ratings as R, summaries as S, comparisons as H
 
 
 def test_phase_durations(spark):
@@ -185,7 +185,7 @@ def test_combinations_and_slopes_agree(spark):
 def test_glm_without_covariate_is_the_cells(spark):
     rows = [("m", 1, 30, 100), ("m", 2, 20, 100), ("f", 1, 10, 90), ("f", 2, 25, 110), ("f", 2, 5, 20)]
     card = spark.createDataFrame(rows, "sex string, phase int, k int, n int")
-    fit = {r.term: r.estimate for r in E.binomial_glm(card, "k", "n", ("sex", "f"), ("phase", "2")).collect()}
+    fit = {r.term: r.estimate for r in E.binomial_glm(card, "k", "n", ("sex", ("m", "f")), ("phase", (1, 2))).collect()}
     cells = E.cell_log_odds(card, "k", "n", ["sex", "phase"])
     terms = E.treatment_terms(cells, "log_odds", ("sex", ("m", "f")), ("phase", (1, 2)))
     for r in terms.collect():
@@ -281,6 +281,93 @@ def test_bootstrap_of_trends(spark):
         assert got["(Intercept)", it] + got["phase2", it] == pytest.approx(lines["m"][1])
 
 
+def test_missing_draws_count_nowhere(spark):
+    """A null is no draw: intervals, pMCMC and combinations do without it."""
+    values = [float(i) for i in range(1, 101)]
+    rows = [("m", "a", i, v if i != 50 else None) for i, v in enumerate(values, 1)]
+    rows += [("m", "b", i, 1.0) for i in range(1, 101)]
+    table = spark.createDataFrame(rows, "model string, term string, iter long, value double")
+    a = table.where("term = 'a'")
+    row = D.hpd(D.sorted_draws(a)).first()
+    assert (row.conf_low, row.conf_high) == (1.0, 96.0)
+    assert D.p_mcmc(a).first().pMCMC == pytest.approx(1 / 99)
+    assert D.summary_table(a, max_lag=5).first().n == 99
+    total = {r.iter: r.value for r in D.combine(table, {"s": {"a": 1, "b": 2}}).collect()}
+    assert total[50] is None and total[51] == 53.0
+    assert D.effective_size(a, 5).first().eff_samp > 0
+
+
+def test_single_draw_is_its_interval(spark):
+    row = D.hpd(D.sorted_draws(draws(spark, [4.0]))).first()
+    assert (row.conf_low, row.conf_high) == (4.0, 4.0)
+
+
+def test_autocorrelation_goes_by_iter(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 30)
+    rng = np.random.default_rng(8)
+    values = np.cumsum(rng.normal(size=100))
+    kept = [i for i in range(100) if i % 10]
+    rows = [("m", "a", i + 1, float(values[i])) for i in kept] + [("m", "a", 1, None)]
+    table = spark.createDataFrame(rows, "model string, term string, iter long, value double")
+    got = {r.lag: r.acf for r in D.autocorrelation(table, 20).collect()}
+    v = np.zeros(100)
+    v[kept] = values[kept] - values[kept].mean()
+    want = {k: (v[: 100 - k] * v[k:]).sum() / (v * v).sum() for k in range(21)}
+    assert got == {k: pytest.approx(x, abs=1e-12) for k, x in want.items()}
+    with pytest.raises(ValueError, match="reaches over"):
+        D.autocorrelation(table, 31)
+
+
+def test_other_levels_are_refused(spark):
+    rows = [("m", 1, 30, 100), ("m", 2, 20, 100), ("f", 1, 10, 90), ("f", 2, 25, 110), ("f", 3, 5, 20)]
+    card = spark.createDataFrame(rows, "sex string, phase int, k int, n int")
+    with pytest.raises(Exception, match="level"):
+        E.binomial_glm(card, "k", "n", ("sex", ("m", "f")), ("phase", (1, 2)))
+    cells = E.cell_log_odds(card, "k", "n", ["sex", "phase"])
+    with pytest.raises(Exception, match="level"):
+        E.treatment_terms(cells, "log_odds", ("sex", ("m", "f")), ("phase", (1, 2))).collect()
+
+
+def test_glm_scores_vanish_and_rows_are_counted(spark):
+    rng = random.Random(3)
+    rows = [("mf"[i % 2], 1 + i % 4 // 2, rng.randrange(8), 20, None if i == 7 else rng.random()) for i in range(60)]
+    card = spark.createDataFrame(rows, "sex string, phase int, k int, n int, weight double")
+    levels = ("sex", ("m", "f")), ("phase", (1, 2))
+    fit = E.binomial_glm(card, "k", "n", *levels, "weight")
+    assert {r.n_used for r in fit.collect()} == {59}
+    assert all(abs(r.score) < 1e-6 for r in E.score_sums(card, "k", "n", fit, *levels, "weight").collect())
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(None, 1, "A", "B", 1), (None, 2, "A", "B", 1), ("g", 1, "A", "B", 1)]
+    rated = {(r.cohort, r.player): r.rating for r in R.glicko(games(spark, rows)).collect()}
+    assert rated[None, "A"] > rated["g", "A"] > 2200
+    ranks = {(r.cohort, r.id_label): r.glicko_rank for r in R.ranking(R.glicko(games(spark, rows))).collect()}
+    assert ranks[None, "A"] == 1 and ranks[None, "B"] == 2 and ranks["g", "B"] == 2
+    df = spark.createDataFrame([(None, 1, 0.01), (None, 2, 0.04), ("x", 3, 0.5)], "g string, id int, p double")
+    got = {r.id: r.p_adj for r in H.holm(df, "p", ["id"], ["g"]).collect()}
+    assert got == {1: pytest.approx(0.02), 2: pytest.approx(0.04), 3: 0.5}
+
+
+def test_large_groups_have_exact_quartiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "SMALL_GROUP", 100)
+    rng = np.random.default_rng(9)
+    values = {"a": rng.normal(size=20_001).tolist(), None: rng.integers(0, 50, 9_000).astype(float).tolist()}
+    df = spark.createDataFrame([(g, i, v) for g, vs in values.items() for i, v in enumerate(vs)],
+                               "g string, i int, v double")
+    for r in S.five_numbers(df, ["g"], "v", ["i"]).collect():
+        want = np.percentile(values[r.g], [25, 50, 75])
+        assert [r.q1, r["median"], r.q3] == pytest.approx(want.tolist()) and r.n == len(values[r.g])
+
+
+def test_pairs_of_a_status(spark):
+    won = games(spark, [("g", 1, "A", "B", 1), ("g", 1, "B", "C", 1), ("g", 1, "A", "C", 1)])
+    rating = spark.createDataFrame([("g", "A", 1.0)], "cohort string, id_label string, glicko_rating double")
+    status = spark.createDataFrame([("A", "top", "g"), ("B", "low", "g")], "id_label string, status string, cohort string")
+    rows = S.pair_shares(won, rating, status, "top").collect()
+    assert {(r.id_label, r.counterpart, r.share) for r in rows} == {("A", "B", 1 / 3), ("A", "C", 1 / 3)}
+
+
 def test_combinations_under_new_names():
     assert E.COHORT_TYPE_COMBINATIONS["mixed_phase2"] == {
         "cohort_typemixed": 1, "cohort_typemixed:phase2": 1}

@@ -114,7 +114,7 @@ def test_salted_lookup_equals_broadcast(spark):
     lookup = spark.createDataFrame([(n, f"R{i}", f"Ind{i}") for n in (1, 2) for i in range(30)],
                                    "night int, tag string, id_label string")
     plain = sorted(map(str, runs.repair_ids(log, lookup).collect()))
-    salted = runs.repair_ids(log, lookup, small=0, salts=5)
+    salted = runs.repair_ids(log, lookup, salts=5)
     assert sorted(map(str, salted.collect())) == plain and len(plain) == 340
 
 
@@ -155,3 +155,16 @@ def test_event_table_same_for_any_chunks(spark):
         "cohort string, discard string, cond string")
     tables = [sorted(map(str, runs.build_event_table(log, conds, chunks=c).collect())) for c in (1, 23)]
     assert tables[0] == tables[1] and len(tables[0]) > 100
+
+
+def test_three_phases_stay_three(spark):
+    rows = [log_row(1, 0), log_row(1, 1, "switch"), log_row(1, 2), log_row(1, 3, "switch", minutes=400), log_row(1, 4, minutes=401)]
+    tl = seal(spark.createDataFrame(rows, LOG), ["night"], ["ts", "event_seq"], 2)
+    assert [r.phase for r in runs.phase_of(tl).df.orderBy("ts", "event_seq").collect()] == [1, 2, 2, 3, 3]
+
+
+def test_overlapping_nights_are_refused(spark):
+    rows = [log_row(1, 0, minutes=0), log_row(1, 1, minutes=500), log_row(2, 0, minutes=300)]
+    tl = seal(spark.createDataFrame(rows, LOG), ["night"], ["ts", "event_seq"], 2)
+    with pytest.raises(ValueError, match="overlap"):
+        runs.require_disjoint(tl)

@@ -71,6 +71,29 @@ def test_hot_partition_is_spread(spark):
     assert len(sizes) == 10 and max(sizes) < 4000
 
 
+def test_null_partition_fails(spark):
+    df = spark.createDataFrame([(1, 1), (None, 2)], "night int, ts int")
+    with pytest.raises(Exception, match="null in a partition column"):
+        seal(df, ["night"], ["ts"])
+
+
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_staged_after_a_filter(spark, chunks):
+    """Positions, lags and fills of the rows that are left."""
+    df = spark.createDataFrame(_rows(21), "night int, ts int, seq int, v int, s string")
+    tl = seal(df, ["night"], ["ts", "seq"], chunks).where("seq % 3 <> 0")
+    direct = tl.lags(["v"], 2).df.select("seq", "lag1", "lag2")
+    staged = tl.staged()
+    got = staged.position("pos").lags(["v"], 2).table().select("seq", "pos", "lag1", "lag2")
+    w = W.partitionBy("night").orderBy("ts", "seq")
+    want = df.where("seq % 3 <> 0").select(
+        "seq", F.row_number().over(w).alias("pos"),
+        *[F.lag(F.struct("v"), j).over(w).alias(f"lag{j}") for j in (1, 2)])
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(got) == rows(want) and rows(direct) == rows(want.drop("pos"))
+    staged.release()
+
+
 def test_numbered_descending(spark):
     df = spark.createDataFrame([("a", 1.0, "x"), ("a", 3.0, "y"), ("a", 3.0, "z"), ("b", 2.0, "x")],
                                "g string, r double, id string")
