@@ -13,19 +13,23 @@ Classes with more than ``COMBINED`` frequent shingles in their prefix index
 those singly, and the others also probe that index singly.
 
 Any set of shingles may count as frequent: the choice changes the work, not the
-result.  The most frequent ones are taken, as many as a broadcast of fixed size
-holds.
-
-Postings of one key are not paired with each other.  Each is paired with its
-key's smallest and largest class, the pairs are verified by set intersection,
-and connected classes are merged.  Only where a key then still spans several
-components are the pairs between these verified too.  So copies cost a pair or
-two each, and no link between different components is lost.
+result.  So a bitmap of fixed size, marked from the most frequent shingle down
+until an eighth of its bits are taken, says which ones do; other shingles that
+fall on a mark do no harm.  If it holds all shingles of two classes or more, the
+rare ones are of one class each and need no index.
+
+Postings of one key are not paired with each other: each is tied to a leader of
+its key among sets of about its size, and what is tied together is a cluster.
+Every pair that the index finds lies in one cluster.  A cluster is verified in
+blocks of bounded size, a set travelling once to each block it may match in: a
+matrix product counts all intersections of two blocks exactly, and a spanning
+forest of the links goes on.  So copies cost as many rows as there are copies.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -34,37 +38,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import id_and_text, word_hash
+from nocturne.llm.common import hashed_words, id_and_text, mixed, pieces_of
 from nocturne.session import stage
 
 WORDS, SHARE = 5, Fraction(80, 100)
-FREQUENT = 32  # classes that hold a frequent shingle, at least
-MOST_FREQUENT = 1_000_000  # shingles in the broadcast
+BITS = 1 << 27  # of the broadcast bitmap of frequent shingles
 COMBINED = 8  # frequent shingles of a prefix that are combined
 BUCKET_KEYS = 2_000_000  # keys counted in one task
 FLUSH = 2_000_000  # keys held before they are sent
-SMALL_IDS = 1_000_000  # class names in a broadcast
+SMALL_IDS = 1_000_000  # rows of class names in a broadcast
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000  # in a block, at most
+COLUMNS = 4096  # shingles in one product
+FEW, PAIRS = 48, 4_000_000  # sets of a shingle counted by pairs; pairs counted at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingle_set(text: bytes, n: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct n-word shingles; fewer words are one
-    shingle, no words none.  Words stand between the six ASCII spaces, A-Z are
-    lowered."""
-    words = text.lower().split()
-    if not words:
-        return np.array([], np.uint64)
-    h = np.array([word_hash[w] for w in words], np.uint64)
-    size = min(n, len(words))
-    value = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        value = value * MULTIPLIER + h[k : k + len(value)]
-    return np.unique(mixed(value))
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted hashes of each text's distinct n-word shingles; fewer words are
+    one shingle, no words none."""
+    h, edges = hashed_words(texts)
+
+    def folded(value, size, count):
+        for k in range(size):
+            value = value * MULTIPLIER + h[k : k + count]
+        return value
+
+    whole = mixed(folded(np.full(max(0, len(h) - n + 1), n, np.uint64), n, max(0, len(h) - n + 1)))
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        if b - a >= n:
+            s = np.sort(whole[a : b - n + 1])
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s if new.all() else s[new]
+        elif b > a:
+            value = np.uint64(b - a)
+            with np.errstate(over="ignore"):
+                for x in h[a:b]:
+                    value = value * MULTIPLIER + x
+            yield mixed(np.array([value], np.uint64))
+        else:
+            yield np.array([], np.uint64)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.binary())))
 
 
 def class_name(s: np.ndarray) -> int:
@@ -72,9 +89,9 @@ def class_name(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 & ~1 if len(s) else 0
 
 
-def sets_of(batch: pa.RecordBatch):
-    for text in batch.column("text"):
-        yield shingle_set(text.as_buffer().to_pybytes() if text.is_valid else b"")
+def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for piece in pieces_of(batch, 1_000_000):
+        yield from shingle_sets(piece.column("text"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -164,20 +181,45 @@ def shingle_counts(docs: DataFrame, buckets: int, least: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(count, "bucket int, key int, count long")
 
 
-def frequent_shingles(counts: DataFrame, most: int) -> np.ndarray:
-    """Sorted names (bucket and key) of the most frequent shingles, ``most`` at the most."""
+class Frequent:
+    """Bitmap of frequent shingles, a slice for each bucket."""
+
+    def __init__(self, bits: np.ndarray, slice_bits: int, complete: bool):
+        self.bits, self.slice_bits, self.complete = bits, slice_bits, complete
+
+    @staticmethod
+    def place(bucket, key: np.ndarray, slice_bits: int) -> np.ndarray:
+        return bucket * slice_bits + key.view(np.uint32).astype(np.int64) % slice_bits
+
+    def has(self, s: np.ndarray, buckets: int) -> np.ndarray:
+        at = self.place(bucket_of(s, buckets), low32(s), self.slice_bits)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def frequent_shingles(counts: DataFrame, buckets: int, most_bits: int) -> Frequent:
+    """The bitmap of the shingles in ``counts``, as many as an eighth of
+    ``most_bits`` bits, from the most frequent ones down."""
     sizes = counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count"))
-    total, cut = 0, None
-    for r in sizes.limit(100_000).toLocalIterator():
-        total += r["n"]
-        if total > most:
+    total, cut, complete = 0, 2**62, True
+    for r in sizes.toLocalIterator():  # one row per count, ever fewer towards the high ones
+        if total + r["n"] > most_bits // 8:
+            complete = False
             break
-        cut = r["count"]
-    if cut is None:
-        return np.array([], np.int64)
-    name = F.shiftleft(F.col("bucket").cast("long"), 32) + F.pmod(F.col("key").cast("long"), F.lit(1 << 32))
-    table = counts.where(F.col("count") >= cut).select(name.alias("name")).toArrow()
-    return np.sort(table["name"].to_numpy())
+        total, cut = total + r["n"], r["count"]
+    slice_bits = 8 * max(1, math.ceil(min(most_bits, max(1 << 16, 16 * total)) / buckets / 8))
+
+    def mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bits = np.zeros(slice_bits, np.uint8)
+        bits[Frequent.place(0, table["key"].to_numpy(), slice_bits)] = 1
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed], pa.binary())})
+
+    out = np.zeros(slice_bits // 8 * buckets, np.uint8)
+    slices = counts.where(F.col("count") >= cut).groupBy("bucket").applyInArrow(mark, "bucket int, bits binary")
+    for r in slices.toLocalIterator():
+        at = r["bucket"] * slice_bits // 8
+        out[at : at + slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
+    return Frequent(out, slice_bits, complete)
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -188,30 +230,30 @@ def prefix(s: np.ndarray, frequent: np.ndarray, share: Fraction) -> tuple[np.nda
     return rare[:size], often[: max(0, size - len(rare))]
 
 
-def postings(docs: DataFrame, names: np.ndarray, buckets: int, share: Fraction) -> DataFrame:
-    """key, node (even: indexes, odd: only probes), for keys of several classes.
+def postings(docs: DataFrame, frequent: Frequent, buckets: int, share: Fraction) -> DataFrame:
+    """key, node (even: indexes, odd: only probes) and its set size, for keys of
+    several classes.
 
     Rare keys meet in a bucket of their own, where those of one class drop out
     and keys with the same classes become one.  Frequent ones, whose classes
     may be a large share of all, are dealt by class instead and stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def send(batches):
-        names = shared.value
-        held, nodes, kinds, n = [], [], [], 0
+        frequent = shared.value
+        held, nodes, sizes, kinds, n = [], [], [], [], 0
 
         def rows():
-            keys, node, often = np.concatenate(held), np.concatenate(nodes), np.concatenate(kinds)
+            keys, node, size, often = map(np.concatenate, (held, nodes, sizes, kinds))
             dealt = np.where(often, buckets + bucket_of(mixed(node.view(np.uint64)), buckets),
                              bucket_of(keys, buckets))
-            b, lists = by_bucket(2 * buckets, dealt, keys.view(np.int64), node)
-            return pa.RecordBatch.from_arrays([b, *lists], ["bucket", "keys", "nodes"])
+            b, lists = by_bucket(2 * buckets, dealt, keys.view(np.int64), node, size)
+            return pa.RecordBatch.from_arrays([b, *lists], ["bucket", "keys", "nodes", "sizes"])
 
         for name, s in distinct_classes(batches):
-            own = (bucket_of(s, buckets) << 32) + (s & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            at = np.searchsorted(names, own)
-            at[at == len(names)] = 0
-            rare, often = prefix(s, names[at] == own if len(names) else np.zeros(len(s), bool), share)
+            rare, often = prefix(s, frequent.has(s, buckets), share)
+            if frequent.complete:
+                rare = rare[:0]
             singly = mixed(often + np.uint64(1))  # keys of their own
             pairs = np.array([], np.uint64)
             if 0 < len(often) <= COMBINED:
@@ -222,92 +264,187 @@ def postings(docs: DataFrame, names: np.ndarray, buckets: int, share: Fraction)
                       np.full(len(singly), name + (len(often) <= COMBINED), np.int64),
                       np.full(len(pairs), name, np.int64)]
             kinds += [np.zeros(len(rare), bool), np.ones(len(singly) + len(pairs), bool)]
+            sizes.append(np.full(len(rare) + len(singly) + len(pairs), len(s), np.int32))
             n += len(rare) + len(singly) + len(pairs)
             if n >= FLUSH:
                 yield rows()
-                held, nodes, kinds, n = [], [], [], 0
+                held, nodes, sizes, kinds, n = [], [], [], [], 0
         if n:
             yield rows()
 
     def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = table["keys"].combine_chunks().flatten().to_numpy()
-        nodes = table["nodes"].combine_chunks().flatten().to_numpy()
+        keys, nodes, sizes = (
+            table[c].combine_chunks().flatten().to_numpy() for c in ("keys", "nodes", "sizes"))
         if key[0].as_py() < buckets:
-            keys, nodes = several(keys, nodes)
-        return pa.table({"key": pa.array(keys, pa.int64()), "node": pa.array(nodes, pa.int64())})
+            keys, nodes, sizes = several(keys, nodes, sizes)
+        return pa.table({"key": pa.array(keys, pa.int64()), "node": pa.array(nodes, pa.int64()),
+                         "size": pa.array(sizes, pa.int32())})
 
-    sent = id_and_text(docs).mapInArrow(send, "bucket int, keys array<long>, nodes array<long>")
-    return sent.groupBy("bucket").applyInArrow(gather, "key long, node long").distinct()
+    sent = id_and_text(docs).mapInArrow(
+        send, "bucket int, keys array<long>, nodes array<long>, sizes array<int>")
+    return sent.groupBy("bucket").applyInArrow(gather, "key long, node long, size int")
 
 
-def several(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def several(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Postings of the keys with several classes, once per set of classes; the
     new key is a hash of the set."""
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
+    keys, nodes, sizes = keys[new], nodes[new], sizes[new]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], int)
     length = np.diff(np.append(first, len(keys)))
     if not (length > 1).any():
-        return np.array([], np.int64), np.array([], np.int64)
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.int32)
     sums = np.add.reduceat(mixed(nodes.view(np.uint64)), first)
     _, once = np.unique(np.stack([sums, length.astype(np.uint64)]), axis=1, return_index=True)
     chosen = np.zeros(len(first), bool)
     chosen[once] = True
     keep = np.repeat(chosen & (length > 1), length)
-    return np.repeat(sums, length)[keep].view(np.int64), nodes[keep]
-
-
-def name_of(node: str):
-    return F.col(node).bitwiseAND(F.lit(-2).cast("long"))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, share: Fraction) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets meet the threshold."""
-    pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = None
-    if ids.count() <= SMALL_IDS:  # 8 bytes each; else the join alone selects
-        few = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["node"].to_numpy()))
+    return np.repeat(sums, length)[keep].view(np.int64), nodes[keep], sizes[keep]
+
+
+def size_class(size: str, share: Fraction):
+    """Sets that can be similar are in the same class or in adjacent ones."""
+    return F.floor(F.log(F.col(size) + 0.5) / math.log(1 / share)).cast("int")
+
+
+def clusters(lists: DataFrame, share: Fraction) -> DataFrame:
+    """node, size, class, cluster of all classes that share a key with another."""
+    node = F.col("node").bitwiseAND(F.lit(-2).cast("long"))
+    held = lists.select(
+        "key", node.alias("node"), (F.col("node") % 2 == 0).alias("indexes"), "size",
+        size_class("size", share).alias("class"))
+    leaders = held.where("indexes").groupBy("key", "class").agg(F.min("node").alias("leader"))
+    near = F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class")
+    ties = held.select("key", "node", near).join(leaders, ["key", "class"]).where("node <> leader")
+    roots = components(ties.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    members = held.select("node", "size", "class").distinct().join(roots, "node", "left")
+    return members.withColumn("cluster", F.coalesce("root", "node")).drop("root")
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """node, pair: every pair of blocks in which a set may match, by a hash.
+
+    Blocks are parts of a cluster's size classes, small enough for one task.  A
+    pair is verified whole, so a class of one block needs no pair of its own
+    beside that with an adjacent class."""
+    spread = members.groupBy("cluster", "class").agg(
+        F.count("*").alias("sets"), F.sum("size").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    spread = stage(spread.select("cluster", "class", F.least("sets", parts).cast("int").alias("parts"), "sets"), "blocks")
+    placed = members.join(spread, ["cluster", "class"]).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    partner = spread.select("cluster", F.col("class").alias("other"), F.col("parts").alias("other_parts"))
+    steps = F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)]))
+    met = placed.withColumn("other", steps).join(partner, ["cluster", "other"])
+    beside = spread.select("cluster", F.explode(F.array(F.col("class") - 1, F.col("class") + 1)).alias("class"))
+    met = met.join(beside.distinct().withColumn("beside", F.lit(True)), ["cluster", "class"], "left")
+    own = (F.col("sets") > 1) & ((F.col("parts") > 1) | F.col("beside").isNull())
+    each = met.where((F.col("other") != F.col("class")) | own).withColumn(
+        "other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+    this, that = F.struct("class", "part"), F.struct(F.col("other").alias("class"), F.col("other_part").alias("part"))
+    return each.select("node", F.xxhash64("cluster", F.least(this, that), F.greatest(this, that)).alias("pair"))
+
+
+def forest(sizes: np.ndarray, counts: np.ndarray, share: Fraction) -> np.ndarray:
+    """Index of the smallest set reachable by links."""
+    union = sizes[:, None] + sizes[None, :] - counts
+    linked = counts * share.denominator >= share.numerator * union
+    label = np.arange(len(sizes))
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], len(sizes)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of different sets.
+
+    Shingles of few sets are counted pair by pair, those of many by products of
+    0/1 matrices, which are exact: sums of at most ``COLUMNS`` ones in single
+    precision, added up in double."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")  # rows ascend within a shingle
+    row, first = row[order], np.cumsum(times) - times
+    out = np.zeros(m * m, np.float64)
+    for d in np.unique(times[(times > 1) & (times <= FEW)]).tolist():
+        i, j = np.triu_indices(d, 1)
+        starts = first[times == d]
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(starts), step):
+            held = row[starts[k : k + step, None] + np.arange(d)]
+            out += np.bincount((held[:, i] * m + held[:, j]).ravel(), minlength=m * m)
+    out = out.reshape(m, m)
+    out += out.T.copy()
+    many = np.flatnonzero(times > FEW)
+    for k in range(0, len(many), COLUMNS):
+        chosen = many[k : k + COLUMNS]
+        column = np.repeat(np.arange(len(chosen)), times[chosen])
+        place = np.repeat(first[chosen] - np.cumsum(times[chosen]) + times[chosen], times[chosen]) + np.arange(len(column))
+        one = np.zeros((m, len(chosen)), np.float32)
+        one[row[place], column] = 1
+        out += one @ one.T
+    return out.astype(np.int64)
+
+
+def links(docs: DataFrame, members: DataFrame, frequent: Frequent, buckets: int, share: Fraction) -> DataFrame:
+    """a, b: a spanning forest of the links in each pair of blocks; staged.
+
+    A set travels once per pair and task, without the shingles that no other
+    class has.  Where it goes is broadcast as far as ``SMALL_IDS`` rows of 16
+    bytes; beyond, sets are sent by name and joined with their pairs."""
+    met = stage(block_pairs(members), "pairs")
+    context = docs.sparkSession.sparkContext
+    bitmap, known = context.broadcast(frequent), None
+    if met.count() <= SMALL_IDS:
+        table = met.toArrow().sort_by("node")
+        known = context.broadcast((table["node"].to_numpy(), table["pair"].to_numpy()))
 
     def send(batches):
-        wanted = None if few is None else few.value
-        held: list = []
+        frequent = bitmap.value
+        nodes, pairs = (None, None) if known is None else known.value
+        held, n = [], 0
 
         def rows():
-            names, sets = zip(*held)
+            pair, name, size, sets = zip(*held)
             return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                ["node", "set"])
+                [pa.array(pair, pa.int64()), pa.array(name, pa.int64()), pa.array(size, pa.int64()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["pair", "node", "size", "set"])
 
-        n = 0
         for name, s in distinct_classes(batches):
-            if wanted is not None:
-                at = np.searchsorted(wanted, name)
-                if at == len(wanted) or wanted[at] != name:
-                    continue
-            held.append((name, s))
-            n += len(s)
+            to = [0] if nodes is None else pairs[
+                np.searchsorted(nodes, name) : np.searchsorted(nodes, name, "right")].tolist()
+            if to:
+                shared = s[frequent.has(s, buckets)] if frequent.complete else s
+                held += [(pair, name, len(s), shared) for pair in to]
+                n += len(shared) * len(to)
             if n >= FLUSH:
                 yield rows()
                 held, n = [], 0
         if held:
             yield rows()
 
-    sets = id_and_text(docs).mapInArrow(send, "node long, set array<long>")
-    if few is None:
-        sets = sets.join(ids, "node", "left_semi")
-    sets = stage(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - both
-    most, least = F.greatest(F.size("set_a"), F.size("set_b")), F.least(F.size("set_a"), F.size("set_b"))
-    p, q = share.numerator, share.denominator
-    near = F.when(least * q >= most * p, both * q >= union * p).otherwise(False)
-    return stage(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "links")
+    def verify(table: pa.Table) -> pa.Table:
+        node, first = np.unique(table["node"].to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        column = table["set"].combine_chunks()
+        edges, values = column.offsets.to_numpy(), column.values.to_numpy()
+        sets = [values[a:b] for a, b in zip(edges, edges[1:])]
+        label = forest(table["size"].to_numpy(), intersections(sets), share)
+        tied = label != np.arange(len(node))
+        return pa.table({"a": pa.array(node[tied], pa.int64()), "b": pa.array(node[label[tied]], pa.int64())})
+
+    sent = id_and_text(docs).mapInArrow(send, "pair long, node long, size long, set array<long>")
+    if known is None:
+        sent = sent.drop("pair").join(met, "node")
+    return stage(sent.groupBy("pair").applyInArrow(verify, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,27 +472,11 @@ def components(links: DataFrame) -> DataFrame:
 def class_components(docs: DataFrame, total: int, share: Fraction = SHARE) -> DataFrame:
     """node, root for all classes that are linked to another one."""
     buckets = max(64, math.ceil(total / BUCKET_KEYS))
-    counts = stage(shingle_counts(docs, buckets, FREQUENT), "counts")
-    names = frequent_shingles(counts, MOST_FREQUENT)
-    lists = stage(postings(docs, names, buckets, share), "postings")
-    node = name_of("node")
-    ends = lists.groupBy("key").agg(F.min(node).alias("low"), F.max(node).alias("high"))
-    star = lists.select("key", node.alias("node")).join(ends, "key").select(
-        "node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    pairs = star.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    links = verified(docs, pairs, share)
-    roots = components(links)
-    # keys that span several components: all pairs between these
-    placed = lists.select("key", node.alias("name"), (F.col("node") % 2 == 0).alias("indexes")).join(
-        roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    rest = stage(placed.join(spread.select("key"), "key", "left_semi"), "rest")
-    other = rest.select("key", *[F.col(c).alias(f"{c}_") for c in ("name", "indexes", "root")])
-    across = rest.join(other, "key").where("root <> root_ and name < name_ and (indexes or indexes_)")
-    more = across.select(F.col("name").alias("a"), F.col("name_").alias("b")).distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    late = verified(docs, more, share)
-    return components(links.union(late)) if late.count() else roots
+    counts = stage(shingle_counts(docs, buckets, 2), "counts")
+    frequent = frequent_shingles(counts, buckets, BITS)
+    lists = stage(postings(docs, frequent, buckets, share), "postings")
+    members = stage(clusters(lists, share), "clusters")
+    return components(links(docs, members, frequent, buckets, share))
 
 
 def near_duplicates(docs: DataFrame, share: Fraction = SHARE) -> DataFrame:
