@@ -183,7 +183,3 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if lengths.max() > 64:
         term *= (place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     return mixed(np.add.reduceat(term, first) + lengths.astype(np.uint64)), edges
-
-
-#: 64-bit hash of a word.
-word_hash = Cache(lambda w: xxhash.xxh3_64_intdigest(w), 500_000)
