@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -176,9 +177,10 @@ def holding(docs: DataFrame, terms: DataFrame, block: int = BLOCK) -> DataFrame
             {r.term.encode(): 1.0 for r in part.toLocalIterator()})
 
         def rows(source, wanted=wanted):
+            n = Counter()  # of at most the block's terms
             for _, raw in source:
-                for w in holds(raw, wanted.value):
-                    yield w.decode(), 1
+                n.update(holds(raw, wanted.value))
+            yield from ((w.decode(), k) for w, k in n.items())
 
         found = map_texts(docs, "term string, n long", rows).groupBy("term").agg(F.sum("n").alias("holding"))
         out = found if out is None else out.union(found)
