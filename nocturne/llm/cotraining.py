@@ -162,7 +162,7 @@ def step(w: np.ndarray, sums: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     return w + np.linalg.solve(h, g)
 
 
-def fit(rows: DataFrame, rounds: int = ROUNDS, steps: int = STEPS) -> Model:
+def fit(rows: DataFrame, rounds: int = ROUNDS, steps: int = STEPS, confident: float = CONFIDENT) -> Model:
     """Co-train on rows with fold > 0, calibrate on labelled rows of fold 0."""
     model = Model()
     learning, held_out = rows.where("fold > 0"), rows.where("fold = 0 and y is not null")
@@ -176,7 +176,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, steps: int = STEPS) -> Model:
                 out = {}
                 for view, other in (("text", "meta"), ("meta", "text")):
                     p = sigmoid(told[other])
-                    sure = np.isnan(y) & (turn > 0) & (np.maximum(p, 1 - p) >= CONFIDENT)
+                    sure = np.isnan(y) & (turn > 0) & (np.maximum(p, 1 - p) >= confident)
                     label = np.where(sure, p > 0.5, np.nan_to_num(y))
                     weight = np.where(sure, PSEUDO, ~np.isnan(y))
                     out[view] = newton(parts[view], label, model.weights[view], weight)

@@ -51,7 +51,36 @@ def op3(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-@query("op6_rule_cascade")
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+@query("op6_rule_cascade", rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), win AS (
+  SELECT k, i, array_to_string(w[i : i + 7], ' ') AS g FROM t, unnest(range(1, len(w) - 6)) r(i)
+), again AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM win) WHERE n > 1
+), repeated AS (
+  SELECT k, count(DISTINCT i + j) AS n FROM again, range(0, 8) r(j) GROUP BY k
+), l AS (
+  SELECT k, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '{WORD}') GROUP BY k
+), m AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
+    coalesce(repeated.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines,
+    len(regexp_extract_all(t, '[A-Z]')) AS capitals, len(regexp_extract_all(t, '[A-Za-z]')) AS letters,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutters
+  FROM t LEFT JOIN repeated USING (k) LEFT JOIN l USING (k)
+), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 10 * capitals > 6 * letters
+    OR NOT (word_chars BETWEEN 2 * n_words AND 20 * n_words) OR 10 * stutters > 3 * n_words) AS kept
+FROM f
+""")
 def op6(spark, sf_dir):
     return cascade.judge(read(spark, sf_dir, "documents"))
 
@@ -71,7 +100,25 @@ def op8(spark, sf_dir):
     return kdshard.shard(read(spark, sf_dir, "documents"), 16)
 
 
-@query("op9_combination_prefix_join")
+@query("op9_combination_prefix_join", rf"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT k, doc_id, CASE WHEN len(w) >= 5
+    THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t
+), x AS MATERIALIZED (SELECT k, hash(unnest(s)) AS g FROM s),
+p AS MATERIALIZED (SELECT a.k AS a, b.k AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k),
+n AS MATERIALIZED (SELECT k, len(s) AS n FROM s),
+e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n u ON u.k = a JOIN n v ON v.k = b WHERE 100 * c >= 80 * (u.n + v.n - c)
+), r(k, m) AS (
+  SELECT k, k FROM n UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.m
+), c AS (SELECT r.k, min(o.doc_id) AS least FROM r JOIN s o ON o.k = r.m GROUP BY r.k)
+SELECT doc_id, len(s) AS n_shingles, CASE WHEN len(s) > 0 THEN least ELSE doc_id END AS component_id
+FROM s JOIN c USING (k)
+""")
 def op9(spark, sf_dir):
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 

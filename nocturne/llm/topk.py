@@ -9,7 +9,7 @@ nothing but tiles is ever paired.
 
 Scores are exact: a tile works in floating point only where every value, with
 the position that breaks ties, stays below 2**53; else in 64-bit integers, else
-in Python integers, which are clipped to the range of a long at the end.
+in Python integers, where a score that no long holds counts as its limit.
 """
 
 from __future__ import annotations
@@ -73,6 +73,8 @@ def best_of_tile(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np
         else:
             kind = np.int64 if bound < 2**62 else object
             value = queries.astype(kind) @ block.T.astype(kind)
+            if kind is object:  # what no long holds counts as its limit
+                value = np.minimum(LONG_MAX, np.maximum(-LONG_MAX, value)).astype(np.int64)
             order = np.arange(n)
             take = np.array([sorted(order, key=lambda j: (m[j], -v[j], j))[:k]
                              for v, m in zip(value, mine)]).reshape(len(queries), -1)
@@ -83,8 +85,7 @@ def best_of_tile(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np
         at.append(line)
         found.append(names[take])
         picked = value[line, take]
-        score.append(np.array([max(-LONG_MAX, min(LONG_MAX, int(v))) for v in picked], np.int64)
-                     if picked.dtype == object else picked.astype(np.int64))
+        score.append(picked.astype(np.int64))
     at, found, score = map(np.concatenate, (at, found, score))
     order = np.lexsort((found, -score, at))
     at, found, score = at[order], found[order], score[order]
