@@ -58,7 +58,10 @@ def chain(n):
     return out
 
 
-def test_chains_of_links(spark):
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_chains_of_links(spark, monkeypatch, small):
+    """With the places of sets broadcast, and joined."""
+    monkeypatch.setattr(jaccard, "SMALL_IDS", small)
     data = chain(25) + [(100 + i, t) for i, t in chain(25)]
     random.Random(3).shuffle(data)
     docs = spark.createDataFrame(data, "doc_id long, text string")
