@@ -45,7 +45,7 @@ WORDS, SHARE = 5, Fraction(80, 100)
 BITS = 1 << 27  # of the broadcast bitmap of frequent shingles
 COMBINED = 8  # frequent shingles of a prefix that are combined
 BUCKET_KEYS = 2_000_000  # keys counted in one task
-FLUSH = 2_000_000  # keys held before they are sent
+FLUSH = 1_000_000  # keys held before they are sent
 SMALL_IDS = 1_000_000  # rows of class names in a broadcast
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000  # in a block, at most
 COLUMNS = 4096  # shingles in one product

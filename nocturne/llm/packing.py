@@ -24,7 +24,7 @@ from nocturne.session import stage
 LENGTH = 2048
 PARTITION = 20_000  # pieces packed in one task
 ROUNDS = 4
-CACHED_CHUNKS = 1_000_000  # per worker
+CACHED_CHUNKS = 600_000  # per worker
 MARKS = b".,;:!?"
 FRESH = 512  # chunks sent to the library at once
 
