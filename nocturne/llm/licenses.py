@@ -2,7 +2,8 @@
 
 Only DataFrame functions are used.  Template words are ordered by how many
 documents of the corpus hold them, rarest first; words that no template has
-cannot match and drop out.  A block matches a template of n words when it has at
+cannot match and drop out.  A block is a line, or 64 words of the text across
+its lines, as notices wrap.  It matches a template of n words when it has at
 least ``o = ceil(threshold * n)`` of them, hence
 
 * prefix: it has one of the template's ``n - o + 1`` rarest words,
@@ -38,7 +39,7 @@ TEMPLATES = [
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
 ]
 THRESHOLD = 0.8
-BLOCK_WORDS = 64  # longer lines are read as blocks of 64 words, one every 32
+BLOCK_WORDS = 64  # texts and lines that are longer are read as blocks of 64 words, one every 32
 
 
 def normalised(text: Column) -> Column:
@@ -76,13 +77,18 @@ def overlap(block: Column, words: list[str], order: list[str], threshold: float)
         & (shared >= least), shared).otherwise(0)
 
 
-def blocks(lines: Column, size: int) -> Column:
-    """Word arrays of the lines; long lines in overlapping pieces."""
+def windows(words: Column, size: int) -> Column:
+    """The words as one array; more than ``size`` in overlapping pieces, one every half."""
     step = size // 2
-    words = F.transform(lines, lambda line: F.split(normalised(line), " "))
-    return F.flatten(F.transform(words, lambda w: F.when(F.size(w) <= size, F.array(w)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - step, F.lit(1)), F.lit(step)),
-                    lambda at: F.slice(w, at, size)))))
+    return F.when(F.size(words) <= size, F.array(words)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - step, F.lit(1)), F.lit(step)),
+                    lambda at: F.slice(words, at, size)))
+
+
+def blocks(lines: Column, words: Column, size: int) -> Column:
+    """Word arrays of the lines, and of the whole text, whose notices may wrap."""
+    each = F.transform(lines, lambda line: windows(F.split(normalised(line), " "), size))
+    return F.concat(F.flatten(each), windows(words, size))
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -124,7 +130,7 @@ def scan(
     zeros = F.array(*[F.lit(0)] * len(sets))
     each = lambda b: F.array(*[overlap(b, words, order, threshold) for words, _ in sets])
     most = F.aggregate(
-        blocks(F.split("lowered", "\n"), block_words), zeros,
+        blocks(F.split("lowered", "\n"), F.col("words"), block_words), zeros,
         lambda best, b: F.zip_with(best, each(b), lambda x, y: F.greatest(x, y)))
     possible = F.arrays_overlap(F.col("words"), constants(prefixes))
     scanned = worded.select(

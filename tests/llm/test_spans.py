@@ -150,6 +150,29 @@ def test_license_scan(spark, docs, data, no_docs):
     assert {r.doc_id: r.labels for r in got}[2] == "mit"
 
 
+def test_license_notices_wrap(spark):
+    """Notices over several lines count, as in windows of the whole text."""
+    size, half = licenses.BLOCK_WORDS, licenses.BLOCK_WORDS // 2
+    bsd = ("Redistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions are met")
+    filler = "\n".join(f"word{i} other{i}" for i in range(100))
+    texts = [bsd, "Licensed under\nCC BY-NC 4.0", f"{filler}\n{bsd}\n{filler}", filler, "licensed\n" + filler + "\nunder cc by nc 4 0",
+             "/*\n * " + bsd.replace(" in ", "\n * in ") + "\n */", "Permission is hereby\ngranted", None]
+    rows = {r.doc_id: r for r in licenses.scan(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        w = words_of(text)
+        want, score = set(), plain_scan(i, text)[7]
+        for part in [w] if len(w) <= size else [w[s : s + size] for s in range(0, len(w) - half, half)]:
+            for template, label in licenses.template_sets():
+                c = len(set(part) & set(template)) / len(template)
+                if c >= licenses.THRESHOLD:
+                    want, score = want | {label}, max(score, c)
+        assert rows[i].labels == ",".join(sorted(want | set(filter(None, plain_scan(i, text)[6].split(",")))))
+        assert rows[i].score == pytest.approx(score)
+    assert [rows[i].labels for i in range(4)] == ["bsd", "cc-by-nc", "bsd", ""] and rows[5].labels == "bsd"
+
+
 def test_license_scan_stays_native(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
