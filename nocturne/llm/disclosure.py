@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,17 +119,20 @@ def term_of(word: str) -> str | None:
 
 
 def near_terms(text: str, spans: list[Span]) -> Iterator[tuple[int, str, int]]:
-    """(entity, term, surroundings) once per text."""
+    """(entity, term, surroundings): each entity and term once per text, with the
+    name of all the surroundings in which the text holds them."""
     words = [m[0] for m in WORD.finditer(text)]
     starts = [m.start() for m in WORD.finditer(text)]
-    out = set()
+    seen = defaultdict(set)
     for a, b, kind in spans:
         first, last = bisect_right(starts, a) - 1, bisect_left(starts, b) - 1
         around = [term_of(w) for w in words[max(0, first - WINDOW) : first] + words[last + 1 : last + 1 + WINDOW]]
         where = xxhash.xxh3_64_intdigest(" ".join(t or "" for t in around)) - 2**63
         name = entity(kind, text[a:b])
-        out |= {(name, t, where) for t in around if t}
-    return iter(out)
+        for t in filter(None, around):
+            seen[name, t].add(where)
+    for (name, t), places in seen.items():
+        yield name, t, xxhash.xxh3_64_intdigest(" ".join(map(str, sorted(places)))) - 2**63
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -149,7 +152,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """term, entity, near (documents), of (documents that hold the entity), for
-    pairs with enough different surroundings."""
+    pairs with enough different surroundings, a document's counting once."""
     seen = stage(occurrences(docs).groupBy("entity", "term", "surroundings").count(), "occurrences")
     pairs = seen.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(
         F.sum("count").alias("near"), F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
@@ -195,7 +198,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     if held is None:
         return pairs.select("term", F.lit(0.0).alias("posterior")).limit(0)
     total = docs.count()
-    posterior = F.least(F.lit(1.0), F.col("near") / F.col("holding"))
+    posterior = F.col("near") / F.col("holding")
     bits = F.log2(posterior / (F.col("of") / F.lit(total)))
     told = pairs.join(held, "term").withColumn("posterior", posterior).where(
         (posterior >= POSTERIOR) & (bits >= BITS))

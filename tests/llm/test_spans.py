@@ -95,6 +95,19 @@ def test_copies_do_not_disclose(spark):
     assert disclosure.disclosing(docs).count() == 0
 
 
+def test_a_text_that_repeats_its_contact_counts_once(spark):
+    """An ordinary word of ten texts, one of which holds a contact by it in six lines."""
+    lines = [f"line{c} before{c} ordinary boss@corp.org after{c} then{c}" for c in "abcdef"]
+    data = [(0, "\n".join(lines), 1)] + [(i, f"an ordinary text{i}", 1) for i in range(1, 10)]
+    data += [(100 + i, f"filler {i}", 1) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    near = list(disclosure.near_terms(data[0][1], disclosure.base_spans(data[0][1])))
+    assert len([t for _, t, _ in near if t == "ordinary"]) == 1
+    assert "ordinary" not in {r.term for r in disclosure.disclosing(docs).collect()}
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    assert all(clean[i] == text for i, text, _ in data[1:10])
+
+
 def test_sanitised_rows(docs, data, no_docs):
     out = disclosure.sanitise(docs)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
