@@ -1,16 +1,19 @@
 """Personal data: spans by pattern, and terms that give their owners away.
 
-The patterned spans of a text name protected entities.  Words near an entity are
-terms; over the whole corpus it is counted how many documents hold a term near
-an entity, in how many different surroundings, and how many hold the term at
-all.  A term discloses an entity if
-
-* ``P(entity | term) = near / holding`` is at least ``POSTERIOR``,
-* it says at least ``BITS`` more than chance, ``log2 P(e | t) / P(e)``, and
-* at least ``CONTEXTS`` different surroundings say so (copies say it once).
-
-Such terms are spans wherever they stand.  In sanitised text entities become
-placeholders, terms are generalised, and those above ``REMOVE`` removed.
+The patterned spans of a text name protected entities.  All words near an entity
+are terms; over the whole corpus it is counted how many documents hold a term
+near an entity, in how many different surroundings (copies say it once), and how
+many hold the term at all.  ``P(entity | term) = near / holding`` is smoothed: the
+surroundings weigh against the chance ``P(entity)``, which has ``WEIGHT`` of them.
+A term discloses an entity if the smoothed posterior
+
+* is at least ``POSTERIOR``, and
+* says at least ``BITS`` more than chance, ``log2 P(e | t) / P(e)``.
+
+One surroundings alone cannot reach both: a term of a single text, or of its
+copies, is left.  Terms that disclose are spans wherever they stand.  In
+sanitised text entities become placeholders, terms are generalised, and those
+above ``REMOVE`` removed.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from nocturne.llm.common import map_texts
 from nocturne.session import stage
 
 WINDOW = 6  # words on either side of an entity
-CONTEXTS, POSTERIOR, REMOVE, BITS = 3, 0.6, 0.9, 4.0
+POSTERIOR, REMOVE, BITS = 0.6, 0.9, 4.0
+WEIGHT = 1.0  # of chance in the posterior, as that many different surroundings
 BLOCK = 200_000  # terms that one pass looks for
 KINDS = ["email", "ip", "card", "phone", "term"]
 # The patterns of the base kinds.
@@ -113,9 +117,8 @@ def entity(kind: str, found: str) -> int:
 
 
 def term_of(word: str) -> str | None:
-    """A word as a term: A-Z lowered, no ASCII punctuation around it, four letters at least."""
-    t = word.strip(EDGES).translate(LOWERED)
-    return t if len(t) >= 4 and t.isalpha() else None
+    """A word as a term: A-Z lowered, no ASCII punctuation around it; null if nothing is left."""
+    return word.strip(EDGES).translate(LOWERED) or None
 
 
 def near_terms(text: str, spans: list[Span]) -> Iterator[tuple[int, str, int]]:
@@ -123,9 +126,11 @@ def near_terms(text: str, spans: list[Span]) -> Iterator[tuple[int, str, int]]:
     name of all the surroundings in which the text holds them."""
     words = [m[0] for m in WORD.finditer(text)]
     starts = [m.start() for m in WORD.finditer(text)]
+    within = [(bisect_right(starts, a) - 1, bisect_left(starts, b) - 1) for a, b, _ in spans]
+    for first, last in within:  # words of entities are no terms
+        words[first : last + 1] = [""] * (last + 1 - first)
     seen = defaultdict(set)
-    for a, b, kind in spans:
-        first, last = bisect_right(starts, a) - 1, bisect_left(starts, b) - 1
+    for (a, b, kind), (first, last) in zip(spans, within):
         around = [term_of(w) for w in words[max(0, first - WINDOW) : first] + words[last + 1 : last + 1 + WINDOW]]
         where = xxhash.xxh3_64_intdigest(" ".join(t or "" for t in around)) - 2**63
         name = entity(kind, text[a:b])
@@ -150,14 +155,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return map_texts(docs, "entity long, term string, surroundings long", rows)
 
 
+def smoothed(posterior: Column) -> Column:
+    """The posterior, weighed by the different surroundings against chance."""
+    return (F.col("contexts") * posterior + WEIGHT * F.col("chance")) / (F.col("contexts") + WEIGHT)
+
+
+def discloses(posterior: Column) -> Column:
+    s = smoothed(posterior)
+    return (s >= POSTERIOR) & (F.log2(s / F.col("chance")) >= BITS)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """term, entity, near (documents), of (documents that hold the entity), for
-    pairs with enough different surroundings, a document's counting once."""
+    """term, entity, near (documents), contexts, chance (share of the documents
+    that hold the entity), for pairs that disclose if nothing else holds the term."""
     seen = stage(occurrences(docs).groupBy("entity", "term", "surroundings").count(), "occurrences")
     pairs = seen.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(
-        F.sum("count").alias("near"), F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    entities = seen.where(F.col("term").isNull()).groupBy("entity").agg(F.sum("count").alias("of"))
-    return pairs.join(entities, "entity").select("term", "entity", "near", "of")
+        F.sum("count").alias("near"), F.count("*").alias("contexts"))
+    entities = seen.where(F.col("term").isNull()).groupBy("entity").agg(
+        (F.sum("count") / F.lit(docs.count())).alias("chance"))
+    return pairs.join(entities, "entity").where(discloses(F.lit(1.0))).select(
+        "term", "entity", "near", "contexts", "chance")
 
 
 def blocks_of(terms: DataFrame, block: int) -> list[DataFrame]:
@@ -197,11 +214,8 @@ def disclosing(docs: DataFrame) -> DataFrame:
     held = holding(docs, terms)
     if held is None:
         return pairs.select("term", F.lit(0.0).alias("posterior")).limit(0)
-    total = docs.count()
     posterior = F.col("near") / F.col("holding")
-    bits = F.log2(posterior / (F.col("of") / F.lit(total)))
-    told = pairs.join(held, "term").withColumn("posterior", posterior).where(
-        (posterior >= POSTERIOR) & (bits >= BITS))
+    told = pairs.join(held, "term").where(discloses(posterior)).withColumn("posterior", posterior)
     return stage(told.groupBy("term").agg(F.max("posterior").alias("posterior")), "disclosing")
 
 

@@ -95,6 +95,19 @@ def test_copies_do_not_disclose(spark):
     assert disclosure.disclosing(docs).count() == 0
 
 
+def test_every_word_may_disclose(spark):
+    """Short, CJK and punctuated names, and names with digits; two texts suffice, one does not."""
+    names = ["Kim", "李明", "O'Brien", "Jean-Luc", "staff0042", "x7"]
+    data = [(10 * i + k, f"here {'abcde'[k]}{i} {name}, n{i}@corp.org {'vwxyz'[k]}{i} now", 1)
+            for i, name in enumerate(names) for k in range(5 if i < 2 else 2)]
+    data += [(90, "here lonely once@corp.org now", 1), (91, "here and now", 1), (92, "Ask (KIM) or 李明 now", 1)]
+    data += [(100 + i, f"here now filler {i}", 1) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long")
+    told = {r.term for r in disclosure.disclosing(docs).collect()}
+    assert told == {"kim", "李明", "o'brien", "jean-luc", "staff0042", "x7"}
+    assert {r.doc_id: r.spans for r in disclosure.find(docs).collect()}[92] == "term:5:8,term:13:15"
+
+
 def test_a_text_that_repeats_its_contact_counts_once(spark):
     """An ordinary word of ten texts, one of which holds a contact by it in six lines."""
     lines = [f"line{c} before{c} ordinary boss@corp.org after{c} then{c}" for c in "abcdef"]
