@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from nocturne.llm import bpe, cascade, cotraining, disclosure, jaccard, kdshard, licenses, packing, suffix_tree, topk
+from nocturne.llm import (
+    bpe, cascade, contentsort, cotraining, disclosure, hardnegatives, jaccard, kdshard, licenses, packing, spelling,
+    suffix_tree, topk,
+)
 from nocturne.llm.common import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +139,82 @@ def op5(spark, sf_dir):
 @query("op2_suffix_tree")
 def op2(spark, sf_dir):
     return suffix_tree.scores(read(spark, sf_dir, "documents"))
+
+
+@query("op11_slot_negatives", """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.k AS a, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS j FROM s WHERE same
+), w AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a, p.j ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s n ON p.j <= 5 AND n.a = p.a AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 3
+""")
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hardnegatives.labelled_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)
+    return hardnegatives.mine(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+@query("op12_content_sort", r"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER same = 1 AS kept, sha256(t) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY t ORDER BY doc_id NULLS LAST)
+""")
+def op12(spark, sf_dir):
+    return contentsort.equal_texts(read(spark, sf_dir, "documents"))
+
+
+# The checksum goes byte by byte over a table of 256 numbers built by its rule.
+@query("op13_trie_pairs", r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), d AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+      string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+      lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, ord(x) - 64] END))),
+    lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM d, tab
+), v AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+      ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), skip AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM v, range(1, length(word) + 1) t(i)
+), near AS MATERIALIZED (
+  SELECT DISTINCT x.word, y.word AS other, y.n FROM skip x JOIN skip y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM skip x JOIN v y ON y.word = x.a || x.b
+  UNION SELECT y.word, x.word, x.n FROM skip x JOIN v y ON y.word = x.a || x.b
+), best AS MATERIALIZED (
+  SELECT word, count(*) AS n_near, max(n) AS form_n, arg_min(other, (-n, other)) AS form FROM near GROUP BY word
+), f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form,
+    CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)
+), walk(word, root) AS (
+  SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL
+), ends AS (SELECT walk.word, root FROM walk JOIN f ON f.word = root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+""")
+def op13(spark, sf_dir):
+    return spelling.group_variants(read(spark, sf_dir, "documents"))
