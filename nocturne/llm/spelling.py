@@ -37,7 +37,7 @@ RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")  # a-z and U+00C0 to U+00FF, i
 LEAST_LENGTH = 5
 LEAST_COUNT = 3
 ONE_IN = 97  # runs that lose a code point
-HELD = 300_000  # words counted in memory before they are passed on
+HELD = 150_000  # words counted in memory before they are passed on
 RANGE_BYTES = 16 * 2**20  # of words per range
 
 
@@ -134,7 +134,8 @@ def trie_nodes(words: DataFrame) -> DataFrame:
     The number of the whole word rises with the word's place in code-point order."""
     staged = local_nodes(words)
     offset, before, path, fixes = 0, None, [], []
-    for r in staged.where("first IS NOT NULL").orderBy("part").toLocalIterator():  # one row per range
+    edges = staged.where("first IS NOT NULL").collect()  # one row per range
+    for r in sorted(edges, key=lambda r: r["part"]):
         taken = path[: common(r["first"], before)] if before is not None else []
         fixes.append((r["part"], offset, taken))
         own = min(r["shared"], len(taken))
