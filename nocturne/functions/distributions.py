@@ -91,7 +91,7 @@ def t_quantile(p: float, df: float) -> float:
     if math.isinf(df):
         return normal_quantile(p)
     low, high = 0.0, 1.0
-    tail = lambda t: float(two_sided_p(np.array([t]), np.array([df]))[0]) / 2
+    tail = lambda t: float(two_sided_p(np.array([t]), np.array([float(df)]))[0]) / 2
     while tail(high) > 1 - p:
         high *= 2
     for _ in range(200):

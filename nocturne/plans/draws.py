@@ -49,14 +49,18 @@ def sorted_draws(draws: DataFrame, chunks: int | None = None) -> Timeline:
 def hpd(ordered: Timeline, prob: float = 0.95) -> DataFrame:
     """Narrowest interval that holds ``prob`` of the draws; the first of equals.
 
-    Draw i is paired with draw i + gap by an equi-join on unique positions.  A
-    single draw is an interval of its own.
+    Draw i is paired with draw i + gap by an equi-join on unique positions; only
+    the draws of the two ends, a twentieth on either side, are moved.  A single
+    draw is an interval of its own.
     """
     wide = F.greatest(F.lit(1), F.bround(F.col("n") * prob).cast("long"))
     gap = F.least(F.col("n") - 1, wide)
-    rows = ordered.df.select(*KEYS, "pos", "value", gap.alias("gap"))
-    low = rows.select(*KEYS, (F.col("pos") + F.col("gap")).alias("pos"), F.col("value").alias("low"))
-    ends = low.join(rows.select(*KEYS, "pos", F.col("value").alias("high")), [*KEYS, "pos"])
+    rows = ordered.df.select(*KEYS, "pos", "value", gap.alias("gap"), "n")
+    # a low end has a partner only within the first n - gap draws, a high end only after the first gap
+    low = rows.where(F.col("pos") + F.col("gap") <= F.col("n")).select(
+        *KEYS, (F.col("pos") + F.col("gap")).alias("pos"), F.col("value").alias("low"))
+    high = rows.where(F.col("pos") > F.col("gap")).select(*KEYS, "pos", F.col("value").alias("high"))
+    ends = low.join(high, [*KEYS, "pos"])
     order = F.struct((F.col("high") - F.col("low")).alias("width"), F.col("pos"))
     best = ends.groupBy(*KEYS).agg(F.min_by(F.struct("low", "high"), order).alias("_best"))
     return best.select(*KEYS, F.col("_best.low").alias("conf_low"), F.col("_best.high").alias("conf_high"))
@@ -233,6 +237,143 @@ def effective_size(draws: DataFrame, max_lag: int = 100, acf: DataFrame | None =
     return sizes.join(total, KEYS).select(*KEYS, (F.col("n") / (1 + 2 * F.col("rho"))).alias("eff_samp"))
 
 
+def levinson_size(rho: Column, n: Column, max_lag: int = 100) -> Column:
+    """Effective number of ``n`` draws with the autocorrelations ``rho`` (lags 0, 1, …).
+
+    An autoregression is fitted for every order up to 10 log10 n by the recursion
+    of Levinson and Durbin, as a fold; the order of least AIC gives the spectrum
+    at zero.  Null where the draws do not vary."""
+    most = F.least(n - 1, F.floor(10 * F.log10(n)), F.size(rho) - 1, F.lit(max_lag)).cast("int")
+    steps = F.when(most >= 1, F.sequence(F.lit(1), most)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    start = F.struct(
+        F.expr("CAST(array() AS array<double>)").alias("a"), F.lit(1.0).alias("v"), F.lit(2.0).alias("aic"),
+        F.lit(1.0).alias("best_v"), F.lit(0.0).alias("best_sum"), F.lit(0).alias("order"))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
+
+    def reflect(s: Column, m: Column) -> Column:
+        """State with the reflection coefficient of order m."""
+        seen = total(F.zip_with(s["a"], F.reverse(F.slice(rho, F.lit(2), m - 1)), lambda x, y: x * y))
+        k = F.try_divide(F.get(rho, m) - seen, s["v"])
+        return F.struct(s["a"].alias("a"), s["v"].alias("v"), s["aic"].alias("aic"), s["best_v"].alias("best_v"),
+                        s["best_sum"].alias("best_sum"), s["order"].alias("order"), k.alias("k"), m.alias("m"))
+
+    def step(s: Column, m: Column) -> Column:
+        # a one-element transform binds the coefficient once
+        return F.get(F.transform(F.array(reflect(s, m)), grown), F.lit(0))
+
+    def grown(s: Column) -> Column:
+        k = s["k"]
+        a = F.concat(F.zip_with(s["a"], F.reverse(s["a"]), lambda x, y: x - k * y), F.array(k))
+        v = s["v"] * (1 - k * k)
+        aic = n * F.ln(F.when(v > 0, v)) + 2.0 * s["m"] + 2.0
+        better = F.coalesce(aic < s["aic"], F.lit(False))
+        return F.struct(
+            a.alias("a"), v.alias("v"), F.when(better, aic).otherwise(s["aic"]).alias("aic"),
+            F.when(better, v).otherwise(s["best_v"]).alias("best_v"),
+            F.when(better, total(a)).otherwise(s["best_sum"]).alias("best_sum"),
+            F.when(better, s["m"]).otherwise(s["order"]).alias("order"))
+
+    def finish(s: Column) -> Column:
+        left = 1 - s["best_sum"]
+        return ratio(n * (n - s["order"] - 1) * left * left, (n - 1) * s["best_v"])
+
+    size = F.aggregate(steps, start, step, finish)
+    return F.when(F.get(rho, F.lit(0)).isNotNull(), size)
+
+
+def spectral_size(draws: DataFrame, max_lag: int = 100, acf: DataFrame | None = None) -> DataFrame:
+    """n times the variance over the spectrum at zero of an autoregressive fit, per term."""
+    acf = autocorrelation(draws, max_lag) if acf is None else acf
+    lags = acf.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("lags"))  # max_lag + 1 at most
+    rho = lags.select(*KEYS, F.transform("lags", lambda x: x["acf"]).alias("rho"))
+    sizes = draws.groupBy(*KEYS).agg(F.count("value").alias("n"))
+    return sizes.join(rho, KEYS).select(*KEYS, levinson_size(F.col("rho"), F.col("n"), max_lag).alias("eff_samp"))
+
+
+def _window_parts(n: int, starts: int, first: float, last: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last iteration of the early and the late part, for each start."""
+    step = (n - 1) / (2 * (starts - 1)) if starts > 1 else 0.0
+    begin = np.ceil(1 + np.arange(starts) * step)
+    low = np.column_stack([begin, np.ceil(n - last * (n - begin))]).ravel()
+    high = np.column_stack([np.floor(begin + first * (n - begin)), np.full(starts, float(n))]).ravel()
+    return low.astype(np.int64), high.astype(np.int64)
+
+
+def _part_products(starts: int, first: float, last: float, max_lag: int, length: int):
+    """Sums of products per part and lag over one block, from prefix sums."""
+
+    def products(block: pd.DataFrame) -> pd.DataFrame:
+        v, w = np.zeros(max_lag + length), np.zeros(max_lag + length)
+        number = int(block["block"].iloc[0])
+        head = number * length + 1 - max_lag
+        at = block["iter"].to_numpy() - head
+        v[at], w[at] = block["v"].to_numpy(), 1.0
+        low, high = _window_parts(int(block["n"].iloc[0]), starts, first, last)
+        begin = number * length + 1  # iteration at place max_lag
+        until = np.clip(high - begin + 1, 0, length)
+        parts = []
+        for k in range(max_lag + 1):
+            now, was = slice(max_lag, None), slice(max_lag - k, len(v) - k)
+            since = np.minimum(np.clip(low + k - begin, 0, length), until)
+            sums = []
+            for x, y in ((v, v), (v, w), (w, v), (w, w)):
+                prefix = np.concatenate([[0.0], np.cumsum(x[now] * y[was])])
+                sums.append(prefix[until] - prefix[since])
+            parts.append(np.column_stack([np.arange(len(low)), np.full(len(low), k), *sums]))
+        rows = np.concatenate(parts)
+        rows = rows[np.isin(rows[:, 0], np.flatnonzero(until > 0))]
+        out = pd.DataFrame(rows, columns=["part", "lag", "p", "a", "b", "c"]).astype({"part": int, "lag": int})
+        out.insert(0, "term", block["term"].iloc[0])
+        out.insert(0, "model", block["model"].iloc[0])
+        return out
+
+    return products
+
+
+def drift_from(
+    draws: DataFrame, starts: int = 20, first: float = 0.1, last: float = 0.5, max_lag: int = 100,
+) -> DataFrame:
+    """model, term, start, z: the first against the last part of the draws from
+    ``start`` on, for starts spread evenly over the first half.
+
+    Errors go by `levinson_size`.  All parts come from one pass over blocks of
+    draws: prefix sums of the lagged products give every part's share of a block,
+    and only parts × lags sums per block move.  Missing draws pair with nothing."""
+    if max_lag > BLOCK:
+        raise ValueError(f"a lag of {max_lag} reaches over a block of {BLOCK} draws")
+    draws = draws.where(F.col("value").isNotNull())
+    means = stage(draws.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.max("iter").alias("n")), "means")
+    block = F.floor((F.col("iter") - 1) / BLOCK)
+    place = (F.col("iter") - 1) % BLOCK
+    next_block = F.when((place >= BLOCK - max_lag) & ((block + 1) * BLOCK < F.col("n")), block + 1)
+    centred = draws.join(means, KEYS).select(
+        *KEYS, "iter", "n", (F.col("value") - F.col("mean")).alias("v"),
+        F.explode(F.array_compact(F.array(block, next_block))).alias("block"))
+    schema = "model string, term string, part int, lag int, p double, a double, b double, c double"
+    sums = centred.groupBy(*KEYS, "block").applyInPandas(_part_products(starts, first, last, max_lag, BLOCK), schema)
+    sums = sums.groupBy(*KEYS, "part", "lag").agg(*[F.sum(x).alias(x) for x in "pabc"])
+    lags = sums.groupBy(*KEYS, "part").agg(F.sort_array(F.collect_list(F.struct("lag", *"pabc"))).alias("lags"))
+    zero = F.get("lags", F.lit(0))
+    table = lags.select(*KEYS, "part", "lags", zero["c"].alias("size"), ratio(zero["a"], zero["c"]).alias("m"))
+    product = lambda x: x["p"] - F.col("m") * (x["a"] + x["b"]) + F.col("m") * F.col("m") * x["c"]
+    table = table.select(*KEYS, "part", "size", "m", F.transform("lags", product).alias("c"))
+    rho = F.transform("c", lambda x: ratio(x, F.get("c", F.lit(0))))
+    table = table.withColumn("rho", rho).withColumn(
+        "error", ratio(ratio(F.get("c", F.lit(0)), F.col("size") - 1), levinson_size(F.col("rho"), F.col("size"), max_lag)))
+    early = F.col("part") % 2 == 0
+    number = F.floor(F.col("part") / 2).cast("int")
+    wide = table.groupBy(*KEYS, number.alias("at")).agg(
+        F.max(F.when(early, F.col("m"))).alias("m1"), F.max(F.when(~early, F.col("m"))).alias("m2"),
+        F.max(F.when(early, F.col("error"))).alias("e1"), F.max(F.when(~early, F.col("error"))).alias("e2"))
+    step = (F.col("n") - 1) / F.lit(2 * (starts - 1)) if starts > 1 else F.lit(0.0)
+    start = F.ceil(1 + F.col("at") * step)
+    return wide.join(means.select(*KEYS, "n"), KEYS).select(
+        *KEYS, start.cast("long").alias("start"),
+        ratio(F.col("m1") - F.col("m2"), F.sqrt(F.col("e1") + F.col("e2"))).alias("z"))
+
+
 def drift(draws: DataFrame, first: float = 0.1, last: float = 0.5, max_lag: int = 100) -> DataFrame:
     """z-score of the first against the last part of the draws."""
     draws = draws.where(F.col("value").isNotNull())

@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nocturne.functions.columns import (
-    arcsine, cohort_type, hours_between, ratio, recode,
+    arcsine, cohort_type, hours_between, ratio,
 )
 from nocturne.operators.joins import (
     in_role, keyed_join, lookup_join, members_of, unique_rows,
 )
 from nocturne.operators.timeline import grouping, numbered
-from nocturne.session import stage
+from nocturne.plans.quantiles import group_quantiles
 
 
 def row_count() -> Column:
@@ -470,17 +470,14 @@ def plot_groups(intake: DataFrame, statuses: DataFrame) -> DataFrame:
     return placed.withColumn("fill_group", ((F.col("n") - 1) % 6 + 1).cast("int"))
 
 
-def five_numbers(df: DataFrame, by: Sequence[str], value: str, unique: Sequence[str]) -> DataFrame:
+def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles with linear interpolation, and the whiskers at 1.5 IQR.
 
-    Exact for groups of any size and in two passes: approximate percentiles
-    bracket each quartile, rows below the bracket are counted, and only rows
-    inside it are ranked.  ``unique`` breaks ties.  Nulls in ``by`` are a
-    group; a group without values has n = 0.
-    """
+    Exact for groups of any size, by radix selection and one more aggregate.
+    Nulls in ``by`` are a group; a group without values has n = 0."""
     keyed, keys = grouping(df, by)
-    known = keyed.where(F.col(value).isNotNull()).select(*keys, *by, *unique, F.col(value).alias("_v"))
-    table = exact_quantiles(known, keys, "_v", unique, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    known = keyed.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    table = group_quantiles(known, keys, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     whiskers = known.join(table, keys).groupBy(*keys).agg(
         F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v"))).alias("low"),
@@ -489,45 +486,3 @@ def five_numbers(df: DataFrame, by: Sequence[str], value: str, unique: Sequence[
     groups = keyed.select(*keys, *by).distinct()
     whole = groups.join(table.join(whiskers, keys), keys, "left").drop(*keys)
     return whole.fillna({"n": 0})
-
-
-SMALL_GROUP = 10_000  # rows
-
-
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str], at: dict[str, float],
-    accuracy: int = 1000,
-) -> DataFrame:
-    """``n`` and the interpolated quantiles of each group; staged.
-
-    The rank of an approximate percentile is off by n / accuracy at most, so a
-    bracket of twice that on either side holds the rows looked for and few
-    others, however large a group is."""
-    slack = 2 / accuracy
-    edges = {q: (max(0.0, p - slack), min(1.0, p + slack)) for q, p in at.items()}
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-        *[F.percentile_approx(value, e, 4 * accuracy).alias(f"_{s}_{q}")
-          for q, pair in edges.items() for s, e in zip(("lo", "hi"), pair)])
-    # a group that fits one task is ranked whole: a bracket could miss a neighbour
-    whole = F.col("n") <= SMALL_GROUP
-    sizes = stage(sizes.withColumns({
-        f"_{s}_{q}": F.when(whole, F.col(f"_{e}")).otherwise(F.col(f"_{s}_{q}"))
-        for q in at for s, e in (("lo", "min"), ("hi", "max"))}).drop("_min", "_max"), "brackets")
-    rows = df.select(*keys, *unique, value).join(sizes, list(keys))
-    inside = F.filter(F.array(*[
-        F.when(F.col(value).between(F.col(f"_lo_{q}"), F.col(f"_hi_{q}")), F.lit(q)) for q in at
-    ]), lambda q: q.isNotNull())
-    below = rows.groupBy(*keys).agg(*[
-        F.count(F.when(F.col(value) < F.col(f"_lo_{q}"), 1)).alias(q) for q in at])
-    below = below.unpivot(list(keys), list(at), "_q", "_below")
-    near = rows.select(*keys, *unique, value, "n", F.explode(inside).alias("_q"))
-    placed = numbered(near, [*keys, "_q"], [value, *unique], "_pos").join(below, [*keys, "_q"])
-    rank = F.col("_pos") + F.col("_below") - 1
-    spot = (F.col("n") - 1) * recode("_q", at)
-    ends = placed.groupBy(*keys, "n", "_q").agg(
-        F.max(F.when(rank == F.floor(spot), F.col(value))).alias("_a"),
-        F.max(F.when(rank == F.ceil(spot), F.col(value))).alias("_b"))
-    each = ends.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * (spot - F.floor(spot)))
-    return stage(each.groupBy(*keys, "n").agg(*[
-        F.max(F.when(F.col("_q") == q, F.col("_x"))).alias(q) for q in at]), "quantiles")

@@ -464,7 +464,7 @@ FROM contrast c JOIN (
   FROM contrast GROUP BY phase, part) q USING (phase, part) GROUP BY ALL"""))
 def intake_five_numbers(t: Tables):
     rates = S.period_contrast(t.visits, t.statuses)
-    table = S.five_numbers(rates, ["phase", "part"], "vol_hr", ["cohort", "id_label", "sex"])
+    table = S.five_numbers(rates, ["phase", "part"], "vol_hr")
     return rounded(table, "q1", "median", "q3", "low", "high")
 
 

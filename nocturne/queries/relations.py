@@ -138,10 +138,8 @@ FROM (SELECT l_returnflag AS flag, l_extendedprice AS price FROM lineitem) JOIN
   FROM lineitem GROUP BY l_returnflag) USING (flag) GROUP BY ALL""")
 def price_five_numbers(t: Tables):
     rows = t.read("lineitem").select(
-        F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return rounded(five_numbers(rows, ["flag"], "price", ties), "q1", "median", "q3", digits=6)
+        F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"))
+    return rounded(five_numbers(rows, ["flag"], "price"), "q1", "median", "q3", digits=6)
 
 
 @query("mean_and_error", """

@@ -584,6 +584,59 @@ def drift(t: Tables):
     return rounded(D.drift(t.draws), "z", digits=6)
 
 
+def levinson_ctes(acf: str = "acf", keys: str = "model, term", source: str = "draws") -> str:
+    """CTE ``spectral``: effective size by the autoregression of least AIC."""
+    return f""",
+rhos AS (SELECT {keys}, list(acf ORDER BY lag) AS rho FROM {acf} GROUP BY {keys}),
+counted AS (SELECT {keys}, count(*) AS n FROM {source} GROUP BY {keys}),
+levinson AS (
+  SELECT {keys}, rho, n, CAST(least(n - 1, floor(10 * log10(n)), 100) AS INTEGER) AS most, 0 AS m, [0e0][1:0] AS a, 1e0 AS v,
+    2e0 AS aic, 1e0 AS best_v, 0e0 AS best_sum, 0 AS best_m FROM rhos JOIN counted USING ({keys})
+  UNION ALL
+  SELECT {keys}, rho, n, most, m, a, v, CASE WHEN better THEN fresh ELSE aic END, CASE WHEN better THEN v ELSE best_v END,
+    CASE WHEN better THEN list_sum(a) ELSE best_sum END, CASE WHEN better THEN m ELSE best_m END
+  FROM (SELECT *, fresh < aic AS better FROM (SELECT *, n * ln(v) + 2 * m + 2 AS fresh FROM (
+    SELECT {keys}, rho, n, most, m + 1 AS m, aic, best_v, best_sum, best_m, v * (1 - k * k) AS v,
+      list_concat(list_transform(range(1, m + 1), lambda j: a[j] - k * a[m + 1 - j]), [k]) AS a
+    FROM (SELECT *, (rho[m + 2] - coalesce(list_sum(list_transform(range(1, m + 1), lambda j: a[j] * rho[m + 2 - j])), 0)) / v AS k
+      FROM levinson WHERE m < most))))),
+spectral AS (SELECT {keys}, n, n * (n - best_m - 1) / (n - 1) * pow(1 - best_sum, 2) / best_v AS eff_samp
+  FROM levinson WHERE m = most)"""
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("spectral_effective_size", recursive(draws_twin(f"""{levinson_ctes()}
+SELECT model, term, round(eff_samp, 4) AS eff_samp FROM spectral""")))
+def spectral_effective_size(t: Tables):
+    return rounded(D.spectral_size(t.draws), "eff_samp", digits=4)
+
+
+STARTS = 6
+
+_WINDOWS = f""",
+begun AS (SELECT *, ceil(1 + g * ((n - 1) / {2 * (STARTS - 1)}.0)) AS s FROM (
+  SELECT model AS m, term AS t, max(iter) AS n FROM draws GROUP BY ALL), range(0, {STARTS}) r(g)),
+spans AS (SELECT m, t, g, s, 'early' AS part, s AS lo, floor(s + 0.1 * (n - s)) AS hi FROM begun
+  UNION ALL SELECT m, t, g, s, 'late', ceil(n - 0.5 * (n - s)), n FROM begun),
+parts AS (SELECT term || ':' || g AS model, part AS term, s, iter, value FROM draws
+  JOIN spans ON m = model AND t = term AND iter BETWEEN lo AND hi)"""
+
+
+@query("drift_by_start", recursive(draws_twin(f"""{levinson_ctes(source='parts')},
+moments AS (SELECT model, term, CAST(any_value(s) AS BIGINT) AS s, avg(value) AS m, var_samp(value) AS v FROM parts GROUP BY ALL)
+SELECT 'price' AS model, split_part(a.model, ':', 1) AS term, a.s AS start,
+  round((a.m - b.m) / sqrt(a.v / x.eff_samp + b.v / y.eff_samp), 5) AS z
+FROM moments a JOIN moments b ON a.model = b.model AND a.term = 'early' AND b.term = 'late'
+JOIN spectral x ON x.model = a.model AND x.term = 'early' JOIN spectral y ON y.model = a.model AND y.term = 'late'""",
+    more=_WINDOWS, source="parts")))
+def drift_by_start(t: Tables):
+    """The drift check from several starts on, with spectral errors."""
+    return rounded(D.drift_from(t.draws, STARTS), "z", digits=5)
+
+
 # Display labels of the terms
 TERM_LABELS = {"sexf": "sex (female)", "phase2": "treatment (dispersed)"}
 

@@ -1,6 +1,7 @@
 """The given star-schema tables read as an animal-tracking log.
 
-``events`` are the detections, ``customer`` the individuals.
+``events`` are the detections, ``customer`` the individuals: the first few dozen,
+among whom the users are dealt.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+INDIVIDUALS = 48  # so that an individual is seen in most phases and nights
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, with the users folded into ``INDIVIDUALS`` of the customers."""
+    events = read_table(spark, sf_dir, "events")
+    return events.withColumn("user_id", F.pmod("user_id", F.lit(INDIVIDUALS)))
+
+
 def night_of(ts: str = "ts"):
     """Days since the epoch of the noon a night begins at."""
     return F.unix_date(F.to_date(F.col(ts) - F.make_dt_interval(F.lit(0), F.lit(12))))
@@ -30,7 +40,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = kind.isin("purchase", "view")
     animal = F.col("user_id").cast("string")
     switch = (kind == "signup") & hour.between(20, 23) & (k < 40)
-    rows = read_table(spark, sf_dir, "events").withColumns({
+    rows = detections(spark, sf_dir).withColumns({
         "k": F.regexp_extract("props", "([0-9]+)", 1).cast("int"), "night": night_of()})
     first = rows.where(switch).groupBy("night").agg(
         F.min_by("event_id", F.struct("ts", "event_id")).alias("switch_id"))
@@ -65,7 +75,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per night and individual seen in it, with its attributes."""
     seen = (
-        read_table(spark, sf_dir, "events")
+        detections(spark, sf_dir)
         .select(night_of().alias("night"), F.col("user_id").alias("c_custkey"))
         .distinct()
     )
