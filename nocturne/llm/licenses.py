@@ -1,19 +1,21 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-Only DataFrame functions are used.  Template words are ordered by how many
-documents of the corpus hold them, rarest first; words that no template has
-cannot match and drop out.  A block is a line, or 64 words of the text across
-its lines, as notices wrap.  It matches a template of n words when it has at
-least ``o = ceil(threshold * n)`` of them, hence
-
-* prefix: it has one of the template's ``n - o + 1`` rarest words,
-* length: it has ``o`` different words at least,
-* position: from its first prefix word on, at least ``o`` of its template words
+Only DataFrame functions are used.  The tokens are pairs of adjacent words, so
+that a block has to keep a template's wording and not just its words.  Template
+pairs are ordered by how many documents of the corpus hold them, rarest first;
+pairs that no template has cannot match and drop out.  A block is 64 pairs of
+the whole text, across its lines, one block every 32, so that a notice of up to
+32 pairs is whole in one.  It matches a template of n pairs when it has at least
+``o = ceil(threshold * n)`` of them, hence
+
+* prefix: it has one of the template's ``n - o + 1`` rarest pairs,
+* length: it has ``o`` different pairs at least,
+* position: from its first prefix pair on, at least ``o`` of its template pairs
   are left in the global order,
 
 and what passes is verified by the intersection itself.  The template side has a
 fixed size and stands in the plan as constants; a document's blocks are arrays
-of its own row.  So one count of template words is all that is shuffled.
+of its own row.  So one count of template pairs is all that is shuffled.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ TEMPLATES = [
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
 ]
 THRESHOLD = 0.8
-BLOCK_WORDS = 64  # texts and lines that are longer are read as blocks of 64 words, one every 32
+BLOCK_PAIRS = 64  # longer texts are read as blocks of 64 pairs, one every 32
 
 
 def normalised(text: Column) -> Column:
@@ -47,24 +49,35 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SEPARATORS, " "))
 
 
+def pairs_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def template_sets(templates=TEMPLATES) -> list[tuple[list[str], str]]:
-    return [(list(dict.fromkeys(text.split())), label) for text, label in templates]
+    return [(list(dict.fromkeys(pairs_of(text.split()))), label) for text, label in templates]
+
+
+def adjacent(words: Column) -> Column:
+    """Pairs of adjacent words."""
+    rest = F.size(words) - 1
+    both = F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(rest > 0, both).otherwise(F.array().cast("array<string>"))
 
 
 def constants(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
-def global_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary, rarest first, by the number of rows whose ``words`` hold
-    a word; ties by the word.  One row per template word comes to the driver."""
-    held = F.explode(F.array_intersect(F.col("words"), constants(vocabulary))).alias("word")
-    counts = {r["word"]: r["count"] for r in words.select(held).groupBy("word").count().collect()}
+def global_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The vocabulary, rarest first, by the number of rows whose ``pairs`` hold
+    a pair; ties by the pair.  One row per template pair comes to the driver."""
+    held = F.explode(F.array_intersect(F.col("pairs"), constants(vocabulary))).alias("pair")
+    counts = {r["pair"]: r["count"] for r in rows.select(held).groupBy("pair").count().collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
 def overlap(block: Column, words: list[str], order: list[str], threshold: float) -> Column:
-    """Shared words of a block and a template, 0 where a filter rules out a match."""
+    """Shared pairs of a block and a template, 0 where a filter rules out a match."""
     ranked = [w for w in order if w in set(words)]
     least = math.ceil(threshold * len(ranked) - 1e-9)
     prefix = ranked[: len(ranked) - least + 1]
@@ -77,18 +90,12 @@ def overlap(block: Column, words: list[str], order: list[str], threshold: float)
         & (shared >= least), shared).otherwise(0)
 
 
-def windows(words: Column, size: int) -> Column:
-    """The words as one array; more than ``size`` in overlapping pieces, one every half."""
+def windows(pairs: Column, size: int) -> Column:
+    """The pairs as one array; more than ``size`` in overlapping pieces, one every half."""
     step = size // 2
-    return F.when(F.size(words) <= size, F.array(words)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - step, F.lit(1)), F.lit(step)),
-                    lambda at: F.slice(words, at, size)))
-
-
-def blocks(lines: Column, words: Column, size: int) -> Column:
-    """Word arrays of the lines, and of the whole text, whose notices may wrap."""
-    each = F.transform(lines, lambda line: windows(F.split(normalised(line), " "), size))
-    return F.concat(F.flatten(each), windows(words, size))
+    return F.when(F.size(pairs) <= size, F.array(pairs)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(pairs) - step, F.lit(1)), F.lit(step)),
+                    lambda at: F.slice(pairs, at, size)))
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -103,7 +110,7 @@ def places(words: Column, phrase: str) -> Column:
 
 
 def scan(
-    docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
+    docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, block_pairs: int = BLOCK_PAIRS
 ) -> DataFrame:
     """One row per document: n_words, places of the base phrases (n_base,
     first_word, last_word), base_labels, labels (base and template labels) and
@@ -117,7 +124,7 @@ def scan(
     lowered = docs.select(
         "doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("lowered"))
     normal = lowered.withColumn("normal", normalised(F.col("lowered")))
-    worded = normal.withColumn("words", F.split("normal", " "))
+    worded = normal.withColumn("words", F.split("normal", " ")).withColumn("pairs", adjacent(F.col("words")))
     order = global_order(worded, vocabulary)
     prefixes = sorted({
         w for words, _ in sets
@@ -130,9 +137,9 @@ def scan(
     zeros = F.array(*[F.lit(0)] * len(sets))
     each = lambda b: F.array(*[overlap(b, words, order, threshold) for words, _ in sets])
     most = F.aggregate(
-        blocks(F.split("lowered", "\n"), F.col("words"), block_words), zeros,
+        windows(F.col("pairs"), block_pairs), zeros,
         lambda best, b: F.zip_with(best, each(b), lambda x, y: F.greatest(x, y)))
-    possible = F.arrays_overlap(F.col("words"), constants(prefixes))
+    possible = F.arrays_overlap(F.col("pairs"), constants(prefixes))
     scanned = worded.select(
         "doc_id",
         F.when(F.col("normal") == "", 0).otherwise(F.size("words")).cast("long").alias("n_words"),
@@ -158,7 +165,7 @@ def twin() -> str:
         f"({i}, '{label}', {len(words)}, {math.ceil(THRESHOLD * len(words) - 1e-9)}, [{', '.join(map(repr, words))}])"
         for i, (words, label) in enumerate(template_sets()))
     cls = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    half = BLOCK_WORDS // 2
+    half = BLOCK_PAIRS // 2
     phrase = " UNION ALL ".join(
         f"SELECT k, i, '{label}' AS label FROM w, unnest(range(n)) t(i) WHERE "
         + " AND ".join(f"words[i + {j + 1}] = '{word}'" for j, word in enumerate(p.split()))
@@ -173,12 +180,12 @@ pb AS (
   SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY k
 ), l AS (
-  SELECT k, regexp_extract_all(line, '{cls}') AS words FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM w)
+  SELECT k, list_transform(range(1, n), lambda i: words[i] || ' ' || words[i + 1]) AS words FROM w
 ), b AS (
-  SELECT k, words FROM l WHERE len(words) <= {BLOCK_WORDS}
+  SELECT k, words FROM l WHERE len(words) <= {BLOCK_PAIRS}
   UNION ALL
-  SELECT k, words[s + 1 : s + {BLOCK_WORDS}] FROM l, unnest(range(0, len(words) - {half}, {half})) t(s)
-  WHERE len(words) > {BLOCK_WORDS}
+  SELECT k, words[s + 1 : s + {BLOCK_PAIRS}] FROM l, unnest(range(0, len(words) - {half}, {half})) t(s)
+  WHERE len(words) > {BLOCK_PAIRS}
 ), m(i, label, n, least, words) AS (VALUES {rows}),
 h AS (
   SELECT k, label, len(list_intersect(list_distinct(b.words), m.words)) / n AS c
