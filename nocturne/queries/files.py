@@ -139,6 +139,19 @@ def event_table_by_night(t: Tables):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("vol"), 6).alias("vol"))
 
 
+@query("nights_written_again", twin("event_table", """
+SELECT night, count(*) AS n, round(sum(CASE WHEN night % 5 = 0 THEN 2 * vol ELSE vol END), 6) AS vol
+FROM event_table GROUP BY night"""))
+def nights_written_again(t: Tables):
+    """Write the event table, then every fifth night again with doubled volumes."""
+    path = fresh(t, "events")
+    events = t.sealed_events.table()
+    logs.write_events(events, path)
+    logs.replace_nights(events.where("night % 5 = 0").withColumn("vol", 2 * F.col("vol")), path)
+    return logs.read_events(t.spark, path).groupBy("night").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("vol"), 6).alias("vol"))
+
+
 @query("event_table_as_text", twin("event_table", """
 SELECT night, event_seq, epoch_us(ts) AS ts_us, id_label, event_duration, phase, vol, choice
 FROM event_table"""))

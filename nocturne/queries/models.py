@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.plans import contrasts as K, fits, mixed, summaries as S
+from nocturne.plans import contrasts as K, fits, influence, mixed, summaries as S
 from nocturne.queries.behaviour import rounded
 from nocturne.queries.registry import Tables, query
 from nocturne.queries.sql import CTES, twin
@@ -316,3 +316,47 @@ def balanced_intercepts(t: Tables):
     one = {"(Intercept)": F.lit(1.0)}
     return rounded(model_table(mixed.mixed_model(cells, "y", one, one, "c_nationkey")).select("term", "estimate", "se"),
                    "estimate", "se", digits=4)
+
+
+# --- intervals without replicates -----------------------------------------------
+
+CTES["own_sums"] = """
+SELECT cohort, id_label, """ + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN sex = '{s}' AND phase = {p} THEN {c} END), 0) AS DOUBLE) AS {x}{s}{p}"
+    for s in "mf" for p in (1, 2) for x, c in (("k", "n_chases"), ("n", "n_detections"))) + """
+FROM card GROUP BY cohort, id_label"""
+
+
+def _left_out(own: str) -> str:
+    """The four terms from the totals ``t``, less the sums of ``own``."""
+    def odds(c):
+        k, n = (f"(t.{x}{c} - {own}{x}{c})" if own else f"t.{x}{c}" for x in "kn")
+        return f"ln(({k} + 0.5) / ({n} - {k} + 0.5))"
+
+    m1, m2, f1, f2 = map(odds, ("m1", "m2", "f1", "f2"))
+    return f"""unnest(['(Intercept)', 'sexf', 'phase2', 'sexf:phase2']) AS term,
+  unnest([{m1}, {f1} - {m1}, {m2} - {m1}, ({f2} - {m2}) - ({f1} - {m1})]) AS value"""
+
+
+_SUMS = ", ".join(f"sum({x}{s}{p}) AS {x}{s}{p}" for s in "mf" for p in (1, 2) for x in "kn")
+
+
+@query("accelerated_intervals", twin("own_sums", f""",
+t AS (SELECT {_SUMS} FROM own_sums),
+whole AS (SELECT {_left_out('')} FROM t),
+out AS (SELECT cohort, {_left_out('o.')} FROM own_sums o, t),
+middle AS (SELECT cohort, term, avg(value) AS centre, count(*) AS m FROM out GROUP BY ALL),
+parts AS (SELECT o.term, any_value(w.value) AS estimate, count(*) AS clusters,
+    sqrt(sum((m - 1) / m * pow(centre - o.value, 2))) AS se, sum((m - 1) / m * (centre - w.value)) AS bias,
+    sum(pow((m - 1) / m * (centre - o.value), 2)) AS two, sum(pow((m - 1) / m * (centre - o.value), 3)) AS three
+  FROM out o JOIN middle c ON o.term = c.term AND o.cohort IS NOT DISTINCT FROM c.cohort JOIN whole w ON w.term = o.term
+  GROUP BY o.term),
+moved AS (SELECT *, three / (6 * pow(two, 1.5)) AS a, three / (6 * pow(two, 1.5)) - bias / se AS z0 FROM parts)
+SELECT term, round(estimate, 7) AS estimate, round(se, 7) AS se, round(bias, 7) AS bias, round(a, 7) AS acceleration,
+  round(estimate + se * (z0 + (z0 - {Z95}) / (1 - a * (z0 - {Z95}))), 7) AS low,
+  round(estimate + se * (z0 + (z0 + {Z95}) / (1 - a * (z0 + {Z95}))), 7) AS high, clusters
+FROM moved"""))
+def accelerated_intervals(t: Tables):
+    """Log-odds terms of begun pursuits; individuals are left out in turn, within their cohorts."""
+    table = influence.accelerated_intervals(t.card, "n_chases", "n_detections", "id_label", "cohort", SEX, PHASE)
+    return rounded(table, "estimate", "se", "bias", "acceleration", "low", "high", digits=7)

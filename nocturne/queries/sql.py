@@ -9,7 +9,7 @@ CTES["base"] = """
 SELECT *, event_type = 'signup' AND hr BETWEEN 20 AND 23 AND k < 40 AS can_switch,
   (event_id // 8) % 10 + 1 AS place
 FROM (SELECT CAST(CAST(ts - INTERVAL 12 HOUR AS DATE) - DATE '1970-01-01' AS INTEGER) AS night,
-       event_id, ts, user_id % 48 AS user_id, event_type, value, hour(ts) AS hr,
+       event_id, ts, user_id % 36 AS user_id, event_type, value, hour(ts) AS hr,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k
 FROM events)"""
 

@@ -72,12 +72,13 @@ SEX_TESTS = {  # name: keys of the means, score
 
 
 def t_tail(t: str, df: str) -> str:
-    """Two-sided tail of Student's t in SQL: Simpson's rule over the angle
-    whose tangent is t / sqrt(df), where the density is a power of the cosine."""
-    start, steps = f"atan(abs({t}) / sqrt({df}))", 4000
+    """Two-sided tail of Student's t in SQL: Simpson's rule over the fourth root of
+    the angle from the far end, where the density is a power of the sine that is
+    steep for few degrees of freedom."""
+    end, steps = f"pow(pi() / 2 - atan(abs({t}) / sqrt({df})), 0.25)", 2000
     return f"""(SELECT 2 * sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
-    * pow(greatest(cos({start} + (pi() / 2 - {start}) * i / {steps}), 0), {df} - 1))
-  * (pi() / 2 - {start}) / {steps} / 3 / exp(lgamma({df} / 2) + lgamma(0.5) - lgamma(({df} + 1) / 2))
+    * pow(sin(pow({end} * i / {steps}, 4)), {df} - 1) * 4 * pow({end} * i / {steps}, 3))
+  * {end} / {steps} / 3 / exp(lgamma({df} / 2) + lgamma(0.5) - lgamma(({df} + 1) / 2))
   FROM range(0, {steps + 1}) r(i))"""
 
 
@@ -455,8 +456,9 @@ SELECT model, term, 2 * greatest(0.5 / count(*), least(avg(CASE WHEN value > 0 T
         "bands": """
 SELECT *, lo - 3 * bw AS x0, hi + 3 * bw AS x1, lo - 7 * bw AS start, hi - lo + 14 * bw AS span FROM (
   SELECT model, term, count(*) AS n, min(value) AS lo, max(value) AS hi,
-    0.1 * 0.9 * least(stddev_samp(value),
-      (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw
+    0.1 * 0.9 * coalesce(nullif(greatest(0, least(stddev_samp(value),
+      (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34)), 0), nullif(stddev_samp(value), 0),
+      nullif(abs(min(value)), 0), 1) * pow(count(*), -0.2) AS bw
   FROM sorted GROUP BY model, term)""",
         "at_bins": f"""
 SELECT model, term, b.n, (value - start) / (span / {last}) AS spot

@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-INDIVIDUALS = 48  # so that an individual is seen in most phases and nights
+INDIVIDUALS = 36  # so that an individual is seen in most phases and nights
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

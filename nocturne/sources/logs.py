@@ -156,6 +156,16 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.partitionBy("night").parquet(path)
 
 
+def replace_nights(events: DataFrame, path: str) -> None:
+    """Write the nights of ``events`` anew and leave all others as they are.
+
+    Every night is written beside the table first and takes its place when all
+    of them are there, so a write that fails leaves the old nights; a night of
+    which ``events`` has no row stays."""
+    writer = events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("night").parquet(path)
+
+
 def read_events(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)

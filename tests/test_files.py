@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from nocturne.sources import logs
 
@@ -103,3 +104,23 @@ def test_table_as_text_comes_back_typed(spark, tmp_path):
     logs.write_table(df, str(tmp_path / "t"))
     back = logs.read_table(spark, str(tmp_path / "t"), "n int, ts timestamp_ntz, v double, s string")
     assert back.dtypes == df.dtypes and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_a_night_is_replaced_alone(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [(n, i, f"{n}-{i}") for n in (1, 2, 3) for i in range(4)]
+    logs.write_events(spark.createDataFrame(rows, "night int, i int, v string"), path)
+    again = spark.createDataFrame([(2, 9, "new")], "night int, i int, v string")
+    logs.replace_nights(again, path)
+    got = sorted(tuple(r) for r in logs.read_events(spark, path).select("night", "i", "v").collect())
+    assert got == sorted([r for r in rows if r[0] != 2] + [(2, 9, "new")])
+    # a write that fails leaves the old night
+    broken = again.withColumn("v", F.when(F.col("i") == 9, F.raise_error(F.lit("no"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="no"):
+        logs.replace_nights(broken, path)
+    assert sorted(tuple(r) for r in logs.read_events(spark, path).select("night", "i", "v").collect()) == got
+    # one night is read from its own folder
+    one = logs.read_events(spark, path).where("night = 2")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(night" in plan and one.select(F.input_file_name()).distinct().count() == 1
+    assert one.count() == 1
