@@ -172,19 +172,23 @@ def exclusion_rules(log: DataFrame, conditions: DataFrame) -> DataFrame:
     )
 
 
-def apply_rules(log: DataFrame, rules: DataFrame, **how) -> DataFrame:
-    """Join the attributes and drop what the rules exclude.
+def with_rules(log: DataFrame, rules: DataFrame, name: str = "_kept", **how) -> DataFrame:
+    """Join the attributes and mark the rows that the rules leave in.
 
-    Rows without a known individual stay, with null attributes.
-    """
+    Rows without a known individual are left in, with null attributes."""
     inside = F.coalesce(F.col("ts").between(F.col("_low"), F.col("_high")), F.lit(False))
     return (
         lookup_join(log, rules, ["night", "id_label"], ["ts", "event_seq"], **how)
-        .where(~F.coalesce(F.col("_all") | inside, F.lit(False)))
+        .withColumn(name, ~F.coalesce(F.col("_all") | inside, F.lit(False)))
         .drop("_low", "_high", "_all")
     )
 
 
+def apply_rules(log: DataFrame, rules: DataFrame, **how) -> DataFrame:
+    """Join the attributes and drop what the rules exclude."""
+    return with_rules(log, rules, **how).where("_kept").drop("_kept")
+
+
 def drop_excluded(log: DataFrame, conditions: DataFrame) -> DataFrame:
     return apply_rules(log, exclusion_rules(log, conditions))
 
@@ -204,7 +208,10 @@ def fill_across(log: Timeline, columns: list[str]) -> Timeline:
 def require_disjoint(log: Timeline) -> None:
     """Raise if a night begins before the one before it has ended."""
     keys = list(log.partition_by)
-    spans = log.df.groupBy(*keys).agg(F.min("ts").alias("_begin"), F.max("ts").alias("_end"))
+    if log.spans is not None and log.whole:  # known from the sealing
+        spans = log.spans.groupBy(*keys).agg(F.min("_least").alias("_begin"), F.max("_greatest").alias("_end"))
+    else:
+        spans = log.df.groupBy(*keys).agg(F.min("ts").alias("_begin"), F.max("ts").alias("_end"))
     # one row per night
     before = F.max("_end").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
     early = spans.withColumn("_before", before).where(F.col("_begin") < F.col("_before"))
@@ -236,7 +243,7 @@ def build_event_table(
     order once, by night.  ``overlapping`` nights are not in the order of time
     then: the fill across nights needs a second order.
     """
-    by_night = seal(log, ["night"], ["ts", "event_seq"], chunks, "log")
+    by_night = seal(log, ["night"], ["ts", "event_seq"], chunks, "log", "ts")
     if not overlapping:
         return event_timeline(by_night, conditions, after=after, before=before).table()
     kept = _event_rows(by_night, trim_run(by_night), conditions, after, before)
@@ -252,24 +259,41 @@ def event_timeline(
     """The event table as a timeline of nights, from a log in order by night.
 
     Everything happens in that order, the fill across nights too, as nights
-    follow each other (checked); the result is written once.
+    follow each other (checked).  All that is carried from chunk to chunk comes
+    from one aggregate, and one more pass over the log writes the result.
     """
     require_disjoint(log)
-    kept = _event_rows(log, trimmed or trim_run(log), conditions, after, before)
-    filled = fill_across(kept, FILLED)
-    return filled.with_df(filled.df.select(*EVENT_COLUMNS, "_chunk", "_row")).staged("events")
+    trimmed = trimmed or trim_run(log)
+    lookup, rules = _facts(trimmed, conditions)
+    rows = with_rules(derive_visit_columns(_known(trimmed.df, lookup)), rules)
+    rows = rows.withColumn("_kept", F.col("_kept") & in_night("ts", after, before))
+    # phases and pump state count every row of the run, the fills only those that stay
+    first = trimmed.df.agg(F.min("ts")).scalar()
+    filled = trimmed.with_df(rows).running(
+        sums={"phase": switches()},
+        last_across={"pumping": F.when(F.col("ts") == first, F.lit(0.0)).otherwise(state_marks()),
+                     **{c: F.when(F.col("_kept"), F.col(c)) for c in FILLED}},
+        staged=True,
+    )
+    done = filled.df.where("_kept").withColumn("phase", (F.col("phase") + 1).cast("int"))
+    return filled.with_df(done.select(*EVENT_COLUMNS, "_chunk", "_row"), whole=False).staged("events")
+
+
+def _facts(trimmed: Timeline, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Individuals behind the tags, and the rules, both staged."""
+    lookup = stage(id_lookup(conditions), "lookup")
+    # anchors need no window, so they come from the rows before any pass
+    return lookup, stage(exclusion_rules(repair_ids(trimmed.df, lookup), conditions), "rules")
+
+
+def _known(log: DataFrame, lookup: DataFrame) -> DataFrame:
+    return repair_ids(log.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")), lookup)
 
 
 def _event_rows(
     log: Timeline, trimmed: Timeline, conditions: DataFrame, after: int, before: int
 ) -> Timeline:
-    lookup = stage(id_lookup(conditions), "lookup")
-    # anchors need no window, so they come from the rows before the pass below
-    rules = stage(exclusion_rules(repair_ids(trimmed.df, lookup), conditions), "rules")
+    lookup, rules = _facts(trimmed, conditions)
     passed = phase_and_state(trimmed)
-    known = repair_ids(
-        passed.df.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")),
-        lookup,
-    )
-    kept = apply_rules(derive_visit_columns(known), rules)
+    kept = apply_rules(derive_visit_columns(_known(passed.df, lookup)), rules)
     return passed.with_df(kept.where(in_night("ts", after, before)), whole=False)

@@ -31,6 +31,7 @@ class Timeline:
     partition_by: tuple[str, ...]
     index: DataFrame
     whole: bool = True  # no row of the sealed log has been left out
+    spans: DataFrame | None = None  # least and greatest of a column per (partition, chunk)
 
     @property
     def keys(self) -> list[str]:
@@ -122,10 +123,13 @@ class Timeline:
         maxima: Mapping[str, Column] | None = None,
         last: Mapping[str, Column] | None = None,
         last_across: Mapping[str, Column] | None = None,
+        staged: bool = False,
     ) -> Timeline:
         """Running sums, running maxima and last-non-null values, in one pass.
 
         ``last_across`` carries a value on from one partition to the next.
+        ``staged`` writes what is carried, one row per chunk, so that Spark knows
+        how small it is.
         """
         specs = [
             (sums or {}, F.sum, self._earlier),
@@ -147,6 +151,7 @@ class Timeline:
                 before.append(was.over(earlier).alias(f"_was_{name}"))
                 now[f"_now_{name}"] = here.over(upto)
         carry = self.df.groupBy(*self.keys).agg(*totals).select(*self.keys, *before)
+        carry = stage(carry, "carry") if staged else carry
         df = self.df.withColumns(now).join(carry, self.keys, "left")
         zero = F.lit(0)
         merged = {
@@ -199,8 +204,10 @@ def seal(
     order_by: Sequence[str | Column],
     chunks: int | None = None,
     name: str = "timeline",
+    spans: str | None = None,
 ) -> Timeline:
-    """Put ``df`` into range order and stage it.
+    """Put ``df`` into range order and stage it; with ``spans`` the index knows the
+    least and the greatest value of that column.
 
     ``partition_by`` + ``order_by`` must be unique per row; a null partition
     column fails at run time (see `grouping`).  The number of chunks follows
@@ -222,10 +229,14 @@ def seal(
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))),
         name,
     )
-    return Timeline(staged, tuple(partition_by), _index(staged, partition_by, name))
+    index = _index(staged, partition_by, name, spans)
+    if not spans:
+        return Timeline(staged, tuple(partition_by), index)
+    ends = ["_least", "_greatest"]
+    return Timeline(staged, tuple(partition_by), index.drop(*ends), spans=index.select(*partition_by, "_chunk", *ends))
 
 
-def _index(staged: DataFrame, partition_by: Sequence[str], name: str) -> DataFrame:
+def _index(staged: DataFrame, partition_by: Sequence[str], name: str, spans: str | None = None) -> DataFrame:
     """Rows and first row of each (partition, chunk), and the rows before it.
 
     One row per chunk: without partition columns a single task orders them,
@@ -235,7 +246,8 @@ def _index(staged: DataFrame, partition_by: Sequence[str], name: str) -> DataFra
     earlier = (
         W.partitionBy(*partition_by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     )
-    sizes = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first"))
+    ends = [F.min(spans).alias("_least"), F.max(spans).alias("_greatest")] if spans else []
+    sizes = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first"), *ends)
     return stage(
         sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("long"))),
         f"{name}-index",

@@ -53,7 +53,7 @@ class Tables:
 
     @cached_property
     def sealed_log(self) -> Timeline:
-        return seal(self.log, ["night"], ["ts", "event_seq"], name="log")
+        return seal(self.log, ["night"], ["ts", "event_seq"], name="log", spans="ts")
 
     @cached_property
     def conditions(self) -> DataFrame:
