@@ -38,10 +38,13 @@ NUDGE = 1e-5  # for differences of the gradient
 @dataclass(frozen=True)
 class MixedFit:
     """The fixed effects (intervals go by the normal distribution) and the variance
-    components (component, value); ``passes`` is the number of passes over the groups."""
+    components (component, value); ``effects`` (group, term, estimate, se) are the
+    predicted random terms of each group, shrunk towards zero, with the error of the
+    prediction; ``passes`` is the number of passes over the groups."""
 
     fixed: Fit
     components: DataFrame
+    effects: DataFrame
     n_groups: int
     passes: int
     beta: np.ndarray
@@ -50,14 +53,14 @@ class MixedFit:
 
 
 def group_products(df: DataFrame, columns: Sequence[Column], group: str) -> DataFrame:
-    """n and the products of all pairs of columns, summed by group; rows in which
+    """g, n and the products of all pairs of columns, summed by group; rows in which
     the group or a column is null are left out.  One row per group, staged."""
     named = [c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
     rows = df.select(F.col(group).alias("g"), *named).dropna()
     pairs = [(i, j) for i in range(len(named)) for j in range(i, len(named))]
     sums = rows.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i, j in pairs])
-    return stage(sums.select("n", F.array(*[f"s{i}_{j}" for i, j in pairs]).alias("sums")), "group-products")
+    return stage(sums.select(F.col("g").cast("string").alias("g"), "n", F.array(*[f"s{i}_{j}" for i, j in pairs]).alias("sums")), "group-products")
 
 
 class Criterion:
@@ -142,6 +145,33 @@ class Criterion:
         return out
 
 
+def group_effects(
+    criterion: Criterion, root: np.ndarray, beta: np.ndarray, inverse: np.ndarray, within: float, names: Sequence[str],
+) -> DataFrame:
+    """Predicted random terms of every group, from its own sums alone."""
+    p, q, scale, trial = criterion.p, criterion.q, criterion.scale, root @ root.T
+    upper = np.triu_indices(p + q + 1)
+
+    def predict(batches):
+        for batch in batches:
+            n = batch.num_rows
+            flat = batch["sums"].flatten().to_numpy().reshape(n, -1)
+            full = np.zeros((n, p + q + 1, p + q + 1))
+            full[:, upper[0], upper[1]] = full[:, upper[1], upper[0]] = flat
+            zx, zy = full[:, p : p + q, :p] / scale[:, None], full[:, p : p + q, -1] / scale
+            w = full[:, p : p + q, p : p + q] / np.outer(scale, scale)
+            a = np.linalg.inv(np.eye(q) + w @ trial)
+            left = (a @ (zy - zx @ beta)[:, :, None])[:, :, 0]
+            seen = a @ w - a @ zx @ inverse @ np.swapaxes(zx, 1, 2) @ np.swapaxes(a, 1, 2)
+            error = within * np.diagonal(trial - trial @ seen @ trial, axis1=1, axis2=2)
+            group = [g for g in batch["g"].to_pylist() for _ in range(q)]
+            yield pa.RecordBatch.from_pydict({
+                "group": pa.array(group, pa.string()), "term": pa.array([*names] * n, pa.string()),
+                "estimate": (left @ trial / scale).ravel(), "se": (np.sqrt(np.maximum(error, 0)) / scale).ravel()})
+
+    return criterion.groups.mapInArrow(predict, "group string, term string, estimate double, se double")
+
+
 def restricted_fit(criterion: Criterion) -> np.ndarray:
     """The Cholesky factor of G / s2 (of scaled random columns) at the maximum."""
     q = criterion.q
@@ -196,6 +226,7 @@ def mixed_model(
     return MixedFit(
         fixed=fit_tables(spark, names, beta, cov, math.inf, criterion.n),
         components=spark.createDataFrame([*parts, ("residual", float(within))], "component string, value double"),
+        effects=group_effects(criterion, root, beta, inverse, within, list(random)),
         n_groups=criterion.m, passes=criterion.passes, beta=beta, between=between, within=float(within))
 
 

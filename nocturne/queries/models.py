@@ -286,13 +286,40 @@ SELECT unnest(['(Intercept)', 'x', 'var((Intercept))', 'cov((Intercept), x)', 'v
   unnest([round(sqrt(va / m), 5), round(sqrt(vb / m), 5), NULL, NULL, NULL, NULL]) AS se FROM total"""))
 def balanced_slopes(t: Tables):
     """Where every group has the same design, the mixed model has a closed form."""
+    return rounded(model_table(size_fit(t)).select("term", "estimate", "se"), "estimate", "se", digits=5)
+
+
+def size_fit(t: Tables) -> mixed.MixedFit:
     lines = t.read("lineitem").join(t.read("part"), F.col("p_partkey") == F.col("l_partkey"))
     x = (F.round(F.col("l_discount") * 100).cast("int") - 5).alias("x")
     cells = lines.select("p_size", "l_quantity", x).groupBy("p_size", "x").agg(
         (F.avg("l_quantity") + F.col("x") * (F.col("p_size") % 7) / 10 + F.col("p_size") % 5).alias("y"))
     terms = {"(Intercept)": F.lit(1.0), "x": F.col("x")}
-    return rounded(model_table(mixed.mixed_model(cells, "y", terms, terms, "p_size")).select("term", "estimate", "se"),
-                   "estimate", "se", digits=5)
+    return mixed.mixed_model(cells, "y", terms, terms, "p_size")
+
+
+@query("balanced_slope_effects", twin("size_discounts", """,
+line AS (SELECT p_size, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS rss,
+  count(*) AS k, regr_sxx(y, x) AS sxx FROM size_discounts GROUP BY p_size),
+total AS (SELECT count(*) AS m, sum(rss) / sum(k - 2) AS s2, any_value(k) AS k, any_value(sxx) AS sxx, avg(a) AS a, avg(b) AS b,
+  var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS vab FROM line),
+-- G times the inverse of the covariance of the groups' lines
+w AS (SELECT *, va - s2 / k AS ga, vb - s2 / sxx AS gb, va * vb - vab * vab AS det FROM total),
+shrink AS (SELECT *, (ga * vb - vab * vab) / det AS w11, (vab * va - ga * vab) / det AS w12,
+  (vab * vb - gb * vab) / det AS w21, (gb * va - vab * vab) / det AS w22 FROM w)
+SELECT CAST(p_size AS VARCHAR) AS "group", unnest(['(Intercept)', 'x']) AS term,
+  unnest([round(w11 * (l.a - s.a) + w12 * (l.b - s.b), 4), round(w21 * (l.a - s.a) + w22 * (l.b - s.b), 4)]) AS estimate,
+  unnest([round(sqrt(ga - (1 - 1 / m) * (w11 * ga + w12 * vab)), 4), round(sqrt(gb - (1 - 1 / m) * (w21 * vab + w22 * gb)), 4)]) AS se
+FROM line l, shrink s"""))
+def balanced_slope_effects(t: Tables):
+    """Predicted intercept and slope of every size, against their closed form."""
+    return rounded(size_fit(t).effects, "estimate", "se", digits=4)
+
+
+@query("intake_cohort_effects")
+def intake_cohort_effects(t: Tables):
+    """Predicted intercept and slope over the nights of every cohort."""
+    return intake_fit(t).effects
 
 
 CTES["nation_prices"] = """

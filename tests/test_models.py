@@ -66,6 +66,25 @@ def test_no_nearby_variances_are_likelier(spark):
                      "var(x)": pytest.approx(fit.between[1, 1]), "residual": pytest.approx(fit.within)}
 
 
+def test_predicted_effects_from_whole_matrices(spark):
+    """G Z' V^-1 (y - X b), and the error of that prediction."""
+    rows = made_up(6, groups=12)
+    _, _, fit = fit_of(spark, rows)
+    _, beta, inverse = restricted(rows, fit.between, fit.within)
+    got = {(r.group, r.term): (r.estimate, r.se) for r in fit.effects.collect()}
+    assert len(got) == 24
+    for g in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == g]
+        x = np.array([[1, r[1], r[2]] for r in mine])
+        y, z = np.array([r[3] for r in mine]), x[:, :2]
+        v = np.linalg.inv(z @ fit.between @ z.T + fit.within * np.eye(len(y)))
+        u = fit.between @ z.T @ v @ (y - x @ beta)
+        p = v - v @ x @ inverse @ x.T @ v
+        error = np.sqrt(np.diag(fit.between - fit.between @ z.T @ p @ z @ fit.between))
+        for i, term in enumerate(("one", "x")):
+            assert got[g, term] == pytest.approx((u[i], error[i]), rel=1e-6)
+
+
 def test_scores_of_the_rows_vanish(spark):
     df, fixed, fit = fit_of(spark, made_up(3))
     for r in M.fixed_scores(df, "y", fixed, "g", "x", fit).collect():

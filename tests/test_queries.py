@@ -21,4 +21,4 @@ def test_queries_without_a_twin_are_fits():
     """Only iterated fits have no SQL."""
     assert {*queries.QUERIES} - {*queries.ORACLES} == {
         "binomial_glm_with_weight_errors", "intake_mixed_model", "intake_mixed_model_of_females",
-        "intake_mixed_grid", "intake_mixed_trends"}
+        "intake_mixed_grid", "intake_mixed_trends", "intake_cohort_effects"}
