@@ -387,3 +387,109 @@ def accelerated_intervals(t: Tables):
     """Log-odds terms of begun pursuits; individuals are left out in turn, within their cohorts."""
     table = influence.accelerated_intervals(t.card, "n_chases", "n_detections", "id_label", "cohort", SEX, PHASE)
     return rounded(table, "estimate", "se", "bias", "acceleration", "low", "high", digits=7)
+
+
+# --- the four binomial models side by side ---------------------------------------
+
+# name: (rows, hits, first factor)
+BINOMIAL_MODELS = {
+    "begun": ("card", "n_chases", SEX), "received": ("card", "n_chased", SEX),
+    "begun, females": ("females", "n_chases", TYPE), "received, females": ("females", "n_chased", TYPE),
+}
+FEMALES = """,
+females AS (SELECT *, CASE WHEN cohort LIKE '%mixed%' THEN 'mixed' ELSE 'single-sex' END AS cohort_type
+  FROM card WHERE sex <> 'm' AND cohort <> 'building')"""
+
+
+def model_ctes() -> str:
+    """For the i-th model: cell sums ``c{i}``, influences ``i{i}`` and log-odds ``o{i}``
+    of the cells x1, y1, x2, y2 (base and other level by phase)."""
+    parts = [FEMALES]
+    for i, (rows, hits, (a, (a0, a1))) in enumerate(BINOMIAL_MODELS.values()):
+        cell = {f"{n}{p}": f"{a} = '{v}' AND phase = {p}" for n, v in (("x", a0), ("y", a1)) for p in (1, 2)}
+        odds = ", ".join(f"max(CASE WHEN {w} THEN ln(k / (n - k)) END) AS {n}" for n, w in cell.items())
+        mine = ", ".join(f"coalesce(sum(CASE WHEN {w} THEN e END), 0) AS {n}" for n, w in cell.items())
+        parts.append(f""",
+c{i} AS (SELECT {a}, phase, CAST(sum({hits}) AS DOUBLE) AS k, CAST(sum(n_detections) AS DOUBLE) AS n FROM {rows}
+  WHERE {a} IS NOT NULL AND phase IS NOT NULL GROUP BY ALL),
+o{i} AS (SELECT {odds} FROM c{i}),
+i{i} AS (SELECT id_label, {mine} FROM (
+  SELECT id_label, r.{a}, r.phase, sum({hits} - n_detections * k / n) / any_value(k * (n - k) / n) AS e
+  FROM {rows} r JOIN c{i} USING ({a}, phase) GROUP BY ALL) GROUP BY id_label)""")
+    return "".join(parts)
+
+
+def of_models(contrasts) -> str:
+    """CTE ``effects`` of ``contrasts(first factor)``: columns -> expression, for every model."""
+    parts = [f"""SELECT '{name}' AS model, {key}, (SELECT {expr} FROM o{i}) AS estimate,
+      (SELECT sqrt(sum(pow({expr}, 2)) * count(*) / (count(*) - 1)) FROM i{i}) AS se"""
+             for i, (name, (_, _, first)) in enumerate(BINOMIAL_MODELS.items()) for key, expr in contrasts(first).items()]
+    return f"{model_ctes()},\neffects AS ({' UNION ALL '.join(parts)})"
+
+
+def model_terms(first) -> dict[str, str]:
+    name = f"{first[0]}{first[1][1]}"
+    return {"'(Intercept)' AS term": "x1", f"'{name}' AS term": "y1 - x1", "'phase2' AS term": "x2 - x1",
+            f"'{name}:phase2' AS term": "(y2 - x2) - (y1 - x1)"}
+
+
+def model_pairs(first) -> dict[str, str]:
+    a, (a0, a1) = first
+    low, high = sorted((a0, a1))
+    sign = "" if high == a1 else "-1 * "
+    return {f"'phase' AS factor, '{a0}' AS held, '1' AS level1, '2' AS level2": "x1 - x2",
+            f"'phase' AS factor, '{a1}' AS held, '1' AS level1, '2' AS level2": "y1 - y2",
+            f"'{a}' AS factor, '1' AS held, '{low}' AS level1, '{high}' AS level2": f"{sign}(x1 - y1)",
+            f"'{a}' AS factor, '2' AS held, '{low}' AS level1, '{high}' AS level2": f"{sign}(x2 - y2)"}
+
+
+_EFFECTS = f"""round(estimate, 5) AS estimate, round(se, 5) AS se, round(estimate - {Z95} * se, 5) AS low,
+  round(estimate + {Z95} * se, 5) AS high, round(estimate / se, 4) AS statistic,
+  round(2 - 2 * {phi('abs(estimate / se)')}, 5) AS p FROM effects"""
+
+
+def binomial_fits(t: Tables):
+    """(name, first factor, clustered fit) of each model."""
+    rows = {"card": t.card, "females": S.with_group_type(t.card, ["building"])}
+    for name, (source, hits, first) in BINOMIAL_MODELS.items():
+        yield name, first, fits.clustered_glm(rows[source], hits, "n_detections", first, PHASE, CLUSTER)
+
+
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table
+
+
+@query("binomial_models", twin("card", f"{of_models(model_terms)}\nSELECT model, term, {_EFFECTS}"))
+def binomial_models(t: Tables):
+    """Pursuits begun and received, of all and of females by type of cohort, with clustered errors."""
+    return stacked([shown(K.term_table(fit), 5).withColumn("model", F.lit(name)) for name, _, fit in binomial_fits(t)])
+
+
+@query("binomial_model_contrasts", twin("card", f"""{of_models(model_pairs)}
+SELECT model, factor, held, level1, level2, {_EFFECTS}"""))
+def binomial_model_contrasts(t: Tables):
+    """Of each model: phases within a level, and levels within a phase."""
+    parts = []
+    for name, first, fit in binomial_fits(t):
+        grid = K.grid_weights(t.spark, fit.names, first, PHASE)
+        for over, other in (("phase", first[0]), (first[0], "phase")):
+            pairs = K.pair_weights(grid, [over], [other]).withColumn("held", F.col(other).cast("string")).drop(other, "family")
+            parts.append(K.contrast(fit, pairs).withColumns({"model": F.lit(name), "factor": F.lit(over)}))
+    return shown(stacked(parts), 5)
+
+
+@query("trend_contrasts_of_females", line_twin("typed_dispersion", "typed_dispersion", "cohort_type", f"""
+SELECT factor, held, level1, level2, {SHOWN} FROM (
+  SELECT 'phase' AS factor, x.cohort_type AS held, '1' AS level1, '2' AS level2, x.b - y.b AS estimate,
+    sqrt(s2 * (1 / x.sxx + 1 / y.sxx)) AS se, df, tq
+  FROM line x JOIN line y ON x.cohort_type = y.cohort_type AND x.phase = 1 AND y.phase = 2, pool, reach
+  UNION ALL SELECT 'cohort_type', CAST(x.phase AS VARCHAR), 'mixed', 'single-sex', x.b - y.b,
+    sqrt(s2 * (1 / x.sxx + 1 / y.sxx)), df, tq
+  FROM line x JOIN line y ON x.phase = y.phase AND x.cohort_type = 'mixed' AND y.cohort_type = 'single-sex', pool, reach)"""))
+def trend_contrasts_of_females(t: Tables):
+    fit = fits.linear_model(
+        S.female_dispersion(t.visits), "sd_consumed", mixed.crossed_terms(TYPE, PHASE, "night"))
+    return shown_lines(slope_pairs(t, fit, TYPE))
