@@ -312,3 +312,43 @@ def test_no_sort_of_rows_for_quantiles(spark):
     df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS double) AS v")
     plan = S.five_numbers(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "RangePartitioning" not in plan
+
+
+# --- leaving clusters out ---
+
+
+def test_accelerated_intervals_from_refits(spark):
+    """Each individual left out of the rows in turn, within cohorts."""
+    from nocturne.plans.influence import accelerated_intervals
+
+    rows = [(*r, f"c{int(r[0][1:]) % 3}") for r in card_rows(8)] + [("lone", "m", 1, 40.0, 3, 30, "c9")]
+    df = spark.createDataFrame(rows, "id string, sex string, phase int, weight double, k int, n int, cohort string")
+    got = {r.term: r for r in accelerated_intervals(df, "k", "n", "id", "cohort", *LEVELS).collect()}
+
+    def terms(kept):
+        odds = {}
+        for s in "mf":
+            for p in (1, 2):
+                k, n = (sum(r[i] for r in kept if r[1] == s and r[2] == p) for i in (4, 5))
+                odds[s, p] = math.log((k + 0.5) / (n - k + 0.5))
+        base = odds["m", 1]
+        return {"(Intercept)": base, "sexf": odds["f", 1] - base, "phase2": odds["m", 2] - base,
+                "sexf:phase2": odds["f", 2] - odds["m", 2] - odds["f", 1] + base}
+
+    whole, strata = terms(rows), {}
+    for who, cohort in {(r[0], r[6]) for r in rows}:
+        strata.setdefault(cohort, []).append(terms([r for r in rows if r[0] != who]))
+    for term, estimate in whole.items():
+        var = bias = two = three = 0.0
+        for outs in strata.values():
+            values = np.array([o[term] for o in outs])
+            m, d = len(values), values.mean() - values
+            var += (m - 1) / m * (d @ d)
+            bias += (m - 1) * (values.mean() - estimate)
+            two, three = two + (((m - 1) * d / m) ** 2).sum(), three + (((m - 1) * d / m) ** 3).sum()
+        a = three / 6 / two**1.5
+        z0 = a - bias / math.sqrt(var)
+        bounds = [estimate + math.sqrt(var) * (z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (-1.959964, 1.959964)]
+        r = got[term]
+        assert (r.estimate, r.se, r.bias, r.acceleration) == pytest.approx((estimate, math.sqrt(var), bias, a))
+        assert (r.low, r.high) == pytest.approx(bounds, rel=1e-5) and r.clusters == 25
