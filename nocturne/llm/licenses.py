@@ -21,7 +21,6 @@ of its own row.  So one count of template pairs is all that is shuffled.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,16 +68,23 @@ def constants(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
-def holds(padded: Column, phrase: str) -> Column:
-    """Whether a normalised text, with a space on either side, has these words in a row."""
-    return padded.contains(f" {phrase} ")
+def telling(pairs: list[str]) -> Column:
+    """The longer word of each pair: a text without any of them has none of the pairs."""
+    return constants(sorted({min(p.split(), key=lambda w: (-len(w), w)) for p in pairs}))
+
+
+def pairs_if(pairs: list[str]) -> Column:
+    """The pairs of a row's ``words``; none where none of ``pairs`` can be among them."""
+    possible = F.arrays_overlap(F.col("words"), telling(pairs))
+    return F.when(possible, adjacent(F.col("words"))).otherwise(F.array().cast("array<string>"))
 
 
 def global_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary, rarest first, by the number of rows whose ``padded`` text
-    holds a pair; ties by the pair.  One row of counts comes to the driver."""
-    counts = rows.agg(*[F.count(F.when(holds(F.col("padded"), w), 1)) for w in vocabulary]).first()
-    return [w for _, w in sorted(zip(counts, vocabulary))]
+    """The vocabulary, rarest first, by the number of rows whose ``words`` hold
+    a pair; ties by the pair.  One row per template pair comes to the driver."""
+    held = F.explode(F.array_intersect(pairs_if(vocabulary), constants(vocabulary))).alias("pair")
+    counts = {r["pair"]: r["count"] for r in rows.select(held).groupBy("pair").count().collect()}
+    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
 def overlap(block: Column, words: list[str], order: list[str], threshold: float) -> Column:
@@ -129,19 +135,17 @@ def scan(
     lowered = docs.select(
         "doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("lowered"))
     normal = lowered.withColumn("normal", normalised(F.col("lowered")))
-    padded = normal.withColumn("padded", F.concat(F.lit(" "), F.col("normal"), F.lit(" ")))
-    order = global_order(padded, vocabulary)
+    worded = normal.withColumn("words", F.split("normal", " "))
+    order = global_order(worded, vocabulary)
     prefixes = sorted({
         w for words, _ in sets
         for w in [x for x in order if x in set(words)][
             : len(words) - math.ceil(threshold * len(words) - 1e-9) + 1]})
-    # only texts with a prefix pair are cut into pairs
-    possible = reduce(lambda a, b: a | b, [holds(F.col("padded"), w) for w in prefixes])
-    empty = F.array().cast("array<string>")
-    worded = padded.withColumns({"words": F.split("normal", " "), "possible": possible}).withColumn(
-        "pairs", F.when(F.col("possible"), adjacent(F.col("words"))).otherwise(empty))
+    # only texts that may have a prefix pair are cut into pairs
+    worded = worded.withColumn("pairs", pairs_if(prefixes))
+    padded = F.concat(F.lit(" "), F.col("normal"), F.lit(" "))
     none = F.array().cast("array<int>")
-    found = {p: F.when(holds(F.col("padded"), p), places(F.col("words"), p)).otherwise(none)
+    found = {p: F.when(padded.contains(f" {p} "), places(F.col("words"), p)).otherwise(none)
              for p in PHRASES}
     zeros = F.array(*[F.lit(0)] * len(sets))
     each = lambda b: F.array(*[overlap(b, words, order, threshold) for words, _ in sets])
@@ -152,7 +156,7 @@ def scan(
         "doc_id",
         F.when(F.col("normal") == "", 0).otherwise(F.size("words")).cast("long").alias("n_words"),
         *[c.alias(f"at_{label}") for (p, label), c in zip(PHRASES.items(), found.values())],
-        F.when(F.col("possible"), most).otherwise(zeros).alias("shared"))
+        F.when(F.size("pairs") > 0, most).otherwise(zeros).alias("shared"))
     at = F.concat(*[F.col(f"at_{label}") for label in PHRASES.values()])
     base = F.array_compact(F.array(
         *[F.when(F.size(f"at_{label}") > 0, label) for label in PHRASES.values()]))
