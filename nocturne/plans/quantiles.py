@@ -22,19 +22,21 @@ BITS = (10, 28)  # mantissa bits of the keys of the first two counts
 _ABOVE = 2**41  # key of values above all numbers
 
 
-def radix_key(x: Column, bits: int) -> Column:
-    """A long that never falls as the double ``x`` rises; NaN is above infinity.
+def with_radix_key(df: DataFrame, value: str, bits: int, name: str) -> DataFrame:
+    """``name``: a long that never falls as the double ``value`` rises; NaN is above infinity.
 
     Rounding of the logarithm just below a power of two gives the last cell of
-    the binade, which is where such a number belongs."""
-    size = F.abs(x)
-    exponent = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size)))
+    the binade, which is where such a number belongs.  Column by column, so that
+    logarithm and powers are computed once a row."""
+    x, size, exponent = F.col(value), F.abs(value), F.col("_exponent")
     # in two steps, as the power of two of the smallest numbers is itself at the edge
     half = F.floor(exponent / 2)
-    mantissa = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half)
-    key = (exponent + 1100) * 2**bits + F.floor((mantissa - 1) * 2**bits)
+    steps = df.withColumn("_exponent", F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size)))).withColumn(
+        "_mantissa", size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half))
+    key = (exponent + 1100) * 2**bits + F.floor((F.col("_mantissa") - 1) * 2**bits)
     key = F.when(size == 0, 0).when(size == float("inf"), _ABOVE).otherwise(key).cast("long")
-    return F.when(F.isnan(x), _ABOVE + 1).when(x < 0, -key).otherwise(key)
+    signed = F.when(F.isnan(x), _ABOVE + 1).when(x < 0, -key).otherwise(key)
+    return steps.withColumn(name, signed).drop("_exponent", "_mantissa")
 
 
 def wanted_ranks(n: Column, at: Mapping[str, float]) -> list[Column]:
@@ -48,7 +50,7 @@ def wanted_ranks(n: Column, at: Mapping[str, float]) -> list[Column]:
 
 
 def cells_of_ranks(counts: DataFrame, wanted: DataFrame, keys: Sequence[str], by: Sequence[str], cell: str) -> DataFrame:
-    """keys, q, end, rank, cell: the cell of each rank, which now counts within it.
+    """keys, n, q, end, rank, cell: the cell of each rank, which now counts within it.
 
     ``counts`` has the rows ``c`` per cell of the groups ``by``; staged."""
     order = W.partitionBy(*by).orderBy(cell)
@@ -56,32 +58,30 @@ def cells_of_ranks(counts: DataFrame, wanted: DataFrame, keys: Sequence[str], by
     bounds = bounds.withColumn("_below", F.coalesce("_below", F.lit(0).cast("long")))
     held = bounds.join(wanted, list(by)).where(
         (F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_below") + F.col("c")))
-    return stage(held.select(*keys, "q", "end", (F.col("rank") - F.col("_below")).alias("rank"), cell), "cells")
+    return stage(held.select(*keys, "n", "q", "end", (F.col("rank") - F.col("_below")).alias("rank"), cell), "cells")
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:
-    """``n`` and the linearly interpolated quantiles of each group; staged.
+    """``n`` and the linearly interpolated quantiles of each group.
 
     ``keys`` are never null; rows without a value are left out."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    coarse = rows.groupBy(*keys, radix_key(F.col("_v"), BITS[0]).alias("_k0")).agg(F.count(F.lit(1)).alias("c"))
-    coarse = stage(coarse, "coarse")
-    sizes = coarse.groupBy(*keys).agg(F.sum("c").alias("n"))
-    wanted = sizes.select(*keys, F.inline(F.array(*wanted_ranks(F.col("n"), at))))
+    coarse = with_radix_key(rows, "_v", BITS[0], "_k0").groupBy(*keys, "_k0").agg(F.count(F.lit(1)).alias("c"))
+    sizes = coarse.groupBy(*keys).agg(F.sum("c").alias("n"))  # the plan counts once for both
+    wanted = sizes.select(*keys, "n", F.inline(F.array(*wanted_ranks(F.col("n"), at))))
     first = cells_of_ranks(coarse, wanted, keys, keys, "_k0")
 
-    near = rows.withColumn("_k0", radix_key(F.col("_v"), BITS[0])).join(first, [*keys, "_k0"], "left_semi")
-    fine = near.groupBy(*keys, "_k0", radix_key(F.col("_v"), BITS[1]).alias("_k1")).agg(F.count(F.lit(1)).alias("c"))
+    near = with_radix_key(rows, "_v", BITS[0], "_k0").join(first, [*keys, "_k0"], "left_semi")
+    fine = with_radix_key(near, "_v", BITS[1], "_k1").groupBy(*keys, "_k0", "_k1").agg(F.count(F.lit(1)).alias("c"))
     second = cells_of_ranks(fine, first, [*keys, "_k0"], [*keys, "_k0"], "_k1")
 
-    near = rows.withColumn("_k1", radix_key(F.col("_v"), BITS[1])).join(second, [*keys, "_k1"], "left_semi")
+    near = with_radix_key(rows, "_v", BITS[1], "_k1").join(second, [*keys, "_k1"], "left_semi")
     values = near.groupBy(*keys, "_k1", "_v").agg(F.count(F.lit(1)).alias("c"))
     found = cells_of_ranks(values, second, keys, [*keys, "_k1"], "_v")
 
-    ends = found.groupBy(*keys).agg(*[
+    ends = found.groupBy(*keys).agg(F.max("n").alias("n"), *[
         F.max(F.when((F.col("q") == q) & (F.col("end") == e), F.col("_v"))).alias(f"_{q}_{e}") for q in at for e in "ab"])
-    wide = sizes.join(ends, keys)
 
     def between(q: str, p: float) -> Column:
         spot = (F.col("n") - 1) * p
@@ -89,4 +89,4 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Mapping[
 
     missed = reduce(lambda a, b: a | b, [F.col(f"_{q}_{e}").isNull() for q in at for e in "ab"])
     checked = F.when(missed, F.raise_error(F.lit("a rank was not found"))).otherwise(F.col("n"))
-    return stage(wide.select(*keys, checked.alias("n"), *[between(q, p).alias(q) for q, p in at.items()]), "quantiles")
+    return ends.select(*keys, checked.alias("n"), *[between(q, p).alias(q) for q, p in at.items()])

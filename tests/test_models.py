@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions import distributions as P
 from nocturne.plans import contrasts as K, draws as D, fits, mixed as M
-from nocturne.plans.quantiles import BITS, group_quantiles, radix_key
+from nocturne.plans.quantiles import BITS, group_quantiles, with_radix_key
 from nocturne.plans import summaries as S
 
 # --- mixed models ---
@@ -289,7 +289,7 @@ def test_radix_keys_never_fall(spark):
     values = sorted({*values, *(-v for v in values)})
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     for bits in BITS:
-        keys = [r.k for r in df.select("i", radix_key(F.col("v"), bits).alias("k")).orderBy("i").collect()]
+        keys = [r.k for r in with_radix_key(df, "v", bits, "k").orderBy("i").collect()]
         assert all(a <= b for a, b in zip(keys, keys[1:]))
         assert len(set(keys)) > 500
 
