@@ -1,108 +1,47 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts of up to ``DEPTH`` words are candidates if they make up ``CONTEXT`` of
-the training tokens.  One is kept if its next words diverge from those of its
-suffix by more bits than its distribution costs.  Distributions hold the words
-that make up ``ENTRY`` of the tokens after a context; the rest of the mass, and
-one count per word held, goes to the longest kept suffix, down to the smoothed
-word frequencies of the whole corpus.  A token is scored in the state of its
-longest kept suffix.
-
-Both limits are shares of all tokens, so a level has at most ``1 / CONTEXT``
-contexts and ``1 / ENTRY`` entries for a corpus of any size: these tables are
-broadcast.  The counts of all words, which do grow, stay distributed: tokens
-too rare for the table of ``1 / ENTRY`` words are joined with them.
+Contexts of up to ``DEPTH`` words that occur ``CONTEXT`` times are candidates.
+One is kept if its next words diverge from those of its suffix by more bits
+than its distribution costs.  Distributions hold the words seen ``ENTRY`` times
+after a context; the rest of the mass, and one count per word held, goes to the
+longest kept suffix, down to the smoothed word frequencies of the whole corpus.
+A token is scored in the state of its longest kept suffix.
+
+Both limits are occurrences, at every size, so the tree grows with the corpus
+and stays distributed.  Texts are cut into tokens once and staged in pieces.
+A word sequence (gram) is a 64-bit hash.  A gram of two words or more occurs
+``ENTRY`` times only if it does so without its oldest word, so each level counts
+what two bitmaps of fixed size, over contexts and over shorter grams, let
+through; what they let through wrongly is joined out again.  For scoring each
+piece asks, by buckets of grams, for the tree's part of its different grams,
+and gets it back in one group of bounded size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nocturne.llm.common import Words, id_and_text, pieces_of, words_of_worker
+from nocturne.llm.common import id_and_text, pieces_of, words_of_worker
 from nocturne.session import stage
 
 DEPTH = 3
-CONTEXT, ENTRY = 1e-4, 5e-7  # shares of the training tokens
-LEAST_CONTEXT = 8  # occurrences of a context in any corpus
-FLUSH = 2_000_000  # keys held before they are summed and sent
+CONTEXT, ENTRY = 8, 2  # occurrences in the training texts
+PIECE = 200_000  # tokens of a piece, about
+FLUSH = 2_000_000  # grams held before they are summed and sent
+BUCKET = 6  # pieces for each bucket of grams
+BITS, SLOT = 27, 20  # log2 of the bits of a bitmap and of those written as one row
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 END = b" "  # the end of a text as a token: no word has a space
 
-
-@dataclass
-class Tokens:
-    """The tokens of some texts one after another, as numbers of words."""
-
-    words: Words
-    number: np.ndarray
-    doc: np.ndarray  # index of the text
-    at: np.ndarray  # place in its text
-
-    @property
-    def word(self) -> np.ndarray:
-        """Hashes."""
-        return self.words.hashes[self.number]
-
-
-def tokens(texts: pa.Array) -> Tokens:
-    words = words_of_worker()
-    parts = [words.numbers([*text.as_buffer().to_pybytes().lower().split(), END]) for text in texts]
-    lengths = np.array([len(p) for p in parts], np.int64)
-    number = np.concatenate(parts)
-    starts = np.cumsum(lengths) - lengths
-    return Tokens(words, number, np.repeat(np.arange(len(parts)), lengths),
-                  np.arange(len(number)) - np.repeat(starts, lengths))
-
-
-class Index:
-    """Looks tokens up in a table of word hashes: each word once, then by number."""
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.words, self.known = table, None, np.zeros(0, np.int64)
-
-    def of(self, t: Tokens) -> np.ndarray:
-        if t.words is not self.words:
-            self.words, self.known = t.words, np.zeros(0, np.int64)
-        if len(self.known) < len(t.words):
-            more = place(self.table, t.words.hashes[len(self.known) :])
-            self.known = np.concatenate([self.known, more])
-        return self.known[t.number]
-
-
-def matches(t: Tokens, first: Index, more: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By length: places, and the candidate context before each.
-
-    A context's suffix is a candidate too, so only places that matched are
-    looked at again with one word more."""
-    context = np.concatenate([[-1], first.of(t)[:-1]])
-    places = np.flatnonzero((context >= 0) & (t.at >= 1))
-    yield places, context[places]
-    word = t.word
-    for length, hashes in enumerate(more, 2):
-        places = places[t.at[places] >= length]
-        value = np.zeros(len(places), np.uint64)
-        for k in range(length, 0, -1):
-            value = value * MULTIPLIER + word[places - k]
-        context = place(hashes, value)
-        places, context = places[context >= 0], context[context >= 0]
-        yield places, context
-
-
-def place(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Index in the sorted table, -1 where it is not there."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return np.where(table[at] == values, at, -1)
+PIECES = ("row array<long>, doc_id array<long>, held_out array<boolean>, length array<int>, lead array<int>, "
+          "words array<long>, number binary")
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -112,186 +51,275 @@ def prepared(docs: DataFrame) -> DataFrame:
         docs.withColumns({"row": F.monotonically_increasing_id(), "held_out": held_out}), "row", "held_out")
 
 
-def counted(training: DataFrame, counter) -> DataFrame:
-    """key, n: how often ``counter()(tokens)`` gives a key, over all texts."""
+def pieces(docs: DataFrame, depth: int) -> DataFrame:
+    """Tokens of all texts: one row of ``PIECES`` for about ``PIECE`` of them.
 
-    def send(batches: Iterator[pa.RecordBatch]):
-        held: list[np.ndarray] = []
-        size, keys_of = 0, counter()
+    A text longer than that is cut; each further part begins with the last
+    ``depth`` tokens before it (``lead``), which are its context only."""
+    most = PIECE
 
-        def rows():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+    def run(batches):
+        for b in (p for batch in batches for p in pieces_of(batch, 1_000_000)):
+            held, size = [], 0
+            words = words_of_worker()
+            columns = [b.column(c).to_pylist() for c in ("row", "doc_id", "held_out")]
+            for row, doc_id, held_out, text in zip(*columns, b.column("text")):
+                number = words.numbers([*text.as_buffer().to_pybytes().lower().split(), END])
+                for start in range(0, len(number), most):
+                    lead = min(depth, start)
+                    part = number[start - lead : start + most]
+                    held.append((row, doc_id, held_out, lead, part))
+                    size += len(part)
+                    if size >= most:
+                        yield piece_row(held, words.hashes)
+                        held, size = [], 0
+            if held:
+                yield piece_row(held, words.hashes)
+
+    return prepared(docs).mapInArrow(run, PIECES).withColumn("piece", F.monotonically_increasing_id())
+
+
+def piece_row(parts: list[tuple], hashes: np.ndarray) -> pa.RecordBatch:
+    row, doc_id, held_out, lead, numbers = zip(*parts)
+    used, number = np.unique(np.concatenate(numbers), return_inverse=True)
+    number = number.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    lists = [pa.array([v], pa.list_(t)) for v, t in (
+        (row, pa.int64()), (doc_id, pa.int64()), (held_out, pa.bool_()), (list(map(len, numbers)), pa.int32()),
+        (lead, pa.int32()), (hashes[used].view(np.int64), pa.int64()))]
+    return pa.RecordBatch.from_arrays([*lists, pa.array([number.tobytes()], pa.binary())],
+                                      ["row", "doc_id", "held_out", "length", "lead", "words", "number"])
+
+
+class Piece:
+    """One row of ``PIECES`` as arrays over its tokens."""
+
+    def __init__(self, table: pa.RecordBatch | pa.Table, i: int):
+        def values(name):
+            return table.column(name)[i].values
+
+        words = values("words").to_numpy().view(np.uint64)
+        raw = table.column("number")[i].as_buffer()
+        self.row, self.doc_id, self.held_out = values("row"), values("doc_id"), values("held_out")
+        length, lead = values("length").to_numpy(), values("lead").to_numpy()
+        self.word = words[np.frombuffer(raw, np.uint16 if len(words) <= 1 << 16 else np.uint32)]
+        self.part = np.repeat(np.arange(len(length)), length)
+        self.at = np.arange(len(self.word)) - np.repeat(np.cumsum(length) - length, length)
+        self.own = self.at >= lead[self.part]
+        self.trains = ~self.held_out.to_numpy(zero_copy_only=False)[self.part] & self.own
+
+    def grams(self, most: int) -> list[np.ndarray]:
+        """By words less one: the hash of the words up to each token (any value
+        where the text has fewer)."""
+        out = [self.word]
+        for _ in range(1, most):
+            out.append(np.concatenate([[np.uint64(0)], out[-1][:-1]]) * MULTIPLIER + self.word)
+        return out
+
+
+def each_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Piece(b, i)
+
+
+def by_bucket(buckets: int, gram: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """Buckets, and for each its grams and what goes with them as lists."""
+    bucket = gram.view(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    number, first = np.unique(bucket[order], return_index=True)
+    edges = pa.array(np.append(first, len(order)).astype(np.int32))
+    return pa.array(number.astype(np.int32)), [
+        pa.ListArray.from_arrays(edges, pa.array(c[order].view(np.int64))) for c in (gram, *columns)]
+
+
+def counted(parts: DataFrame, buckets: int, grams_of, least: int, *more: str) -> DataFrame:
+    """gram, n and more columns: the grams that ``grams_of(piece)`` gives
+    ``least`` times over all pieces.  It gives arrays, the grams first; a gram
+    always has the same values in the other ones."""
+    names, flush = ["gram", *more, "n"], FLUSH
+
+    def summed(gram, *columns, n):
+        gram, first, number = np.unique(gram, return_index=True, return_inverse=True)
+        return [gram, *(c[first] for c in columns), np.bincount(number, n, len(gram)).astype(np.int64)]
+
+    def send(batches):
+        held, size = [], 0
 
-        for b in batches:
-            for piece in pieces_of(b):
-                held.append(keys_of(tokens(piece.column("text"))))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield rows()
-                    held, size = [], 0
+        def rows():
+            columns = [np.concatenate(c) for c in zip(*held)]
+            bucket, lists = by_bucket(buckets, *summed(*columns, n=None))
+            return pa.RecordBatch.from_arrays([bucket, *lists], ["bucket", *names])
+
+        for piece in each_piece(batches):
+            held.append(grams_of(piece))
+            size += len(held[-1][0])
+            if size >= flush:
+                yield rows()
+                held, size = [], 0
         if size:
             yield rows()
 
-    return training.select("text").mapInArrow(send, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def add(table: pa.Table) -> pa.Table:
+        *columns, n = (table[c].combine_chunks().flatten().to_numpy() for c in names)
+        columns = summed(*columns, n=n)
+        often = columns[-1] >= least
+        return pa.table({c: pa.array(v[often], pa.int64()) for c, v in zip(names, columns)})
 
+    sent = parts.mapInArrow(send, "bucket int, " + ", ".join(f"{c} array<long>" for c in names))
+    return sent.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
 
-@dataclass
-class Level:
-    """Candidate contexts of one length; kept ones score."""
 
-    hashes: np.ndarray  # sorted
-    count: np.ndarray
-    suffix: np.ndarray  # index in the level above
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # context << 32 | symbol, sorted
-    n: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    p: np.ndarray = field(default_factory=lambda: np.zeros(0))
+def bitmap(grams: DataFrame) -> np.ndarray:
+    """2 ** ``BITS`` bits, of which each gram in the only column sets one."""
+    low = SLOT
+
+    def mark(batches):
+        slots: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = b.column("bit").to_numpy()
+            for slot in np.unique(bit >> low):
+                mine = bit[bit >> low == slot] & ((1 << low) - 1)
+                np.bitwise_or.at(slots.setdefault(slot, np.zeros(1 << low - 3, np.uint8)), mine >> 3,
+                                 np.uint8(1) << (mine & 7).astype(np.uint8))
+        for slot, bits in slots.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([slot], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["slot", "bits"])
+
+    gram = F.col(grams.columns[0])
+    bit = grams.select(F.shiftrightunsigned(gram, 64 - BITS).alias("bit"))
+    slots = bit.repartition(F.shiftright("bit", SLOT)).mapInArrow(mark, "slot long, bits binary")
+    out = np.zeros((1 << BITS - SLOT, 1 << SLOT - 3), np.uint8)
+    for r in slots.collect():  # 2 ** (BITS - SLOT) rows, one bitmap in all
+        out[r.slot] |= np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def marked(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    bit = (gram >> np.uint64(65 - (8 * len(bits)).bit_length())).astype(np.int64)
+    return bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 != 0
 
 
 @dataclass
 class Tree:
+    """``grams``: gram, a, b.  For a word a is its count, for a longer gram its
+    last word's own part of the distribution after the others, if they are a
+    kept context; b is what a kept context leaves to its suffix."""
+
     train_tokens: int
     n_words: int
-    symbols: np.ndarray  # hashes, sorted
-    count: np.ndarray
-    levels: list[Level] = field(default_factory=list)
+    grams: DataFrame
+    contexts: list[int]  # candidates, by length
 
     @property
     def mass(self) -> float:
         return self.train_tokens + 0.1 * (self.n_words + 1)
 
-    def probability(self, depth: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Of symbols after candidate contexts of a length, by their longest kept suffix."""
-        if not depth:
-            return (self.count[symbol] + 0.1) / self.mass
-        level = self.levels[depth - 1]
-        lower = self.probability(depth - 1, level.suffix[context], symbol)
-        at = place(level.keys, context << 32 | symbol)
-        own = np.where(at >= 0, level.p[at] if len(level.p) else 0.0, level.backoff[context] * lower)
-        return np.where(level.kept[context], own, lower)
-
-
-def count_words(training: DataFrame) -> DataFrame:
-    return counted(training, lambda: lambda t: t.word.view(np.int64))
-
-
-def candidates(tree: Tree) -> Level:
-    """Contexts one word longer than the last level's, from its entries."""
-    least = max(LEAST_CONTEXT, CONTEXT * tree.train_tokens)
-    end = np.uint64(xxhash.xxh3_64_intdigest(END))
-    if not tree.levels:
-        often = (tree.count >= least) & (tree.symbols != end)
-        return Level(tree.symbols[often], tree.count[often], np.zeros(int(often.sum()), np.int64))
-    last = tree.levels[-1]
-    context, symbol = last.keys >> 32, last.keys & 0xFFFFFFFF
-    often = (last.n >= least) & (tree.symbols[symbol] != end)
-    context, symbol, n = context[often], symbol[often], last.n[often]
-    hashes = last.hashes[context] * MULTIPLIER + tree.symbols[symbol]
-    # the same words without the oldest one
-    if len(tree.levels) == 1:
-        suffix = place(last.hashes, tree.symbols[symbol])
-    else:
-        before = tree.levels[-2]
-        suffix = place(last.hashes, before.hashes[last.suffix[context]] * MULTIPLIER + tree.symbols[symbol])
-    order = np.argsort(hashes)
-    order = order[suffix[order] >= 0]
-    return Level(hashes[order], n[order], suffix[order])
-
-
-def test_and_smooth(tree: Tree, level: Level) -> None:
-    """Keep contexts that diverge from their suffix; smooth what they hold."""
-    depth = len(tree.levels)
-    context, symbol = level.keys >> 32, level.keys & 0xFFFFFFFF
-    if depth == 1:
-        above = tree.count[symbol] / max(1, tree.train_tokens)
-    else:
-        parent = tree.levels[depth - 2]
-        at = place(parent.keys, level.suffix[context] << 32 | symbol)
-        above = np.where(at >= 0, parent.n[at] / parent.count[level.suffix[context]], np.nan)
-    own = level.n / level.count[context]
-    above = np.where(np.isnan(above), own, above)  # never: a suffix occurs as often
-    size = len(level.hashes)
-    total = lambda v: np.bincount(context, weights=v, minlength=size)
-    held, types = total(level.n), total(np.ones(len(context)))
-    rest, rest_above = np.maximum(0, 1 - total(own)), np.maximum(1e-12, 1 - total(above))
-    bits = total(own * np.log2(own / above)) + np.where(rest > 1e-12, rest * np.log2(np.maximum(rest, 1e-12) / rest_above), 0)
-    level.kept = level.count * bits > 0.5 * types * np.log2(level.count + 1)
-    level.backoff = (level.count - held + types) / (level.count + types)
-    level.backoff = np.where(types > 0, level.backoff, 1.0)
-    lower = tree.probability(depth - 1, level.suffix[context], symbol)
-    level.p = level.n / (level.count + types)[context] + level.backoff[context] * lower
-
-
-def grow(training: DataFrame, words: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of the training rows; ``words``: their `count_words`."""
+
+def level(parts: DataFrame, buckets: int, length: int, contexts: DataFrame, shorter: DataFrame) -> DataFrame:
+    """gram, context, n, total, above: entries of the contexts of a length.
+
+    ``contexts``: context, total.  ``shorter``: gram, share, the grams of
+    ``length`` words that occur ``ENTRY`` times."""
+    broadcast = parts.sparkSession.sparkContext.broadcast
+    often, again = broadcast(bitmap(contexts.select("context"))), broadcast(bitmap(shorter.select("gram")))
+
+    def grams_of(piece: Piece) -> list[np.ndarray]:
+        *_, short, long = piece.grams(length + 1)
+        at = np.flatnonzero(piece.trains & (piece.at >= length))
+        at = at[marked(often.value, short[at - 1])]
+        at = at[marked(again.value, short[at])]
+        return [long[at], short[at - 1], short[at]]
+
+    found = counted(parts, buckets, grams_of, ENTRY, "context", "lower")
+    above = shorter.select(F.col("gram").alias("lower"), F.col("share").alias("above"))
+    return found.join(contexts, "context").join(above, "lower").drop("lower")
+
+
+def tested(entries: DataFrame) -> DataFrame:
+    """context, b: those that diverge from their suffix by more than they cost."""
+    own = F.col("n") / F.col("total")
+    sums = entries.groupBy("context").agg(
+        F.max("total").alias("total"), F.sum("n").alias("held"), F.count("*").alias("types"),
+        F.sum(own * F.log2(own / F.col("above"))).alias("bits"), F.sum("above").alias("above"))
+    rest, above = 1 - F.col("held") / F.col("total"), F.greatest(F.lit(1e-12), 1 - F.col("above"))
+    bits = F.col("bits") + F.when(rest > 1e-12, rest * F.log2(rest / above)).otherwise(0.0)
+    cost = 0.5 * F.col("types") * F.log2(F.col("total") + 1)
+    return sums.where(F.col("total") * bits > cost).select(
+        "context", ((F.col("total") - F.col("held") + F.col("types")) / (F.col("total") + F.col("types"))).alias("b"),
+        (F.col("total") + F.col("types")).alias("under"))
+
+
+def grow(parts: DataFrame, buckets: int, depth: int = DEPTH) -> Tree:
+    """The tree of the training texts among staged pieces."""
+    words = stage(counted(parts, buckets, lambda piece: [piece.word[piece.trains]], 1), "words")
     n_tokens, n_words = words.agg(F.sum("n"), F.count("*")).first()
-    tree = Tree(n_tokens or 0, n_words, np.zeros(0, np.uint64), np.zeros(0))
-    least = max(1.0, ENTRY * tree.train_tokens)
-    table = words.where(F.col("n") >= least).toArrow()  # at most 1 / ENTRY rows
-    hashes, count = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    order = np.argsort(hashes)
-    tree.symbols, tree.count = hashes[order], count[order]
-    context = training.sparkSession.sparkContext
+    counts = words.select("gram", F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b"))
+    tree = Tree(n_tokens or 0, n_words, counts, [])
+    shorter = words.where(F.col("n") >= ENTRY).select("gram", "n", (F.col("n") / F.lit(tree.train_tokens)).alias("share"))
     for length in range(1, depth + 1):
-        level = candidates(tree)
-        if not len(level.hashes):
+        contexts = shorter.where(F.col("n") >= CONTEXT).select(F.col("gram").alias("context"), F.col("n").alias("total"))
+        tree.contexts.append(contexts.count())
+        if not tree.contexts[-1]:
             break
-        shared = context.broadcast((tree.symbols, [v.hashes for v in tree.levels], level.hashes))
-
-        def counter(shared=shared):
-            symbols, known, hashes = shared.value
-            tables = [*known, hashes]
-            symbol_of, first = Index(symbols), Index(tables[0])
-
-            def keys_of(t: Tokens) -> np.ndarray:
-                *_, (places, at) = matches(t, first, tables[1:])
-                symbol = symbol_of.of(t)[places]
-                return (at << 32 | symbol)[symbol >= 0]
-
-            return keys_of
-
-        found = counted(training, counter).where(F.col("n") >= least).toArrow()  # at most 1 / ENTRY rows
-        key, n = found["key"].to_numpy(), found["n"].to_numpy()
-        order = np.argsort(key)
-        level.keys, level.n = key[order], n[order]
-        tree.levels.append(level)
-        test_and_smooth(tree, level)
+        entries = stage(level(parts, buckets, length, contexts, shorter), "entries")
+        kept = stage(tested(entries), "contexts")
+        tree.grams = tree.grams.unionByName(
+            kept.select(F.col("context").alias("gram"), F.lit(0.0).alias("a"), "b")
+        ).unionByName(entries.join(kept, "context").select(
+            "gram", (F.col("n") / F.col("under")).alias("a"), F.lit(0.0).alias("b")))
+        shorter = entries.select("gram", "n", (F.col("n") / F.col("total")).alias("share"))
     return tree
 
 
-def scoring_tables(tree: Tree) -> tuple:
-    """Symbols with log10 of their counts; by level the candidate contexts, which
-    are kept, log10 of their back-off, and the entries with log10 of their
-    probabilities."""
-    levels = []
-    for level in tree.levels:
-        mine = level.kept[level.keys >> 32]
-        levels.append((level.hashes, level.kept, np.log10(level.backoff), level.keys[mine], np.log10(level.p[mine])))
-    return tree.symbols, np.log10(tree.count + 0.1), math.log10(tree.mass), levels
-
-
-class Scorer:
-    def __init__(self, tables: tuple):
-        symbols, self.log_count, self.log_mass, self.levels = tables
-        self.symbol_of = Index(symbols)
-        self.first = Index(self.levels[0][0]) if self.levels else None
-
-    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """symbol (-1: rare), log10 of the symbol's count (rare: 0) and of its
-        probability (rare: without its count) in the longest kept context."""
-        symbol = self.symbol_of.of(t)
-        base = np.where(symbol >= 0, self.log_count[symbol] if len(self.log_count) else 0.0, 0.0)
-        value = base - self.log_mass
-        if not self.levels:
-            return symbol, base, value
-        found = matches(t, self.first, [v[0] for v in self.levels[1:]])
-        for (places, at), (_, kept, backoff, keys, p) in zip(found, self.levels):
-            places, at = places[kept[at]], at[kept[at]]
-            entry = place(keys, np.where(symbol[places] >= 0, at << 32 | np.maximum(symbol[places], 0), -1))
-            value[places] = np.where(entry >= 0, p[entry] if len(p) else 0.0, value[places] + backoff[at])
-        return symbol, base, value
+def merged(gram: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Each gram once, in order, with the sums of its values."""
+    gram, number = np.unique(gram, return_inverse=True)
+    return [gram, *(np.bincount(number, v, len(gram)) for v in values)]
+
+
+def lookup(table: list[np.ndarray], gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b, 0 where the table has none."""
+    if not len(table[0]):
+        return np.zeros(len(gram)), np.zeros(len(gram))
+    at = np.minimum(np.searchsorted(table[0], gram), len(table[0]) - 1)
+    there = table[0][at] == gram
+    return np.where(there, table[1][at], 0.0), np.where(there, table[2][at], 0.0)
+
+
+def answers(parts: DataFrame, grams: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """piece, gram, a, b as lists: the tree's part of each piece's grams."""
+    known = parts.sparkSession.sparkContext.broadcast(bitmap(grams.select("gram")))
+
+    def ask(batches):
+        for b in batches:
+            for i, number in enumerate(b.column("piece")):
+                piece = Piece(b, i)
+                wanted = np.unique(np.concatenate(
+                    [g[piece.at >= k] for k, g in enumerate(piece.grams(depth + 1))]))
+                bucket, lists = by_bucket(buckets, wanted[marked(known.value, wanted)])
+                yield pa.RecordBatch.from_arrays(
+                    [bucket, pa.array([number.as_py()] * len(bucket), pa.int64()), *lists], ["bucket", "piece", "gram"])
+
+    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
+        table = merged(*(told[c].to_numpy() for c in ("gram", "a", "b")))
+        lists = asked["gram"].combine_chunks()
+        gram = lists.flatten().to_numpy()
+        a, b = lookup(table, gram)
+        found = (a > 0) | (b > 0)
+        ends = np.cumsum(found)[np.cumsum(lists.value_lengths().to_numpy()) - 1]
+        edges = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        return pa.table({"piece": asked["piece"], **{
+            c: pa.ListArray.from_arrays(edges, pa.array(v[found])) for c, v in (("gram", gram), ("a", a), ("b", b))}})
+
+    asked = parts.mapInArrow(ask, "bucket int, piece long, gram array<long>")
+    told = grams.withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast("int"))
+    return asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
+        lambda left, right: answer(left, right) if left.num_rows else _NONE,
+        "piece long, gram array<long>, a array<double>, b array<double>")
+
+
+_NONE = pa.table({"piece": pa.array([], pa.int64()), "gram": pa.array([], pa.list_(pa.int64())),
+                  "a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))})
 
 
 def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -301,36 +329,37 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     counted as often as they stand; a null id counts as an empty one, which
     holds it out.  Without training texts every token has probability one as
     the contract's formula says.  Further columns are dropped."""
-    rows = prepared(docs)
-    training = rows.where(~F.col("held_out"))
-    words = stage(count_words(training), "words")
-    tree = grow(training, words, depth)
-    shared = docs.sparkSession.sparkContext.broadcast(scoring_tables(tree))
-
-    def run(batches):
-        scorer = Scorer(shared.value)
-        for b in (piece for batch in batches for piece in pieces_of(batch)):
-            t, d = tokens(b.column("text")), b.num_rows
-            symbol, base, value = scorer.score(t)
-            total = lambda v, t=t, d=d: np.bincount(t.doc, weights=v, minlength=d)
-            known = symbol >= 0
-            rare, edges = t.word[~known].view(np.int64), np.concatenate([[0], np.cumsum(total(~known))])
-            yield pa.RecordBatch.from_arrays([
-                b.column("row"), b.column("doc_id"), b.column("held_out"),
-                pa.array(total(np.ones(len(known))).astype(np.int64)), pa.array(total(known).astype(np.int64)),
-                pa.array(total(base)), pa.array(total(value)),
-                pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(rare)),
-            ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "value", "rare"])
-
-    scored = stage(rows.mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-        "value double, rare array<long>"), "scored")
-    n = F.coalesce("n", F.lit(0))
-    rare = scored.select("row", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.log10(n + 0.1)).alias("more"), F.sum((n > 0).cast("long")).alias("seen"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+    parts = stage(pieces(docs, depth), "pieces")
+    buckets = max(8, math.ceil(parts.count() / BUCKET))
+    tree = grow(parts, buckets, depth)
+    mass = tree.mass
+
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        piece = Piece(table, 0)
+        answer = merged(*(told[c].combine_chunks().flatten().to_numpy() for c in ("gram", "a", "b")))
+        answer = [answer[0].view(np.uint64), *answer[1:]]
+        order = np.argsort(answer[0])
+        answer = [v[order] for v in answer]
+        grams = piece.grams(depth + 1)
+        count, back = lookup(answer, piece.word)
+        base = (count + 0.1) / mass
+        value = base
+        for length in range(1, depth + 1):
+            back = np.where(piece.at >= length, np.concatenate([[0.0], back[:-1]]), 0.0)
+            own, longer = lookup(answer, grams[length])
+            value = np.where(back > 0, own + back * value, value)
+            back = longer
+        total = lambda v: np.bincount(piece.part, v * piece.own, len(piece.row))
+        whole = lambda v: pa.array(total(v).astype(np.int64))
+        return pa.table({
+            "row": piece.row, "doc_id": piece.doc_id, "held_out": piece.held_out,
+            "n_tokens": whole(np.ones(len(count))), "n_known": whole(count > 0),
+            "base": pa.array(total(np.log10(base))), "value": pa.array(total(np.log10(value)))})
+
+    asked = answers(parts, tree.grams, buckets, depth)
+    return parts.groupBy("piece").cogroup(asked.groupBy("piece")).applyInArrow(
+        score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double",
+    ).groupBy("row", "doc_id", "held_out").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(math.log10(tree.mass))).alias("base_score"),
-        (F.col("value") + more).alias("score"))
+        F.sum("base").alias("base_score"), F.sum("value").alias("score")).drop("row")

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 from nocturne.llm import cascade, cotraining, suffix_tree
+from nocturne.session import stage
 
 
 def test_rules_by_brute_force(docs, data):
@@ -138,19 +139,93 @@ def test_suffix_tree_learns_contexts(spark):
     assert per_token > sum(r.base_score for r in rows) / sum(r.n_tokens for r in rows) + 0.5
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = corpus(spark)
-    training = suffix_tree.prepared(docs).where("not held_out")
-    tree = suffix_tree.grow(training, suffix_tree.count_words(training))
-    symbols = np.arange(len(tree.symbols))
-    unseen = 0.1 / tree.mass
-    assert any(level.kept.any() for level in tree.levels)
-    for depth, level in enumerate(tree.levels, 1):
-        for context in np.flatnonzero(level.kept)[:20]:
-            p = tree.probability(depth, np.full(len(symbols), context), symbols).sum()
-            rest, d, c = unseen, depth, context
-            while d:
-                lv = tree.levels[d - 1]
-                rest *= lv.backoff[c] if lv.kept[c] else 1
-                d, c = d - 1, lv.suffix[c]
-            assert abs(p + rest - 1) < 1e-9
+def tree_by_brute_force(docs, depth=3):
+    """(count of each word, tokens) and {context: (b, {word: a})} of the kept contexts."""
+    texts = [(text or "").encode().lower().split() + [None] for held_out, text in docs if not held_out]
+    words = Counter(t for text in texts for t in text)
+    after = {}
+    for text in texts:
+        for i in range(len(text)):
+            for k in range(1, min(depth, i) + 1):
+                after.setdefault(tuple(text[i - k : i]), Counter())[text[i]] += 1
+    total, kept = sum(words.values()), {}
+    for context, seen in after.items():
+        n = sum(seen.values())
+        if n < 8:
+            continue
+        above = after.get(context[1:], words)
+        held = {w: c for w, c in seen.items() if c >= 2}
+        share = {w: above[w] / sum(above.values()) for w in held}
+        rest = 1 - sum(held.values()) / n
+        bits = sum(c / n * math.log2(c / n / share[w]) for w, c in held.items())
+        if rest > 1e-12:
+            bits += rest * math.log2(rest / max(1e-12, 1 - sum(share.values())))
+        if n * bits > 0.5 * len(held) * math.log2(n + 1):
+            under = n + len(held)
+            kept[context] = ((n - sum(held.values()) + len(held)) / under, {w: c / under for w, c in held.items()})
+    return words, total, kept
+
+
+def probability(tree, context, word, depth=3):
+    words, total, kept = tree
+    p = (words[word] + 0.1) / (total + 0.1 * (len(words) + 1))
+    for k in range(1, min(depth, len(context)) + 1):
+        if tuple(context[-k:]) in kept:
+            b, a = kept[tuple(context[-k:])]
+            p = a.get(word, 0) + b * p
+    return p
+
+
+def check_scores(docs):
+    rows = [(r.row, r.held_out, bytes(r.text).decode()) for r in suffix_tree.prepared(docs).collect()]
+    tree = tree_by_brute_force([r[1:] for r in rows])
+    want = []
+    for _, held_out, text in rows:
+        t = text.encode().lower().split() + [None]
+        score = sum(math.log10(probability(tree, t[max(0, i - 3) : i], t[i])) for i in range(len(t)))
+        want.append((held_out, len(t), round(score, 6)))
+    got = suffix_tree.scores(docs).collect()
+    assert sorted((r.held_out, r.n_tokens, round(r.score, 6)) for r in got) == sorted(want)
+    return tree
+
+
+def test_suffix_tree_scores_by_brute_force(spark, docs):
+    check_scores(docs)
+    words, _, kept = tree = check_scores(corpus(spark))
+    assert {len(c) for c in kept} >= {1, 2}
+    symbols, unseen = [*words, b"never seen"], probability(tree, [], b"never seen")
+    assert abs(sum(probability(tree, [], w) for w in symbols) - 1) < 1e-9
+    for context in list(kept)[:50]:
+        assert abs(sum(probability(tree, context, w) for w in symbols) - 1) < 1e-9
+        assert probability(tree, context, b"never seen") <= unseen + 1e-12
+
+
+def test_suffix_tree_in_small_parts(docs, monkeypatch):
+    """Texts cut into parts, many flushes, buckets and wrong marks change nothing."""
+    columns = ("n_tokens", "n_known", "base_score", "score")
+    rows = lambda: sorted(tuple(round(r[c], 6) for c in columns) for r in suffix_tree.scores(docs).collect())
+    want = rows()
+    for name, value in (("PIECE", 50), ("FLUSH", 100), ("BUCKET", 1), ("BITS", 8), ("SLOT", 4)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    assert rows() == want
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A phrase that stands 50 times is learned in a small and in a large corpus."""
+    rng = np.random.default_rng(3)
+    phrase = " ".join(f"p{i}" for i in range(12))
+
+    def model(n):
+        other = [" ".join(f"x{int(v)}" for v in rng.zipf(1.3, 200) % 50_000) for _ in range(n)]
+        often = [" ".join(f"t{i % (n // 50)}w{k}" for k in range(10)) for i in range(n)]  # each 50 times
+        texts = [*other, *often, *[phrase] * 60]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        tree = suffix_tree.grow(stage(suffix_tree.pieces(docs, 3)), 8)
+        return tree, suffix_tree.scores(docs).where(f"doc_id = {len(texts) - 1}").first()
+
+    (small, a), (large, b) = model(200), model(2000)
+    assert large.train_tokens > 5 * small.train_tokens
+    assert all(m > 3 * n for n, m in zip(small.contexts, large.contexts))
+    for r in (a, b):
+        assert r.score > 0.5 * r.base_score
+    assert abs(a.score - b.score) < 3
