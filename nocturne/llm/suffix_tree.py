@@ -230,7 +230,15 @@ def level(parts: DataFrame, buckets: int, length: int, contexts: DataFrame, shor
         at = at[marked(again.value, short[at])]
         return [long[at], short[at - 1], short[at]]
 
-    found = counted(parts, buckets, grams_of, ENTRY, "context", "lower")
+    # most grams are seen once: tell those before context and lower travel too
+    twice = broadcast(bitmap(counted(parts, buckets, lambda piece: grams_of(piece)[:1], ENTRY).select("gram")))
+
+    def seen_twice(piece: Piece) -> list[np.ndarray]:
+        columns = grams_of(piece)
+        mine = marked(twice.value, columns[0])
+        return [c[mine] for c in columns]
+
+    found = counted(parts, buckets, seen_twice, ENTRY, "context", "lower")
     above = shorter.select(F.col("gram").alias("lower"), F.col("share").alias("above"))
     return found.join(contexts, "context").join(above, "lower").drop("lower")
 
