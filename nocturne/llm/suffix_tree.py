@@ -169,7 +169,20 @@ def counted(parts: DataFrame, buckets: int, grams_of, least: int, *more: str) ->
     return sent.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
 
 
-def bitmap(grams: DataFrame) -> np.ndarray:
+class Marks:
+    """A bitmap by the first bits of grams; compressed until a worker uses it."""
+
+    def __init__(self, bits: np.ndarray):
+        self.size, self.packed, self.bits = len(bits), pa.compress(bits.tobytes(), "zstd", asbytes=True), None
+
+    def has(self, gram: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            self.bits = np.frombuffer(pa.decompress(self.packed, self.size, "zstd"), np.uint8)
+        bit = (gram >> np.uint64(65 - (8 * self.size).bit_length())).astype(np.int64)
+        return self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 != 0
+
+
+def bitmap(grams: DataFrame) -> Marks:
     """2 ** ``BITS`` bits, of which each gram in the only column sets one."""
     low = SLOT
 
@@ -191,12 +204,7 @@ def bitmap(grams: DataFrame) -> np.ndarray:
     out = np.zeros((1 << BITS - SLOT, 1 << SLOT - 3), np.uint8)
     for r in slots.collect():  # 2 ** (BITS - SLOT) rows, one bitmap in all
         out[r.slot] |= np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
-
-
-def marked(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    bit = (gram >> np.uint64(65 - (8 * len(bits)).bit_length())).astype(np.int64)
-    return bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 != 0
+    return Marks(out.reshape(-1))
 
 
 @dataclass
@@ -226,8 +234,8 @@ def level(parts: DataFrame, buckets: int, length: int, contexts: DataFrame, shor
     def grams_of(piece: Piece) -> list[np.ndarray]:
         *_, short, long = piece.grams(length + 1)
         at = np.flatnonzero(piece.trains & (piece.at >= length))
-        at = at[marked(often.value, short[at - 1])]
-        at = at[marked(again.value, short[at])]
+        at = at[often.value.has(short[at - 1])]
+        at = at[again.value.has(short[at])]
         return [long[at], short[at - 1], short[at]]
 
     # most grams are seen once: tell those before context and lower travel too
@@ -235,7 +243,7 @@ def level(parts: DataFrame, buckets: int, length: int, contexts: DataFrame, shor
 
     def seen_twice(piece: Piece) -> list[np.ndarray]:
         columns = grams_of(piece)
-        mine = marked(twice.value, columns[0])
+        mine = twice.value.has(columns[0])
         return [c[mine] for c in columns]
 
     found = counted(parts, buckets, seen_twice, ENTRY, "context", "lower")
@@ -304,7 +312,7 @@ def answers(parts: DataFrame, grams: DataFrame, buckets: int, depth: int) -> Dat
                 piece = Piece(b, i)
                 wanted = np.unique(np.concatenate(
                     [g[piece.at >= k] for k, g in enumerate(piece.grams(depth + 1))]))
-                bucket, lists = by_bucket(buckets, wanted[marked(known.value, wanted)])
+                bucket, lists = by_bucket(buckets, wanted[known.value.has(wanted)])
                 yield pa.RecordBatch.from_arrays(
                     [bucket, pa.array([number.as_py()] * len(bucket), pa.int64()), *lists], ["bucket", "piece", "gram"])
 
