@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nocturne.llm.common import id_and_text, pieces_of, words_of_worker
@@ -338,6 +339,18 @@ _NONE = pa.table({"piece": pa.array([], pa.int64()), "gram": pa.array([], pa.lis
                   "a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))})
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when their query ends: its result is staged or fetched."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -345,9 +358,11 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     counted as often as they stand; a null id counts as an empty one, which
     holds it out.  Without training texts every token has probability one as
     the contract's formula says.  Further columns are dropped."""
-    parts = stage(pieces(docs, depth), "pieces")
-    buckets = max(8, math.ceil(parts.count() / BUCKET))
-    tree = grow(parts, buckets, depth)
+    with shuffles_freed(docs.sparkSession):
+        parts = stage(pieces(docs, depth), "pieces")
+        buckets = max(8, math.ceil(parts.count() / BUCKET))
+        tree = grow(parts, buckets, depth)
+        asked = answers(parts, tree.grams, buckets, depth)
     mass = tree.mass
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -372,7 +387,6 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             "n_tokens": whole(np.ones(len(count))), "n_known": whole(count > 0),
             "base": pa.array(total(np.log10(base))), "value": pa.array(total(np.log10(value)))})
 
-    asked = answers(parts, tree.grams, buckets, depth)
     return parts.groupBy("piece").cogroup(asked.groupBy("piece")).applyInArrow(
         score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double",
     ).groupBy("row", "doc_id", "held_out").agg(
