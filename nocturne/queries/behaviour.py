@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions.columns import label_rank, recode
 from nocturne.plans import ratings, summaries as S
-from nocturne.queries.registry import Tables, query
+from nocturne.queries.registry import Tables, query, query_of_all
 from nocturne.queries.sql import CTES, twin
 
 # thresholds at which the given tables have individuals on both sides
@@ -58,12 +58,12 @@ def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query("phase_durations", twin("durations", "SELECT night, phase, phase_dur FROM durations"))
+@query_of_all("phase_durations", twin("durations", "SELECT night, phase, phase_dur FROM durations"))
 def phase_durations(t: Tables):
     return S.phase_durations(t.hits)
 
 
-@query("visit_summary", twin("visits0", """
+@query_of_all("visit_summary", twin("visits0", """
 SELECT night, cohort, group_night, id_label, phase, cond, patch, sex, n, phase_dur,
   round(vol_consumed, 9) AS vol_consumed, round(vis_hour, 9) AS vis_hour,
   round(ml_hour, 9) AS ml_hour FROM visits0"""))
@@ -72,42 +72,42 @@ def visit_summary(t: Tables):
     return rounded(summary, "vol_consumed", "vis_hour", "ml_hour")
 
 
-@query("reverse_nights", twin("visits", """
+@query_of_all("reverse_nights", twin("visits", """
 SELECT id_label, night, phase, patch, rev_night FROM visits"""))
 def reverse_nights(t: Tables):
     return S.with_reverse_nights(S.visit_summary(t.hits, t.durations)).select(
         "id_label", "night", "phase", "patch", "rev_night")
 
 
-@query("pursuit_summary", twin("card0", """
+@query_of_all("pursuit_summary", twin("card0", """
 SELECT *, round(n_chases / n_detections, 9) AS chase_score FROM card0"""))
 def pursuit_summary(t: Tables):
     return rounded(S.pursuit_summary(t.hits), "chase_score")
 
 
-@query("received_counts", twin("received", "SELECT * FROM received"))
+@query_of_all("received_counts", twin("received", "SELECT * FROM received"))
 def received_counts(t: Tables):
     return S.received_counts(t.hits)
 
 
-@query("attributes_at_night", twin("attributes", "SELECT id_label, weight, sex FROM attributes"))
+@query_of_all("attributes_at_night", twin("attributes", "SELECT id_label, weight, sex FROM attributes"))
 def attributes_at_night(t: Tables):
     return S.attributes_at(t.conditions, 5)
 
 
-@query("games", twin("games", "SELECT * FROM games"))
+@query_of_all("games", twin("games", "SELECT * FROM games"))
 def games(t: Tables):
     return t.games
 
 
-@query("scorecard_without_rank", twin("card", """
+@query_of_all("scorecard_without_rank", twin("card", """
 SELECT * REPLACE (round(chase_score, 9) AS chase_score, round(chased_score, 9) AS chased_score)
 FROM card"""))
 def scorecard_without_rank(t: Tables):
     return rounded(t.card, "chase_score", "chased_score")
 
 
-@query("rewarded_visits", twin("statuses", """
+@query_of_all("rewarded_visits", twin("statuses", """
 SELECT group_night, id_label, status, cohort, loc, phase, epoch_us(ts) AS ts_us
 FROM hits LEFT JOIN statuses USING (id_label, cohort)
 WHERE vol > 0 AND cond = 'test' AND id_label IS NOT NULL"""))
@@ -115,7 +115,7 @@ def rewarded_visits(t: Tables):
     return with_micros(S.rewarded_visits(t.hits, t.statuses))
 
 
-@query("choices", twin("statuses", """
+@query_of_all("choices", twin("statuses", """
 SELECT group_night, id_label, status, cohort, loc, phase, epoch_us(ts) AS ts_us
 FROM hits LEFT JOIN statuses USING (id_label, cohort)
 WHERE choice AND cond = 'test' AND id_label IS NOT NULL"""))
@@ -129,13 +129,13 @@ def with_micros(df: DataFrame) -> DataFrame:
     return df.withColumn("ts_us", (seconds * 1000000).cast("long")).drop("ts")
 
 
-@query("recent_rate", twin("recent", """
+@query_of_all("recent_rate", twin("recent", """
 SELECT cohort, sex, id_label, round(vol_hr, 9) AS vol_hr FROM recent"""))
 def recent_rate(t: Tables):
     return rounded(S.recent_rate(t.visits, 2, 1), "vol_hr")
 
 
-@query("recent_rate_by_phase", twin("visits", """
+@query_of_all("recent_rate_by_phase", twin("visits", """
 SELECT cohort, phase, sex, id_label,
   round(sum(vol_consumed) / nullif(sum(phase_dur), 0), 9) AS vol_hr
 FROM visits WHERE rev_night <= 2 GROUP BY cohort, phase, sex, id_label"""))
@@ -143,32 +143,32 @@ def recent_rate_by_phase(t: Tables):
     return rounded(S.recent_rate(t.visits, 2), "vol_hr")
 
 
-@query("score_intake", twin("score_intake", """
+@query_of_all("score_intake", twin("score_intake", """
 SELECT * REPLACE (round(chase_score, 9) AS chase_score, round(chased_score, 9) AS chased_score,
   round(vol_hr, 9) AS vol_hr) FROM score_intake"""))
 def score_intake(t: Tables):
     return rounded(t.score_intake, "chase_score", "chased_score", "vol_hr")
 
 
-@query("classify_status", twin("statuses", "SELECT * FROM statuses"))
+@query_of_all("classify_status", twin("statuses", "SELECT * FROM statuses"))
 def classify_status(t: Tables):
     return S.classify_status(t.score_intake, SCORE, RATE)
 
 
-@query("status_counts", twin("statuses", """
+@query_of_all("status_counts", twin("statuses", """
 SELECT cohort, status, count(*) AS n FROM statuses GROUP BY cohort, status"""))
 def status_counts(t: Tables):
     return t.statuses.groupBy("cohort", "status").count().withColumnRenamed("count", "n")
 
 
-@query("dominant_females", twin("score_intake", f"""
+@query_of_all("dominant_females", twin("score_intake", f"""
 SELECT id_label, 'Dominant' AS status, sex FROM score_intake
 WHERE sex = 'f' AND chase_score > {SCORE} AND vol_hr > {RATE}"""))
 def dominant_females(t: Tables):
     return S.dominant_females(t.score_intake, SCORE, RATE)
 
 
-@query("dominant_female_intake", twin("statuses", f"""
+@query_of_all("dominant_female_intake", twin("statuses", f"""
 SELECT cohort, id_label, phase, part, round(vol_hr, 9) AS vol_hr FROM (
   SELECT cohort, id_label, phase, CASE group_night WHEN 1 THEN 'First night'
     WHEN 2 THEN 'Second night' END AS part, sum(vol_consumed) / nullif(sum(phase_dur), 0) AS vol_hr
@@ -192,13 +192,13 @@ SELECT r.*, status FROM (
   WHERE part IS NOT NULL GROUP BY ALL) r LEFT JOIN statuses USING (id_label, cohort)"""
 
 
-@query("period_contrast", twin("contrast", """
+@query_of_all("period_contrast", twin("contrast", """
 SELECT * REPLACE (round(vol_hr, 9) AS vol_hr) FROM contrast"""))
 def period_contrast(t: Tables):
     return rounded(S.period_contrast(t.visits, t.statuses), "vol_hr")
 
 
-@query("early_contrast", twin("statuses", """
+@query_of_all("early_contrast", twin("statuses", """
 SELECT r.* REPLACE (round(vol_hr, 9) AS vol_hr), status FROM (
   SELECT cohort, id_label, phase, CASE group_night WHEN 1 THEN 'First night' ELSE 'Second night' END
     AS part, sex, sum(vol_consumed) / nullif(sum(phase_dur), 0) AS vol_hr
@@ -222,7 +222,7 @@ def dispersion(t: Tables):
     return rounded(S.dispersion(t.visits), "sd_consumed", "night")
 
 
-@query("female_dispersion", twin("visits", """
+@query_of_all("female_dispersion", twin("visits", """
 SELECT cohort, group_night, phase, round(sd_consumed, 9) AS sd_consumed,
   round(group_night - avg(group_night) OVER (), 9) AS night,
   CASE WHEN cohort LIKE '%mixed%' THEN 'mixed' ELSE 'single-sex' END AS cohort_type
@@ -234,7 +234,7 @@ def female_dispersion(t: Tables):
     return rounded(S.female_dispersion(t.visits, ["building"]), "sd_consumed", "night")
 
 
-@query("nightly_totals", twin("card", """
+@query_of_all("nightly_totals", twin("card", """
 SELECT cond, round(avg(per_night), 1) AS mean, round(stddev_samp(per_night), 1) AS sd FROM (
   SELECT cohort, cond, sum(total) / count(*) AS per_night FROM (
     SELECT cohort, group_night, cond, sum(n_chases) AS total FROM card
@@ -246,7 +246,7 @@ def nightly_totals(t: Tables):
     return S.nightly_totals(t.card, incomplete)
 
 
-@query("target_mix", twin("attributes", """
+@query_of_all("target_mix", twin("attributes", """
 SELECT g.id_label, a.sex, cohort,
   round(avg(CASE WHEN b.sex = 'm' THEN 1 WHEN b.sex IS NULL THEN NULL ELSE 0 END), 9) AS prop_males,
   round(avg(CASE WHEN b.sex = 'f' THEN 1 WHEN b.sex IS NULL THEN NULL ELSE 0 END), 9) AS prop_females,
@@ -260,7 +260,7 @@ def target_mix(t: Tables):
                    "prop_males", "prop_females", "freq_males", "freq_females")
 
 
-@query("hourly_profile", twin("durations", """
+@query_of_all("hourly_profile", twin("durations", """
 SELECT h.*, round(phase_dur) + 1 AS boundary, CAST((hour + 9) % 24 AS INTEGER) AS night_hour FROM (
   SELECT cohort, night, group_night, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n
   FROM hits WHERE cond = 'test' AND hit GROUP BY ALL) h
@@ -269,7 +269,7 @@ def hourly_profile(t: Tables):
     return S.hourly_profile(t.hits, t.durations)
 
 
-@query("hourly_profile_of_status", twin("statuses", """
+@query_of_all("hourly_profile_of_status", twin("statuses", """
 SELECT h.*, round(phase_dur) + 1 AS boundary, CAST((hour + 9) % 24 AS INTEGER) AS night_hour FROM (
   SELECT cohort, night, group_night, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n
   FROM hits JOIN statuses USING (id_label, cohort)
@@ -285,27 +285,27 @@ FROM hits LEFT JOIN statuses USING (id_label, cohort)
 WHERE vol > 0 AND cond = 'test' AND id_label IS NOT NULL"""
 
 
-@query("place_distribution", twin("rewarded", """
+@query_of_all("place_distribution", twin("rewarded", """
 SELECT loc, id_label, status, group_night AS night, phase, count(*) AS n FROM rewarded
 WHERE cohort = 'building' GROUP BY ALL"""))
 def place_distribution(t: Tables):
     return S.place_distribution(t.rewarded, "building")
 
 
-@query("place_distribution_one_phase", twin("rewarded", """
+@query_of_all("place_distribution_one_phase", twin("rewarded", """
 SELECT loc, id_label, status, group_night AS night, phase, count(*) AS n FROM rewarded
 WHERE cohort = 'mixed_machinery' AND phase = 2 GROUP BY ALL"""))
 def place_distribution_one_phase(t: Tables):
     return S.place_distribution(t.rewarded, "mixed_machinery", 2)
 
 
-@query("pursuit_places", twin("games", """
+@query_of_all("pursuit_places", twin("games", """
 SELECT cohort, loc, count(*) AS n FROM games GROUP BY cohort, loc"""))
 def pursuit_places(t: Tables):
     return S.pursuit_places(t.games)
 
 
-@query("measure_cells", twin("statuses", """
+@query_of_all("measure_cells", twin("statuses", """
 SELECT id_label, status, group_night AS night, phase, CAST(sum(n_detections) AS BIGINT) AS n_detections
 FROM card LEFT JOIN statuses USING (id_label, cohort) WHERE cohort = 'building' GROUP BY ALL"""))
 def measure_cells(t: Tables):
@@ -318,34 +318,34 @@ SELECT group_night, cohort, phase, id_label, sex, chase_score FROM (
     ORDER BY chase_score DESC, id_label) AS rn FROM card WHERE cond = 'test') WHERE rn = 1"""
 
 
-@query("top_chasers", twin("tops", """
+@query_of_all("top_chasers", twin("tops", """
 SELECT * REPLACE (round(chase_score, 9) AS chase_score) FROM tops"""))
 def top_chasers(t: Tables):
     return rounded(S.top_chasers(t.card), "chase_score")
 
 
-@query("top_chaser_nights", twin("tops", """
+@query_of_all("top_chaser_nights", twin("tops", """
 SELECT cohort, phase, count(*) AS n FROM (
   SELECT phase, group_night, cohort, count(*) AS n FROM tops GROUP BY ALL) GROUP BY cohort, phase"""))
 def top_chaser_nights(t: Tables):
     return S.top_counts(S.top_chasers(t.card))
 
 
-@query("top_chaser_sexes", twin("tops", """
+@query_of_all("top_chaser_sexes", twin("tops", """
 SELECT phase, sex, count(*) AS n FROM tops GROUP BY phase, sex"""))
 def top_chaser_sexes(t: Tables):
     tops = S.top_chasers(t.card)
     return tops.groupBy("phase", "sex").agg(S.row_count().alias("n"))
 
 
-@query("received_per_feeding", twin("card", """
+@query_of_all("received_per_feeding", twin("card", """
 SELECT sex, cohort, id_label, round(sum(n_chased) / nullif(sum(n_feedings), 0), 9) AS chased_per_feeding
 FROM card WHERE cond = 'test' GROUP BY ALL"""))
 def received_per_feeding(t: Tables):
     return rounded(S.received_per_feeding(t.card), "chased_per_feeding")
 
 
-@query("mean_rewarded", twin("rewarded", """
+@query_of_all("mean_rewarded", twin("rewarded", """
 SELECT c.*, sex FROM (
   SELECT phase, cohort, id_label, round(avg(n), 9) AS mean_rewarded,
     round(stddev_samp(n) / sqrt(count(*)), 9) AS se
@@ -362,25 +362,25 @@ SELECT round(avg(m), 2) AS mean_intake, round(stddev_samp(m), 2) AS sd FROM (
     FROM visits WHERE cond = 'test' AND phase = 1 {where} GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query("mean_intake", twin("visits", MEAN_INTAKE.format(where="")))
+@query_of_all("mean_intake", twin("visits", MEAN_INTAKE.format(where="")))
 def mean_intake(t: Tables):
     return S.mean_intake(t.visits)
 
 
-@query("mean_intake_of_status", twin("statuses", MEAN_INTAKE.format(
+@query_of_all("mean_intake_of_status", twin("statuses", MEAN_INTAKE.format(
     where="AND id_label IN (SELECT id_label FROM statuses WHERE status = 'Subordinate males')")))
 def mean_intake_of_status(t: Tables):
     return S.mean_intake(t.visits, t.statuses.where(F.col("status") == "Subordinate males"))
 
 
-@query("total_intake", twin("visits", """
+@query_of_all("total_intake", twin("visits", """
 SELECT cohort, group_night, id_label, sex, phase, round(sum(vol_consumed), 9) AS vol_consumed
 FROM visits WHERE cond = 'test' GROUP BY ALL"""))
 def total_intake(t: Tables):
     return rounded(S.total_intake(t.visits), "vol_consumed")
 
 
-@query("mean_scores", twin("card", """
+@query_of_all("mean_scores", twin("card", """
 SELECT sex, cohort, id_label, round(avg(chase_score), 9) AS chase_score,
   round(avg(chased_score), 9) AS chased_score
 FROM card WHERE cond = 'test' AND phase = 1 GROUP BY ALL"""))
@@ -389,7 +389,7 @@ def mean_scores(t: Tables):
     return rounded(means, "chase_score", "chased_score")
 
 
-@query("mean_scores_arcsine", twin("card", """
+@query_of_all("mean_scores_arcsine", twin("card", """
 SELECT sex, cohort, round(avg(asin(sqrt(chase_score))), 9) AS chase_score,
   round(avg(asin(sqrt(CASE WHEN chased_score <= 1 THEN chased_score END))), 9) AS chased_score
 FROM card WHERE cond = 'test' GROUP BY ALL"""))
@@ -398,7 +398,7 @@ def mean_scores_arcsine(t: Tables):
     return rounded(S.mean_scores(t.card, ["sex", "cohort"], True), "chase_score", "chased_score")
 
 
-@query("score_balance", twin("card", """
+@query_of_all("score_balance", twin("card", """
 SELECT id_label, sex, cohort, round(sum(n_chases) / sum(n_detections), 9) AS chase_score,
   round(sum(n_chased) / sum(n_detections), 9) AS chased_score,
   CASE WHEN cohort LIKE '%mixed%' THEN 'mixed' ELSE 'single-sex' END AS cohort_type
@@ -415,23 +415,23 @@ LEFT JOIN (SELECT id_label, sex FROM attributes) a USING (id_label)
 LEFT JOIN statuses USING (id_label, cohort)"""
 
 
-@query("games_by_night", twin("statuses", ACTIVITY.format(rows="games")))
+@query_of_all("games_by_night", twin("statuses", ACTIVITY.format(rows="games")))
 def games_by_night(t: Tables):
     return S.activity_by_night(t.games, t.attributes, t.statuses)
 
 
-@query("detections_by_night", twin("statuses", ACTIVITY.format(rows="hits")))
+@query_of_all("detections_by_night", twin("statuses", ACTIVITY.format(rows="hits")))
 def detections_by_night(t: Tables):
     return S.activity_by_night(t.hits, t.attributes, t.statuses)
 
 
-@query("training_totals", twin("hits", """
+@query_of_all("training_totals", twin("hits", """
 SELECT cohort, count(*) AS n FROM hits WHERE group_night = 0 AND hit GROUP BY cohort"""))
 def training_totals(t: Tables):
     return S.training_totals(t.hits)
 
 
-@query("females_by_cohort_type", twin("card", """
+@query_of_all("females_by_cohort_type", twin("card", """
 SELECT id_label, group_night, phase, cohort, n_chases, n_detections,
   CASE WHEN cohort LIKE '%mixed%' THEN 'mixed' ELSE 'single-sex' END AS cohort_type
 FROM card WHERE sex <> 'm' AND cohort <> 'building'"""))
@@ -440,13 +440,13 @@ def females_by_cohort_type(t: Tables):
         "id_label", "group_night", "phase", "cohort", "n_chases", "n_detections", "cohort_type")
 
 
-@query("total_pursuits", twin("card", """
+@query_of_all("total_pursuits", twin("card", """
 SELECT CAST(sum(n_chases) AS BIGINT) AS total_chases FROM card"""))
 def total_pursuits(t: Tables):
     return S.total_pursuits(t.card)
 
 
-@query("plot_groups", twin("statuses", """
+@query_of_all("plot_groups", twin("statuses", """
 SELECT cohort, sex, id_label, status, n, CAST((n - 1) % 6 + 1 AS INTEGER) AS fill_group FROM (
   SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY sex, status NULLS FIRST, id_label) AS n
   FROM (SELECT DISTINCT sex, id_label, cohort FROM visits WHERE cond = 'test')
@@ -455,7 +455,7 @@ def plot_groups(t: Tables):
     return S.plot_groups(S.total_intake(t.visits), t.statuses)
 
 
-@query("intake_five_numbers", twin("contrast", """
+@query_of_all("intake_five_numbers", twin("contrast", """
 SELECT q.*, min(CASE WHEN vol_hr >= q1 - 1.5 * (q3 - q1) THEN round(vol_hr, 9) END) AS low,
   max(CASE WHEN vol_hr <= q3 + 1.5 * (q3 - q1) THEN round(vol_hr, 9) END) AS high
 FROM contrast c JOIN (
@@ -472,7 +472,7 @@ def intake_five_numbers(t: Tables):
 PHASE_LABELS = {1: "clumped", 2: "dispersed"}
 
 
-@query("recode_and_order", twin("card", """
+@query_of_all("recode_and_order", twin("card", """
 SELECT CASE phase WHEN 1 THEN 'clumped' WHEN 2 THEN 'dispersed' END AS phase_label,
   CASE sex WHEN 'm' THEN 1 WHEN 'f' THEN 2 END AS sex_rank, count(*) AS n FROM card GROUP BY ALL"""))
 def recode_and_order(t: Tables):
@@ -482,7 +482,7 @@ def recode_and_order(t: Tables):
     ).agg(S.row_count().alias("n"))
 
 
-@query("first_last_periods", twin("visits", """
+@query_of_all("first_last_periods", twin("visits", """
 SELECT id_label, group_night, rev_night, phase, patch FROM visits
 WHERE (group_night < 3 AND group_night > 0) OR rev_night < 3"""))
 def first_last_periods(t: Tables):
@@ -539,20 +539,20 @@ RECENT = "(SELECT * FROM games WHERE rev_night <= 2 AND cond = 'test')"
 TESTS = "(SELECT * FROM games WHERE cond = 'test')"
 
 
-@query("glicko_last_nights", rated_twin("games", RECENT, 2, """
+@query_of_all("glicko_last_nights", rated_twin("games", RECENT, 2, """
 SELECT cohort, player, round(rating, 6) AS rating, round(rd, 6) AS rd FROM ratings"""))
 def glicko_last_nights(t: Tables):
     table = ratings.glicko(ratings.recent_games(t.games))
     return rounded(table, "rating", "rd", digits=6).select("cohort", "player", "rating", "rd")
 
 
-@query("glicko_all_nights", rated_twin("games", TESTS, 30, """
+@query_of_all("glicko_all_nights", rated_twin("games", TESTS, 30, """
 SELECT cohort, player, round(rating, 6) AS rating, round(rd, 6) AS rd FROM ratings"""))
 def glicko_all_nights(t: Tables):
     return rounded(t.ratings_all, "rating", "rd", digits=6).select("cohort", "player", "rating", "rd")
 
 
-@query("ranking", rated_twin("games", RECENT, 2, """
+@query_of_all("ranking", rated_twin("games", RECENT, 2, """
 SELECT cohort, id_label, round(glicko_rating, 6) AS glicko_rating, glicko_rank FROM ranking"""))
 def ranking(t: Tables):
     return rounded(t.ranking, "glicko_rating", digits=6)
@@ -564,7 +564,7 @@ def named_apart(ctes: str, tail: str) -> str:
     return re.sub(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b", rf"\1{tail}", ctes)
 
 
-@query("compare_rankings", twin("games", "").rstrip() + "," + glicko_ctes(TESTS, 30) + ","
+@query_of_all("compare_rankings", twin("games", "").rstrip() + "," + glicko_ctes(TESTS, 30) + ","
        + named_apart(glicko_ctes(RECENT, 2), "_late") + """
 SELECT a.cohort, a.id_label, round(a.glicko_rating, 6) AS rating_all, a.glicko_rank AS rank_all,
   round(b.glicko_rating, 6) AS rating_recent, b.glicko_rank AS rank_recent
@@ -576,7 +576,7 @@ def compare_rankings(t: Tables):
         "cohort", "id_label", "rating_all", "rank_all", "rating_recent", "rank_recent")
 
 
-@query("scorecard", rated_twin("card", RECENT, 2, """
+@query_of_all("scorecard", rated_twin("card", RECENT, 2, """
 SELECT c.* REPLACE (round(chase_score, 9) AS chase_score, round(chased_score, 9) AS chased_score),
   round(glicko_rating, 6) AS glicko_rating, glicko_rank
 FROM card c LEFT JOIN ranking USING (cohort, id_label)"""))
@@ -585,7 +585,7 @@ def scorecard(t: Tables):
     return rounded(card, "glicko_rating", digits=6)
 
 
-@query("pair_shares", rated_twin("games", RECENT, 2, """
+@query_of_all("pair_shares", rated_twin("games", RECENT, 2, """
 SELECT p.cohort, p.id_label, p.counterpart, n, round(n / sum(n) OVER (PARTITION BY p.cohort), 9) AS share,
   round(a.glicko_rating, 6) AS glicko_rating, round(b.glicko_rating, 6) AS rating_counterpart,
   round(a.glicko_rating - b.glicko_rating, 6) AS rating_gap
@@ -597,7 +597,7 @@ def pair_shares(t: Tables):
     return rounded(shares, "glicko_rating", "rating_counterpart", "rating_gap", digits=6)
 
 
-@query("pair_shares_of_dominant", rated_twin("statuses", RECENT, 2, """
+@query_of_all("pair_shares_of_dominant", rated_twin("statuses", RECENT, 2, """
 SELECT p.cohort, p.id_label, p.counterpart, n, round(share, 9) AS share, status,
   round(a.glicko_rating, 6) AS glicko_rating, round(b.glicko_rating, 6) AS rating_counterpart,
   round(a.glicko_rating - b.glicko_rating, 6) AS rating_gap
@@ -611,7 +611,7 @@ def pair_shares_of_dominant(t: Tables):
     return rounded(shares, "glicko_rating", "rating_counterpart", "rating_gap", digits=6)
 
 
-@query("rank_intake", rated_twin("statuses", RECENT, 2, """
+@query_of_all("rank_intake", rated_twin("statuses", RECENT, 2, """
 SELECT r.cohort, r.id_label, r.phase, r.sex, s.glicko_rank, round(vol_hr, 9) AS vol_hr FROM (
   SELECT cohort, phase, sex, id_label, sum(vol_consumed) / nullif(sum(phase_dur), 0) AS vol_hr
   FROM visits WHERE rev_night <= 2 GROUP BY ALL) r

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,32 +16,38 @@ from nocturne.operators.runs import (
 from nocturne.operators.timeline import Timeline, numbered, seal
 from nocturne.plans import effects, ratings, summaries
 from nocturne.session import stage
+from nocturne.queries.sql import of_every_user
 from nocturne.sources import driver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``f(tables) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, every: bool = False):
+    """Register ``f(tables) -> DataFrame`` under ``name``; with ``every`` over the
+    log in which every user is an individual."""
 
     def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(tables(spark, sf_dir, every))
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = of_every_user(sql) if every else sql
         return f
 
     return register
 
 
+query_of_all = partial(query, every=True)
+
+
 class Tables:
     """Tables derived from one data folder, each built once per session.
 
+    The users are dealt among ``individuals``; without a number each is its own.
     The given tables are taken not to change meanwhile; after a change call
     `forget`."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, individuals: int | None = None):
+        self.spark, self.sf_dir, self.individuals = spark, sf_dir, individuals
         self.raw_root: str | None = None  # night files written from the log
 
     def read(self, name: str) -> DataFrame:
@@ -49,7 +55,7 @@ class Tables:
 
     @cached_property
     def log(self) -> DataFrame:
-        return driver.raw_log(self.spark, self.sf_dir)
+        return driver.raw_log(self.spark, self.sf_dir, self.individuals)
 
     @cached_property
     def sealed_log(self) -> Timeline:
@@ -57,7 +63,7 @@ class Tables:
 
     @cached_property
     def conditions(self) -> DataFrame:
-        return stage(driver.conditions(self.spark, self.sf_dir), "conditions")
+        return stage(driver.conditions(self.spark, self.sf_dir, self.individuals), "conditions")
 
     @cached_property
     def lookup(self) -> DataFrame:
@@ -190,16 +196,17 @@ class Tables:
         ), "bootstrap")
 
 
-_tables: dict[tuple[str, str], Tables] = {}
+_tables: dict[tuple[str, str, bool], Tables] = {}
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def tables(spark: SparkSession, sf_dir: str, every: bool = False) -> Tables:
+    key = (spark.sparkContext.applicationId, sf_dir, every)
     if key not in _tables:
-        _tables[key] = Tables(spark, sf_dir)
+        _tables[key] = Tables(spark, sf_dir, None if every else driver.INDIVIDUALS)
     return _tables[key]
 
 
 def forget(spark: SparkSession, sf_dir: str) -> None:
     """Build the folder's tables anew when they are next needed."""
-    _tables.pop((spark.sparkContext.applicationId, sf_dir), None)
+    for every in (False, True):
+        _tables.pop((spark.sparkContext.applicationId, sf_dir, every), None)

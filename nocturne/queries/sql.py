@@ -5,14 +5,16 @@ from __future__ import annotations
 # name -> (tables it needs, body); a body may only use earlier names
 CTES: dict[str, str] = {}
 
-CTES["base"] = """
+_BASE = """
 SELECT *, event_type = 'signup' AND hr BETWEEN 20 AND 23 AND k < 40 AS can_switch,
   (event_id // 8) % 10 + 1 AS place
 FROM (SELECT CAST(CAST(ts - INTERVAL 12 HOUR AS DATE) - DATE '1970-01-01' AS INTEGER) AS night,
-       event_id, ts, user_id % 36 AS user_id, event_type, value, hour(ts) AS hr,
+       event_id, ts, {user}, event_type, value, hour(ts) AS hr,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k
 FROM events)"""
 
+CTES["base"] = _BASE.format(user="user_id % 36 AS user_id")
+
 CTES["switches"] = """
 SELECT night, arg_min(event_id, (ts, event_id)) AS switch_id FROM base WHERE can_switch GROUP BY night"""
 
@@ -169,6 +171,11 @@ SELECT cond, h.group_night, h.cohort, id_label, counterpart, loc, 1 AS outcome,
 FROM hits h LEFT JOIN rev r ON h.cohort = r.cohort AND h.group_night = r.group_night WHERE hit"""
 
 
+def of_every_user(sql: str) -> str:
+    """The twin over the log in which every user is an individual."""
+    return sql.replace(CTES["base"], _BASE.format(user="user_id"), 1)
+
+
 def twin(needs: str, select: str) -> str:
     """``select`` behind every CTE up to the last one of ``needs``.
 

@@ -1,7 +1,7 @@
 """The given star-schema tables read as an animal-tracking log.
 
-``events`` are the detections, ``customer`` the individuals: the first few dozen,
-among whom the users are dealt.
+``events`` are the detections, ``customer`` the individuals: every user's own, or
+the first few dozen, among whom the users are dealt.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 INDIVIDUALS = 36  # so that an individual is seen in most phases and nights
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events, with the users folded into ``INDIVIDUALS`` of the customers."""
+def detections(spark: SparkSession, sf_dir: str, individuals: int | None = None) -> DataFrame:
+    """Events, with the users folded into that many ``individuals`` if it is given."""
     events = read_table(spark, sf_dir, "events")
-    return events.withColumn("user_id", F.pmod("user_id", F.lit(INDIVIDUALS)))
+    if individuals is None:
+        return events
+    return events.withColumn("user_id", F.pmod("user_id", F.lit(individuals)))
 
 
 def night_of(ts: str = "ts"):
@@ -31,7 +33,7 @@ def night_of(ts: str = "ts"):
     return F.unix_date(F.to_date(F.col(ts) - F.make_dt_interval(F.lit(0), F.lit(12))))
 
 
-def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_log(spark: SparkSession, sf_dir: str, individuals: int | None = None) -> DataFrame:
     """Purchases are visits, clicks beam interruptions, views reader detections;
     signups and errors carry the device messages.  Eight events in a row share a
     place; the first evening signup of a night that can be one is its switch."""
@@ -40,7 +42,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = kind.isin("purchase", "view")
     animal = F.col("user_id").cast("string")
     switch = (kind == "signup") & hour.between(20, 23) & (k < 40)
-    rows = detections(spark, sf_dir).withColumns({
+    rows = detections(spark, sf_dir, individuals).withColumns({
         "k": F.regexp_extract("props", "([0-9]+)", 1).cast("int"), "night": night_of()})
     first = rows.where(switch).groupBy("night").agg(
         F.min_by("event_id", F.struct("ts", "event_id")).alias("switch_id"))
@@ -72,10 +74,10 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conditions(spark: SparkSession, sf_dir: str, individuals: int | None = None) -> DataFrame:
     """One row per night and individual seen in it, with its attributes."""
     seen = (
-        detections(spark, sf_dir)
+        detections(spark, sf_dir, individuals)
         .select(night_of().alias("night"), F.col("user_id").alias("c_custkey"))
         .distinct()
     )
