@@ -152,8 +152,11 @@ def combine(draws: DataFrame, combinations: Mapping[str, Mapping[str, float]]) -
     rows = [(c, t, float(k), len(terms)) for c, terms in combinations.items() for t, k in terms.items()]
     coefs = draws.sparkSession.createDataFrame(rows, "combo string, term string, coef double, parts int")
     whole = F.count("value") == F.max("parts")
+    # by draw, not by term, of which one may hold half of all; and before the sums, as
+    # a task that sums up first keeps every draw it reads
+    by_draw = draws.where(F.col("term").isin({t for _, t, _, _ in rows})).repartition("model", "iter")
     return (
-        draws.join(coefs, "term")
+        by_draw.join(F.broadcast(coefs), "term")
         .groupBy("model", F.col("combo").alias("term"), "iter")
         .agg(F.when(whole, F.sum(F.col("coef") * F.col("value"))).alias("value"))
     )

@@ -371,3 +371,16 @@ def test_combinations_under_new_names():
         "cohort_typemixed": 1, "cohort_typemixed:phase2": 1}
     assert E.COHORT_TYPE_COMBINATIONS["night_phase2"] == E.SEX_COMBINATIONS["night_phase2"]
     assert len(E.COHORT_TYPE_COMBINATIONS) == 7
+
+
+def test_no_task_of_combined_draws_holds_a_term(spark):
+    table = spark.range(20000).selectExpr(
+        "'m' AS model", "IF(id % 10 = 0, 'a', 'b') AS term", "id + 1 AS iter", "CAST(id AS double) AS value")
+    combined = D.combine(table, {"s": {"a": 1, "b": 2}, "d": {"b": 1}})
+    plan = combined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    lines = plan.splitlines()
+    exchanges = [line for line in lines if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "iter" in exchanges[0] and "combo" not in exchanges[0]
+    # no sum ahead of the exchange
+    assert not any("HashAggregate" in line for line in lines[lines.index(exchanges[0]):])
