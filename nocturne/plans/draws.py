@@ -154,7 +154,7 @@ def combine(draws: DataFrame, combinations: Mapping[str, Mapping[str, float]]) -
     whole = F.count("value") == F.max("parts")
     # by draw, not by term, of which one may hold half of all; and before the sums, as
     # a task that sums up first keeps every draw it reads
-    by_draw = draws.where(F.col("term").isin({t for _, t, _, _ in rows})).repartition("model", "iter")
+    by_draw = draws.where(F.col("term").isin({t for _, t, _, _ in rows})).repartition("iter")
     return (
         by_draw.join(F.broadcast(coefs), "term")
         .groupBy("model", F.col("combo").alias("term"), "iter")
