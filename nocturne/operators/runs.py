@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from nocturne.functions.columns import in_night, patch_of, place_of
-from nocturne.operators.joins import lookup_join, unique_rows
+from nocturne.operators.joins import keyed_join, lookup_join, unique_rows
 from nocturne.operators.timeline import Timeline, seal
 from nocturne.session import stage
 
@@ -176,12 +176,13 @@ def with_rules(log: DataFrame, rules: DataFrame, name: str = "_kept", **how) ->
     """Join the attributes and mark the rows that the rules leave in.
 
     Rows without a known individual are left in, with null attributes."""
+    return _marked(lookup_join(log, rules, ["night", "id_label"], ["ts", "event_seq"], **how), name)
+
+
+def _marked(ruled: DataFrame, name: str = "_kept") -> DataFrame:
     inside = F.coalesce(F.col("ts").between(F.col("_low"), F.col("_high")), F.lit(False))
-    return (
-        lookup_join(log, rules, ["night", "id_label"], ["ts", "event_seq"], **how)
-        .withColumn(name, ~F.coalesce(F.col("_all") | inside, F.lit(False)))
-        .drop("_low", "_high", "_all")
-    )
+    return ruled.withColumn(name, ~F.coalesce(F.col("_all") | inside, F.lit(False))).drop(
+        "_low", "_high", "_all")
 
 
 def apply_rules(log: DataFrame, rules: DataFrame, **how) -> DataFrame:
@@ -259,41 +260,53 @@ def event_timeline(
     """The event table as a timeline of nights, from a log in order by night.
 
     Everything happens in that order, the fill across nights too, as nights
-    follow each other (checked).  All that is carried from chunk to chunk comes
-    from one aggregate, and one more pass over the log writes the result.
+    follow each other (checked).  The log meets one table of facts by (night, tag),
+    is put in order once more and written; all that is carried from chunk to chunk
+    comes from the last rows of the chunks.
     """
     require_disjoint(log)
     trimmed = trimmed or trim_run(log)
-    lookup, rules = _facts(trimmed, conditions)
-    rows = with_rules(derive_visit_columns(_known(trimmed.df, lookup)), rules)
+    facts = _facts(trimmed, conditions)
+    rows = _marked(lookup_join(
+        derive_visit_columns(_timed(trimmed.df)), facts, ["night", "tag"], ["ts", "event_seq"]))
     rows = rows.withColumn("_kept", F.col("_kept") & in_night("ts", after, before))
     # phases and pump state count every row of the run, the fills only those that stay
     first = trimmed.df.agg(F.min("ts")).scalar()
-    filled = trimmed.with_df(rows).running(
+    rows = rows.withColumn("_mark", F.when(F.col("ts") == first, F.lit(0.0)).otherwise(state_marks()))
+    needed = [c for c in EVENT_COLUMNS if c not in ("phase", "pumping")]
+    done = trimmed.with_df(rows.select(*needed, "_mark", "_kept", "_chunk", "_row")).written(
+        "_kept",
         sums={"phase": switches()},
-        last_across={"pumping": F.when(F.col("ts") == first, F.lit(0.0)).otherwise(state_marks()),
-                     **{c: F.when(F.col("_kept"), F.col(c)) for c in FILLED}},
-        staged=True,
+        last_across={"pumping": F.col("_mark"), **{c: F.when(F.col("_kept"), F.col(c)) for c in FILLED}},
+        lagged=["unit_label", "id_label"], depth=1, name="events",
     )
-    done = filled.df.where("_kept").withColumn("phase", (F.col("phase") + 1).cast("int"))
-    return filled.with_df(done.select(*EVENT_COLUMNS, "_chunk", "_row"), whole=False).staged("events")
+    lags = [c for c in done.df.columns if c.startswith("_lag")]
+    return done.with_df(done.df.withColumn("phase", (F.col("phase") + 1).cast("int")).select(
+        *EVENT_COLUMNS, "_chunk", "_row", *lags))
+
 
+def _facts(trimmed: Timeline, conditions: DataFrame) -> DataFrame:
+    """The individual behind each (night, tag) with its rules, staged.
 
-def _facts(trimmed: Timeline, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Individuals behind the tags, and the rules, both staged."""
+    Only rows of individuals whose rule names a time are looked at for anchors."""
+    keys = ["night", "id_label"]
     lookup = stage(id_lookup(conditions), "lookup")
+    timed = lookup.join(conditions.where(F.col("discard").rlike("[<>]")), keys, "left_semi")
     # anchors need no window, so they come from the rows before any pass
-    return lookup, stage(exclusion_rules(repair_ids(trimmed.df, lookup), conditions), "rules")
+    rules = exclusion_rules(trimmed.df.join(timed, ["night", "tag"]), conditions)
+    return stage(keyed_join(lookup, rules, keys), "facts")
 
 
-def _known(log: DataFrame, lookup: DataFrame) -> DataFrame:
-    return repair_ids(log.withColumn("event_duration", F.coalesce("event_duration", "sense_duration")), lookup)
+def _timed(log: DataFrame) -> DataFrame:
+    """The log with the sensed duration where there is no other."""
+    return log.withColumn("event_duration", F.coalesce("event_duration", "sense_duration"))
 
 
 def _event_rows(
     log: Timeline, trimmed: Timeline, conditions: DataFrame, after: int, before: int
 ) -> Timeline:
-    lookup, rules = _facts(trimmed, conditions)
+    facts = _facts(trimmed, conditions)
     passed = phase_and_state(trimmed)
-    kept = apply_rules(derive_visit_columns(_known(passed.df, lookup)), rules)
+    rows = derive_visit_columns(_timed(passed.df))
+    kept = _marked(lookup_join(rows, facts, ["night", "tag"], ["ts", "event_seq"])).where("_kept")
     return passed.with_df(kept.where(in_night("ts", after, before)), whole=False)

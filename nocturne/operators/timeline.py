@@ -12,7 +12,7 @@ log again.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -32,6 +32,7 @@ class Timeline:
     index: DataFrame
     whole: bool = True  # no row of the sealed log has been left out
     spans: DataFrame | None = None  # least and greatest of a column per (partition, chunk)
+    lagged: tuple[str, ...] = ()  # columns of earlier rows of the chunk, in ``_lag1``, …
 
     @property
     def keys(self) -> list[str]:
@@ -57,7 +58,11 @@ class Timeline:
 
     def table(self) -> DataFrame:
         """The rows without the order columns."""
-        return self.df.drop("_chunk", "_row")
+        return self.df.drop("_chunk", "_row", *self._lag_columns)
+
+    @property
+    def _lag_columns(self) -> list[str]:
+        return [c for c in self.df.columns if self.lagged and c.startswith("_lag")]
 
     def with_df(self, df: DataFrame, whole: bool | None = None) -> Timeline:
         """The same timeline with columns added, or rows removed (``whole=False``).
@@ -162,11 +167,61 @@ class Timeline:
         df = df.withColumns(merged)
         return self.with_df(df.drop(*now, *[f"_was_{n}" for n in merged]))
 
+    def written(
+        self,
+        keep: str,
+        sums: Mapping[str, Column],
+        last_across: Mapping[str, Column],
+        lagged: Sequence[str] = (),
+        depth: int = 0,
+        name: str = "timeline",
+    ) -> Timeline:
+        """The rows for which ``keep`` holds, with `running` values over all rows.
+
+        One pass puts the rows in order and writes those to keep, with what is
+        known inside their chunk: the running values and, for `lags`, ``lagged``
+        of the ``depth`` kept rows before.  A chunk's last row is written too; what
+        is carried on from chunk to chunk is read from those.
+        """
+        upto = self._inside.rowsBetween(W.unboundedPreceding, 0)
+        past = self._inside.rowsBetween(W.unboundedPreceding, -1)
+        sums = {**sums, "_nth": F.when(F.col(keep), 1).otherwise(0)}
+        now = {f"_in_{n}": F.sum(c).over(upto) for n, c in sums.items()}
+        now |= {f"_in_{n}": F.last(c, ignorenulls=True).over(upto) for n, c in last_across.items()}
+        df = self.df.withColumns({**now, "_last": F.lead("_row").over(self._inside).isNull()})
+        earlier = F.struct(*lagged)
+        for j in range(1, depth + 1):
+            df = df.withColumn(
+                f"_lag{j}", F.last(F.when(F.col(keep), earlier), ignorenulls=True).over(past))
+            earlier = F.col(f"_lag{j}")
+        rows = stage(
+            df.where(F.col(keep) | F.col("_last")).drop("_row", *sums, *last_across), name)
+        was = {n: F.sum(f"_in_{n}").over(self._earlier) for n in sums}
+        was |= {n: F.last(f"_in_{n}", ignorenulls=True).over(self._earlier_across) for n in last_across}
+        carry = stage(
+            rows.where("_last").select(
+                *self.keys, F.col("_in__nth").alias("_rows"), *[c.alias(f"_was_{n}") for n, c in was.items()]),
+            f"{name}-index",
+        )
+        zero = F.lit(0)
+        merged = {n: F.coalesce(f"_in_{n}", zero) + F.coalesce(f"_was_{n}", zero) for n in sums}
+        merged |= {n: F.coalesce(f"_in_{n}", f"_was_{n}") for n in last_across}
+        merged["_row"] = merged.pop("_nth") - 1
+        kept = rows.where(keep).join(carry.drop("_rows"), self.keys, "left").withColumns(merged)
+        kept = kept.drop("_last", *now, *[f"_was_{n}" for n in was])
+        before = F.coalesce("_was__nth", zero)
+        index = carry.where(F.col("_rows") > 0).select(
+            *self.keys, "_rows", before.alias("_first"), before.alias("_before"))
+        # what `release` deletes
+        kept._staged_path, index._staged_path = rows._staged_path, carry._staged_path
+        return Timeline(kept, self.partition_by, index, lagged=tuple(lagged))
+
     def lags(self, columns: Sequence[str], depth: int, name: str = "lag") -> Timeline:
         """``{name}1`` … ``{name}depth``: structs of earlier rows, null if none.
 
         Only the last ``depth`` rows of each chunk are looked at across chunks;
-        the index knows them, unless rows were left out since.
+        the index knows them, unless rows were left out since.  Rows that were
+        `written` with these columns need no order again.
         """
         row = F.struct(*columns)
         values = self.df.select(*self.keys, "_row", row.alias("_v"))
@@ -187,15 +242,21 @@ class Timeline:
             .where(F.col("_prev_chunk").isNull() | (F.col("_prev_chunk") != F.col("_chunk")))
             .drop("_prev_chunk")
         )
-        df = (
-            self.df.withColumn("_n", F.row_number().over(self._inside))
-            .withColumns({f"{name}{j}": F.lag(row, j).over(self._inside) for j in range(1, depth + 1)})
-            .join(carry, self.keys, "left")
-        )
+        if self.whole and set(columns) <= set(self.lagged) and f"_lag{depth}" in self.df.columns:
+            # one row per chunk, staged so that Spark knows how small it is
+            carry = stage(carry.join(self.index.select(*self.keys, "_first"), self.keys), "tails")
+            number = (F.col("_row") - F.col("_first") + 1).cast("int")
+            here = {f"{name}{j}": F.struct(*[F.col(f"_lag{j}")[c].alias(c) for c in columns])
+                    for j in range(1, depth + 1)}
+            df = self.df.join(carry, self.keys, "left").withColumns({"_n": number, **here}).drop("_first")
+        else:
+            number = F.row_number().over(self._inside)
+            here = {f"{name}{j}": F.lag(row, j).over(self._inside) for j in range(1, depth + 1)}
+            df = self.df.withColumns({"_n": number, **here}).join(carry, self.keys, "left")
         for j in range(1, depth + 1):
             reach = F.get("_tail", F.lit(j) - F.col("_n"))
             df = df.withColumn(f"{name}{j}", F.when(F.col("_n") > j, F.col(f"{name}{j}")).otherwise(reach))
-        return self.with_df(df.drop("_n", "_tail"))
+        return self.with_df(df.drop("_n", "_tail", *self._lag_columns))
 
 
 def seal(
@@ -205,9 +266,11 @@ def seal(
     chunks: int | None = None,
     name: str = "timeline",
     spans: str | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Timeline:
     """Put ``df`` into range order and stage it; with ``spans`` the index knows the
-    least and the greatest value of that column.
+    least and the greatest value of that column.  ``derive`` computes columns row by
+    row after the rows were sampled and moved, which else happens before, and twice.
 
     ``partition_by`` + ``order_by`` must be unique per row; a null partition
     column fails at run time (see `grouping`).  The number of chunks follows
@@ -223,12 +286,12 @@ def seal(
         if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
             chunks = wanted
     ranged = df.repartitionByRange(chunks, *order) if chunks else df.repartitionByRange(*order)
-    staged = stage(
+    placed = (
         ranged.sortWithinPartitions(*order)
         .withColumn("_chunk", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))),
-        name,
+        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK)))
     )
+    staged = stage(derive(placed) if derive else placed, name)
     index = _index(staged, partition_by, name, spans)
     if not spans:
         return Timeline(staged, tuple(partition_by), index)

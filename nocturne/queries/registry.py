@@ -59,7 +59,8 @@ class Tables:
 
     @cached_property
     def sealed_log(self) -> Timeline:
-        return seal(self.log, ["night"], ["ts", "event_seq"], name="log", spans="ts")
+        rows = driver.source_rows(self.spark, self.sf_dir, self.individuals)
+        return seal(rows, ["night"], ["ts", "event_id"], name="log", spans="ts", derive=driver.as_log)
 
     @cached_property
     def conditions(self) -> DataFrame:
@@ -98,11 +99,13 @@ class Tables:
 
     @cached_property
     def hits(self) -> DataFrame:
-        """The event table with pursuits: a reader detection right after a visit."""
+        """The event table with pursuits: a reader detection right after a visit.
+
+        Read off the staged event table, so each use asks for its own columns."""
         found = detect_pursuits(
             self.sealed_events, steps=("Co",), place=None, max_duration=2000
         )
-        return stage(found.position("n_event").table(), "hits")
+        return found.position("n_event").table()
 
     @cached_property
     def durations(self) -> DataFrame:

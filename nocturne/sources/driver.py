@@ -33,44 +33,55 @@ def night_of(ts: str = "ts"):
     return F.unix_date(F.to_date(F.col(ts) - F.make_dt_interval(F.lit(0), F.lit(12))))
 
 
+def source_rows(spark: SparkSession, sf_dir: str, individuals: int | None = None) -> DataFrame:
+    """The detections with their night and the event that is its switch: the first
+    evening signup of a night that can be one."""
+    switch = (F.col("event_type") == "signup") & F.hour("ts").between(20, 23) & (number() < 40)
+    rows = detections(spark, sf_dir, individuals).withColumn("night", night_of())
+    first = rows.where(switch).groupBy("night").agg(
+        F.min_by("event_id", F.struct("ts", "event_id")).alias("switch_id"))
+    return lookup_join(rows, stage(first, "switches"), ["night"], ["event_id"])
+
+
+def number():
+    return F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+
+
 def raw_log(spark: SparkSession, sf_dir: str, individuals: int | None = None) -> DataFrame:
+    return as_log(source_rows(spark, sf_dir, individuals))
+
+
+def as_log(rows: DataFrame) -> DataFrame:
     """Purchases are visits, clicks beam interruptions, views reader detections;
     signups and errors carry the device messages.  Eight events in a row share a
-    place; the first evening signup of a night that can be one is its switch."""
+    place.  Any other columns of the rows that begin with ``_`` stay."""
     k, kind, hour = F.col("k"), F.col("event_type"), F.hour("ts")
     place = (F.floor(F.col("event_id") / 8) % 10 + 1).cast("string")
     tagged = kind.isin("purchase", "view")
     animal = F.col("user_id").cast("string")
-    switch = (kind == "signup") & hour.between(20, 23) & (k < 40)
-    rows = detections(spark, sf_dir, individuals).withColumns({
-        "k": F.regexp_extract("props", "([0-9]+)", 1).cast("int"), "night": night_of()})
-    first = rows.where(switch).groupBy("night").agg(
-        F.min_by("event_id", F.struct("ts", "event_id")).alias("switch_id"))
-    return (
-        lookup_join(rows, stage(first, "switches"), ["night"], ["event_id"])
-        .select(
-            "night",
-            F.col("event_id").alias("event_seq"),
-            "ts",
-            F.when(tagged & (k % 25 == 0), "R?")
-            .when(tagged, F.concat(F.lit("R"), animal)).alias("tag"),
-            F.when(tagged & (k % 7 == 3), "")
-            .when(tagged, F.concat(F.lit("Ind"), animal))
-            .when(k % 2 == 0, "Test").otherwise("").alias("raw_label"),
-            F.when(kind == "purchase", F.concat(F.lit("CondMod"), place))
-            .when(kind == "click", F.concat(F.lit("LS"), place))
-            .when(kind == "view", F.concat(F.lit("Reader"), place))
-            .otherwise("exp").alias("unit_label"),
-            F.when(k % 11 != 0, F.col("value") * 10).alias("event_duration"),
-            F.when(k % 22 != 0, F.col("value") * 10).alias("sense_duration"),
-            F.when((kind == "purchase") & (k % 4 == 0), 0.0)
-            .when(kind == "purchase", F.col("value")).alias("reward_steps"),
-            F.when((kind == "signup") & (hour == 12) & (k < 50), "start")
-            .when((kind == "signup") & (hour == 11) & (k < 50), "end")
-            .when(F.col("event_id") == F.col("switch_id"), "switch")
-            .when((kind == "error") & (k < 50), "start pump")
-            .when(kind == "error", "end pump").otherwise("").alias("system_msg"),
-        )
+    return rows.withColumn("k", number()).select(
+        "night",
+        F.col("event_id").alias("event_seq"),
+        "ts",
+        F.when(tagged & (k % 25 == 0), "R?")
+        .when(tagged, F.concat(F.lit("R"), animal)).alias("tag"),
+        F.when(tagged & (k % 7 == 3), "")
+        .when(tagged, F.concat(F.lit("Ind"), animal))
+        .when(k % 2 == 0, "Test").otherwise("").alias("raw_label"),
+        F.when(kind == "purchase", F.concat(F.lit("CondMod"), place))
+        .when(kind == "click", F.concat(F.lit("LS"), place))
+        .when(kind == "view", F.concat(F.lit("Reader"), place))
+        .otherwise("exp").alias("unit_label"),
+        F.when(k % 11 != 0, F.col("value") * 10).alias("event_duration"),
+        F.when(k % 22 != 0, F.col("value") * 10).alias("sense_duration"),
+        F.when((kind == "purchase") & (k % 4 == 0), 0.0)
+        .when(kind == "purchase", F.col("value")).alias("reward_steps"),
+        F.when((kind == "signup") & (hour == 12) & (k < 50), "start")
+        .when((kind == "signup") & (hour == 11) & (k < 50), "end")
+        .when(F.col("event_id") == F.col("switch_id"), "switch")
+        .when((kind == "error") & (k < 50), "start pump")
+        .when(kind == "error", "end pump").otherwise("").alias("system_msg"),
+        *[c for c in rows.columns if c.startswith("_")],
     )
 
 

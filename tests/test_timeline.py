@@ -112,3 +112,34 @@ def test_fill_across_partitions(spark, chunks):
     want = df.select("seq", F.last("v", ignorenulls=True).over(everything).alias("fill"),
                      F.coalesce(F.sum("v").over(each), F.lit(0)).alias("rs"))
     assert sorted(map(tuple, got.select("seq", "fill", "rs").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 60])
+def test_written_rows_know_all_rows(spark, chunks):
+    """Running values over all rows, lags and positions over the kept ones, in one order."""
+    df = spark.createDataFrame(_rows(5), "night int, ts int, seq int, v int, s string")
+    marked = df.withColumn("keep", F.col("seq") % 3 != 0)
+    tl = seal(marked, ["night"], ["ts", "seq"], chunks).written(
+        "keep", {"rs": F.coalesce("v", F.lit(0))}, {"fill": F.col("v")}, ["v", "s"], 2)
+    got = tl.position("pos").lags(["s"], 2)
+    assert "Window [" not in got.df._jdf.queryExecution().optimizedPlan().toString()
+    night = W.partitionBy("night").orderBy("ts", "seq")
+    log = W.orderBy("night", "ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    want = marked.withColumns({
+        "rs": F.sum(F.coalesce("v", F.lit(0))).over(night), "fill": F.last("v", ignorenulls=True).over(log),
+    }).where("keep").withColumns({
+        "pos": F.row_number().over(night),
+        **{f"lag{j}": F.lag(F.struct("s"), j).over(night) for j in (1, 2)}})
+    names = ["seq", "rs", "fill", "pos", "lag1", "lag2"]
+    rows = lambda d: sorted(map(str, d.select(*names).collect()))
+    assert rows(got.table()) == rows(want)
+    assert not [c for c in tl.table().columns if c.startswith("_")]
+    tl.release()
+
+
+def test_columns_derived_after_the_order(spark):
+    df = spark.createDataFrame(_rows(9), "night int, ts int, seq int, v int, s string")
+    twice = lambda d: d.withColumn("double", F.col("seq") * 2)
+    got = seal(df, ["night"], ["ts", "seq"], 5, derive=twice).position().table()
+    want = seal(twice(df), ["night"], ["ts", "seq"], 5).position().table()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
