@@ -8,13 +8,15 @@ longest kept suffix, down to the smoothed word frequencies of the whole corpus.
 A token is scored in the state of its longest kept suffix.
 
 Both limits are occurrences, at every size, so the tree grows with the corpus
-and stays distributed.  Texts are cut into tokens once and staged in pieces.
-A word sequence (gram) is a 64-bit hash.  A gram of two words or more occurs
-``ENTRY`` times only if it does so without its oldest word, so each level counts
-what two bitmaps of fixed size, over contexts and over shorter grams, let
-through; what they let through wrongly is joined out again.  For scoring each
-piece asks, by buckets of grams, for the tree's part of its different grams,
-and gets it back in one group of bounded size.
+and stays distributed.  Texts are cut into tokens once and staged in pieces of
+bounded size.  A word sequence (gram) is a 64-bit hash, and the hashes are cut
+into ranges (buckets).  In each round a piece sends every bucket its different
+grams of one more word, with their counts, and gets their counts in the whole
+corpus back, in the order asked and so without the grams.  Only grams whose
+beginning occurs ``CONTEXT`` times and whose end ``ENTRY`` times are sent,
+which a piece knows from the round before.  One of the pieces that hold an
+entry owns it and adds it to the sums by which its context's bucket keeps or
+drops the context.  What a piece was told is the tree's part of its texts.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,18 @@ from nocturne.session import stage
 
 DEPTH = 3
 CONTEXT, ENTRY = 8, 2  # occurrences in the training texts
-PIECE = 200_000  # tokens of a piece, about
-FLUSH = 2_000_000  # grams held before they are summed and sent
-BUCKET = 6  # pieces for each bucket of grams
-BITS, SLOT = 27, 20  # log2 of the bits of a bitmap and of those written as one row
+PIECE = 200_000  # most tokens of a part of a text
+FLUSH = 1_000_000  # tokens of a piece, about
+BUCKET = 1  # pieces for each bucket of grams
+BITS, SLOT = 27, 20  # first bits of a gram that tell its bucket; log2 of the grams sent as one row
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 END = b" "  # the end of a text as a token: no word has a space
 
 PIECES = ("row array<long>, doc_id array<long>, held_out array<boolean>, length array<int>, lead array<int>, "
-          "words array<long>, number binary")
+          "n_words int, words binary, n_tokens int, number binary")
+# kind: words of the grams, below 0 if they are contexts to be tested; at: place of the first among a piece's
+ASKED = "bucket int, piece long, kind int, at int, n int, gram binary, sums array<binary>"
+TOLD = "piece long, kind int, at int, n int, value binary, tokens long, types long, contexts long"
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -53,16 +59,19 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, depth: int) -> DataFrame:
-    """Tokens of all texts: one row of ``PIECES`` for about ``PIECE`` of them.
+    """Tokens of all texts: one row of ``PIECES`` for about ``FLUSH`` of them.
 
-    A text longer than that is cut; each further part begins with the last
+    A text longer than ``PIECE`` is cut; each further part begins with the last
     ``depth`` tokens before it (``lead``), which are its context only."""
-    most = PIECE
+    most, flush = PIECE, FLUSH
 
     def run(batches):
+        held, size, words = [], 0, words_of_worker()
         for b in (p for batch in batches for p in pieces_of(batch, 1_000_000)):
-            held, size = [], 0
-            words = words_of_worker()
+            if words_of_worker() is not words:  # other numbers from here on
+                if held:
+                    yield piece_row(held, words.hashes)
+                held, size, words = [], 0, words_of_worker()
             columns = [b.column(c).to_pylist() for c in ("row", "doc_id", "held_out")]
             for row, doc_id, held_out, text in zip(*columns, b.column("text")):
                 number = words.numbers([*text.as_buffer().to_pybytes().lower().split(), END])
@@ -71,24 +80,52 @@ def pieces(docs: DataFrame, depth: int) -> DataFrame:
                     part = number[start - lead : start + most]
                     held.append((row, doc_id, held_out, lead, part))
                     size += len(part)
-                    if size >= most:
+                    if size >= flush:
                         yield piece_row(held, words.hashes)
                         held, size = [], 0
-            if held:
-                yield piece_row(held, words.hashes)
+        if held:
+            yield piece_row(held, words.hashes)
 
     return prepared(docs).mapInArrow(run, PIECES).withColumn("piece", F.monotonically_increasing_id())
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on, compressed."""
+    size = values.dtype.itemsize
+    return pa.compress(values.reshape(-1, 1).view(np.uint8).reshape(-1, size).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes | pa.Buffer, n: int, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(pa.decompress(raw, n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).view(dtype).reshape(-1)
+
+
+def packed_hashes(hashes: np.ndarray) -> bytes:
+    """By their differences, which are short where the hashes are in order."""
+    return packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unpacked_hashes(raw: bytes | pa.Buffer, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(raw, n, np.uint64), dtype=np.uint64)
+
+
 def piece_row(parts: list[tuple], hashes: np.ndarray) -> pa.RecordBatch:
+    """Words are numbered anew, frequent ones first and those about as frequent
+    by hash, which compresses best."""
     row, doc_id, held_out, lead, numbers = zip(*parts)
-    used, number = np.unique(np.concatenate(numbers), return_inverse=True)
-    number = number.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    number = np.concatenate(numbers)
+    count = np.bincount(number, minlength=len(hashes))
+    used = np.flatnonzero(count)
+    used = used[np.lexsort((hashes[used], -np.frexp(count[used])[1]))]
+    count[used] = np.arange(len(used))
     lists = [pa.array([v], pa.list_(t)) for v, t in (
         (row, pa.int64()), (doc_id, pa.int64()), (held_out, pa.bool_()), (list(map(len, numbers)), pa.int32()),
-        (lead, pa.int32()), (hashes[used].view(np.int64), pa.int64()))]
-    return pa.RecordBatch.from_arrays([*lists, pa.array([number.tobytes()], pa.binary())],
-                                      ["row", "doc_id", "held_out", "length", "lead", "words", "number"])
+        (lead, pa.int32()))]
+    return pa.RecordBatch.from_arrays(
+        [*lists, pa.array([len(used)], pa.int32()), pa.array([packed_hashes(hashes[used])], pa.binary()),
+         pa.array([len(number)], pa.int32()), pa.array([packed(count[number].astype(np.uint32))], pa.binary())],
+        ["row", "doc_id", "held_out", "length", "lead", "n_words", "words", "n_tokens", "number"])
 
 
 class Piece:
@@ -98,125 +135,173 @@ class Piece:
         def values(name):
             return table.column(name)[i].values
 
-        words = values("words").to_numpy().view(np.uint64)
-        raw = table.column("number")[i].as_buffer()
+        words = unpacked_hashes(table.column("words")[i].as_buffer(), table.column("n_words")[i].as_py())
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        self.words = words[order]
+        self.number = place[unpacked(
+            table.column("number")[i].as_buffer(), table.column("n_tokens")[i].as_py(), np.uint32)]
+        self.id = table.column("piece")[i].as_py()
         self.row, self.doc_id, self.held_out = values("row"), values("doc_id"), values("held_out")
         length, lead = values("length").to_numpy(), values("lead").to_numpy()
-        self.word = words[np.frombuffer(raw, np.uint16 if len(words) <= 1 << 16 else np.uint32)]
-        self.part = np.repeat(np.arange(len(length)), length)
-        self.at = np.arange(len(self.word)) - np.repeat(np.cumsum(length) - length, length)
+        self.part = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        self.at = np.arange(len(self.number)) - np.repeat(np.cumsum(length) - length, length)
         self.own = self.at >= lead[self.part]
         self.trains = ~self.held_out.to_numpy(zero_copy_only=False)[self.part] & self.own
 
-    def grams(self, most: int) -> list[np.ndarray]:
-        """By words less one: the hash of the words up to each token (any value
-        where the text has fewer)."""
-        out = [self.word]
-        for _ in range(1, most):
-            out.append(np.concatenate([[np.uint64(0)], out[-1][:-1]]) * MULTIPLIER + self.word)
-        return out
-
-
-def each_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield Piece(b, i)
-
-
-def by_bucket(buckets: int, gram: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
-    """Buckets, and for each its grams and what goes with them as lists."""
-    bucket = gram.view(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    number, first = np.unique(bucket[order], return_index=True)
-    edges = pa.array(np.append(first, len(order)).astype(np.int32))
-    return pa.array(number.astype(np.int32)), [
-        pa.ListArray.from_arrays(edges, pa.array(c[order].view(np.int64))) for c in (gram, *columns)]
-
-
-def counted(parts: DataFrame, buckets: int, grams_of, least: int, *more: str) -> DataFrame:
-    """gram, n and more columns: the grams that ``grams_of(piece)`` gives
-    ``least`` times over all pieces.  It gives arrays, the grams first; a gram
-    always has the same values in the other ones."""
-    names, flush = ["gram", *more, "n"], FLUSH
-
-    def summed(gram, *columns, n):
-        gram, first, number = np.unique(gram, return_index=True, return_inverse=True)
-        return [gram, *(c[first] for c in columns), np.bincount(number, n, len(gram)).astype(np.int64)]
-
-    def send(batches):
-        held, size = [], 0
-
-        def rows():
-            columns = [np.concatenate(c) for c in zip(*held)]
-            bucket, lists = by_bucket(buckets, *summed(*columns, n=None))
-            return pa.RecordBatch.from_arrays([bucket, *lists], ["bucket", *names])
-
-        for piece in each_piece(batches):
-            held.append(grams_of(piece))
-            size += len(held[-1][0])
-            if size >= flush:
-                yield rows()
-                held, size = [], 0
-        if size:
-            yield rows()
 
-    def add(table: pa.Table) -> pa.Table:
-        *columns, n = (table[c].combine_chunks().flatten().to_numpy() for c in names)
-        columns = summed(*columns, n=n)
-        often = columns[-1] >= least
-        return pa.table({c: pa.array(v[often], pa.int64()) for c, v in zip(names, columns)})
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order, the number of each row's value among
+    them, and the first row of each.
+
+    First bits and row are sorted as one integer, several times faster than by
+    an index; values that share these bits are rare and sorted in full."""
+    low = np.uint64(len(values).bit_length())
+    key = values >> low << low | np.arange(len(values), dtype=np.uint64)
+    key.sort()
+    row = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    key >>= low
+    ordered = values[row]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if np.any(new[1:] & (key[1:] == key[:-1])):
+        different, first, number = np.unique(values, return_index=True, return_inverse=True)
+        return different, number.astype(np.int32), first
+    number = np.empty(len(values), np.int32)
+    number[row] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ordered[new], number, row[new]
 
-    sent = parts.mapInArrow(send, "bucket int, " + ", ".join(f"{c} array<long>" for c in names))
-    return sent.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
 
-
-class Marks:
-    """A bitmap by the first bits of grams; compressed until a worker uses it."""
-
-    def __init__(self, bits: np.ndarray):
-        self.size, self.packed, self.bits = len(bits), pa.compress(bits.tobytes(), "zstd", asbytes=True), None
-
-    def has(self, gram: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            self.bits = np.frombuffer(pa.decompress(self.packed, self.size, "zstd"), np.uint8)
-        bit = (gram >> np.uint64(65 - (8 * self.size).bit_length())).astype(np.int64)
-        return self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 != 0
-
-
-def bitmap(grams: DataFrame) -> Marks:
-    """2 ** ``BITS`` bits, of which each gram in the only column sets one."""
-    low = SLOT
-
-    def mark(batches):
-        slots: dict[int, np.ndarray] = {}
-        for b in batches:
-            bit = b.column("bit").to_numpy()
-            for slot in np.unique(bit >> low):
-                mine = bit[bit >> low == slot] & ((1 << low) - 1)
-                np.bitwise_or.at(slots.setdefault(slot, np.zeros(1 << low - 3, np.uint8)), mine >> 3,
-                                 np.uint8(1) << (mine & 7).astype(np.uint8))
-        for slot, bits in slots.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([slot], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["slot", "bits"])
-
-    gram = F.col(grams.columns[0])
-    bit = grams.select(F.shiftrightunsigned(gram, 64 - BITS).alias("bit"))
-    slots = bit.repartition(F.shiftright("bit", SLOT)).mapInArrow(mark, "slot long, bits binary")
-    out = np.zeros((1 << BITS - SLOT, 1 << SLOT - 3), np.uint8)
-    for r in slots.collect():  # 2 ** (BITS - SLOT) rows, one bitmap in all
-        out[r.slot] |= np.frombuffer(r.bits, np.uint8)
-    return Marks(out.reshape(-1))
+@dataclass
+class Grams:
+    """A piece's grams of one length: their hashes in order, the first token
+    that ends each, each token's number among them (below 0: none).  Once told:
+    the occurrences of each, also by token, and those that this piece owns."""
+
+    gram: np.ndarray
+    first: np.ndarray | None
+    number: np.ndarray
+    n: np.ndarray | None = None
+    by_token: np.ndarray | None = None
+    owned: np.ndarray | None = None
+
+
+def by_length(piece: Piece, told: dict[int, np.ndarray], most: int) -> list[Grams]:
+    """Those of 1 to ``most`` words (at 0 none) that may be in the tree."""
+    out: list[Grams] = [None, Grams(piece.words, None, piece.number)]
+    hashes = word = piece.words[piece.number]
+    for length in range(1, most + 1):
+        if length > 1:
+            hashes = np.concatenate([[np.uint64(0)], hashes[:-1]]) * MULTIPLIER + word
+            n = out[-1].by_token
+            may = piece.at >= length - 1
+            may[1:] &= (n[:-1] >= CONTEXT) & (n[1:] >= ENTRY)
+            at = np.flatnonzero(may)
+            gram, mine, first = numbered(hashes[at])
+            number = np.full(len(word), -1, np.int32)
+            number[at] = mine
+            out.append(Grams(gram, at[first], number))
+        grams = out[length]
+        if length in told or not len(grams.gram):
+            heard = told.get(length, np.zeros(0, np.int64))
+            grams.n, grams.owned = heard >> 1, heard & 1 != 0
+            grams.by_token = np.append(grams.n, 0)[grams.number]  # -1 is the last
+    return out
+
+
+def asking(piece: Piece, told: dict[int, np.ndarray], step: int, depth: int, n_tokens: int, buckets: int) -> pa.Table:
+    """Rows of ``ASKED``: grams of ``step`` words, and contexts of two less."""
+    rows: list[tuple] = []
+
+    def ask(kind: int, gram: np.ndarray, *sums: np.ndarray) -> None:
+        bucket = ((gram >> np.uint64(64 - BITS)) * np.uint64(buckets) >> np.uint64(BITS)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(gram)]):
+            for at in range(a, b, 1 << SLOT):
+                to = min(b, at + (1 << SLOT))
+                rows.append((int(bucket[a]), piece.id, kind, at, to - at, packed_hashes(gram[at:to]),
+                             [packed(v[at:to]) for v in sums]))
+
+    grams = by_length(piece, told, min(step, depth + 1))
+    if step <= depth + 1:
+        number = grams[step].number
+        ask(step, grams[step].gram, np.bincount(
+            number[piece.trains & (number >= 0)], minlength=len(grams[step].gram)))
+    if step > 2:
+        shortest, context, entry = grams[step - 3 : step]
+        mine = np.flatnonzero(entry.owned & (entry.n >= ENTRY))
+        last, which = entry.first[mine], np.flatnonzero(context.n >= CONTEXT)
+        under = n_tokens if shortest is None else shortest.by_token[last - 1]
+        above = context.by_token[last] / under
+        own = entry.n[mine] / context.by_token[last - 1]
+        sums = [np.bincount(context.number[last - 1], v, len(context.gram))[which]
+                for v in (np.ones(len(mine)), entry.n[mine], own * np.log2(own / above), above)]
+        ask(2 - step, context.gram[which], context.n[which].astype(float), *sums)
+    return pa.table({c.split()[0]: pa.array(list(v), t) for c, v, t in zip(
+        ASKED.split(", "), zip(*rows) if rows else [[]] * 7,
+        (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary())))})
+
+
+def kept(total: np.ndarray, types: np.ndarray, held: np.ndarray, bits: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Words held by each context, and their occurrences; 0 for those that do
+    not diverge from their suffix by more than they cost."""
+    rest = 1 - held / total
+    some = rest > 1e-12
+    bits[some] += rest[some] * np.log2(rest[some] / np.maximum(1e-12, 1 - above[some]))
+    keep = (types > 0) & (total * bits > 0.5 * types * np.log2(total + 1))
+    return np.stack([types * keep, held * keep]).astype(np.int64)
+
+
+def answer(asked: pa.Table) -> pa.Table:
+    """Rows of ``TOLD`` for all rows of a bucket.  The first row of a kind has
+    the bucket's sums: tokens, different grams, contexts."""
+    out: list[tuple] = []
+    kinds = asked["kind"].to_numpy()
+    for kind in np.unique(kinds).tolist():
+        piece, at, size, gram, sums = (
+            asked.filter(kinds == kind)[c].to_pylist() for c in ("piece", "at", "n", "gram", "sums"))
+        ends = np.cumsum(size).tolist()
+        _, number, first = numbered(np.concatenate([unpacked_hashes(g, n) for g, n in zip(gram, size)]))
+        sums = [np.concatenate([unpacked(v, n, np.int64 if kind > 0 else np.float64) for v, n in zip(c, size)])
+                for c in zip(*sums)]
+        facts = (0, 0, 0)
+        if kind > 0:
+            n = np.bincount(number, sums[0], len(first)).astype(np.int64)
+            facts = tuple(int(v.sum()) for v in (n, n > 0, n >= CONTEXT))
+            if kind > 1:
+                n[n < ENTRY] = 0
+            value = 2 * n[number]
+            value[first] += 1
+        else:
+            value = kept(sums[0][first], *(np.bincount(number, v, len(first)) for v in sums[1:]))[:, number]
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
+            out.append((piece[i], kind, at[i], b - a, packed(np.ascontiguousarray(value[..., a:b])),
+                        *(facts if i == 0 else (0, 0, 0))))
+    return pa.table({c.split()[0]: pa.array(list(v), t) for c, v, t in zip(
+        TOLD.split(", "), zip(*out),
+        (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))})
+
+
+def by_kind(told: pa.Table) -> dict[int, np.ndarray]:
+    """What a piece was told, in the order of its grams."""
+    out: dict[int, list[np.ndarray]] = {}
+    rows = sorted(zip(*(told[c].to_pylist() for c in ("kind", "at", "n", "value"))), key=lambda r: r[:2])
+    for kind, _, n, value in rows:
+        shape = (n,) if kind > 0 else (2, n)
+        out.setdefault(kind, []).append(unpacked(value, math.prod(shape), np.int64).reshape(shape))
+    return {kind: np.concatenate(v, axis=-1) for kind, v in out.items()}
 
 
 @dataclass
 class Tree:
-    """``grams``: gram, a, b.  For a word a is its count, for a longer gram its
-    last word's own part of the distribution after the others, if they are a
-    kept context; b is what a kept context leaves to its suffix."""
+    """``told``: rows of ``TOLD``.  A piece's grams have twice their occurrences
+    (of more words than one, 0 if under ``ENTRY``) and one if the piece owns
+    them, its candidates the words they hold and their occurrences (0: not kept)."""
 
     train_tokens: int
     n_words: int
-    grams: DataFrame
+    told: DataFrame
     contexts: list[int]  # candidates, by length
 
     @property
@@ -224,119 +309,30 @@ class Tree:
         return self.train_tokens + 0.1 * (self.n_words + 1)
 
 
-def level(parts: DataFrame, buckets: int, length: int, contexts: DataFrame, shorter: DataFrame) -> DataFrame:
-    """gram, context, n, total, above: entries of the contexts of a length.
-
-    ``contexts``: context, total.  ``shorter``: gram, share, the grams of
-    ``length`` words that occur ``ENTRY`` times."""
-    broadcast = parts.sparkSession.sparkContext.broadcast
-    often, again = broadcast(bitmap(contexts.select("context"))), broadcast(bitmap(shorter.select("gram")))
-
-    def grams_of(piece: Piece) -> list[np.ndarray]:
-        *_, short, long = piece.grams(length + 1)
-        at = np.flatnonzero(piece.trains & (piece.at >= length))
-        at = at[often.value.has(short[at - 1])]
-        at = at[again.value.has(short[at])]
-        return [long[at], short[at - 1], short[at]]
-
-    # most grams are seen once: tell those before context and lower travel too
-    twice = broadcast(bitmap(counted(parts, buckets, lambda piece: grams_of(piece)[:1], ENTRY).select("gram")))
-
-    def seen_twice(piece: Piece) -> list[np.ndarray]:
-        columns = grams_of(piece)
-        mine = twice.value.has(columns[0])
-        return [c[mine] for c in columns]
+def grow(parts: DataFrame, buckets: int, depth: int = DEPTH) -> Tree:
+    """The tree of the training texts among staged pieces."""
 
-    found = counted(parts, buckets, seen_twice, ENTRY, "context", "lower")
-    above = shorter.select(F.col("gram").alias("lower"), F.col("share").alias("above"))
-    return found.join(contexts, "context").join(above, "lower").drop("lower")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from asking(Piece(b, i), {}, 1, depth, 0, buckets).to_batches()
 
+    told = stage(parts.mapInArrow(first, ASKED).groupBy("bucket").applyInArrow(answer, TOLD), "told")
+    n_tokens, n_words = (v or 0 for v in told.agg(F.sum("tokens"), F.sum("types")).first())
+    def then(step: int):
+        return lambda table, told: asking(Piece(table, 0), by_kind(told), step, depth, n_tokens, buckets)
 
-def tested(entries: DataFrame) -> DataFrame:
-    """context, b: those that diverge from their suffix by more than they cost."""
-    own = F.col("n") / F.col("total")
-    sums = entries.groupBy("context").agg(
-        F.max("total").alias("total"), F.sum("n").alias("held"), F.count("*").alias("types"),
-        F.sum(own * F.log2(own / F.col("above"))).alias("bits"), F.sum("above").alias("above"))
-    rest, above = 1 - F.col("held") / F.col("total"), F.greatest(F.lit(1e-12), 1 - F.col("above"))
-    bits = F.col("bits") + F.when(rest > 1e-12, rest * F.log2(rest / above)).otherwise(0.0)
-    cost = 0.5 * F.col("types") * F.log2(F.col("total") + 1)
-    return sums.where(F.col("total") * bits > cost).select(
-        "context", ((F.col("total") - F.col("held") + F.col("types")) / (F.col("total") + F.col("types"))).alias("b"),
-        (F.col("total") + F.col("types")).alias("under"))
+    rounds = [told]
+    for step in range(2, depth + 3):
+        asked = with_told(parts, reduce(DataFrame.unionAll, rounds)).applyInArrow(then(step), ASKED)
+        rounds.append(stage(asked.groupBy("bucket").applyInArrow(answer, TOLD), "told"))
+    told = reduce(DataFrame.unionAll, rounds)
+    found = dict(told.where("kind > 0").groupBy("kind").agg(F.sum("contexts")).collect())
+    return Tree(n_tokens, n_words, told, [found.get(length, 0) for length in range(1, depth + 1)])
 
 
-def grow(parts: DataFrame, buckets: int, depth: int = DEPTH) -> Tree:
-    """The tree of the training texts among staged pieces."""
-    words = stage(counted(parts, buckets, lambda piece: [piece.word[piece.trains]], 1), "words")
-    n_tokens, n_words = words.agg(F.sum("n"), F.count("*")).first()
-    counts = words.select("gram", F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b"))
-    tree = Tree(n_tokens or 0, n_words, counts, [])
-    shorter = words.where(F.col("n") >= ENTRY).select("gram", "n", (F.col("n") / F.lit(tree.train_tokens)).alias("share"))
-    for length in range(1, depth + 1):
-        contexts = shorter.where(F.col("n") >= CONTEXT).select(F.col("gram").alias("context"), F.col("n").alias("total"))
-        tree.contexts.append(contexts.count())
-        if not tree.contexts[-1]:
-            break
-        entries = stage(level(parts, buckets, length, contexts, shorter), "entries")
-        kept = stage(tested(entries), "contexts")
-        tree.grams = tree.grams.unionByName(
-            kept.select(F.col("context").alias("gram"), F.lit(0.0).alias("a"), "b")
-        ).unionByName(entries.join(kept, "context").select(
-            "gram", (F.col("n") / F.col("under")).alias("a"), F.lit(0.0).alias("b")))
-        shorter = entries.select("gram", "n", (F.col("n") / F.col("total")).alias("share"))
-    return tree
-
-
-def merged(gram: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Each gram once, in order, with the sums of its values."""
-    gram, number = np.unique(gram, return_inverse=True)
-    return [gram, *(np.bincount(number, v, len(gram)) for v in values)]
-
-
-def lookup(table: list[np.ndarray], gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """a and b, 0 where the table has none."""
-    if not len(table[0]):
-        return np.zeros(len(gram)), np.zeros(len(gram))
-    at = np.minimum(np.searchsorted(table[0], gram), len(table[0]) - 1)
-    there = table[0][at] == gram
-    return np.where(there, table[1][at], 0.0), np.where(there, table[2][at], 0.0)
-
-
-def answers(parts: DataFrame, grams: DataFrame, buckets: int, depth: int) -> DataFrame:
-    """piece, gram, a, b as lists: the tree's part of each piece's grams."""
-    known = parts.sparkSession.sparkContext.broadcast(bitmap(grams.select("gram")))
-
-    def ask(batches):
-        for b in batches:
-            for i, number in enumerate(b.column("piece")):
-                piece = Piece(b, i)
-                wanted = np.unique(np.concatenate(
-                    [g[piece.at >= k] for k, g in enumerate(piece.grams(depth + 1))]))
-                bucket, lists = by_bucket(buckets, wanted[known.value.has(wanted)])
-                yield pa.RecordBatch.from_arrays(
-                    [bucket, pa.array([number.as_py()] * len(bucket), pa.int64()), *lists], ["bucket", "piece", "gram"])
-
-    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
-        table = merged(*(told[c].to_numpy() for c in ("gram", "a", "b")))
-        lists = asked["gram"].combine_chunks()
-        gram = lists.flatten().to_numpy()
-        a, b = lookup(table, gram)
-        found = (a > 0) | (b > 0)
-        ends = np.cumsum(found)[np.cumsum(lists.value_lengths().to_numpy()) - 1]
-        edges = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-        return pa.table({"piece": asked["piece"], **{
-            c: pa.ListArray.from_arrays(edges, pa.array(v[found])) for c, v in (("gram", gram), ("a", a), ("b", b))}})
-
-    asked = parts.mapInArrow(ask, "bucket int, piece long, gram array<long>")
-    told = grams.withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast("int"))
-    return asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        lambda left, right: answer(left, right) if left.num_rows else _NONE,
-        "piece long, gram array<long>, a array<double>, b array<double>")
-
-
-_NONE = pa.table({"piece": pa.array([], pa.int64()), "gram": pa.array([], pa.list_(pa.int64())),
-                  "a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))})
+def with_told(parts: DataFrame, told: DataFrame):
+    return parts.groupBy("piece").cogroup(told.select("piece", "kind", "at", "n", "value").groupBy("piece"))
 
 
 @contextmanager
@@ -362,24 +358,24 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         parts = stage(pieces(docs, depth), "pieces")
         buckets = max(8, math.ceil(parts.count() / BUCKET))
         tree = grow(parts, buckets, depth)
-        asked = answers(parts, tree.grams, buckets, depth)
     mass = tree.mass
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
-        piece = Piece(table, 0)
-        answer = merged(*(told[c].combine_chunks().flatten().to_numpy() for c in ("gram", "a", "b")))
-        answer = [answer[0].view(np.uint64), *answer[1:]]
-        order = np.argsort(answer[0])
-        answer = [v[order] for v in answer]
-        grams = piece.grams(depth + 1)
-        count, back = lookup(answer, piece.word)
+        piece, told = Piece(table, 0), by_kind(told)
+        grams = by_length(piece, told, depth + 1)
+        count = grams[1].by_token
         base = (count + 0.1) / mass
-        value = base
+        value = base.copy()
         for length in range(1, depth + 1):
-            back = np.where(piece.at >= length, np.concatenate([[0.0], back[:-1]]), 0.0)
-            own, longer = lookup(answer, grams[length])
-            value = np.where(back > 0, own + back * value, value)
-            back = longer
+            context, entry = grams[length], grams[length + 1]
+            types, held = np.zeros((2, len(context.gram) + 1), np.int64)
+            which = np.flatnonzero(context.n >= CONTEXT)
+            types[which], held[which] = told.get(-length, np.zeros((2, 0), np.int64))
+            before = np.append(np.int32(-1), context.number[:-1])
+            at = np.flatnonzero((types[before] > 0) & (piece.at >= length))
+            before = before[at]
+            under = context.n[before] + types[before]
+            value[at] = (entry.by_token[at] + (under - held[before]) * value[at]) / under
         total = lambda v: np.bincount(piece.part, v * piece.own, len(piece.row))
         whole = lambda v: pa.array(total(v).astype(np.int64))
         return pa.table({
@@ -387,7 +383,7 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             "n_tokens": whole(np.ones(len(count))), "n_known": whole(count > 0),
             "base": pa.array(total(np.log10(base))), "value": pa.array(total(np.log10(value)))})
 
-    return parts.groupBy("piece").cogroup(asked.groupBy("piece")).applyInArrow(
+    return with_told(parts, tree.told).applyInArrow(
         score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double",
     ).groupBy("row", "doc_id", "held_out").agg(
         F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),

@@ -3,6 +3,8 @@
 import math
 import zlib
 from collections import Counter
+from contextlib import nullcontext
+from pathlib import Path
 
 import numpy as np
 
@@ -229,3 +231,17 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     for r in (a, b):
         assert r.score > 0.5 * r.base_score
     assert abs(a.score - b.score) < 3
+
+
+def test_suffix_tree_sends_few_bytes(spark, monkeypatch):
+    """All rounds together shuffle under six bytes a token, as no gram travels back."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"x{int(v)}" for v in rng.zipf(1.3, 1000) % 50_000) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(suffix_tree, "shuffles_freed", lambda _: nullcontext())
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for place in places for f in Path(place.getPath()).glob("*/shuffle_*.data")}
+    before = files()
+    scored = suffix_tree.scores(docs)
+    assert sum(r.n_tokens for r in scored.collect()) == 400 * 1001
+    assert sum(f.stat().st_size for f in files() - before) < 6 * 400 * 1001
