@@ -24,6 +24,11 @@ Every pair that the index finds lies in one cluster.  A cluster is verified in
 blocks of bounded size, a set travelling once to each block it may match in: a
 matrix product counts all intersections of two blocks exactly, and a spanning
 forest of the links goes on.  So copies cost as many rows as there are copies.
+
+Sets are verified twice.  First a ``PART`` of their shingles travels, the highest
+ones: what two sets share is at most what they share of those and the rest of the
+smaller rest, and pairs that this rules out need no more.  The others make up new
+clusters, mostly small ones, whose sets travel whole; a set left alone stays.
 """
 
 from __future__ import annotations
@@ -35,11 +40,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.llm.common import hashed_words, id_and_text, mixed, pieces_of
-from nocturne.session import stage
+from nocturne.session import shuffles_freed, stage, unstage
 
 WORDS, SHARE = 5, Fraction(80, 100)
 BITS = 1 << 27  # of the broadcast bitmap of frequent shingles
@@ -47,6 +53,8 @@ COMBINED = 8  # frequent shingles of a prefix that are combined
 BUCKET_KEYS = 2_000_000  # keys counted in one task
 FLUSH = 1_000_000  # keys held before they are sent
 SMALL_IDS = 1_000_000  # rows of class names in a broadcast
+PART = 4  # a quarter of a set's shingles is compared first
+NAMES = 64  # slices of the bitmap of candidate names
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000  # in a block, at most
 COLUMNS = 4096  # shingles in one product
 FEW, PAIRS = 48, 4_000_000  # sets of a shingle counted by pairs; pairs counted at once
@@ -182,7 +190,7 @@ def shingle_counts(docs: DataFrame, buckets: int, least: int) -> DataFrame:
 
 
 class Frequent:
-    """Bitmap of frequent shingles, a slice for each bucket."""
+    """Bitmap of keys (of frequent shingles, or names), a slice for each bucket."""
 
     def __init__(self, bits: np.ndarray, slice_bits: int, complete: bool):
         self.bits, self.slice_bits, self.complete = bits, slice_bits, complete
@@ -206,7 +214,17 @@ def frequent_shingles(counts: DataFrame, buckets: int, most_bits: int) -> Freque
             complete = False
             break
         total, cut = total + r["n"], r["count"]
-    slice_bits = 8 * max(1, math.ceil(min(most_bits, max(1 << 16, 16 * total)) / buckets / 8))
+    slice_bits = bits_of_slice(total, most_bits, buckets)
+    return Frequent(marked(counts.where(F.col("count") >= cut), buckets, slice_bits), slice_bits, complete)
+
+
+def bits_of_slice(total: int, most_bits: int, buckets: int) -> int:
+    """Of a bitmap with 16 bits a key, as far as ``most_bits`` go."""
+    return 8 * max(1, math.ceil(min(most_bits, max(1 << 16, 16 * total)) / buckets / 8))
+
+
+def marked(keys: DataFrame, buckets: int, slice_bits: int) -> np.ndarray:
+    """Bitmap of the keys (bucket, key)."""
 
     def mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bits = np.zeros(slice_bits, np.uint8)
@@ -215,11 +233,11 @@ def frequent_shingles(counts: DataFrame, buckets: int, most_bits: int) -> Freque
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed], pa.binary())})
 
     out = np.zeros(slice_bits // 8 * buckets, np.uint8)
-    slices = counts.where(F.col("count") >= cut).groupBy("bucket").applyInArrow(mark, "bucket int, bits binary")
-    for r in slices.toLocalIterator():
+    slices = keys.select("bucket", "key").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary")
+    for r in slices.collect():
         at = r["bucket"] * slice_bits // 8
         out[at : at + slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Frequent(out, slice_bits, complete)
+    return out
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -230,14 +248,13 @@ def prefix(s: np.ndarray, frequent: np.ndarray, share: Fraction) -> tuple[np.nda
     return rare[:size], often[: max(0, size - len(rare))]
 
 
-def postings(docs: DataFrame, frequent: Frequent, buckets: int, share: Fraction) -> DataFrame:
+def postings(docs: DataFrame, shared: Broadcast[Frequent], buckets: int, share: Fraction) -> DataFrame:
     """key, node (even: indexes, odd: only probes) and its set size, for keys of
     several classes.
 
     Rare keys meet in a bucket of their own, where those of one class drop out
     and keys with the same classes become one.  Frequent ones, whose classes
     may be a large share of all, are dealt by class instead and stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def send(batches):
         frequent = shared.value
@@ -320,18 +337,22 @@ def clusters(lists: DataFrame, share: Fraction) -> DataFrame:
     near = F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class")
     ties = held.select("key", "node", near).join(leaders, ["key", "class"]).where("node <> leader")
     roots = components(ties.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    members = held.select("node", "size", "class").distinct().join(roots, "node", "left")
-    return members.withColumn("cluster", F.coalesce("root", "node")).drop("root")
+    return grouped(held.select("node", "size", "class").distinct(), roots)
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
+def grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members with their cluster, for some a cluster of their own."""
+    return members.join(roots, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root")
+
+
+def block_pairs(members: DataFrame, part: int = 1) -> DataFrame:
     """node, pair: every pair of blocks in which a set may match, by a hash.
 
     Blocks are parts of a cluster's size classes, small enough for one task.  A
     pair is verified whole, so a class of one block needs no pair of its own
     beside that with an adjacent class."""
     spread = members.groupBy("cluster", "class").agg(
-        F.count("*").alias("sets"), F.sum("size").alias("shingles"))
+        F.count("*").alias("sets"), (F.sum("size") / part).alias("shingles"))
     parts = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     spread = stage(spread.select("cluster", "class", F.least("sets", parts).cast("int").alias("parts"), "sets"), "blocks")
     placed = members.join(spread, ["cluster", "class"]).withColumn(
@@ -393,58 +414,93 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links(docs: DataFrame, members: DataFrame, frequent: Frequent, buckets: int, share: Fraction) -> DataFrame:
-    """a, b: a spanning forest of the links in each pair of blocks; staged.
+def marked_names(nodes: DataFrame, total: int, most_bits: int) -> Frequent:
+    """Bitmap of class names; one that falls on the mark of another counts as held."""
+
+    def keys(batches):
+        for b in batches:
+            h = mixed(b.column("node").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket_of(h, NAMES), pa.int32()), pa.array(low32(h), pa.int32())], ["bucket", "key"])
+
+    slice_bits = bits_of_slice(total, most_bits, NAMES)
+    found = nodes.select("node").mapInArrow(keys, "bucket int, key int")
+    return Frequent(marked(found, NAMES, slice_bits), slice_bits, True)
+
 
-    A set travels once per pair and task, without the shingles that no other
-    class has.  Where it goes is broadcast as far as ``SMALL_IDS`` rows of 16
-    bytes; beyond, sets are sent by name and joined with their pairs."""
-    met = stage(block_pairs(members), "pairs")
+def sent_sets(docs: DataFrame, met: DataFrame, bitmap: Broadcast[Frequent], buckets: int, part: int = 1) -> DataFrame:
+    """pair, node, size, rest, set: the highest 1/``part`` of the shingles of each set
+    in ``met`` (node, pair), once per pair and task, and how many shingles remain.
+
+    Shingles that no other class has stay out.  Where a set goes is broadcast as
+    far as ``SMALL_IDS`` rows of 16 bytes; beyond, a bitmap says which sets are
+    needed, and those are sent by name and joined with their pairs."""
     context = docs.sparkSession.sparkContext
-    bitmap, known = context.broadcast(frequent), None
-    if met.count() <= SMALL_IDS:
+    rows_met = met.count()
+    small = rows_met <= SMALL_IDS
+    if small:
         table = met.toArrow().sort_by("node")
         known = context.broadcast((table["node"].to_numpy(), table["pair"].to_numpy()))
+    else:
+        known = context.broadcast(marked_names(met, rows_met, BITS))
+    least = np.uint64(2**64 - 2**64 // part)
 
     def send(batches):
-        frequent = bitmap.value
-        nodes, pairs = (None, None) if known is None else known.value
+        frequent, found = bitmap.value, known.value
         held, n = [], 0
 
         def rows():
-            pair, name, size, sets = zip(*held)
+            pair, name, size, rest, sets = zip(*held)
             return pa.RecordBatch.from_arrays(
                 [pa.array(pair, pa.int64()), pa.array(name, pa.int64()), pa.array(size, pa.int64()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                ["pair", "node", "size", "set"])
+                 pa.array(rest, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["pair", "node", "size", "rest", "set"])
 
         for name, s in distinct_classes(batches):
-            to = [0] if nodes is None else pairs[
-                np.searchsorted(nodes, name) : np.searchsorted(nodes, name, "right")].tolist()
+            if small:
+                nodes, pairs = found
+                to = pairs[np.searchsorted(nodes, name) : np.searchsorted(nodes, name, "right")].tolist()
+            else:
+                to = [0] if found.has(mixed(np.array([name], np.uint64)), NAMES)[0] else []
             if to:
                 shared = s[frequent.has(s, buckets)] if frequent.complete else s
-                held += [(pair, name, len(s), shared) for pair in to]
-                n += len(shared) * len(to)
+                high = shared[np.searchsorted(shared, least) :]
+                held += [(pair, name, len(s), len(shared) - len(high), high) for pair in to]
+                n += len(high) * len(to) + len(to)
             if n >= FLUSH:
                 yield rows()
                 held, n = [], 0
         if held:
             yield rows()
 
+    sent = id_and_text(docs).mapInArrow(send, "pair long, node long, size long, rest long, set array<long>")
+    return sent if small else sent.drop("pair").join(met, "node")
+
+
+def links(
+    docs: DataFrame, members: DataFrame, frequent: Broadcast[Frequent], buckets: int, share: Fraction, part: int = 1
+) -> DataFrame:
+    """a, b: a spanning forest of the links in each pair of blocks; staged.
+
+    With a ``part`` of the shingles, of all links that those leave possible."""
+    met = stage(block_pairs(members, part), "pairs")
+
     def verify(table: pa.Table) -> pa.Table:
         node, first = np.unique(table["node"].to_numpy(), return_index=True)
         table = table.take(pa.array(first))
         column = table["set"].combine_chunks()
         edges, values = column.offsets.to_numpy(), column.values.to_numpy()
-        sets = [values[a:b] for a, b in zip(edges, edges[1:])]
-        label = forest(table["size"].to_numpy(), intersections(sets), share)
+        counts, rest = intersections([values[a:b] for a, b in zip(edges, edges[1:])]), table["rest"].to_numpy()
+        if rest.any():
+            counts += np.minimum(rest[:, None], rest[None, :])
+        label = forest(table["size"].to_numpy(), counts, share)
         tied = label != np.arange(len(node))
         return pa.table({"a": pa.array(node[tied], pa.int64()), "b": pa.array(node[label[tied]], pa.int64())})
 
-    sent = id_and_text(docs).mapInArrow(send, "pair long, node long, size long, set array<long>")
-    if known is None:
-        sent = sent.drop("pair").join(met, "node")
-    return stage(sent.groupBy("pair").applyInArrow(verify, "a long, b long"), "links")
+    sent = sent_sets(docs, met, frequent, buckets, part)
+    found = stage(sent.groupBy("pair").applyInArrow(verify, "a long, b long"), "links")
+    unstage(met)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -462,7 +518,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unstage(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
@@ -470,13 +527,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def class_components(docs: DataFrame, total: int, share: Fraction = SHARE) -> DataFrame:
-    """node, root for all classes that are linked to another one."""
+    """node, root for all classes that are linked to another one.
+
+    Tables and shuffles go as soon as the next step has been written."""
     buckets = max(64, math.ceil(total / BUCKET_KEYS))
-    counts = stage(shingle_counts(docs, buckets, 2), "counts")
-    frequent = frequent_shingles(counts, buckets, BITS)
-    lists = stage(postings(docs, frequent, buckets, share), "postings")
-    members = stage(clusters(lists, share), "clusters")
-    return components(links(docs, members, frequent, buckets, share))
+    with shuffles_freed(docs.sparkSession):
+        counts = stage(shingle_counts(docs, buckets, 2), "counts")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(counts, buckets, BITS))
+    unstage(counts)
+    with shuffles_freed(docs.sparkSession):
+        lists = stage(postings(docs, frequent, buckets, share), "postings")
+        members = stage(clusters(lists, share), "clusters")
+        unstage(lists)
+        possible = links(docs, members, frequent, buckets, share, PART)
+        closer = stage(grouped(members.drop("cluster"), components(possible)), "clusters")
+        unstage(members)
+        unstage(possible)
+        found = links(docs, closer, frequent, buckets, share)
+        unstage(closer)
+        roots = components(found)
+        unstage(found)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, share: Fraction = SHARE) -> DataFrame:

@@ -23,17 +23,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nocturne.llm.common import id_and_text, pieces_of, words_of_worker
-from nocturne.session import stage
+from nocturne.session import shuffles_freed, stage
 
 DEPTH = 3
 CONTEXT, ENTRY = 8, 2  # occurrences in the training texts
@@ -335,18 +334,6 @@ def with_told(parts: DataFrame, told: DataFrame):
     return parts.groupBy("piece").cogroup(told.select("piece", "kind", "at", "n", "value").groupBy("piece"))
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go when their query ends: its result is staged or fetched."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

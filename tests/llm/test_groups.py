@@ -1,5 +1,6 @@
 """Near duplicates, sharding, top-k search: against brute force."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nocturne.llm import jaccard, kdshard, topk
+from nocturne.session import staging_dir
 
 
 def shingles(text):
@@ -92,6 +94,64 @@ def test_components_of_long_paths(spark):
     assert all(root == node // 50 * 50 for node, root in roots.items())
 
 
+def held_files(spark):
+    """Shuffle files, and staged tables that no result is read from."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffles = {files.apply(i).getName() for i in range(files.size())}
+    folder = staging_dir(spark).removeprefix("file:")
+    staged = os.listdir(folder) if os.path.isdir(folder) else []
+    return ({x for x in shuffles if x.startswith("shuffle_") and x.endswith(".data")},
+            {x for x in staged if x.split("-")[0] in ("counts", "postings", "pairs", "links", "clusters")})
+
+
+def test_near_duplicates_leave_no_shuffles(spark, docs, monkeypatch):
+    """What a step shuffled or staged is gone when the next one has been written."""
+    monkeypatch.setattr(jaccard, "SMALL_IDS", 0)
+    shuffles, staged = held_files(spark)
+    roots = jaccard.class_components(docs, 100_000)
+    after = held_files(spark)
+    assert len(after[0] - shuffles) <= 16  # those of the few frequent shingles
+    assert after[1] <= staged
+    assert roots.count() > 0
+
+
+@pytest.mark.parametrize("small, part", [(1_000_000, 1), (0, 4)])
+def test_only_candidate_sets_travel(spark, monkeypatch, small, part):
+    monkeypatch.setattr(jaccard, "SMALL_IDS", small)
+    texts = [" ".join(f"d{i}x{j}" for j in range(400)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [jaccard.shingle_set(t.encode()) for t in texts[:2]]
+    names = [jaccard.class_name(s) for s in sets]
+    met = spark.createDataFrame([(names[0], 5), (names[0], 6), (names[1], 6)], "node long, pair long")
+    frequent = spark.sparkContext.broadcast(jaccard.Frequent(np.zeros(64 * 8, np.uint8), 64, False))
+    rows = jaccard.sent_sets(docs, met, frequent, 64, part).collect()
+    assert sorted((r.pair, r.node) for r in rows) == sorted([(5, names[0]), (6, names[0]), (6, names[1])])
+    for r in rows:
+        whole = sets[names.index(r.node)]
+        high = whole[whole >= np.uint64(2**64 - 2**64 // part)]
+        assert (r.size, r.rest) == (len(whole), len(whole) - len(high))
+        assert np.array_equal(np.array(r.set, np.int64).view(np.uint64), high) and 0 < len(high)
+
+
+def test_a_part_of_the_shingles_rules_out_no_link(spark, monkeypatch):
+    """Families of near copies of every likeness, some tied by a passage alone."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(50)]
+    data = []
+    for f in range(12):
+        words = [f"f{f}w{i}" for i in range(120)]
+        for k in range(8):
+            text = list(words)
+            for at in rng.sample(range(120), k):
+                text[at] = f"n{f}x{k}x{at}"
+            data.append((len(data), " ".join(text + passage[: 5 * f])))
+    want = near_groups(data)
+    assert len({c for (_, _, c) in want}) not in (12, len(data))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BITS", 0)
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == want
+
+
 def check_shards(rows, data, shards):
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in data)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
