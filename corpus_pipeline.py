@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from nocturne.llm import cascade, cotraining, disclosure, jaccard, packing
 from nocturne.llm.common import read, tokenizer_path
-from nocturne.session import stage
+from nocturne.session import shuffles_freed, stage, unstage
 
 
 def quality_classifier(spark, docs, sf_dir):
@@ -47,8 +47,12 @@ ORACLE_SQL: str | None = None  # a trained classifier, sanitising and packing ha
 
 
 def run(spark, sf_dir):
-    """The stages one after another, each written and read again."""
+    """The stages one after another, each written and read again; what a stage
+    read and shuffled goes when it has been written."""
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        last, found = docs, step(spark, docs, sf_dir)
+        with shuffles_freed(spark):
+            docs = stage(found, name)
+        unstage(last)
     return docs

@@ -233,10 +233,11 @@ def marked(keys: DataFrame, buckets: int, slice_bits: int) -> np.ndarray:
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed], pa.binary())})
 
     out = np.zeros(slice_bits // 8 * buckets, np.uint8)
-    slices = keys.select("bucket", "key").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary")
-    for r in slices.collect():
+    slices = stage(keys.select("bucket", "key").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary"), "marks")
+    for r in slices.toLocalIterator():
         at = r["bucket"] * slice_bits // 8
         out[at : at + slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
+    unstage(slices)
     return out
 
 

@@ -101,7 +101,7 @@ def held_files(spark):
     folder = staging_dir(spark).removeprefix("file:")
     staged = os.listdir(folder) if os.path.isdir(folder) else []
     return ({x for x in shuffles if x.startswith("shuffle_") and x.endswith(".data")},
-            {x for x in staged if x.split("-")[0] in ("counts", "postings", "pairs", "links", "clusters")})
+            {x for x in staged if x.split("-")[0] in ("counts", "marks", "postings", "pairs", "links", "clusters")})
 
 
 def test_near_duplicates_leave_no_shuffles(spark, docs, monkeypatch):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from nocturne.llm import disclosure, jaccard, licenses
+from nocturne.session import staging_dir
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -233,6 +235,26 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(rows)
 
 
+def test_pipeline_keeps_the_last_stage_alone(spark, tmp_path, monkeypatch):
+    """What a stage read and shuffled is gone when it has been written."""
+    spark.range(2000).selectExpr("id doc_id", "'x' text").write.parquet(str(tmp_path / "documents.parquet"))
+    steps = [(f"step{k}", lambda spark, docs, sf_dir: docs.repartition(3, "doc_id")) for k in range(3)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", steps)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    before = shuffles()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert not shuffles() - before
+    folder = staging_dir(spark).removeprefix("file:")
+    assert {x.split("-")[0] for x in os.listdir(folder) if x.startswith("step")} == {"step2"}
+    assert out.count() == spark.read.parquet(str(tmp_path / "documents.parquet")).count() == 2000
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
